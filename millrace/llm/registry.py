@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, html_text, mixing, ngram_join, quality, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op5_warc": warc.op5_warc,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_html_text": html_text.op9_html_text,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
+    "op4_quality_rules": quality.ORACLE,
+    "op5_warc": warc.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op10_ngram_join": ngram_join.ORACLE,
 }
