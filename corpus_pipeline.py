@@ -1,14 +1,68 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage works on all rows the one before it kept. Rows that repeat a doc_id stand or fall together in the two
+deduplication stages and get as many copies as the most any of them is given when mixing; a null doc_id is an id of its
+own. Further columns pass through all stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-#: Packing and the near-duplicate stage can't be put into SQL; tests/llm compares the stages with brute force.
+from pyspark.sql import functions as F
+
+from millrace.llm.exact_dedup import exact_dedup
+from millrace.llm.mixing import mix
+from millrace.llm.ngram_join import ngram_join
+from millrace.llm.packing import pack, vocabulary
+from millrace.llm.quality import quality_rules
+from millrace.llm.shared import Workspace, small
+
+
+def _without(docs, verdicts, stays, name):
+    """``docs`` less the doc_ids none of whose rows in ``verdicts`` stay."""
+    ws = Workspace(docs.sparkSession, name)
+    out = verdicts.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max(stays).alias("stays")).where("not stays").select("gone_id")
+    return docs.join(small(ws.write(out, "gone")), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+
+
+def quality(spark, docs, sf_dir):
+    """Drop documents that the quality rules reject; a null or empty text is rejected."""
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return quality_rules(rows).where("kept").select("row.*")
+
+
+def exact(spark, docs, sf_dir):
+    """Keep one document of each group of equal texts."""
+    return _without(docs, exact_dedup(docs.select("doc_id", "text")), F.col("kept"), "exact")
+
+
+def near(spark, docs, sf_dir):
+    """Keep the document with the smallest doc_id of each near-duplicate group."""
+    return _without(docs, ngram_join(docs.select("doc_id", "text")), F.col("doc_id").eqNullSafe(F.col("component_id")), "near")
+
+
+def mixed(spark, docs, sf_dir):
+    """Repeat each document as often as the mix takes it; one it doesn't take goes."""
+    ws = Workspace(spark, "mixed")
+    copies = mix(docs.select("doc_id", "source", "text")).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("n_copies"))
+    out = docs.join(small(ws.write(copies.where("n_copies > 0"), "copies")), docs["doc_id"].eqNullSafe(F.col("mixed_id")))
+    return out.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("n_copies").cast("int"))).alias("_copy")).drop("_copy")
+
+
+def packed(spark, docs, sf_dir):
+    """Pack what is left into sequences of 4096 tokens."""
+    return pack(docs.select("doc_id", "text"), vocabulary())
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("near duplicates", near), ("mixing", mixed), ("packing", packed)]
+#: The last stage needs a tokenizer, which SQL can't express; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``, each written as Parquet and read again."""
+    docs, ws = spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = ws.write(docs, f"stage{k}")
     return docs

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, mixing, ngram_join, quality, warc
+from . import exact_dedup, html_text, mixing, ngram_join, packing, quality, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_warc": warc.op5_warc,
+    "op6_packing": packing.op6_packing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_html_text": html_text.op9_html_text,
     "op10_ngram_join": ngram_join.op10_ngram_join,
