@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, mixing, ngram_join, packing, quality, warc
+from . import exact_dedup, html_text, mixing, ngram_join, packing, quality, suffix_dedup, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_warc": warc.op5_warc,
     "op6_packing": packing.op6_packing,
