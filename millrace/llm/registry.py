@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, mixing, ngram_join, packing, quality, suffix_dedup, warc
+from . import exact_dedup, html_text, line_dedup, lm_scoring, mixing, ngram_join, packing, quality, suffix_dedup, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+    "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_warc": warc.op5_warc,
     "op6_packing": packing.op6_packing,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_html_text": html_text.op9_html_text,
     "op10_ngram_join": ngram_join.op10_ngram_join,
@@ -18,6 +20,7 @@ ORACLES = {
     "op1_mixing": mixing.ORACLE,
     "op4_quality_rules": quality.ORACLE,
     "op5_warc": warc.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op10_ngram_join": ngram_join.ORACLE,
 }
