@@ -1,6 +1,486 @@
-"""Queries over the driver's tables, one or more for each operator, with the SQL that checks them."""
+"""Queries over the driver's tables, one or more for each operator, with the SQL that checks them.
+
+The tables have no images or scene graphs, so operators run on columns that play the same part: parts as objects, orders
+as images, suppliers' parts as what an image shows, and generations made by rule from document ids.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import parse, text
+from ..functions.geometry import holds_relation, normalize_xywh
+from ..operators import curate, evalsets, export, metrics, quality, sampling
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Generations by rule: every kind of answer the parser knows, by document id.
+SAID = [
+    "Yes.", "No, there is no dog.", "I am not sure", "The dog is not visible", "Nope", "there isn't a dog", "Yeah, because it is annotated", "I do not see it",
+    "", "The answer is no and it goes on for quite a few more words than ten of them", "Well, yes",
+]
+_SAID_SQL = "CASE doc_id % 11 " + " ".join(f"WHEN {i} THEN '{s.replace(chr(39), chr(39) * 2)}'" for i, s in enumerate(SAID)) + " END"
+
+
+def _generations(spark, sf_dir) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+    said = F.element_at(F.array(*[F.lit(s) for s in SAID]), (F.col("doc_id") % 11 + 1).cast("int"))
+    return docs.withColumn("target", F.col("quality").cast("string")).withColumn("generation", said)
+
+
+_PARSED = f"""
+g AS (SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic, {_SAID_SQL.replace("doc_id", "d.doc_id")} AS generation FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+t AS (SELECT *, CASE WHEN quality = 1 THEN 'yes' WHEN quality = 0 THEN 'no' END AS target,
+        lower(trim(regexp_replace(generation, '\\s+', ' ', 'g'))) AS x FROM g),
+s AS (SELECT *, CASE
+        WHEN x = '' THEN 'other'
+        WHEN regexp_matches(x, '\\b(not sure|unclear|cannot determine|can''t determine|cannot tell|can''t tell|unable to determine|insufficient information|not enough information)\\b') THEN 'refusal'
+        WHEN regexp_matches(x, '^[^a-z0-9]*(yes|yeah|yep)\\b') THEN 'yes'
+        WHEN regexp_matches(x, '^[^a-z0-9]*(no|nope)\\b') THEN 'no'
+        WHEN regexp_matches(x, '\\b(there is no|there are no|do not see|don''t see|cannot see|can''t see)\\b') THEN 'no'
+        WHEN regexp_matches(x, '\\b(there is|there are|i can see|visible)\\b') THEN 'yes'
+        WHEN regexp_matches(x, '\\byes\\b') THEN 'yes'
+        WHEN regexp_matches(x, '\\bno\\b') THEN 'no' ELSE 'other' END AS prediction,
+      len(regexp_extract_all(generation, '[A-Za-z0-9'']+')) AS n_words,
+      regexp_matches(generation, '(?i)\\b(evidence|because|based on|visible|annotated)\\b') AS cue FROM t)"""
+_COUNTS = """count(*) AS n, count(*) FILTER (WHERE target = 'yes') AS n_yes, count(*) FILTER (WHERE target = 'no') AS n_no,
+  count(*) FILTER (WHERE target = 'yes' AND prediction = 'yes') AS tp, count(*) FILTER (WHERE target = 'no' AND prediction = 'yes') AS fp,
+  count(*) FILTER (WHERE target = 'yes' AND prediction <> 'yes') AS fn, count(*) FILTER (WHERE target = 'no' AND prediction = 'no') AS tn,
+  count(*) FILTER (WHERE target = 'yes' AND prediction = 'no') AS y2n, count(*) FILTER (WHERE target = prediction) AS n_correct,
+  count(*) FILTER (WHERE prediction = 'yes') AS n_pred_yes, count(*) FILTER (WHERE prediction = 'no') AS n_pred_no, count(*) FILTER (WHERE prediction = 'refusal') AS n_refusal,
+  count(*) FILTER (WHERE prediction = 'other') AS n_other, count(*) FILTER (WHERE cue) AS n_cue, CAST(sum(n_words) AS BIGINT) AS sum_words, CAST(max(n_words) AS BIGINT) AS max_words,
+  count(*) FILTER (WHERE n_words > 10) AS n_long"""
+
+
+def _r(a: str, b: str) -> str:
+    return f"CASE WHEN ({b}) = 0 THEN 0.0::DOUBLE ELSE ({a})::DOUBLE / ({b})::DOUBLE END"
+
+
+_RATES = f"""r1 AS (SELECT *, {_r('n_correct', 'n')} AS accuracy, {_r('tp', 'tp + fp')} AS precision, {_r('tp', 'n_yes')} AS recall,
+  {_r('tn', 'n_no')} AS specificity, {_r('tn', 'tn + y2n')} AS negative_precision, {_r('fp', 'n_no')} AS fpr, {_r('fn', 'n_yes')} AS fnr,
+  {_r('n_pred_yes', 'n')} AS yes_bias, {_r('n_pred_no', 'n')} AS no_bias, {_r('n_refusal', 'n')} AS refusal_rate, {_r('n_other', 'n')} AS other_rate,
+  {_r('n_refusal + n_other', 'n')} AS invalid_rate, {_r('n_cue', 'n')} AS cue_rate, {_r('sum_words', 'n')} AS avg_words, {_r('n_long', 'n')} AS long_rate FROM c),
+r2 AS (SELECT *, {_r('2 * precision * recall', 'precision + recall')} AS f1,
+  {_r('2 * negative_precision * specificity', 'negative_precision + specificity')} AS negative_f1,
+  CASE WHEN n_yes > 0 AND n_no > 0 THEN (recall + specificity) / 2 WHEN n_yes > 0 THEN recall WHEN n_no > 0 THEN specificity ELSE 0.0::DOUBLE END AS balanced_accuracy FROM r1)"""
+
+
+@query(f"WITH {_PARSED}, c AS (SELECT {_COUNTS} FROM s), {_RATES} SELECT * FROM r2")
+def score_binary(spark, sf_dir):
+    """Confusion metrics of parsed answers against document quality."""
+    return metrics.evaluate(metrics.score_rows(_generations(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {_PARSED}, c AS (
+  SELECT 'lang' AS group_field, lang AS group_value, {_COUNTS} FROM s GROUP BY lang HAVING count(*) >= 20
+  UNION ALL SELECT 'source', source, {_COUNTS} FROM s GROUP BY source HAVING count(*) >= 20
+  UNION ALL SELECT 'toxic', CAST(toxic AS VARCHAR), {_COUNTS} FROM s GROUP BY toxic HAVING count(*) >= 20), {_RATES} SELECT * FROM r2"""
+)
+def score_groups(spark, sf_dir):
+    """The same by language, source and toxicity, groups of 20 or more."""
+    return metrics.evaluate_groups(metrics.score_rows(_generations(spark, sf_dir)), ["lang", "source", "toxic"])
+
+
+@query(f"WITH {_PARSED} SELECT prediction, count(*) AS n, CAST(sum(n_words) AS BIGINT) AS words FROM s GROUP BY prediction")
+def prediction_counts(spark, sf_dir):
+    return metrics.score_rows(_generations(spark, sf_dir)).groupBy("prediction").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
+
+
+@query(
+    f"""WITH {_PARSED}, e AS (SELECT lang, CASE WHEN target = prediction THEN 'correct' WHEN target = 'no' AND prediction = 'yes' THEN 'false_positive'
+  WHEN target = 'yes' AND prediction = 'no' THEN 'false_negative' ELSE 'invalid' END AS kind FROM s)
+SELECT lang, kind, count(*) AS n FROM e GROUP BY ALL"""
+)
+def error_kinds(spark, sf_dir):
+    rows = metrics.score_rows(_generations(spark, sf_dir))
+    return rows.groupBy("lang", evalsets.error_kind(F.col("target"), F.col("prediction")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_PARSED}, c AS (SELECT lang, {_COUNTS} FROM s GROUP BY lang), {_RATES}
+SELECT lang, metric, value FROM (SELECT lang, accuracy, precision, recall, f1 FROM r2) UNPIVOT (value FOR metric IN (accuracy, precision, recall, f1))"""
+)
+def metrics_long(spark, sf_dir):
+    groups = metrics.evaluate_groups(metrics.score_rows(_generations(spark, sf_dir)), ["lang"], min_size=1)
+    return metrics.to_long(groups.withColumn("lang", F.col("group_value")), ["lang"], ["accuracy", "precision", "recall", "f1"])
+
+
+@query("SELECT lang, sum(avg_q * n) / sum(n) AS weighted_rate FROM (SELECT lang, source, avg(quality::DOUBLE) AS avg_q, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL) GROUP BY lang")
+def weighted_quality(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(read(spark, sf_dir, "labels"), "doc_id")
+    rates = rows.groupBy("lang", "source").agg(F.avg(F.col("quality").cast("double")).alias("q"), F.count("*").alias("n"))
+    return metrics.weighted_rate(rates, "q", "n", ["lang"])
+
+
+_MODELS = """m AS (SELECT l.doc_id, d.lang, v.model, CASE v.model WHEN 'base' THEN l.doc_id % 3 <> 0 WHEN 'answer' THEN l.doc_id % 4 <> 0 ELSE l.doc_id % 7 <> 0 END AS ok
+  FROM labels l JOIN documents d USING (doc_id), (VALUES ('base'), ('answer'), ('dual')) AS v(model) WHERE NOT (v.model = 'dual' AND l.doc_id % 10 = 0))"""
+
+
+@query(
+    f"""WITH {_MODELS}, f AS (SELECT doc_id, bool_or(ok) FILTER (model = 'base') AS base_ok FROM m GROUP BY doc_id HAVING count(DISTINCT model) = 3),
+c AS (SELECT model, lang, count(*) AS n, count(*) FILTER (WHERE ok) AS n_correct, count(*) FILTER (WHERE base_ok) AS n_base_correct, count(*) FILTER (WHERE NOT base_ok AND ok) AS n_recovered,
+        count(*) FILTER (WHERE base_ok AND NOT ok) AS n_lost FROM m JOIN f USING (doc_id) GROUP BY ALL)
+SELECT *, n_correct::DOUBLE / n AS accuracy, (n_correct - n_base_correct)::DOUBLE / n AS delta FROM c"""
+)
+def compare_models(spark, sf_dir):
+    """Three models by rule: accuracy on common rows, and what each mends of the base model's errors."""
+    rows = read(spark, sf_dir, "labels").select("doc_id").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    rows = rows.withColumn("model", F.explode(F.array(F.lit("base"), F.lit("answer"), F.lit("dual")))).where("not (model = 'dual' and doc_id % 10 = 0)")
+    ok = F.when(F.col("model") == "base", F.col("doc_id") % 3 != 0).when(F.col("model") == "answer", F.col("doc_id") % 4 != 0).otherwise(F.col("doc_id") % 7 != 0)
+    return metrics.compare_models(rows.withColumn("is_correct", ok), "doc_id", "model", "base", ["lang"])
+
+
+_DEVIATE = " + ".join(f"CAST('0x' || substr(k, {1 + 4 * i}, 4) AS BIGINT)::DOUBLE / 65536.0::DOUBLE" for i in range(8))
+
+
+@query(
+    f"""WITH g AS (SELECT d.lang, count(*) AS n, avg(quality::DOUBLE) AS mean FROM documents d JOIN labels USING (doc_id) GROUP BY d.lang),
+k AS (SELECT *, md5('boot|' || lang || '|' || b) AS k FROM g, (SELECT unnest(range(0, 200)) AS b)),
+z AS (SELECT *, ({_DEVIATE} - 4.0::DOUBLE + 4.0::DOUBLE / 65536.0::DOUBLE) / sqrt(8.0::DOUBLE / 12.0::DOUBLE) AS z FROM k),
+m AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, round((mean + z * sqrt(mean * (1 - mean) / n)) * n) / n)) AS drawn FROM z)
+SELECT lang, n, mean, stddev_samp(drawn) AS se, quantile_cont(drawn, 0.025) AS low, quantile_cont(drawn, 0.975) AS high FROM m GROUP BY lang, n, mean"""
+)
+def bootstrap_quality(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return metrics.bootstrap_rate(rows, "quality", ["lang"], 200)
+
+
+_CLEAN = "trim(regexp_replace(regexp_replace(translate(lower({0}), '_-', '  '), '[^a-z0-9 /]+', '', 'g'), ' +', ' ', 'g'))"
+_PLURAL = "((x LIKE '%s' AND x NOT LIKE '%ss' AND x <> 'bus') OR x IN ('scissors', 'skis'))"
+_PHRASE = f"CASE WHEN x IN ('broccoli', 'scissors', 'skis') THEN x WHEN x = 'bus' THEN 'a bus' WHEN {_PLURAL} THEN x WHEN substr(x, 1, 1) IN ('a','e','i','o','u') THEN 'an ' || x ELSE 'a ' || x END"
+
+
+@query(f"WITH n AS (SELECT p_partkey, {_CLEAN.format('p_name')} AS x FROM part) SELECT p_partkey, x AS name, {_PHRASE} AS phrase, CASE WHEN {_PLURAL} THEN 'are' ELSE 'is' END AS verb, replace(replace(x, '/', ' '), ' ', '_') AS slug FROM n")
+def clean_names(spark, sf_dir):
+    name = text.clean_name(F.col("p_name"))
+    return read(spark, sf_dir, "part").select("p_partkey", name.alias("name")).select("p_partkey", "name", text.article_phrase(F.col("name")).alias("phrase"), text.be_verb(F.col("name")).alias("verb"), text.slug(F.col("name")).alias("slug"))
+
+
+@query(
+    r"""SELECT lang, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+|[^\pL\pN_\s]'))) AS BIGINT) AS tokens,
+  CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9'']+'))) AS BIGINT) AS words, count(*) AS n FROM documents GROUP BY lang"""
+)
+def token_stats(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return docs.groupBy("lang").agg(F.sum(text.token_count(F.col("text"))).alias("tokens"), F.sum(text.word_count(F.col("text"))).alias("words"), F.count("*").alias("n"))
+
+
+_SUPPORT = ["supported", "Wrong-evidence", "mismatched", "not supported", "contradiction", "maybe", "", "it does match"]
+
+
+@query(
+    """WITH e AS (SELECT event_id, event_type, value, CASE event_id % 8 WHEN 0 THEN 'supported' WHEN 1 THEN 'wrong evidence' WHEN 2 THEN 'mismatched' WHEN 3 THEN 'unsupported'
+  WHEN 4 THEN 'contradiction' WHEN 5 THEN 'maybe' WHEN 6 THEN '' ELSE 'it does match' END AS t FROM events),
+p AS (SELECT *, CASE WHEN t IN ('supported', 'it does match') THEN 'supported' WHEN t IN ('wrong evidence', 'mismatched') THEN 'wrong_evidence'
+  WHEN t IN ('unsupported', 'contradiction') THEN 'contradicted' WHEN t = '' THEN 'unknown' ELSE t END AS support,
+  CASE WHEN event_id % 3 = 0 THEN 'supported' ELSE 'wrong_evidence' END AS target FROM e)
+SELECT event_type, count(*) AS n, count(*) FILTER (WHERE support = target) AS n_support, count(*) FILTER (WHERE target = 'wrong_evidence') AS n_wrong,
+  count(*) FILTER (WHERE target = 'wrong_evidence' AND support IN ('wrong_evidence', 'contradicted')) AS n_rejected,
+  count(*) FILTER (WHERE target = 'wrong_evidence' AND support IN ('wrong_evidence', 'contradicted'))::DOUBLE / count(*) AS wrong_rejection,
+  count(*) FILTER (WHERE event_id % 2 = 0) AS n_answer, count(*) FILTER (WHERE event_id % 5 = 0 AND event_id % 4 < 2) AS n_direction, count(*) FILTER (WHERE event_id % 5 = 0) AS n_relation
+FROM p GROUP BY event_type"""
+)
+def probe_metrics(spark, sf_dir):
+    """Probe answers as JSON, parsed strictly, by event type."""
+    e = read(spark, sf_dir, "events")
+    said = F.element_at(F.array(*[F.lit(s) for s in _SUPPORT]), (F.col("event_id") % 8 + 1).cast("int"))
+    answer = F.when(F.col("event_id") % 2 == 0, "yes").otherwise("no")
+    rel = F.when(F.col("event_id") % 4 < 2, "left of").otherwise("right of")
+    gen = F.format_string('Sure: {"answer": "%s", "claim": "a dog", "evidence_label": "dog", "support": "%s", "relation": "%s"}', answer, said, rel)
+    rows = e.select("event_id", "event_type", gen.alias("generation")).withColumn("parsed", parse.strict_json("generation"))
+    rows = rows.withColumn("p", parse.parse_generation(F.col("generation"), F.col("parsed"))).select("event_id", "event_type", "p.*")
+    target = F.when(F.col("event_id") % 3 == 0, "supported").otherwise("wrong_evidence")
+    rows = rows.withColumns({"target_answer": F.lit("yes"), "target_support": target, "target_evidence": F.lit("dog"), "target_claim": F.lit("a dog"), "is_relation": F.col("event_id") % 5 == 0, "target_relation": F.lit("left_of")})
+    return metrics.probe_metrics(rows, "event_type").select("event_type", "n", "n_support", "n_wrong", "n_rejected", "wrong_rejection", "n_answer", "n_direction", "n_relation")
+
+
+def _key(seed: str, column: str) -> str:
+    return f"md5('{seed}|' || CAST({column} AS VARCHAR))"
+
+
+@query(f"SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_key('cap', 'o_orderkey')}, o_orderkey) <= 2")
+def capped_per_key(spark, sf_dir):
+    order = [sampling.stable_key("cap", F.col("o_orderkey")), F.col("o_orderkey")]
+    return sampling.capped_per_key(read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], 2, order)
+
+
+@query(
+    f"""WITH a AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY {_key('cap', 'o_orderkey')}, o_orderkey) AS r FROM orders WHERE o_orderstatus = 'F'),
+b AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY {_key('cap', 'o_orderkey')}, o_orderkey) AS r FROM orders WHERE o_orderstatus <> 'F'),
+u AS (SELECT o_custkey, count(*) AS used FROM a WHERE r <= 3 GROUP BY o_custkey)
+SELECT o_custkey, o_orderkey, 1 AS pass FROM a WHERE r <= 3 UNION ALL
+SELECT b.o_custkey, o_orderkey, 2 FROM b LEFT JOIN u ON b.o_custkey = u.o_custkey WHERE r <= 3 - coalesce(used, 0)"""
+)
+def shared_cap(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    part = lambda cond: orders.where(cond).select("o_custkey", "o_orderkey")
+    order = [sampling.stable_key("cap", F.col("o_orderkey")), F.col("o_orderkey")]
+    return sampling.shared_cap(part("o_orderstatus = 'F'"), part("o_orderstatus <> 'F'"), ["o_custkey"], 3, order)
+
+
+@query(f"WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_key('rr', 'doc_id')}, doc_id) AS turn FROM documents) SELECT * FROM r ORDER BY turn, lang LIMIT 100")
+def round_robin(spark, sf_dir):
+    order = [sampling.stable_key("rr", F.col("doc_id")), F.col("doc_id")]
+    return evalsets.balanced_probe(read(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", 100, order)
+
+
+@query(f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {_key('mix', 'doc_id')}, doc_id) AS r, count(*) OVER () AS n FROM documents) SELECT doc_id, r <= round_even(n * 0.3, 0) AS picked FROM r")
+def ratio_mix(spark, sf_dir):
+    return sampling.ratio_split(read(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"), 0.3, "mix")
+
+
+@query(
+    f"""SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand
+  ORDER BY ln((CAST('0x' || substr({_key('pick', 'p_partkey')}, 1, 8) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / greatest(p_retailprice::DOUBLE, 1e-9::DOUBLE) DESC, p_partkey) <= 2"""
+)
+def weighted_pick(spark, sf_dir):
+    parts = read(spark, sf_dir, "part")
+    return sampling.weighted_pick(parts, ["p_brand"], F.col("p_retailprice"), F.col("p_partkey"), 2).select("p_brand", "p_partkey")
+
+
+@query()
+def multi_cap(spark, sf_dir):
+    """At most three orders a customer and two hundred a priority, greedily in stable order; tests compare with a sequential pass."""
+    from .store import table_store
+
+    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", sampling.stable_key("caps", F.col("o_orderkey")).alias("k"))
+    return sampling.multi_cap(orders, {"o_custkey": 3, "o_orderpriority": 200}, ["k", "o_orderkey"], table_store(spark))
+
+
+@query("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 10")
+def top_k(spark, sf_dir):
+    return quality.top_counts(read(spark, sf_dir, "part"), "p_brand", 10)
+
+
+@query("SELECT DISTINCT c_custkey FROM customer JOIN orders ON c_custkey = o_custkey")
+def leakage_overlap(spark, sf_dir):
+    return quality.overlap(read(spark, sf_dir, "customer").select("c_custkey"), read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def exclude_train(spark, sf_dir):
+    return curate.without_ids(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey"), ["c_custkey"])
+
+
+@query("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) OR s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def keep_heldout(spark, sf_dir):
+    ids = read(spark, sf_dir, "nation").where("n_regionkey = 1").select("n_nationkey")
+    return curate.only_ids(read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), ids, ["s_suppkey", "s_nationkey"])
+
+
+def _seen(spark, sf_dir) -> DataFrame:
+    """Brands as objects: what each order shows, by the largest price."""
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return lines.groupBy(F.col("l_orderkey").alias("image_id"), F.col("p_brand").alias("name")).agg(F.max("l_extendedprice").alias("max_area"))
+
+
+_SEEN = "v AS (SELECT l_orderkey AS image_id, p_brand AS name, max(l_extendedprice) AS max_area FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
+
+
+@query(f"WITH {_SEEN} SELECT * FROM v")
+def max_area(spark, sf_dir):
+    return _seen(spark, sf_dir)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) = 1")
+def argmax_row(spark, sf_dir):
+    return sampling.first_per_key(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_orderkey"], [F.col("l_extendedprice").desc(), F.col("l_linenumber")])
+
+
+@query(
+    f"""WITH {_SEEN}, g AS (SELECT DISTINCT p_brand AS name, substr(p_brand, 1, 7) AS grp FROM part)
+SELECT v.image_id, v.name AS positive, b.name AS negative, a.grp FROM v JOIN g a ON a.name = v.name JOIN g b ON b.grp = a.grp AND b.name <> v.name
+WHERE NOT EXISTS (SELECT 1 FROM v x WHERE x.image_id = v.image_id AND x.name = b.name)"""
+)
+def hard_negatives(spark, sf_dir):
+    """Brands of the same group that an order lacks."""
+    groups = read(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.substring("p_brand", 1, 7).alias("grp")).distinct()
+    return curate.absent_candidates(_seen(spark, sf_dir), groups)
+
+
+@query(
+    f"""WITH {_SEEN}, m AS (SELECT * FROM v WHERE image_id IN (SELECT image_id FROM v GROUP BY image_id HAVING count(*) >= 2)),
+p AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY
+  ln((CAST('0x' || substr(md5('pairs|' || image_id || '|' || name), 1, 8) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / greatest(max_area, 1.0) DESC, name) <= 2),
+g AS (SELECT DISTINCT p_brand AS name, substr(p_brand, 1, 7) AS grp FROM part),
+c AS (SELECT p.image_id, p.name AS positive, b.name AS negative FROM p JOIN g a ON a.name = p.name JOIN g b ON b.grp = a.grp AND b.name <> p.name
+  WHERE NOT EXISTS (SELECT 1 FROM v x WHERE x.image_id = p.image_id AND x.name = b.name)),
+k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY image_id, positive ORDER BY md5('pairs|' || image_id || '|' || positive || '|' || negative)) = 1),
+q AS (SELECT *, 'a ' || positive AS ph, CAST('0x' || substr(md5('pairsq|' || image_id || '|' || positive), 1, 7) AS BIGINT) % 3 AS qi FROM k)
+SELECT image_id, positive, negative,
+  CASE qi WHEN 0 THEN 'Is there ' || ph || ' in the image?' WHEN 1 THEN 'Can you see ' || ph || ' in this image?' ELSE 'Does the image contain ' || ph || '?' END AS question,
+  'Yes, there is ' || ph || ' in the image.' AS chosen, 'Yes, there is a ' || negative || ' in the image.' AS rejected,
+  'Evidence hint: annotated visible object: ' || positive || '.' AS hint_chosen,
+  'Evidence hint: unsupported object: ' || negative || ' is not annotated as visible.' AS hint_rejected FROM q"""
+)
+def object_pairs(spark, sf_dir):
+    groups = read(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.substring("p_brand", 1, 7).alias("grp")).distinct()
+    return curate.object_pairs(_seen(spark, sf_dir), groups)
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS x, (l_linenumber * 3)::DOUBLE AS y, (l_quantity - 5)::DOUBLE AS w, (l_linenumber + 1)::DOUBLE AS h FROM lineitem),
+c AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, x / 64)) AS x1, greatest(0.0::DOUBLE, least(1.0::DOUBLE, y / 32)) AS y1,
+  greatest(0.0::DOUBLE, least(1.0::DOUBLE, (x + w) / 64)) AS x2, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (y + h) / 32)) AS y2 FROM b)
+SELECT l_orderkey, l_linenumber, CASE WHEN w > 0 AND x2 > x1 AND y2 > y1 THEN CAST(round(x1 * 64) AS BIGINT) END AS x1, CASE WHEN w > 0 AND x2 > x1 AND y2 > y1 THEN CAST(round(x2 * 64) AS BIGINT) END AS x2,
+  coalesce((x1 + x2) / 2 + 0.02::DOUBLE < 0.5::DOUBLE AND w > 0 AND x2 > x1 AND y2 > y1, false) AS left_of_centre FROM c"""
+)
+def boxes(spark, sf_dir):
+    """Boxes clipped to the image, and whether they lie left of its centre."""
+    n = F.col("l_linenumber")
+    box = normalize_xywh(F.col("l_quantity").cast("double"), (n * 3).cast("double"), (F.col("l_quantity") - 5).cast("double"), (n + 1).cast("double"), F.lit(64.0), F.lit(32.0))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", box.alias("box"))
+    left = F.coalesce(holds_relation(F.lit("left_of"), F.col("box"), F.array(F.lit(0.5), F.lit(0.0), F.lit(0.5), F.lit(1.0))), F.lit(False))
+    return rows.select("l_orderkey", "l_linenumber", F.round(F.col("box")[0] * 64).cast("long").alias("x1"), F.round(F.col("box")[2] * 64).cast("long").alias("x2"), left.alias("left_of_centre"))
+
+
+_RULES = r"""CASE WHEN text IS NULL OR text = '' THEN 'missing_text' WHEN len(regexp_extract_all(text, '[A-Za-z0-9'']+')) < 20 THEN 'too_short'
+  WHEN len(regexp_extract_all(text, '[A-Za-z0-9'']+')) > 2000 THEN 'too_long' WHEN source IN ('src1', 'src2') THEN 'bad_source' ELSE 'kept' END"""
+
+
+def _rules():
+    words = text.word_count(F.col("text"))
+    return {"missing_text": F.col("text").isNull() | (F.col("text") == ""), "too_short": words < 20, "too_long": words > 2000, "bad_source": F.col("source").isin("src1", "src2")}
+
+
+@query(f"SELECT {_RULES} AS reason, count(*) AS n FROM documents GROUP BY ALL")
+def first_reasons(spark, sf_dir):
+    return quality.reason_counts(read(spark, sf_dir, "documents"), _rules())
+
+
+@query(
+    r"""WITH w AS (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9'']+')) AS n FROM documents)
+SELECT 'missing_text' AS rule, count(*) FILTER (WHERE text IS NULL OR text = '') AS n_failed FROM w UNION ALL SELECT 'too_short', count(*) FILTER (WHERE n < 20) FROM w
+UNION ALL SELECT 'too_long', count(*) FILTER (WHERE n > 2000) FROM w UNION ALL SELECT 'bad_source', count(*) FILTER (WHERE source IN ('src1', 'src2')) FROM w"""
+)
+def rule_report(spark, sf_dir):
+    return quality.rule_report(read(spark, sf_dir, "documents"), _rules())
+
+
+@query(
+    """WITH m AS (SELECT d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)),
+u AS (SELECT lang, 'quality' AS "column", CAST(quality AS VARCHAR) AS mark FROM m UNION ALL SELECT lang, 'toxic', CAST(toxic AS VARCHAR) FROM m),
+g AS (SELECT lang, "column", 0 AS total, mark FROM u UNION ALL SELECT NULL, "column", 1, mark FROM u)
+SELECT lang, "column", total, count(*) AS n, count(*) FILTER (WHERE mark = '1') AS n_yes, count(*) FILTER (WHERE mark = '0') AS n_no, count(*) FILTER (WHERE mark IS NULL) AS n_blank,
+  CASE WHEN count(*) FILTER (WHERE mark IS NOT NULL) = 0 THEN 0.0::DOUBLE ELSE count(*) FILTER (WHERE mark = '1')::DOUBLE / count(*) FILTER (WHERE mark IS NOT NULL) END AS pass_rate FROM g GROUP BY lang, "column", total"""
+)
+def audit_rates(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    return quality.audit_rates(rows, ["quality", "toxic"], "lang").withColumn("total", F.col("total").cast("int"))
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    """A record of each user turn and the assistant's next one."""
+    c = read(spark, sf_dir, "conversations")
+    user = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    told = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("chosen"))
+    rows = user.join(told, ["conv_id", "turn"])
+    i = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return rows.select(i.alias("id"), F.concat(F.col("conv_id").cast("string"), F.lit(".jpg")).alias("image"), "question", "chosen", F.lit("No.").alias("rejected"), F.lit("Evidence hint: annotated.").alias("hint_chosen"), F.lit("Evidence hint: unsupported.").alias("hint_rejected"))
+
+
+_TURNS = """r AS (SELECT u.conv_id || '-' || u.turn AS id, u.conv_id || '.jpg' AS image, u.text AS question, a.text AS chosen FROM conversations u
+  JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')"""
+_PROMPT = "'<image>' || chr(10) || 'Question: ' || question || chr(10) || 'Answer:'"
+
+
+@query(f"WITH {_TURNS} SELECT id, image, {_PROMPT} AS prompt, chosen, 'No.' AS rejected FROM r")
+def export_answers(spark, sf_dir):
+    return export.answer_rows(_turns(spark, sf_dir))
+
+
+@query(f"WITH {_TURNS} SELECT id, image, {_PROMPT} AS prompt, 'Evidence hint: annotated.' || chr(10) || chosen AS chosen, 'Evidence hint: unsupported.' || chr(10) || 'No.' AS rejected FROM r")
+def export_evidence(spark, sf_dir):
+    return export.evidence_rows(_turns(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_TURNS}, k AS (SELECT *, row_number() OVER (ORDER BY {_key('42', 'id')}, id) <= round_even((SELECT count(*) FROM r) * 0.3, 0) AS picked FROM r)
+SELECT id, image, {_PROMPT} AS prompt, CASE WHEN picked THEN 'Evidence hint: annotated.' || chr(10) || chosen ELSE chosen END AS chosen,
+  CASE WHEN picked THEN 'Evidence hint: unsupported.' || chr(10) || 'No.' ELSE 'No.' END AS rejected FROM k"""
+)
+def export_mix(spark, sf_dir):
+    return export.mixed_rows(_turns(spark, sf_dir))
+
+
+@query(f"WITH {_TURNS} SELECT id, {_PROMPT} AS prompt, chosen, image, 'human' AS speaker FROM r")
+def export_chat(spark, sf_dir):
+    chat = export.chat_rows(export.answer_rows(_turns(spark, sf_dir)))
+    return chat.select("id", F.col("conversations")[0]["value"].alias("prompt"), F.col("chosen.value").alias("chosen"), F.col("images")[0].alias("image"), F.col("conversations")[0]["from"].alias("speaker"))
+
+
+@query(f"WITH {_TURNS} SELECT (SELECT count(*) FROM r) AS n_left, (SELECT count(*) FROM r WHERE chosen <> '') AS n_right, (SELECT count(*) FROM r) - (SELECT count(*) FROM r WHERE chosen <> '') AS only_left, 0::BIGINT AS only_right")
+def export_same_ids(spark, sf_dir):
+    rows = _turns(spark, sf_dir)
+    return export.same_ids(rows, rows.where("chosen <> ''"))
+
+
+@query(
+    f"""WITH {_SEEN}, p AS (SELECT image_id, min(name) AS positive, max(name) AS negative FROM v GROUP BY image_id HAVING count(*) >= 2),
+r AS (SELECT image_id, positive, negative, 'present' AS kind, 'yes' AS target, positive AS object FROM p UNION ALL SELECT image_id, positive, negative, 'absent', 'no', negative FROM p)
+SELECT image_id::VARCHAR || '::' || positive || '::' || kind || '::' || object AS id, image_id, kind, target, object, 'Is there a ' || object || ' in the image?' AS question FROM r"""
+)
+def paired_eval(spark, sf_dir):
+    pairs = _seen(spark, sf_dir).groupBy("image_id").agg(F.min("name").alias("positive"), F.max("name").alias("negative"), F.count("*").alias("k")).where("k >= 2")
+    return evalsets.yes_no_rows(pairs.drop("k")).select("id", "image_id", "kind", "target", "object", "question")
+
+
+@query(
+    """WITH r AS (SELECT c_custkey AS id, c_name AS s, CASE WHEN c_nationkey % 2 = 0 THEN 'left_of' ELSE 'right_of' END AS r, c_mktsegment AS o FROM customer)
+SELECT id, 'swap' AS stress, o || ' ' || r || ' ' || s AS evidence, 'wrong_evidence' AS target_support FROM r
+UNION ALL SELECT id, 'reversal', s || ' ' || CASE r WHEN 'left_of' THEN 'right_of' ELSE 'left_of' END || ' ' || o, 'wrong_evidence' FROM r"""
+)
+def stress_rows(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    relation = F.when(F.col("c_nationkey") % 2 == 0, "left_of").otherwise("right_of")
+    return evalsets.relation_stress(c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("subject"), relation.alias("relation"), F.col("c_mktsegment").alias("object")))
+
+
+@query("SELECT p_partkey AS id, CAST(p_partkey % 3 AS INT) AS variant, CASE p_partkey % 3 WHEN 0 THEN 'Is it true that ' || p_name || '?' WHEN 1 THEN 'Would you say that ' || p_name || '?' ELSE 'Does the picture show that ' || p_name || '?' END AS question FROM part")
+def paraphrase_variant(spark, sf_dir):
+    return evalsets.paraphrases(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("statement")), F.col("id"))
+
+
+@query(
+    f"""WITH b AS (SELECT doc_id, 'toxic' AS bucket FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'good' FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'even' FROM labels WHERE doc_id % 2 = 0)
+SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY {_key('case', 'doc_id')}, doc_id) <= 25"""
+)
+def bucketed_cases(spark, sf_dir):
+    rows = read(spark, sf_dir, "labels")
+    buckets = {"toxic": F.col("toxic") == 1, "good": F.col("quality") == 1, "even": F.col("doc_id") % 2 == 0}
+    return evalsets.bucketed_cases(rows, buckets, 25, [sampling.stable_key("case", F.col("doc_id")), F.col("doc_id")]).select("doc_id", "bucket")
+
+
+@query(
+    """WITH n AS (SELECT s_suppkey AS id, s_name AS label, s_nationkey FROM supplier), p AS (SELECT s_nationkey, list(DISTINCT label) AS pool FROM n GROUP BY s_nationkey),
+c AS (SELECT id, label, unnest(pool) AS o FROM n JOIN p USING (s_nationkey))
+SELECT id, label, o AS wrong_label FROM c WHERE o <> label QUALIFY row_number() OVER (PARTITION BY id ORDER BY md5('wrong|' || id || '|' || o)) = 1"""
+)
+def wrong_evidence(spark, sf_dir):
+    n = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), "s_nationkey")
+    pool = n.groupBy("s_nationkey").agg(F.collect_set("label").alias("pool"))  # a nation's suppliers stand for an image's objects
+    return curate.wrong_evidence(n.join(pool, "s_nationkey"), "pool", "label").select("id", "label", "wrong_label")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_groups(spark, sf_dir)
