@@ -11,6 +11,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 from .text import clean_name
 
@@ -98,7 +99,7 @@ def labeled_field(text: Column, key: str) -> Column:
     return F.trim(F.regexp_replace(F.trim(value), "^[\"']+|[\"']+$", ""))
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(MapType(StringType(), StringType()))
 def strict_json(text: pd.Series) -> pd.Series:
     """The object from the first { to the last }, by strict JSON; null if there is none. Falsy values become empty text."""
 

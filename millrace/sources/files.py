@@ -42,7 +42,7 @@ def read_id_set(spark: SparkSession, paths: list[str]) -> DataFrame:
         if kind in ("json", "jsonl", "csv"):
             df = read_csv(spark, path) if kind == "csv" else spark.read.option("multiLine", kind == "json").json(path)
             if "image_ids" in df.columns:
-                ids = df.select(F.explode("image_ids").cast("string").alias("id"))
+                ids = df.select(F.explode(F.col("image_ids").cast("array<string>")).alias("id"))
             else:
                 keys = [F.col(k).cast("string") for k in ID_KEYS if k in df.columns]
                 ids = df.select(F.explode(F.array_compact(F.array(*keys))).alias("id")) if keys else df.select(F.lit("").alias("id")).limit(0)
