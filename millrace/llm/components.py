@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ def components(links: DataFrame, ws: Workspace) -> DataFrame:
     great many links is an aggregation and a join with one row for each node, so the optimizer can split it.
     """
     edges = links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct()
-    edges, was, turn = ws.write(edges, "edges0"), None, 0
+    name = f"edges-{uuid.uuid4().hex[:8]}"
+    edges, was, turn = ws.write(edges, f"{name}-0"), None, 0
     while True:
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("s")).first()
         if mark == was or not mark.n:
@@ -29,5 +32,5 @@ def components(links: DataFrame, ws: Workspace) -> DataFrame:
         small = large.join(least, F.col("hi") == F.col("w")).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         new = small.unionByName(least.select(F.col("w").alias("hi"), F.col("m").alias("lo"))).distinct()
         turn += 1
-        edges = ws.write(new, f"edges{turn}")
-        ws.drop(f"edges{turn - 1}")
+        edges = ws.write(new, f"{name}-{turn}")
+        ws.drop(f"{name}-{turn - 1}")

@@ -5,11 +5,13 @@ Two documents link when the Jaccard similarity of their shingle sets reaches the
 1. Documents with equal sets are one class from then on, told by two 64-bit sums over the set and its size.
 2. Shingles are ordered: those that some task saw in more than one document come last, by how often they were seen, the
    rest go by hash. Any order gives right results; this one keeps common passages out of prefixes.
-3. A set's prefix is so long that two sets that link share one of its shingles (and a shorter one will do for the
-   smaller of the two). Classes with identical prefix and size are collapsed into one group.
-4. Groups meet in blocks of prefix shingles. Pairs of groups that fail the size or prefix condition go. A shingle with a
-   long list isn't expanded into pairs: its groups are gathered around the group that is in most such lists.
-5. Members are expanded and verified on whole sets. A gathering of any size is dealt out in chunks, each with the centre.
+3. A set's prefix is so long that two sets that link share several of its shingles, the more the larger they are (and a
+   shorter one will do for the smaller of the two). Classes with identical prefix and size are collapsed into one group.
+4. Groups meet in blocks of prefix shingles. Pairs of groups that fail the size or prefix condition or share too few over
+   all blocks go; so a passage that two long documents share doesn't make them candidates. A shingle with a
+   long list isn't expanded into pairs: its groups meet the group that is in most such lists.
+5. Members are expanded and verified on whole sets. Groups that meet, directly or not, are gathered in one place if they
+   are few; else every group gathers those it meets. A large gathering is dealt out in chunks, each with the centre.
    In a chunk, whoever isn't linked to the centre is compared with all others. What is left over in a chunk of a larger
    gathering is then compared with the other chunks. Links that join nothing new are not written.
 6. Components are found over these links; they are those of all links.
@@ -31,12 +33,11 @@ from .textnp import BYTE, LOWER, U, chunks, column, mix, ngrams, prefix, spans,
 SHINGLE = 5
 THRESHOLD = (80, 100)
 #: Times a shingle was seen from which its list counts as long, members of a list that are paired, and of a chunk.
-LONG, PAIRED, MEMBERS = 64, 64, 1024
+LONG, PAIRED, MEMBERS = 64, 48, 1024
 #: Ordered shingles held in memory by every task; with more, those seen least go by hash.
 ORDERED = 1 << 20
 #: Shingles gathered before a task counts repeats, and prefix shingles of one block.
-GATHER, BLOCK = 8_000_000, 200_000
-_GID = pa.binary(16)
+GATHER, BLOCK = 8_000_000, 500_000
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -60,9 +61,19 @@ def set_id(s: np.ndarray) -> bytes:
     return np.array([a, b], ">u8").tobytes()
 
 
+def in_common(n):
+    """How many prefix shingles a set of n must share with another; the smaller number of the two sets counts."""
+    return 1 + n // 50
+
+
 def prefix_sizes(n: int, num: int, den: int) -> tuple[int, int]:
-    """Prefix length of a set of n, and the one that is enough if the other set is no smaller."""
-    return n - -(-num * n // den) + 1, n - -(-2 * num * n // (num + den)) + 1
+    """Prefix length of a set of n, and the one that is enough if the other set is no smaller.
+
+    Sets that link share a * (num + den) >= num * (sum of sizes) shingles, so each lacks no more than its size less a; of
+    the first (size - a + k) of each, k at least are in both.
+    """
+    k = in_common(n)
+    return min(n, n - -(-num * n // den) + k), min(n, n - -(-2 * num * n // (num + den)) + k)
 
 
 def _survey(docs: DataFrame, n: int) -> DataFrame:
@@ -118,32 +129,45 @@ def _order(repeats: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(docs: DataFrame, n: int, ratio: tuple[int, int], order, blocks: int, long: int) -> DataFrame:
-    """Prefix shingles of all groups dealt to blocks, a row for each block and task; see _meet for the columns."""
+    """Prefix shingles of all groups dealt to blocks, a row for each block and task.
+
+    grps, sizes, counts: the groups in this block, their set sizes and how many shingles they have here; toks, flags: these
+    shingles (what their block doesn't tell of them, 32 bits) and whether the short prefix has them; hot_toks, hot_grps:
+    shingles known to have long lists, spread over all blocks; map_gid, map_grp: classes and their groups. 8 bytes stand
+    for a group: should two share them, both are candidates.
+    """
     num, den = ratio
     shared = docs.sparkSession.sparkContext.broadcast(order)
+    names = ["block", "grps", "sizes", "counts", "toks", "flags", "hot_toks", "hot_grps", "map_gid", "map_grp"]
 
-    def flush(toks, owner, flags, gids, grps, sizes) -> Iterator[pa.RecordBatch]:
-        rows, k = [], len(gids)
-        tok, own, flag = np.concatenate(toks), np.repeat(np.arange(k, dtype=np.int64), owner), np.concatenate(flags)
+    def flush(toks, owner, flags, gids, grps, sizes) -> pa.RecordBatch:
+        rows = []
+        tok, own, flag = np.concatenate(toks), np.repeat(np.arange(len(gids)), owner), np.concatenate(flags)
+        gid, grp, size = np.frombuffer(b"".join(gids), "V16"), np.array(grps, U), np.array(sizes, np.int32)
         hot = flag >= 2
-        # A list that is long anyhow needs not meet in one block.
-        key = np.where(hot, mix(tok + own.astype(U) * U(0x9E3779B97F4A7C15)), mix(tok ^ U(0xA5A5A5A5A5A5A5A5)))
-        block = (key % U(blocks)).astype(np.int64)
-        gid, grp, size = np.frombuffer(b"".join(gids), "V16"), np.frombuffer(b"".join(grps), "V16"), np.array(sizes, np.int32)
-        home = (np.frombuffer(b"".join(grps), ">u8")[::2] % U(blocks)).astype(np.int64)
-        order, homes = np.argsort(block, kind="stable"), np.argsort(home, kind="stable")
-        cuts, home_cuts = np.searchsorted(block[order], np.arange(blocks + 1)), np.searchsorted(home[homes], np.arange(blocks + 1))
-        for b in np.union1d(block, home).tolist():
-            at, mine = order[cuts[b] : cuts[b + 1]], homes[home_cuts[b] : home_cuts[b + 1]]
-            used, local = np.unique(own[at], return_inverse=True)
-            rows.append((b, grp[used].tobytes(), size[used].tobytes(), tok[at].tobytes(), local.astype(np.int32).tobytes(), flag[at].tobytes(), gid[mine].tobytes(), grp[mine].tobytes()))
+        hot_tok, hot_grp = tok[hot], grp[own[hot]]
+        key, own, flag = mix(tok[~hot] ^ U(0xA5A5A5A5A5A5A5A5)), own[~hot], flag[~hot]
+        short = (key // U(blocks)).astype(np.uint32)
+
+        def dealt(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            by = np.argsort(block, kind="stable")
+            return by, np.searchsorted(block[by], np.arange(blocks + 1, dtype=U))
+
+        cold, cuts = dealt(key % U(blocks))
+        home, home_cuts = dealt(grp % U(blocks))
+        warm, warm_cuts = dealt(mix(hot_tok + hot_grp) % U(blocks))
+        for b in range(blocks):
+            at, mine, w = cold[cuts[b] : cuts[b + 1]], home[home_cuts[b] : home_cuts[b + 1]], warm[warm_cuts[b] : warm_cuts[b + 1]]
+            if len(at) or len(mine) or len(w):
+                used, count = np.unique(own[at], return_counts=True)
+                cells = (grp[used], size[used], count.astype(np.uint32), short[at], flag[at], hot_tok[w], hot_grp[w], gid[mine], grp[mine])
+                rows.append((b, *(c.tobytes() for c in cells)))
         cols = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["block", "grps", "sizes", "toks", "owners", "flags", "map_gid", "map_grp"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, times = shared.value
-        new = lambda: ([], [], [], [], [], [])
-        state, seen, held = new(), set(), 0
+        state, seen, held = ([], [], [], [], [], []), set(), 0
         for batch in batches:
             for s in shingle_sets(column(batch, "text"), n):
                 size = len(s)
@@ -162,74 +186,65 @@ def _postings(docs: DataFrame, n: int, ratio: tuple[int, int], order, blocks: in
                 else:
                     first = s[:p]
                 flag[:q] |= 1
-                toks, owner, flags, gids, grps, sizes = state
-                toks.append(first)
-                owner.append(p)
-                flags.append(flag)
-                gids.append(gid)
-                grps.append(set_id(np.append(np.sort(first), U(size))))
-                sizes.append(size)
+                grp = int.from_bytes(set_id(np.append(np.sort(first), U(size)))[:8], "big")
+                for part, value in zip(state, (first, p, flag, gid, grp, size), strict=True):
+                    part.append(value)
                 held += p
             if held >= GATHER // 4:
-                yield from flush(*state)
-                state, seen, held = new(), set(), 0
+                yield flush(*state)
+                state, seen, held = ([], [], [], [], [], []), set(), 0
         if held:
-            yield from flush(*state)
+            yield flush(*state)
 
-    return docs.select("text").mapInArrow(run, "block long, grps binary, sizes binary, toks binary, owners binary, flags binary, map_gid binary, map_grp binary")
+    return docs.select("text").mapInArrow(run, "block long, " + ", ".join(f"{c} binary" for c in names[1:]))
 
 
 def _meet(ratio: tuple[int, int], paired: int):
-    """Of a block: kind 0, two groups that may link; kind 1, a shingle with a long list and one of its groups; kind 2, class and group."""
+    """Of a block: kind 0, two groups that may link; kind 1, a shingle with a long list and one of its groups; kind 2, a group and a class in it."""
     num, den = ratio
 
     def run(block: pa.Table) -> pa.Table:
-        cols = {c: block[c].to_pylist() for c in ("grps", "sizes", "toks", "owners", "flags", "map_gid", "map_grp")}
-        base = np.cumsum([0] + [len(x) // 16 for x in cols["grps"]])
-        join = lambda c, kind: np.frombuffer(b"".join(cols[c]), kind)
-        grp, size, tok, flag = join("grps", "V16"), join("sizes", np.int32), join("toks", U), join("flags", np.uint8)
-        own = np.concatenate([np.frombuffer(x, np.int32) + b for x, b in zip(cols["owners"], base, strict=False)])
-        # A group that several tasks sent is one.
-        hi, lo = join("grps", ">u8")[::2].astype(U), join("grps", ">u8")[1::2].astype(U)
-        order = np.lexsort((lo, hi))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])
-        one = np.zeros(len(order), np.int64)
-        one[order] = np.cumsum(fresh) - 1
-        grp, size = grp[order[fresh]], size[order[fresh]]
-        own = one[own]
+        join = lambda c, kind: np.frombuffer(b"".join(block[c].to_pylist()), kind)
+        grps, first, one = np.unique(join("grps", U), return_index=True, return_inverse=True)
+        size = join("sizes", np.int32)[first].astype(np.int64)
+        own, tok, flag = np.repeat(one, join("counts", np.uint32)), join("toks", np.uint32), join("flags", np.uint8)
         order = np.lexsort((own, tok))
         tok, own, flag = tok[order], own[order], flag[order]
         keep = np.ones(len(tok), bool)
-        keep[1:] = (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])
+        keep[1:] = (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])  # what several tasks sent of one group
         tok, own, flag = tok[keep], own[keep], flag[keep]
         starts = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])) if len(tok) else np.zeros(0, np.int64)
         length = np.diff(np.append(starts, len(tok)))
-        per = np.repeat(length, length)
-        hot = (flag >= 2) | (per > paired)
-        pairs = []
+        pairs, width = [], max(len(grps), 1)
         for m in np.unique(length[(length > 1) & (length <= paired)]).tolist():
-            at = starts[(length == m) & ~hot[starts]]
+            at = starts[length == m]
             i, j = np.triu_indices(m, 1)
             a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
             swap = size[own[a]] > size[own[b]]
             a, b = np.where(swap, b, a), np.where(swap, a, b)
-            good = (size[own[a]].astype(np.int64) * den >= num * size[own[b]].astype(np.int64)) & (flag[a] & 1 > 0)
-            pairs.append(own[a[good]] * len(grp) + own[b[good]])
-        pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        width = max(len(grp), 1)
-        map_gid, map_grp = b"".join(cols["map_gid"]), b"".join(cols["map_grp"])
-        kinds = np.repeat(np.array([0, 1, 2], np.int32), [len(pairs), hot.sum(), len(map_gid) // 16])
-        a = grp[pairs // width].tobytes() + grp[own[hot]].tobytes() + map_gid
-        b = grp[pairs % width].tobytes() + bytes(16 * int(hot.sum())) + map_grp
-        token = np.zeros(len(kinds), np.int64)
-        token[len(pairs) : len(pairs) + hot.sum()] = tok[hot].view(np.int64)
-        fixed = lambda x: pa.FixedSizeBinaryArray.from_buffers(_GID, len(x) // 16, [None, pa.py_buffer(x)]).cast(pa.binary())
-        return pa.table({"kind": kinds, "a": fixed(a), "b": fixed(b), "shingle": token})
+            good = (size[own[a]] * den >= num * size[own[b]]) & (flag[a] & 1 > 0)
+            pairs.append(own[a[good]] * width + own[b[good]])
+        pairs, shared = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        lengthy = np.repeat(length > paired, length)
+        number = int(block["block"][0].as_py())
+        shingle = np.concatenate([join("hot_toks", U), tok[lengthy].astype(U) + (U(number) << U(32))])
+        listed = np.concatenate([join("hot_grps", U), grps[own[lengthy]]])
+        members = join("map_grp", U)
+        kinds = np.repeat(np.array([0, 1, 2], np.int32), [len(pairs), len(listed), len(members)])
+        gid = pa.concat_arrays([pa.nulls(len(pairs) + len(listed), pa.binary()), pa.array(_cut(b"".join(block["map_gid"].to_pylist())), pa.binary())])
+        a = np.concatenate([grps[pairs // width], shingle, members]).view(np.int64)
+        b = np.concatenate([grps[pairs % width], listed, members]).view(np.int64)
+        n_shared, need = np.zeros(len(kinds), np.int32), np.zeros(len(kinds), np.int32)
+        n_shared[: len(pairs)], need[: len(pairs)] = shared, in_common(np.minimum(size[pairs // width], size[pairs % width]))
+        return pa.table({"kind": kinds, "a": a, "b": b, "gid": gid, "shared": n_shared, "need": need})
 
     return run
 
 
+def _cut(x: bytes) -> list[bytes]:
+    return [x[i : i + 16] for i in range(0, len(x), 16)]
+
+
 class _Verifier:
     """Compares the members of one chunk; ``roots`` joins those that link."""
 
@@ -272,10 +287,10 @@ class _Verifier:
 def _verify(rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
     """rows: (centre, chunk, sub, role, gid, toks); role 0 centre, 1 member, 2 left over from another chunk.
 
-    kind 0: a link (a, b); kind 1: member b of centre a's gathering is left over.
+    kind 0: a link (a, b); kind 1: member b of the gathering around ``centre`` is left over.
     """
 
-    def group(key, members) -> Iterator[tuple[int, bytes, bytes]]:
+    def group(key, members) -> Iterator[tuple]:
         unique = {}
         for role, gid, toks in members:
             if gid not in unique or role < unique[gid][0]:
@@ -293,17 +308,18 @@ def _verify(rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
                     v.join(i)
             for i in range(1, len(order)):
                 if v.find(i) != 0:
-                    yield 1, key[0], order[i]
+                    yield 1, key[0], None, order[i]
         for a, b in v.links:
-            yield 0, a, b
+            yield 0, None, a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, bytes, bytes]] = []
+        out: list[tuple] = []
         key, members = None, []
 
         def packed() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["kind", "a", "b"])
+            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "centre", "a", "b"])
 
         for batch in batches:
             for c, k, s, role, gid, toks in zip(*(column(batch, n).to_pylist() for n in ("centre", "chunk", "sub", "role", "gid", "toks")), strict=True):
@@ -321,7 +337,7 @@ def _verify(rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
             yield packed()
 
     rows = rows.repartition("centre", "chunk", "sub").sortWithinPartitions("centre", "chunk", "sub")
-    return rows.select("centre", "chunk", "sub", "role", "gid", "toks").mapInArrow(run, "kind int, a binary, b binary")
+    return rows.select("centre", "chunk", "sub", "role", "gid", "toks").mapInArrow(run, "kind int, centre long, a binary, b binary")
 
 
 def ngram_join(docs: DataFrame, n: int = SHINGLE, ratio: tuple[int, int] = THRESHOLD, long: int = LONG, paired: int = PAIRED, members: int = MEMBERS) -> DataFrame:
@@ -339,60 +355,74 @@ def ngram_join(docs: DataFrame, n: int = SHINGLE, ratio: tuple[int, int] = THRES
     total = keys.agg(F.sum("n_shingles")).first()[0] or 0
     blocks = max(8, -(-total * (den - num) // den // BLOCK))
     order = _order(survey.where("kind = 1"), ORDERED)
-    met = _postings(docs, n, ratio, order, blocks, long).groupBy("block").applyInArrow(_meet(ratio, paired), "kind int, a binary, b binary, shingle long")
+    met = _postings(docs, n, ratio, order, blocks, long).groupBy("block").applyInArrow(_meet(ratio, paired), "kind int, a long, b long, gid binary, shared int, need int")
     met = ws.write(met, "met")
-
-    pairs = met.where("kind = 0").select("a", "b").distinct()
-    lists = met.where("kind = 1").select("shingle", F.col("a").alias("grp")).distinct()
-    expand = met.where("kind = 2").select(F.col("a").alias("gid"), F.col("b").alias("grp")).distinct()
+    pairs = met.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
+    lists = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("grp")).distinct()
+    expand = met.where("kind = 2").select("gid", F.col("b").alias("grp")).distinct()
     often = lists.groupBy("grp").agg(F.count("*").alias("often"))
-    centre = lists.join(often, "grp").groupBy("shingle").agg(F.max(F.struct("often", "grp")).alias("top"), F.count("*").alias("k")).where("k > 1")
-    gathered = lists.join(centre.select("shingle", F.col("top.grp").alias("centre")), "shingle").select("centre", "grp")
-    twins = expand.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("grp").alias("centre"), "grp")
-    paired_up = pairs.select(F.col("a").alias("centre"), F.explode(F.array("a", "b")).alias("grp"))
-    seats = ws.write(gathered.unionByName(paired_up).unionByName(twins).distinct(), "seats")
-    seats = seats.join(expand, "grp").select("centre", "gid", (F.col("centre") == F.col("grp")).alias("own"))
-    seats = ws.write(seats, "expanded")
-
-    # Whole sets of the documents that take part, one for each class.
-    first = keys.where("gid is not null").groupBy("gid").agg(F.min("doc_id").alias("doc_id"))
-    classes = ws.write(first, "classes")
-    need = ws.write(classes.join(seats.select("gid").distinct(), "gid", "left_semi").select(F.col("doc_id").alias("id"), F.col("gid").alias("of")), "need")
+    centre = lists.join(often, "grp").groupBy("shingle").agg(F.max(F.struct("often", "grp")).alias("top"))
+    gathered = lists.join(centre.select("shingle", F.col("top.grp").alias("centre")), "shingle").select(F.col("centre").alias("a"), F.col("grp").alias("b"))
+    meets = ws.write(pairs.unionByName(gathered).distinct(), "meets")
+
+    # Groups that meet, directly or not, sit together if they are few; else around each group that others meet.
+    parts = components(meets, ws).select(F.col("node").alias("grp"), "root")
+    parts = parts.unionByName(parts.select(F.col("root").alias("grp"), "root").distinct())
+    seated = expand.join(small(ws.write(parts, "parts")), "grp", "left").withColumn("root", F.coalesce("root", "grp"))
+    seated = ws.write(seated, "seated")
+    count = seated.groupBy("root").agg(F.count("*").alias("k")).where("k > 1")
+    count = ws.write(count, "count")
+    together = seated.join(small(count.where(F.col("k") <= members).select("root")), "root").select(F.col("root").alias("centre"), "gid", F.lit(False).alias("own"))
+    crowd = seated.join(small(count.where(F.col("k") > members).select("root")), "root").select("grp", "gid")
+    seats = together
+    if not crowd.isEmpty():
+        ends = meets.join(small(crowd.select(F.col("grp").alias("a")).distinct()), "a", "left_semi")
+        around = ends.select(F.col("a").alias("centre"), F.explode(F.array("a", "b")).alias("grp"))
+        around = around.unionByName(crowd.select(F.col("grp").alias("centre"), "grp")).distinct()
+        around = around.join(crowd, "grp").select("centre", "gid", (F.col("centre") == F.col("grp")).alias("own"))
+        alone = around.groupBy("centre").agg(F.count("*").alias("k")).where("k > 1").select("centre")
+        seats = together.unionByName(around.join(alone, "centre", "left_semi"))
+    seats = ws.write(seats, "seats")
+
+    classes = ws.write(keys.where("gid is not null").groupBy("gid").agg(F.min("doc_id").alias("doc_id")), "classes")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            want, gids, toks = column(batch, "of").to_pylist(), [], []
+            want, fits, toks = column(batch, "gid").to_pylist(), [], []
             for i, s in enumerate(shingle_sets(column(batch, "text"), n)):
-                if len(s) and set_id(s) == want[i]:
-                    gids.append(want[i])
+                if len(s) and set_id(s) == want[i]:  # another row may have the same doc_id
+                    fits.append(i)
                     toks.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(gids, pa.binary()), pa.array(toks, pa.binary())], names=["set_gid", "toks"])
+            kept = [column(batch, c).take(pa.array(fits, pa.int64())) for c in ("centre", "chunk", "sub", "role", "gid")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(toks, pa.binary())], names=["centre", "chunk", "sub", "role", "gid", "toks"])
 
-    sets = docs.select("doc_id", "text").join(small(need), F.col("doc_id").eqNullSafe(F.col("id"))).select("of", "text").mapInArrow(take, "set_gid binary, toks binary")
-    sets = ws.write(sets, "sets")
+    def verified(rows: DataFrame, name: str) -> DataFrame:
+        """Fetch the set of a document of each class in ``rows`` and verify."""
+        rows = rows.select("centre", "chunk", "sub", "role", "gid").join(classes.select("gid", F.col("doc_id").alias("id")), "gid")
+        rows = ws.write(rows, f"{name}_seats")
+        texts = docs.select("doc_id", "text").join(small(rows), F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "centre", "chunk", "sub", "role", "gid")
+        return ws.write(_verify(texts.mapInArrow(take, "centre long, chunk int, sub int, role int, gid binary, toks binary"), ratio), name)
 
     # Chunks of a gathering; its centre, the smallest class of the centre group, sits in each of them.
-    size = seats.groupBy("centre").agg(F.ceil(F.count("*") / members).cast("int").alias("k"), F.min(F.when(F.col("own"), F.col("gid"))).alias("head"))
+    head = F.min(F.when(F.col("own"), F.col("gid")))
+    size = seats.groupBy("centre").agg(F.ceil(F.count("*") / members).cast("int").alias("k"), F.coalesce(head, F.min("gid")).alias("head"))
     seated = seats.join(size, "centre").withColumn("role", F.when(F.col("gid") == F.col("head"), 0).otherwise(1))
     everywhere = F.sequence(F.lit(0), F.col("k") - 1)
     part = F.pmod(F.xxhash64("gid"), F.col("k")).cast("int")
     seated = seated.withColumn("chunk", F.explode(F.when(F.col("role") == 0, everywhere).otherwise(F.array(part)))).withColumn("sub", F.lit(0))
-    with_sets = lambda rows: rows.join(sets, F.col("gid") == F.col("set_gid"))
-    found = ws.write(_verify(with_sets(seated.select("centre", "chunk", "sub", "role", "gid")), ratio), "found")
+    found = verified(seated, "found")
     links = found.where("kind = 0").select("a", "b")
 
-    large = size.where("k > 1")
-    over = found.where("kind = 1").select(F.col("a").alias("centre"), F.col("b").alias("gid")).join(large, "centre").distinct()
+    over = found.where("kind = 1").select("centre", F.col("b").alias("gid")).join(size.where("k > 1"), "centre").distinct()
     if not over.isEmpty():
         over = ws.write(over, "over")
         subs = over.groupBy("centre").agg(F.ceil(F.count("*") / members).cast("int").alias("subs"))
         left = over.join(subs, "centre").withColumn("sub", F.pmod(F.xxhash64("gid", F.lit(1)), F.col("subs")).cast("int")).withColumn("chunk", F.explode(everywhere)).withColumn("role", F.lit(2))
         rest = seated.where("role = 1 and k > 1").drop("sub").join(subs, "centre").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
         cells = left.select("centre", "chunk", "sub", "role", "gid").unionByName(rest.select("centre", "chunk", "sub", "role", "gid"))
-        more = ws.write(_verify(with_sets(cells), ratio), "more")
-        links = links.unionByName(more.where("kind = 0").select("a", "b"))
+        links = links.unionByName(verified(cells, "more").where("kind = 0").select("a", "b"))
     roots = components(links, ws)
-    ws.drop("sets", "met")
+    ws.drop("met")
     named = classes.join(roots, F.col("gid") == F.col("node"), "left").select("gid", "doc_id", F.coalesce("root", "gid").alias("root"))
     least = named.where("root <> gid").groupBy("root").agg(F.min("doc_id").alias("other")).withColumnRenamed("root", "r")
     named = named.join(least, F.col("root") == F.col("r"), "left")
