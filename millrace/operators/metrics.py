@@ -140,3 +140,20 @@ def bootstrap_rate(df: DataFrame, value: str, by: list[str], draws: int, seed: s
     draw = draw.withColumn("drawn", mean)
     q = lambda p: F.percentile("drawn", F.lit(p))
     return draw.groupBy(*by, "n", "mean").agg(F.stddev_samp("drawn").alias("se"), q(0.025).alias("low"), q(0.975).alias("high"))
+
+
+def trend(rows: DataFrame, step: str, value: str) -> DataFrame:
+    """One row: first and last value by ``step``, the gain, and whether no step falls. For reports of a few rows."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(value).cast("double").alias("v"))))
+    falls = F.exists(F.zip_with(F.slice(F.col("p"), F.lit(1), F.size("p") - 1), F.slice(F.col("p"), F.lit(2), F.size("p") - 1), lambda a, b: b["v"] < a["v"]), lambda x: x)
+    out = rows.agg(pairs.alias("p")).where(F.size("p") > 0)
+    first, last = F.element_at("p", 1)["v"], F.element_at("p", -1)["v"]
+    return out.select(first.alias("first"), last.alias("last"), (last - first).alias("gain"), F.when(F.size("p") < 2, True).otherwise(~falls).alias("monotonic"))
+
+
+def passes_gate(rows: DataFrame, base: str, wrong: str, short: str, least_gain: float = 0.20, most_loss: float = 0.01) -> DataFrame:
+    """Models that gain enough on wrong-evidence rejection over ``base`` without losing short-answer accuracy."""
+    b = rows.where(F.col("model") == base).select(wrong, short).first()  # one row of a report
+    if b is None:
+        return rows.withColumn("passes", F.lit(None).cast("boolean"))
+    return rows.withColumn("passes", (F.col(wrong) - F.lit(b[0]) >= least_gain) & (F.col(short) - F.lit(b[1]) >= -most_loss))

@@ -101,3 +101,43 @@ def with_ids(df: DataFrame, prefix: str, order: list[Column]) -> DataFrame:
     """Number rows ``prefix_000001`` on in the given order; for exports of a bounded, already selected set."""
     n = F.row_number().over(Window.orderBy(*order))
     return df.withColumn("id", F.format_string(f"{prefix}_%06d", n))
+
+
+def unique_pairs(df: DataFrame, left: str, right: str, order: list[str], store) -> DataFrame:
+    """Greedy pairs in ``order`` none of which shares an item (from ``left`` or ``right``) with an earlier kept one.
+
+    Each round keeps the pairs that come first for both of their items and drops those that share an item with a kept
+    pair: exactly the sequential result. ``store`` as for multi_cap; rows must be unique by ``order``.
+    """
+    rank = F.struct(*order)
+    open_ = store(df.where(F.col(left) != F.col(right)).withColumn("_rank", rank), "pairs0")
+    kept, turn = None, 0
+    while not open_.isEmpty():
+        first = open_.select("_rank", F.explode(F.array(left, right)).alias("_item")).groupBy("_item").agg(F.min("_rank").alias("_first"))
+        leads = lambda side: first.select(F.col("_item").alias(side), F.col("_first").alias("_f" + side))  # noqa: B023, E731
+        ranked = open_.join(leads("_l"), F.col(left) == F.col("_l")).join(leads("_r"), F.col(right) == F.col("_r"))
+        ranked = store(ranked.withColumn("_keep", (F.col("_rank") == F.col("_f_l")) & (F.col("_rank") == F.col("_f_r"))), f"pairs_ranked{turn}")
+        new = ranked.where("_keep").select(*open_.columns)
+        used = new.select(F.explode(F.array(left, right)).alias("_item")).distinct()
+        rest = ranked.where("not _keep").select(*open_.columns)
+        for side in (left, right):
+            rest = rest.join(used, F.col(side) == F.col("_item"), "left_anti")
+        kept = new if kept is None else kept.unionByName(new)
+        turn += 1
+        open_ = store(rest, f"pairs{turn}")
+    return (kept if kept is not None else open_).drop("_rank")
+
+
+def split_targets(df: DataFrame, group: Column, targets: dict[str, int], order: list[Column], backfill: str | None = None) -> DataFrame:
+    """``targets[g]`` rows of each group g by ``order``; what a group lacks is taken from the further rows of ``backfill``.
+
+    The lack is a sum over one count for each group; rows are ranked within their group.
+    """
+    rows = df.withColumn("_group", group).where(F.col("_group").isin(list(targets)))
+    have = {r["_group"]: r["n"] for r in rows.groupBy("_group").agg(F.count("*").alias("n")).collect()}
+    want = {g: min(n, have.get(g, 0)) for g, n in targets.items()}
+    if backfill is not None:
+        want[backfill] = min(have.get(backfill, 0), want[backfill] + sum(targets.values()) - sum(want.values()))
+    limit = F.coalesce(*[F.when(F.col("_group") == g, n) for g, n in want.items()])
+    rank = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank", "_group")

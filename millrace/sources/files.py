@@ -82,3 +82,47 @@ def markdown_table(df: DataFrame, rows: int = 200) -> str:
     """A bounded report table as Markdown."""
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.limit(rows).collect())])
+
+
+def read_records(spark: SparkSession, path: str, wrappers=("questions", "annotations", "data", "records")) -> DataFrame:
+    """Records of a JSONL, JSON or CSV file. A .json file may be one document, a list, a list under a wrapper key, or lines."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind == "csv":
+        return read_csv(spark, path)
+    if kind == "jsonl":
+        return spark.read.json(path)
+    df = spark.read.option("multiLine", True).json(path)
+    if df.columns == ["_corrupt_record"]:
+        return spark.read.json(path)
+    for key in wrappers:
+        if key in df.columns and df.schema[key].dataType.typeName() == "array":
+            return df.select(F.explode(key).alias("r")).select("r.*")
+    lines = spark.read.json(path)
+    return lines if "_corrupt_record" not in lines.columns else df
+
+
+def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSONL table, empty with the same schema where the path doesn't exist."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], schema)
+    return read_jsonl(spark, path, schema)
+
+
+def file_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(path, name, bytes) of all files below ``root``; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
+
+
+def with_existing_file(df: DataFrame, name: str, manifest: DataFrame) -> DataFrame:
+    """Add ``file_exists``: whether the manifest has a file of the name in column ``name``."""
+    seen = manifest.select(F.col("name").alias("_name")).distinct()
+    return df.join(seen, F.col(name) == F.col("_name"), "left").withColumn("file_exists", F.col("_name").isNotNull()).drop("_name")
+
+
+def last_by_id(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The last row of each key by ``order``: how a list becomes a table by id."""
+    best = F.max_by(F.struct(*[c for c in df.columns if c != key]), F.col(order)).alias("_row")
+    return df.groupBy(key).agg(best).select(key, "_row.*")

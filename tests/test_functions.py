@@ -99,3 +99,45 @@ def test_stream_of_scores(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.n, r.n_correct) for r in spark.table("acc").collect()) == [(1, 1), (2, 1)]
+
+
+def test_unique_pairs_is_the_greedy_pass(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, rng.randrange(25), rng.randrange(25)) for i in range(60)]
+    got = {r.i for r in sampling.unique_pairs(spark.createDataFrame(rows, "i int, a int, b int"), "a", "b", ["i"], table_store(spark)).collect()}
+    used, want = set(), set()
+    for i, a, b in rows:
+        if a != b and a not in used and b not in used:
+            used |= {a, b}
+            want.add(i)
+    assert got == want
+
+
+def test_split_targets_backfill(spark):
+    df = spark.createDataFrame([(i, "coco" if i < 20 else "graph") for i in range(24)], "i int, source string")
+    got = [r.source for r in sampling.split_targets(df, F.col("source"), {"coco": 5, "graph": 6}, [F.col("i")], "coco").collect()]
+    assert (got.count("coco"), got.count("graph")) == (7, 4)
+
+
+def test_reports(spark):
+    from millrace.operators import metrics
+
+    rows = spark.createDataFrame([("a", 1, 0.2, 0.9), ("b", 2, 0.5, 0.895), ("c", 3, 0.45, 0.8)], "model string, k int, wrong double, short double")
+    (t,) = metrics.trend(rows, "k", "wrong").collect()
+    assert (t.first, t.last, t.monotonic) == (0.2, 0.45, False)
+    assert {r.model: r.passes for r in metrics.passes_gate(rows, "a", "wrong", "short").collect()} == {"a": False, "b": True, "c": False}
+
+
+def test_record_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"questions": [{"id": 1}, {"id": 2}]}')
+    (tmp_path / "b.json").write_text('[{"id": 3},\n {"id": 4}]')
+    (tmp_path / "c.json").write_text('{"id": 5}\n{"id": 6}\n')
+    got = [sorted(r.id for r in files.read_records(spark, str(tmp_path / f)).collect()) for f in ("a.json", "b.json", "c.json")]
+    assert got == [[1, 2], [3, 4], [5, 6]]
+    assert files.read_optional(spark, str(tmp_path / "none.jsonl"), "id int").count() == 0
+    found = files.with_existing_file(spark.createDataFrame([("a.json",), ("z.json",)], "f string"), "f", files.file_manifest(spark, str(tmp_path)))
+    assert {r.f: r.file_exists for r in found.collect()} == {"a.json": True, "z.json": False}
+    last = files.last_by_id(spark.createDataFrame([(1, "x", 0), (1, "y", 1), (2, "z", 2)], "id int, v string, n int"), "id", "n")
+    assert {r.id: r.v for r in last.collect()} == {1: "y", 2: "z"}
