@@ -6,13 +6,14 @@ are brought together first, and the transform is built over bounded segments:
 
 1. Of every ``length`` bytes one anchor is selected: the position with the least rolling hash. Equal strings select the
    same place in themselves, so whatever is repeated shares an anchor hash. A run of starts with one anchor is a segment.
-2. Segments whose anchor hash occurs once go. The rest are written to tasks by anchor hash, as sequential runs of rows.
+2. Segments whose anchor hash occurs once go. The rest are dealt to tasks by anchor hash, as sequential runs of rows. What
+   one text has several times over is one row.
 3. In a task, segments of an anchor stand aligned. The collection's transform is built column by column: each round
    inserts the next symbol of every segment, re-sorts the segments by what was read so far (a stable sort by the new
    symbol, as in a positional Burrows-Wheeler transform) and updates the common lengths of neighbours. A start is
    repeated when a neighbour has ``length`` symbols in common, compared byte by byte.
 
-An anchor with more segments than one task should hold is counted instead by two hashes of every string.
+The strings of an anchor that more texts have than one task should hold are counted instead, by two hashes.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .shared import Workspace, small, table
 from .textnp import BYTE, U, chunks, column, mix, powers, prefix, spans
 
 LENGTH, GRAM = 400, 48
-#: Segments of one anchor that a task takes, and segments sorted at once.
+#: Texts with one anchor that a task takes, and segments sorted at once.
 CROWD, BATCH = 16384, 4096
 
 
@@ -70,7 +71,7 @@ def repeated_starts(groups: np.ndarray, cells: np.ndarray, inside: np.ndarray, l
     m, width = cells.shape
     out = np.zeros((m, max(width - length + 1, 0)), bool)
     order, common = np.arange(m), np.zeros(m, np.int16)
-    groups = groups.astype(np.uint16)
+    groups = 2 * groups.astype(np.uint16)
     steps = [1 << j for j in range(max(m.bit_length(), 1))]
     log = np.zeros(m + 1, np.int64)
     for i in range(2, m + 1):
@@ -80,7 +81,8 @@ def repeated_starts(groups: np.ndarray, cells: np.ndarray, inside: np.ndarray, l
         symbol = cells[:, col][order]
         # Insert the column: a stable sort by symbol within each group.
         by = np.argsort(symbol, kind="stable")
-        by = by[np.argsort(groups[order[by]], kind="stable")]
+        ok = inside[:, col][order]
+        by = by[np.argsort(groups[order[by]] + ~ok[by], kind="stable")]  # rows without a symbol here go last
         new = order[by]
         # Neighbours with one symbol have in common what all between them had before, and this symbol.
         low = np.empty((len(steps), m), np.int16)
@@ -90,7 +92,7 @@ def repeated_starts(groups: np.ndarray, cells: np.ndarray, inside: np.ndarray, l
             low[j] = low[j - 1]
             np.minimum(low[j - 1][: m - s], low[j - 1][s:], out=low[j][: m - s])
         a, b = by[:-1] + 1, by[1:]
-        ok = inside[:, col][new]
+        ok = ok[by]
         same = (symbol[by[1:]] == symbol[by[:-1]]) & (groups[new[1:]] == groups[new[:-1]]) & ok[1:] & ok[:-1]
         j = log[np.maximum(b - a + 1, 1)]
         between = np.minimum(low[j, np.minimum(a, m - 1)], low[j, np.maximum(b - (1 << j) + 1, 0)])
@@ -104,8 +106,22 @@ def repeated_starts(groups: np.ndarray, cells: np.ndarray, inside: np.ndarray, l
     return out
 
 
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of half-open runs, in order."""
+    out: list[list[int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
 def _segments_to_spans(rows: DataFrame, length: int, gram: int, batch_rows: int) -> DataFrame:
-    """(t1, t2, first, end) of what is repeated, from segments (h, t1, t2, at, lo, bytes)."""
+    """(t1, t2, first, end) of what is repeated, from segments (h, t1, t2, lo, ats, bytes).
+
+    ``lo`` is the segment's first start as seen from its anchor; ``ats`` are the places of the anchor in the text.
+    """
     reach = length - gram
     width = reach + length
 
@@ -113,16 +129,20 @@ def _segments_to_spans(rows: DataFrame, length: int, gram: int, batch_rows: int)
         m = len(pending)
         cells, inside = np.zeros((m, width), np.uint8), np.zeros((m, width), bool)
         groups = np.zeros(m, np.int64)
-        for i, (h, _, _, at, lo, raw) in enumerate(pending):
+        for i, (h, _, _, lo, _, raw) in enumerate(pending):
             groups[i] = groups[i - 1] + (h != pending[i - 1][0]) if i else 0
-            a = lo - at + reach
+            a = lo + reach
             cells[i, a : a + len(raw)] = np.frombuffer(raw, np.uint8)
             inside[i, a : a + len(raw)] = True
         hit = repeated_starts(groups, cells, inside, length)
         edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         for (i, a), (_, b) in zip(np.argwhere(edge == 1).tolist(), np.argwhere(edge == -1).tolist(), strict=True):
-            _, t1, t2, at, _, _ = pending[i]
-            yield t1, t2, a + at - reach, b - 1 + at - reach + length
+            _, t1, t2, _, ats, _ = pending[i]
+            if len(ats) == 1:
+                yield t1, t2, a + ats[0] - reach, b - 1 + ats[0] - reach + length
+        for _, t1, t2, lo, ats, raw in pending:
+            if len(ats) > 1:
+                yield from ((t1, t2, a, b) for a, b in merged([(at + lo, at + lo + len(raw)) for at in ats]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[tuple] = []
@@ -134,16 +154,16 @@ def _segments_to_spans(rows: DataFrame, length: int, gram: int, batch_rows: int)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["t1", "t2", "first", "end"])
 
         for batch in batches:
-            for row in zip(*(column(batch, c).to_pylist() for c in ("h", "t1", "t2", "at", "lo", "bytes")), strict=True):
+            for row in zip(*(column(batch, c).to_pylist() for c in ("h", "t1", "t2", "lo", "ats", "bytes")), strict=True):
                 if group and group[0][0] != row[0]:
-                    if len(group) > 1:
+                    if len(group) > 1 or len(group[0][4]) > 1:
                         if len(pending) + len(group) > batch_rows and pending:
                             yield from packed(list(solve(pending)))
                             pending = []
                         pending += group
                     group = []
                 group.append(row)
-        if len(group) > 1:
+        if group and (len(group) > 1 or len(group[0][4]) > 1):
             pending += group
         if pending:
             yield from packed(list(solve(pending)))
@@ -175,59 +195,72 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
                     key = (t1[a + i], t2[a + i])
                     fresh[i] = key not in seen
                     seen.add(key)
-                use = fresh[row]
-                cols = [h[use].view(np.int64), t1[a:b][row[use]], t2[a:b][row[use]], *(x[use].astype(np.int32) for x in (at, lo, hi))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "t1", "t2", "at", "lo", "hi"])
-
+                use = np.flatnonzero(fresh[row])
+                use = use[np.lexsort((h[use], row[use]))]
+                row, h, spots = row[use], h[use], np.stack([x[use] for x in (at, lo, hi)], axis=1).astype("<i4")
+                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]))) if len(row) else np.zeros(0, np.int64)
+                ends = pa.py_buffer((np.append(first, len(row)) * 12).astype(np.int32).tobytes())
+                packed = pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(spots.tobytes())])
+                cols = [pa.array(h[first].view(np.int64)), pa.array(t1[a:b][row[first]]), pa.array(t2[a:b][row[first]]), packed]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "t1", "t2", "spots"])
+
+    # spots: anchor, first and last start of each run, as three 32-bit numbers.
     long_enough = rows.where(F.octet_length("body") >= length)
-    found = ws.write(long_enough.select("body", "t1", "t2").mapInArrow(find, "h long, t1 long, t2 long, at int, lo int, hi int"), "anchors")
+    found = ws.write(long_enough.select("body", "t1", "t2").mapInArrow(find, "h long, t1 long, t2 long, spots binary"), "anchors")
     texts = long_enough.groupBy("t1", "t2").agg(F.min("doc_id").alias("one"), F.count("*").alias("copies"), F.max(F.octet_length("body")).alias("n"))
     texts = ws.write(texts, "texts")
-    often = found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
+    often = found.groupBy("h").agg(F.count("*").alias("times"), F.sum(F.octet_length("spots")).alias("size")).where("size > 12").select("h", "times")
     # What several tasks saw of one text counts once.
-    shared = found.join(often, "h").groupBy("t1", "t2", "h", "at", "lo", "hi").agg(F.max("times").alias("times"))
-    per_text = shared.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "at", "lo", "hi", (F.col("times") > crowd).alias("hot"))).alias("anchors"))
+    shared = found.join(often, "h").groupBy("t1", "t2", "h", "spots").agg(F.max("times").alias("times"))
+    per_text = shared.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "spots", (F.col("times") > crowd).alias("hot"))).alias("anchors"))
     per_text = ws.write(per_text.join(texts.select("t1", "t2", "one"), ["t1", "t2"]), "per_text")
     ws.drop("anchors")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Segments; for a crowded anchor, hashes of all strings (bytes null)."""
-        names = ["h", "t1", "t2", "at", "lo", "bytes"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        """Segments; for a crowded anchor, two hashes of each string and its starts (bytes null)."""
+        names = ["h", "t1", "t2", "lo", "ats", "bytes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
         for batch in batches:
             out, held = [], 0
             for body, t1, t2, own in zip(*(column(batch, c).to_pylist() for c in ("body", "t1", "t2", "anchors")), strict=True):
-                raw, pre, pre2 = body.encode(), None, None
-                for a in own:
-                    if a["hot"]:
-                        if pre is None:
-                            data = np.frombuffer(raw, np.uint8)
-                            pre, pre2 = prefix(BYTE[data]), prefix(mix(BYTE[data] + U(1)))
-                        s = np.arange(a["lo"], a["hi"] + 1)
-                        f1, f2 = spans(pre, s, s + length).view(np.int64), spans(pre2, s, s + length).view(np.int64)
-                        out += [(x, t1, t2, y, z, None) for x, y, z in zip(f1.tolist(), f2.tolist(), s.tolist(), strict=True)]
-                    else:
-                        out.append((a["h"], t1, t2, a["at"], a["lo"], raw[a["lo"] : a["hi"] + length]))
-                        held += a["hi"] - a["lo"] + length
+                raw, hashes = body.encode(), None
+                for anchor in own:
+                    same: dict[tuple, list[int]] = {}
+                    for at, lo, hi in np.frombuffer(anchor["spots"], "<i4").reshape(-1, 3).tolist():
+                        if anchor["hot"]:
+                            if hashes is None:
+                                data = np.frombuffer(raw, np.uint8)
+                                hashes = prefix(BYTE[data]), prefix(mix(BYTE[data] + U(1)))
+                            s = np.arange(lo, hi + 1)
+                            one, two = (spans(p, s, s + length).view(np.int64).tolist() for p in hashes)
+                            for key in zip(one, two, s.tolist(), strict=True):
+                                same.setdefault(key[:2], []).append(key[2])
+                        else:
+                            same.setdefault((lo - at, raw[lo : hi + length]), []).append(at)
+                    for (x, y), places in same.items():
+                        out.append((x, t1, t2, y, places, None) if anchor["hot"] else (anchor["h"], t1, t2, x, places, y))
+                        held += 8 if anchor["hot"] else len(y)
                 if held > 4 << 20 or len(out) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    yield pack(out)
                     out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                yield pack(out)
 
     chosen = small(per_text.select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.col("one")))
     bodies = rows.join(chosen, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")) & F.col("doc_id").eqNullSafe(F.col("one"))).select("body", "t1", "t2")
     pieces = bodies.join(per_text.select("t1", "t2", "anchors"), ["t1", "t2"])
-    pieces = pieces.select("body", "t1", "t2", "anchors").mapInArrow(cut, "h long, t1 long, t2 long, at long, lo long, bytes binary")
+    pieces = pieces.select("body", "t1", "t2", "anchors").mapInArrow(cut, "h long, t1 long, t2 long, lo long, ats array<long>, bytes binary")
     crowded = not per_text.where(F.exists("anchors", lambda a: a["hot"])).isEmpty()
     if crowded:
         pieces = ws.write(pieces, "pieces")
     segments = pieces.where("bytes is not null") if crowded else pieces
     covered = _segments_to_spans(segments, length, gram, batch_rows)
     if crowded:
-        strings = pieces.where("bytes is null").select("h", F.col("at").alias("f2"), "t1", "t2", "lo").distinct()
-        twice = strings.groupBy("h", "f2").agg(F.count("*").alias("n")).where("n > 1").select("h", "f2")
-        covered = covered.unionByName(strings.join(twice, ["h", "f2"]).select("t1", "t2", F.col("lo").alias("first"), (F.col("lo") + length).alias("end")))
+        strings = pieces.where("bytes is null").select("h", F.col("lo").alias("f2"), "t1", "t2", "ats").distinct()
+        twice = strings.groupBy("h", "f2").agg(F.sum(F.size("ats")).alias("n")).where("n > 1").select("h", "f2")
+        strings = strings.join(twice, ["h", "f2"]).select("t1", "t2", F.explode("ats").alias("first"))
+        covered = covered.unionByName(strings.withColumn("end", F.col("first") + length))
     copied = texts.where("copies > 1").select("t1", "t2", F.lit(0).cast("long").alias("first"), F.col("n").cast("long").alias("end"))
     covered = covered.unionByName(copied).groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     covered = ws.write(covered, "covered")
