@@ -36,6 +36,8 @@ CACHE = 1_000_000
 PARTING = "\x01"
 #: Pieces shorter than this part of a sequence are kept for gaps.
 SHORT = 1 / 16
+#: Share of a sequence that a pattern must fill to be used.
+FULL = 63 / 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, lrank long"
 
 
@@ -106,6 +108,16 @@ class WordTokens:
                 yield ids[a:b]
 
 
+_word_tokens: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The one of this worker process: words that earlier tasks met are known to later ones."""
+    if path not in _word_tokens:
+        _word_tokens[path] = WordTokens(path)
+    return _word_tokens[path]
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """The pieces of every row of ``docs`` (doc_id, text): PIECES, and ``ids`` if asked for.
 
@@ -115,7 +127,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64).tolist()
-        tokens = WordTokens(path)
+        tokens = word_tokens(path)
         for batch in batches:
             rows = []
             for doc, ids in zip(column(batch, "doc_id").to_pylist(), tokens.encode(column(batch, "text")), strict=True):
@@ -170,7 +182,7 @@ def solve(counts: np.ndarray, rounds: int = ROUNDS, step: float = STEP, decay: f
         over = use > counts
         use[over] = counts[over]
         at = np.flatnonzero(use)
-        amount = max(step * float((counts[at] / use[at]).min()), 1.0)
+        amount = step * float((counts[at] / use[at]).min())
         covered[at] += amount * use[at] / counts[at]
         key = tuple(np.repeat(at, use[at]).tolist())
         found[key] = found.get(key, 0.0) + amount
@@ -199,6 +211,8 @@ class Plan:
             if c <= room:
                 counts[c] = sum(self.left[n] for n in lengths)
         for pattern, amount in solve(counts):
+            if sum(pattern) < FULL * room:
+                continue  # best fit does better with these lengths
             need = np.bincount(pattern, minlength=room + 1)
             at = np.flatnonzero(need)
             times = min(int(amount), int((counts[at] // need[at]).min()))
