@@ -13,7 +13,7 @@ from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.mixing import mix
 from millrace.llm.ngram_join import ngram_join
 from millrace.llm.packing import pack, vocabulary
-from millrace.llm.quality import quality_rules
+from millrace.llm.quality import ADDED, quality_rules
 from millrace.llm.shared import Workspace, small
 
 
@@ -26,8 +26,9 @@ def _without(docs, verdicts, stays, name):
 
 def quality(spark, docs, sf_dir):
     """Drop documents that the quality rules reject; a null or empty text is rejected."""
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    return quality_rules(rows).where("kept").select("row.*")
+    names = {c: f"own_{c}" for c in docs.columns if c in ADDED}  # they would be replaced
+    kept = quality_rules(docs.withColumnsRenamed(names)).where("kept")
+    return kept.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def exact(spark, docs, sf_dir):

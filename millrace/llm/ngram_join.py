@@ -37,7 +37,7 @@ LONG, PAIRED, MEMBERS = 64, 48, 1024
 #: Ordered shingles held in memory by every task; with more, those seen least go by hash.
 ORDERED = 1 << 20
 #: Shingles gathered before a task counts repeats, and prefix shingles of one block.
-GATHER, BLOCK = 8_000_000, 500_000
+GATHER, BLOCK = 4_000_000, 500_000
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> Iterator[np.ndarray]:

@@ -31,7 +31,7 @@ from .textnp import BYTE, chunks, column, prefix, spans, words
 CAPACITY, END = 4096, 1
 GRID, ROUNDS, STEP, DECAY = 4, 1000, 0.1, 4.0
 #: Words whose tokens a worker remembers.
-CACHE = 1_000_000
+CACHE = 600_000
 #: A character that stands between words while they are encoded.
 PARTING = "\x01"
 #: Pieces shorter than this part of a sequence are kept for gaps.

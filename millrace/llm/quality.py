@@ -104,6 +104,10 @@ def measure(data: np.ndarray, offs: np.ndarray, limits=None, line_limit: float =
     }
 
 
+#: Names of the columns that quality_rules adds.
+ADDED = [f.split()[0] for f in SCHEMA.split(", ")]
+
+
 def quality_rules(docs: DataFrame, limits=None, line_limit: float = LINE_CHARS_LIMIT) -> DataFrame:
     """Add the measures of SCHEMA and the verdict ``kept`` to every row of ``docs``; columns of these names are replaced.
 
@@ -111,7 +115,7 @@ def quality_rules(docs: DataFrame, limits=None, line_limit: float = LINE_CHARS_L
     very long text is worked on alone, at about 100 bytes of memory a byte of text.
     """
     limits = dict(NGRAM_LIMITS if limits is None else limits)
-    own = [f.split()[0] for f in SCHEMA.split(", ")]
+    own = ADDED
     docs = docs.drop(*own)
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(SCHEMA).fields])
 

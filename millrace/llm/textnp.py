@@ -6,6 +6,7 @@ enough to find words. Hashes are 64-bit: a polynomial over mixed bytes modulo 2*
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are worked on at once; a longer text is worked on by itself.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -57,6 +58,19 @@ def spans(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # not glibc: nothing to hand back
+    _libc = None
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker lives on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets into them) of a string or binary column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -76,6 +90,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         b = min(b, n)
         yield a, b, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b
+    trim()
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
