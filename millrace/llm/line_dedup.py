@@ -4,6 +4,10 @@ A rolling hash over the hashes of two neighbouring lines decides whether a chunk
 are cut the same way wherever they stand, and an inserted line shifts no other boundary. Chunks of several lines whose
 hash occurs more than once in the corpus are compared byte by byte; all but the first of each are removed.
 
+Chunks miss the outer edges of what repeats, and passages of one line. ``line_runs`` finds every repeated run of lines of
+so many words instead: of each line it takes the shortest run of that size that begins with it, and the shortest that
+ends with it, so a passage is covered by runs that lie within it, whatever stands around it.
+
 Only DataFrame functions run here. Chunks are cut within a row; what is shuffled are hashes, then the text of repeated
 chunks, then that of documents that lose some.
 """
@@ -13,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, small, table
+from .shared import WORD, Workspace, small, table
 
 #: One in so many places between lines ends a chunk; lines a chunk needs to be removed.
 DIVISOR, MIN_LINES = 3, 2
+#: Words of a run of lines that is removed where it repeats.
+RUN_WORDS = 50
 _MARK = "\u0001\u0002cut\u0002\u0001"
 
 
@@ -84,11 +90,77 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LIN
     return touched.unionByName(whole)
 
 
+def _runs(text: Column, words: int) -> Column:
+    """Array of (a, b, chunk): the shortest runs of ``words`` words from each line on and up to each line, blank lines left out."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("w")))
+    none = F.struct(F.lit(0).alias("w"), F.lit(0).alias("n"))
+
+    def taken(some: Column) -> Column:
+        """How many lines it takes from the first on; null if there are too few words."""
+        more = lambda t, x: F.when(t["w"] >= words, t).otherwise(F.struct((t["w"] + x["w"]).alias("w"), (t["n"] + 1).alias("n")))
+        return F.aggregate(some, none, more, lambda t: F.when(t["w"] >= words, t["n"]))
+
+    def of(real: Column) -> Column:
+        def pair(i: Column) -> Column:  # i counts from 1; every line has a word, so a run has at most ``words`` lines
+            low = F.greatest(i - words + 1, F.lit(1))
+            on, back = taken(F.slice(real, i, words)), taken(F.reverse(F.slice(real, low, i - low + 1)))
+            return F.array(F.struct(i.alias("p"), on.alias("n")), F.struct((i - back + 1).alias("p"), back.alias("n")))
+
+        places = F.when(F.size(real) > 0, F.sequence(F.lit(1), F.size(real))).otherwise(F.array().cast("array<int>"))
+        found = F.array_distinct(F.filter(F.flatten(F.transform(places, pair)), lambda r: r["n"].isNotNull()))
+        text = lambda r: F.array_join(F.transform(F.slice(real, r["p"], r["n"]), lambda x: x["line"]), "\n")
+        end = lambda at: F.element_at(real, at)["i"]
+        return F.transform(found, lambda r: F.struct(end(r["p"]).alias("a"), end(r["p"] + r["n"] - 1).alias("b"), text(r).alias("chunk")))
+
+    # An array of one element binds a value that is used for each line.
+    return F.element_at(F.transform(F.array(F.filter(lines, lambda x: x["w"] > 0)), of), 1)
+
+
+def line_runs(docs: DataFrame, words: int = RUN_WORDS) -> DataFrame:
+    """Remove the lines of every run of lines of ``words`` words or more that stands earlier too, here or in another text.
+
+    Runs are compared byte by byte, blank lines left out; blank lines within a removed run go with it. Earlier is by
+    doc_id (null last) and line, so of each line the first occurrence stays. A null text is empty; an empty text has no
+    lines. Rows that repeat both doc_id and text are one document. Returns doc_id, n_lines, n_removed_lines and kept_text.
+    """
+    ws = Workspace(docs.sparkSession, "line_runs")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("body"), F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(F.lit("2"), text, "doc_id").alias("k2"))
+    runs = rows.select("doc_id", "k1", "k2", F.inline(_runs(F.col("body"), words)))
+    runs = runs.withColumn("c1", F.xxhash64("chunk")).withColumn("c2", F.xxhash64(F.lit("2"), "chunk"))
+
+    hashes = ws.write(runs.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2"), "hashes")
+    again = ws.write(runs.join(small(hashes), ["c1", "c2"]), "again")
+    order = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "a", "b", "k1", "k2")
+    first = ws.write(again.groupBy("c1", "c2", "chunk").agg(F.min(order).alias("first")).select("c1", "c2", F.col("chunk").alias("same"), "first"), "first")
+    gone = again.join(first, ["c1", "c2"]).where(F.col("chunk") == F.col("same"))
+    own = F.lit(True)
+    for c in ("k1", "k2", "a", "b"):
+        own &= F.col(c) == F.col(f"first.{c}")
+    gone = gone.where(~own).select("k1", "k2", F.explode(F.sequence("a", "b")).alias("place"))
+    gone = ws.write(gone.groupBy("k1", "k2").agg(F.collect_set("place").alias("gone")), "gone")
+
+    n_lines = F.when(F.col("body") == "", 0).otherwise(_n_lines(F.col("body"))).cast("long")
+    keys = small(gone.select(F.col("k1").alias("u1"), F.col("k2").alias("u2")))
+    on = (F.col("k1") == F.col("u1")) & (F.col("k2") == F.col("u2"))
+    whole = rows.join(keys, on, "left_anti").select("doc_id", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed_lines"), F.col("body").alias("kept_text"))
+    stay = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "gone"), lambda i: F.get(ls, i))
+    kept = F.element_at(F.transform(F.array(F.split("body", "\n", -1)), stay), 1)
+    touched = rows.join(keys, on, "left_semi").join(gone, ["k1", "k2"])
+    touched = touched.select("doc_id", n_lines.alias("n_lines"), F.size("gone").cast("long").alias("n_removed_lines"), F.array_join(kept, "\n").alias("kept_text"))
+    return touched.unionByName(whole)
+
+
 def op7_line_dedup(spark, sf_dir):
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("kept_text")
 
 
+def op7_line_runs(spark, sf_dir):
+    out = line_runs(table(spark, sf_dir, "documents"))
+    return out.withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("kept_text")
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 l0 AS (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d),
@@ -110,3 +182,25 @@ SELECT d.doc_id, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) END
        CAST(n_removed_lines AS BIGINT) AS n_removed_lines, sha256(kept) AS kept_sha256
 FROM d JOIN k USING (doc_id)
 """
+
+RUNS_ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+l0 AS (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l0),
+w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
+n AS (
+  SELECT *, row_number() OVER v AS p, sum(w) OVER v AS s FROM w WHERE w > 0 WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+j AS (
+  SELECT x.doc_id, x.p AS a, y.p AS b FROM n x JOIN n y ON x.doc_id = y.doc_id AND y.p BETWEEN x.p AND x.p + 49 AND y.s - x.s + x.w >= 50),
+u AS (SELECT doc_id, a, min(b) AS b FROM j GROUP BY doc_id, a UNION SELECT doc_id, max(a), b FROM j GROUP BY doc_id, b),
+c AS (
+  SELECT u.doc_id, a, b, min(i) AS i1, max(i) AS i2, string_agg(line, chr(10) ORDER BY p) AS chunk
+  FROM u JOIN n ON u.doc_id = n.doc_id AND p BETWEEN a AND b GROUP BY u.doc_id, a, b),
+r AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, a, b) > 1 AS gone FROM c),
+g AS (SELECT DISTINCT doc_id, unnest(range(i1, i2 + 1)) AS i FROM r WHERE gone),
+k AS (
+  SELECT l.doc_id, count(g.i) AS n_removed_lines, coalesce(string_agg(CASE WHEN g.i IS NULL THEN line END, chr(10) ORDER BY l.i), '') AS kept
+  FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) END AS n_lines, n_removed_lines, sha256(kept) AS kept_sha256
+FROM d JOIN k USING (doc_id)
+"""

@@ -12,6 +12,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_packing": packing.op6_packing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op7_line_runs": line_dedup.op7_line_runs,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_html_text": html_text.op9_html_text,
     "op10_ngram_join": ngram_join.op10_ngram_join,
@@ -21,6 +22,7 @@ ORACLES = {
     "op4_quality_rules": quality.ORACLE,
     "op5_warc": warc.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op7_line_runs": line_dedup.RUNS_ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op10_ngram_join": ngram_join.ORACLE,
 }
