@@ -3,11 +3,13 @@
 Words are 64-bit hashes. The most frequent words are symbols of their own, all others fall into classes by their ending;
 the end of a text is a symbol too. The network predicts a symbol from the two before it: the context's feature vector is
 a sum of linear maps of theirs, its score for a symbol a dot product and a bias. It is trained in numpy on counts of
-symbol triples of the whole training corpus: tasks each run noise-contrastive estimation on their share of the counts,
-and the parameters are averaged after each round. A word within a class is predicted by its add-one relative frequency.
+symbol triples of the whole training corpus: each round passes over every distinct triple, weighted by its count. Tasks
+run noise-contrastive estimation on their share of the triples, as many as the table needs and dealt anew each round, and
+the parameters are averaged. A word within a class is predicted by its add-one relative frequency.
 
-As there are few symbols, the normalised log-probabilities of all contexts are one table, made by batched matrix
-products once a task. Words beyond a bounded table of frequent ones get their counts by a join.
+The number of word symbols grows with the cube root of the vocabulary, so the normalisers of all contexts, made once by
+batched matrix products, cost work in proportion to it. Words beyond a bounded table of frequent ones get their counts
+by a join.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from pyspark.sql import functions as F
 from .shared import Workspace, table
 from .textnp import BYTE, LOWER, U, chunks, column, mix, prefix, spans, words
 
-#: Words that are symbols, classes of other words, features, and words whose counts every task holds.
-TOP, CLASSES, WIDTH, HELD = 150, 48, 24, 1 << 18
-#: Training: shares, rounds, samples of a share and round, sample and noise batch, step.
-SHARES, ROUNDS, SAMPLES, BATCH, NOISE, RATE = 8, 3, 150_000, 1024, 128, 0.15
+#: The least number of words that are symbols, and the factor of the vocabulary's cube root; classes of other words,
+#: features, and words whose counts every task holds.
+TOP, GROWTH, CLASSES, WIDTH, HELD = 150, 4, 48, 24, 1 << 18
+#: Training: distinct triples a share has at least (if there are few shares) and at most about, rounds, sample and noise batch, step.
+FEW, MANY, SHARES, ROUNDS, BATCH, NOISE, RATE = 50_000, 1_000_000, 8, 3, 1024, 128, 0.15
 _GATHER = 6_000_000
 _ENDING = (mix(np.arange(65536, dtype=U) * U(0x9E3779B97F4A7C15)) % U(CLASSES)).astype(np.int64)
 
@@ -129,19 +132,26 @@ class Symbols:
 
 
 def count_triples(docs: DataFrame, shared, n: int) -> DataFrame:
-    """(code, c): how often each symbol follows each two symbols; the number of rows is bounded by the symbols."""
+    """(code, c): how often each symbol follows each two symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, total = shared.value, np.zeros((n + 1) * (n + 1) * n, np.int64)
+        def packed(parts) -> Iterator[pa.RecordBatch]:
+            code, c = _sum_by(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            for i in range(0, len(code), 500_000):
+                part = slice(i, i + 500_000)
+                yield pa.RecordBatch.from_arrays([pa.array(code[part]), pa.array(c[part])], names=["code", "c"])
+
+        symbols, parts, held = shared.value, [], 0
         for batch in batches:
             for _, _, h, k, count in hashed(column(batch, "text")):
                 target, one, two, _ = symbols.contexts(symbols.of(h, k)[0], count)
-                code, c = np.unique((one * (n + 1) + two) * n + target, return_counts=True)
-                total[code] += c
-        code = np.flatnonzero(total)
-        for i in range(0, len(code), 500_000):
-            part = code[i : i + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["code", "c"])
+                parts.append(np.unique((one * (n + 1) + two) * n + target, return_counts=True))
+                held += len(parts[-1][0])
+                if held > _GATHER // 2:
+                    yield from packed(parts)
+                    parts, held = [], 0
+        if held:
+            yield from packed(parts)
 
     return docs.select("text").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
@@ -154,8 +164,9 @@ class Model:
         self.n = n
         self.p = [rng.normal(0, 0.1, (n + 1, width)), np.eye(width), 0.5 * np.eye(width), rng.normal(0, 0.1, (n, width)), np.log(unigram)]
 
-    def train(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, noise_p: np.ndarray, rng, rate: float = RATE) -> None:
-        """A pass of noise-contrastive estimation over samples, with a step for each parameter that shrinks as it learns."""
+    def train(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, noise_p: np.ndarray, rng, rate: float = RATE, weight: np.ndarray | None = None) -> None:
+        """A pass of noise-contrastive estimation over (weighted) samples, with a step for each parameter that shrinks as it learns."""
+        weight = np.ones(len(target)) if weight is None else weight
         r, c1, c2, q, b = self.p
         speed = [np.full_like(x, 1e-2) for x in self.p]
         log_noise = np.log(noise_p) + np.log(NOISE)
@@ -166,8 +177,9 @@ class Model:
             context = r[x1] @ c1 + r[x2] @ c2
             real = (context * q[w]).sum(1) + b[w] - log_noise[w]
             fake = context @ q[z].T + (b[z] - log_noise[z])
-            g = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-            f = -1 / (1 + np.exp(-np.clip(fake, -30, 30)))
+            u = weight[i : i + BATCH]
+            g = u / (1 + np.exp(np.clip(real, -30, 30)))
+            f = -u[:, None] / (1 + np.exp(-np.clip(fake, -30, 30)))
             back = (g[:, None] * q[w] + f @ q[z]) / m
             dq, db, dr = np.zeros_like(q), np.zeros_like(b), np.zeros_like(r)
             np.add.at(dq, w, g[:, None] * context / m)
@@ -192,8 +204,37 @@ class Model:
         return out
 
 
-def _round(shared, n: int, samples: int):
-    """A share's part in a round: samples from its counts, a pass of training, its parameters and the weight of the share."""
+def norms(model: Model, spark) -> np.ndarray:
+    """Natural logarithm of each context's sum of exponentials, [last symbol, symbol before]."""
+    r, c1, c2, q, b = (x.astype(np.float32) for x in model.p)
+    shared = spark.sparkContext.broadcast((r @ c1, r @ c2, q, b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second, q, b = shared.value
+        for batch in batches:
+            out = []
+            for i in column(batch, "id").to_pylist():
+                parts = []
+                for a in range(0, len(second), 256):
+                    s = (first[i] + second[a : a + 256]) @ q.T + b
+                    top = s.max(1)
+                    parts.append(top + np.log(np.exp(s - top[:, None]).sum(1)))
+                out.append(np.concatenate(parts).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(out, pa.binary())], names=["id", "z"])
+
+    got = spark.range(0, model.n + 1, 1, min(model.n + 1, 64)).mapInArrow(run, "id long, z binary").collect()
+    return np.stack([np.frombuffer(x.z, "<f4") for x in sorted(got, key=lambda x: x.id)])
+
+
+def spread(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and weights of a pass in which each triple has its count as weight, frequent ones in several equal parts."""
+    mean = c.mean()
+    parts = np.ceil(c / (4 * mean)).astype(np.int64)
+    return np.repeat(np.arange(len(c)), parts), np.repeat(c / parts / mean, parts)
+
+
+def _round(shared, n: int):
+    """A share's part in a round: a pass over all its triples (a few, if there are few), its parameters times its weight."""
 
     def run(block: pa.Table) -> pa.Table:
         own, noise, turn = shared.value
@@ -201,37 +242,47 @@ def _round(shared, n: int, samples: int):
         by = np.argsort(code)
         code, c = code[by], c[by]
         rng = np.random.RandomState((int(code[0]) + 7919 * turn) % (1 << 31))
-        take = int(min(samples, max(4 * c.sum(), BATCH)))
-        drawn = code[np.searchsorted(np.cumsum(c), rng.randint(0, c.sum(), take), "right")]
+        at, weight = spread(c)
         model = Model.__new__(Model)
         model.n, model.p = own.n, [x.copy() for x in own.p]
-        model.train(drawn // n // (n + 1), drawn // n % (n + 1), drawn % n, noise, rng, RATE / (1 + turn))
-        flat = np.concatenate([x.ravel() for x in model.p])
-        return pa.table({"weight": [float(c.sum())], "p": pa.array([flat], pa.list_(pa.float64()))})
+        order = np.concatenate([rng.permutation(len(at)) for _ in range(min(max(3 * FEW // len(at), 1), 4))])
+        drawn, weight = code[at[order]], weight[order]
+        model.train(drawn // n // (n + 1), drawn // n % (n + 1), drawn % n, noise, rng, RATE / (1 + turn), weight)
+        flat = np.concatenate([x.ravel() for x in model.p]) * c.sum()
+        return pa.table({"share": block["share"][:1], "weight": [float(c.sum())], "p": pa.array([flat.tobytes()], pa.binary())})
 
     return run
 
 
-def fit(triples: DataFrame, n: int, shares: int = SHARES, rounds: int = ROUNDS, samples: int = SAMPLES) -> Model:
-    """Train on counts of triples; shares of the counts are sampled by how often a triple occurs."""
+def _added(block: pa.Table) -> pa.Table:
+    """The sums of some shares; the order of addition is fixed."""
+    block = block.sort_by("share")
+    total = sum(np.frombuffer(p) for p in block["p"].to_pylist())
+    return pa.table({"share": block["share"][:1], "weight": [float(sum(block["weight"].to_pylist()))], "p": pa.array([total.tobytes()], pa.binary())})
+
+
+def fit(triples: DataFrame, n: int, rounds: int = ROUNDS, many: int = MANY) -> Model:
+    """Train on counts of triples, all of them in each round."""
     spark = triples.sparkSession
-    by_target = triples.groupBy((F.col("code") % n).alias("t")).agg(F.sum("c").alias("c")).collect()  # a row for each symbol
+    by_target = triples.groupBy((F.col("code") % n).alias("t")).agg(F.sum("c").alias("c"), F.count("*").alias("k")).collect()  # a row for each symbol
     unigram = np.ones(n)
     for r in by_target:
         unigram[r.t] += r.c
+    distinct = sum(r.k for r in by_target)
+    shares = max(1, min(SHARES, distinct // FEW), -(-distinct // many))
     unigram /= unigram.sum()
     noise = unigram**0.75 / (unigram**0.75).sum()
-    model = Model(n, unigram)
+    model, schema = Model(n, unigram), "share long, weight double, p binary"
     for turn in range(rounds):
         now = spark.sparkContext.broadcast((model, noise, turn))
 
-        share = F.pmod(F.xxhash64("code"), F.lit(shares))
-        got = triples.groupBy(share.alias("share")).applyInArrow(_round(now, n, samples), "weight double, p array<double>").toArrow().to_pylist()
+        share = F.pmod(F.xxhash64("code", F.lit(turn)), F.lit(shares)).cast("long")
+        got = triples.select("code", "c", share.alias("share")).groupBy("share").applyInArrow(_round(now, n), schema)
+        got = got.groupBy((F.col("share") % (2 * SHARES)).alias("some")).applyInArrow(lambda key, block: _added(block), schema) if shares > 2 * SHARES else got
+        got = sorted(got.collect(), key=lambda x: x.share)
         if not got:
             break
-        weights = np.array([g["weight"] for g in got])
-        order = np.lexsort(([g["p"][0] for g in got], weights))  # the order of addition is fixed
-        mean = sum(np.array(got[i]["p"]) * weights[i] for i in order) / weights.sum()
+        mean = sum(np.frombuffer(g.p) for g in got) / sum(g.weight for g in got)
         at = 0
         for k, x in enumerate(model.p):
             model.p[k] = mean[at : at + x.size].reshape(x.shape)
@@ -240,12 +291,12 @@ def fit(triples: DataFrame, n: int, shares: int = SHARES, rounds: int = ROUNDS,
     return model
 
 
-def lm_scores(docs: DataFrame, held_out=None, top: int = TOP, held: int = HELD) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out=None, top: int | None = None, held: int = HELD) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text) by the model and by add-one frequencies.
 
     ``held_out`` is a condition on doc_id; such rows aren't learned from. By default those whose crc32(doc_id as text) mod
     7 is 2; null ids are learned from. A null text is empty and has its end alone. An empty training set makes all words
-    unknown. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    unknown. ``top`` words are symbols, by default as many as the vocabulary's size asks for. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "lm")
@@ -258,7 +309,8 @@ def lm_scores(docs: DataFrame, held_out=None, top: int = TOP, held: int = HELD)
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, v_train = total.n + ends, total.v + (ends > 0)
 
-    symbols = Symbols(frequent(vocabulary, held), top)
+    top = max(TOP, round(GROWTH * total.v ** (1 / 3))) if top is None else top
+    symbols = Symbols(frequent(vocabulary, max(held, top)), top)
     n = symbols.n
     shared = spark.sparkContext.broadcast(symbols)
     model = fit(ws.write(count_triples(train, shared, n), "triples"), n)
@@ -267,13 +319,14 @@ def lm_scores(docs: DataFrame, held_out=None, top: int = TOP, held: int = HELD)
     for r in vocabulary.groupBy("class").agg((F.sum("c") + F.count("*")).alias("m")).collect():
         per_class[r["class"]] += r.m
     np.subtract.at(per_class, symbols.best_class, symbols.c[symbols.best] + 1)
-    known = spark.sparkContext.broadcast((model, np.log10(per_class)))
+    known = spark.sparkContext.broadcast((model, norms(model, spark), np.log10(per_class)))
     base_below, end_count = float(np.log10(n_train + v_train + 1)), ends
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: a document; kind 1: (rid, word, how often) of a word whose count isn't held."""
-        symbols, (model, class_mass) = shared.value, known.value
-        table_, rid = model.table(), TaskContext.get().partitionId() << 40
+        symbols, (model, log_z, class_mass) = shared.value, known.value
+        r_, c1, c2, q, bias = (x.astype(np.float32) for x in model.p)
+        before, last, rid = r_ @ c2, r_ @ c1, TaskContext.get().partitionId() << 40
         names = ["kind", "rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "h"]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
         for batch in batches:
@@ -285,7 +338,8 @@ def lm_scores(docs: DataFrame, held_out=None, top: int = TOP, held: int = HELD)
                 by_row = lambda v, r: np.bincount(r, v, m)
                 log_c = np.log10(c + 1.0)
                 in_class = symbol > symbols.end
-                p = by_row(table_[one, two, target].astype(np.float64), rows)
+                logs = np.einsum("ij,ij->i", last[one] + before[two], q[target]) + bias[target] - log_z[one, two]
+                p = by_row(logs / np.log(10), rows)
                 p += by_row(np.where(in_class, log_c - class_mass[np.maximum(symbol - symbols.end - 1, 0)], 0.0), word_rows)
                 base = by_row(log_c, word_rows) + np.log10(end_count + 1.0) - (count + 1) * base_below
                 n_known = by_row((c > 0).astype(float), word_rows).astype(np.int64) + (end_count > 0)
