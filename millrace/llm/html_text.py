@@ -42,29 +42,40 @@ MARKS = frozenset(
     "comment comments commentlist disqus replies respond share sharing social related recommended recommendations widget widgets login pagination pager "
     "skip hidden paywall".split()
 )
+#: Words that leave a name of marks what it is.
+PLAIN = frozenset("list box block section container wrapper wrap inner outer area item items link links button buttons icon icons left right top main form bar post posts article articles unit slot".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARKS_OUTSIDE = frozenset("footer header topbar bottom copyright legal search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
-def _dropped(tag: str, attrs: str, inside: bool) -> bool:
+def _dropped(tag: str, attrs: str, inside: bool) -> bool | None:
+    """Whether an element leaves the tree; None if its name has marks among other words, so its links decide."""
     if tag in DROP or (tag in DROP_OUTSIDE and not inside):
         return True
     if not attrs or tag in ("html", "body", "main", "article"):
         return False
+    found: bool | None = False
     for name, a, b, c, bare in _ATTR.findall(attrs):
         name, value = (name or bare).lower(), a or b or c
         if name in ("class", "id"):
-            marks = {w.lower() for w in _WORDS.findall(value)}
-            if marks & MARKS or (not inside and marks & MARKS_OUTSIDE):
-                return True
+            if name == "id" and tag in HEADINGS:  # made from the title
+                continue
+            for token in value.split():
+                own = {w.lower() for w in _WORDS.findall(token)}
+                marks = own & (MARKS if inside else MARKS | MARKS_OUTSIDE)
+                if marks and own <= marks | PLAIN and not (tag == "p" and marks <= {"notice", "notices", "alert"}):
+                    return True
+                if marks:
+                    found = None
         elif name == "role" and value.lower() in ROLES:
             return True
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-    return False
+    return found
 
 
 class Page:
@@ -73,7 +84,12 @@ class Page:
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.end, self.gone, self.inside = ["#root"], [-1], [0], [False], [False]
         self.parts: list[tuple[int, str]] = []  # (node, text), and (node, None) where a block begins or ends
+        self.doubtful: list[int] = []
         self._build(source)
+        linked = self.linked() if self.doubtful else []
+        for i in self.doubtful:
+            if not self.gone[i] and linked[i]:
+                self.gone[i : self.end[i]] = [True] * (self.end[i] - i)
 
     def _open(self, tag: str, attrs: str, stack: list[int]) -> int:
         up, node = stack[-1], len(self.tag)
@@ -82,7 +98,10 @@ class Page:
         self.parent.append(up)
         self.end.append(node + 1)
         self.inside.append(inside)
-        self.gone.append(self.gone[up] or _dropped(tag, attrs, inside))
+        dropped = _dropped(tag, attrs, inside)
+        if dropped is None:
+            self.doubtful.append(node)
+        self.gone.append(self.gone[up] or bool(dropped))
         return node
 
     def _build(self, source: str) -> None:
@@ -137,6 +156,22 @@ class Page:
             parts.append((stack[-1], source[at:]))
         close(0)
 
+    def linked(self) -> list[bool]:
+        """Of each subtree, whether more than half of its text is in links."""
+        n = len(self.tag)
+        chars, links, in_link = [0] * n, [0] * n, [False] * n
+        for i in range(1, n):
+            in_link[i] = in_link[self.parent[i]] or self.tag[i] == "a"
+        for node, text in self.parts:
+            if text and not self.gone[node]:
+                size = len(" ".join(text.split()))
+                chars[node] += size
+                links[node] += size * in_link[node]
+        for i in range(n - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+            links[self.parent[i]] += links[i]
+        return [2 * k > c for c, k in zip(chars, links, strict=True)]
+
     def densities(self) -> tuple[list[float], list[float]]:
         """Density and density sum of every node; 0 for nodes taken out."""
         n = len(self.tag)
@@ -197,7 +232,7 @@ class Page:
         for up in path[1:]:
             for child in range(up + 1, self.end[up]):
                 if self.parent[child] == up and child not in path and not self.gone[child]:
-                    heading = self.tag[child] in ("h1", "h2", "h3", "h4", "h5", "h6")
+                    heading = self.tag[child] in HEADINGS
                     if heading or (self.tag[child] in BLOCK and density[child] >= max(threshold, density[best])):
                         out.append((child, self.end[child]))
         return sorted(out)
