@@ -228,12 +228,13 @@ class Page:
         body = next((i for i in path if self.tag[i] == "body"), path[-1])
         path = path[: path.index(body) + 1]
         threshold = min(density[i] for i in path)
-        out = [(best, self.end[best])]
+        out, linked = [(best, self.end[best])], self.linked()
         for up in path[1:]:
+            out.append((up, up + 1))  # text that stands in it directly
             for child in range(up + 1, self.end[up]):
                 if self.parent[child] == up and child not in path and not self.gone[child]:
                     heading = self.tag[child] in HEADINGS
-                    if heading or (self.tag[child] in BLOCK and density[child] >= max(threshold, density[best])):
+                    if heading or (density[child] >= threshold if self.tag[child] in BLOCK else not linked[child]):
                         out.append((child, self.end[child]))
         return sorted(out)
 

@@ -4,6 +4,14 @@ import pytest
 
 from millrace.llm import html_text
 
+A, B = "a" * 299 + ".", "b" * 279 + "."
+
+
+def test_less_dense_siblings_and_loose_text_stay():
+    long, short = f"<section>{f'<p>{A}</p>' * 5}</section>", f"<section>{f'<p>{B}</p>' * 3}</section>"
+    source = f"<body><ul><li><a href=x>menu</a></li></ul><div>loose <b>text</b> here{long}between{short}<a href=y>more</a></div></body>"
+    assert html_text.main_text(source) == "\n".join(["loose text here", *[A] * 5, "between", *[B] * 3])
+
 
 @pytest.mark.parametrize("part", ['<section id="related-work"><p>x y</p></section>', '<h2 id="social">x y</h2>', '<p class="notice">x y</p>', '<div id="market-share">x y</div>'])
 def test_names_with_other_words_stay(part):
