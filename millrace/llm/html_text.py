@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .shared import table
+from .shared import lean_batches, table
 from .textnp import column
 
 _TAG = re.compile(
@@ -272,6 +272,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     A null or empty html, and a page of menus only, give an empty text. Broken markup never fails: unclosed elements end
     with their parent, and a stray end tag is ignored. Pages are handled one by one without a shuffle, whole however long.
     """
+    lean_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")
     schema = StructType([pages.schema["page_id"], pages.schema["url"], StructField("text", StringType()), StructField("n_chars", LongType())])
 

@@ -3,10 +3,12 @@
 Documents longer than a sequence are cut; what is packed depends on the lengths of the pieces alone. The histogram of
 lengths is small whatever the corpus (one count a length), so the packing is planned on it:
 
-1. Lengths fall into classes on a grid. The configuration linear program (cover all pieces by as few patterns of one
-   sequence as can be) is solved by multiplicative weights: prices of classes fall as they get covered, and a knapsack
-   dynamic program finds the pattern of the highest price.
-2. The pattern counts are rounded down. What they leave goes, longest first, into the tightest open gap, at whole tokens.
+1. Lengths fall into classes of a few tokens, all of them. The configuration linear program (cover all pieces by as few
+   patterns of one sequence as can be) is solved by multiplicative weights: the price of a class falls as it gets covered,
+   a knapsack dynamic program finds the patterns of the highest price, and rounds go on until every class is covered.
+2. A share of the solution is rounded, by running sums, to whole sequences, filled to the last token with lengths of
+   their classes. What is left over goes, longest first, into the tightest open gap. The share kept is the largest that
+   needs no more sequences than best fit of everything.
 3. Every slot of the plan is a range of ranks among the pieces of one length. Pieces get their ranks from counts by
    length and task, so assigning them to slots is one join of narrow rows.
 """
@@ -26,61 +28,93 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .shared import Workspace, small, table
-from .textnp import BYTE, chunks, column, prefix, spans, words
+from .textnp import BYTE, U, chunks, column, prefix, spans, words
 
 CAPACITY, END = 4096, 1
-GRID, ROUNDS, STEP, DECAY = 4, 1000, 0.1, 4.0
-#: Words whose tokens a worker remembers.
-CACHE = 600_000
+#: Classes of lengths at most; the program: part of a class that one step covers, fall of prices, and how much less than
+#: the best a pattern may be worth; shares of the solution that are tried in rounding.
+CLASSES, STEP, DECAY, SLACK = 1024, 0.5, 2.0, 0.05
+SHARES = (0.9, 0.75, 0.5, 0.25)
+#: Bytes of words and tokens that a task remembers.
+CACHE = 24 << 20
 #: A character that stands between words while they are encoded.
 PARTING = "\x01"
-#: Pieces shorter than this part of a sequence are kept for gaps.
-SHORT = 1 / 16
-#: Share of a sequence that a pattern must fill to be used.
-FULL = 63 / 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, lrank long"
+_encoders: dict[str, tokenizers.Tokenizer] = {}
+
+
+def _flat(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Indices of the spans [first, first + length), one span after the other."""
+    stop = np.cumsum(length)
+    return np.repeat(first - (stop - length), length) + np.arange(stop[-1] if len(stop) else 0)
 
 
 class WordTokens:
-    """Token ids of texts by words: white space never joins tokens here, so each distinct word is encoded once."""
+    """Token ids of texts by words: white space never joins tokens here, so a word that was met before isn't encoded again.
+
+    Words are looked up by a 64-bit hash and then compared byte by byte. What is remembered is dropped beyond ``cache`` bytes.
+    """
 
-    def __init__(self, path: str) -> None:
-        self.encoder = tokenizers.Tokenizer.from_file(path)
+    def __init__(self, path: str, cache: int = CACHE) -> None:
+        if path not in _encoders:
+            _encoders[path] = tokenizers.Tokenizer.from_file(path)
+        self.encoder, self.cache = _encoders[path], cache
         alone = self.encoder.encode(f"a {PARTING} b", add_special_tokens=False).ids
         self.parting = alone[1] if len(alone) == 3 else None
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.first, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        """Encode new words, a few thousand in one text, parted by a character that is one token of its own."""
-        odd = [i for i, t in enumerate(texts) if PARTING in t]
-        if odd or self.parting is None:
-            plain = [i for i in range(len(texts)) if self.parting is not None and PARTING not in texts[i]]
-            rest = odd if self.parting is not None else list(range(len(texts)))
-            got = self.encoder.encode([texts[i] for i in rest], is_pretokenized=True, add_special_tokens=False)
-            self._keep([keys[i] for i in rest], np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(rest)))
-            keys, texts = [keys[i] for i in plain], [texts[i] for i in plain]
-        if texts:
-            ids = np.array(self.encoder.encode_batch_fast([f" {PARTING} ".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.parting)
-            edges = np.concatenate([[-1], cuts, [len(ids)]])
-            self._keep(keys, np.delete(ids, cuts), np.diff(edges) - 1)
-
-    def _keep(self, keys: list[int], ids: np.ndarray, count: np.ndarray) -> None:
-        n, k = len(self.known), len(keys)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.append(self.ids, np.zeros_like(self.ids))
-        while n + k > len(self.first):
-            self.first, self.length = np.append(self.first, np.zeros_like(self.first)), np.append(self.length, np.zeros_like(self.length))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.first[n : n + k] = self.used + np.cumsum(count) - count
-        self.length[n : n + k] = count
-        self.used += len(ids)
-        self.known.update(zip(keys, range(n, n + k), strict=True))
+        self.keys, self.slot = np.zeros(0, U), np.zeros(0, np.int32)
+        self.ids, self.first, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bytes, self.at, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = self.encoder.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        return np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(texts))
+
+    def _tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and how many each has; a few thousand words are encoded as one text, parted."""
+        ids, count = [], []
+        for a in range(0, len(texts), 2000):
+            part = texts[a : a + 2000]
+            joined = f" {PARTING} ".join(part)
+            if self.parting is None or joined.count(PARTING) >= len(part):  # a word has the parting character
+                own, n = self._one_by_one(part)
+            else:
+                own = np.array(self.encoder.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+                cuts = np.flatnonzero(own == self.parting)
+                own, n = np.delete(own, cuts), np.diff(np.concatenate([[-1], cuts, [len(own)]])) - 1
+            ids.append(own)
+            count.append(n)
+        return np.concatenate(ids), np.concatenate(count)
+
+    def _keep(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
+        """Encode and remember new words."""
+        raw = data.tobytes()
+        ids, count = self._tokens([raw[a : a + n].decode() for a, n in zip(starts.tolist(), size.tolist(), strict=True)])
+        n = len(self.first)
+        self.first = np.append(self.first, len(self.ids) + np.cumsum(count) - count)
+        self.length, self.ids = np.append(self.length, count), np.append(self.ids, ids)
+        self.at = np.append(self.at, len(self.bytes) + np.cumsum(size) - size)
+        self.size, self.bytes = np.append(self.size, size), np.append(self.bytes, data[_flat(starts, size)])
+        keys, slot = np.append(self.keys, keys), np.append(self.slot, np.arange(n, n + len(size), dtype=np.int32))
+        by = np.argsort(keys, kind="stable")
+        self.keys, self.slot = keys[by], slot[by]
+
+    def _known(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray | None:
+        """The slot of each word; None if two words have one hash."""
+        keys, at, back = np.unique(spans(prefix(BYTE[data]), starts, starts + size), return_index=True, return_inverse=True)
+        if 5 * self.bytes.nbytes + 40 * len(keys) > self.cache:
+            self._reset()
+        place = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        new[place < len(self.keys)] = self.keys[place[place < len(self.keys)]] != keys[place < len(self.keys)]
+        if new.any():
+            self._keep(keys[new], data, starts[at[new]], size[at[new]])
+            place = np.searchsorted(self.keys, keys)
+        slot = self.slot[place][back]
+        same = (self.size[slot] == size).all() and (self.bytes[_flat(self.at[slot], size)] == data[_flat(starts, size)]).all()
+        return slot if same else None
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids (uint32) of each text; null is empty."""
@@ -89,35 +123,18 @@ class WordTokens:
             if not len(starts):
                 yield from (np.zeros(0, np.uint32) for _ in count)
                 continue
-            keys, at, back = np.unique(spans(prefix(BYTE[data]), starts, ends), return_index=True, return_inverse=True)
-            if len(self.known) > CACHE:
-                self._reset()
-            listed = keys.tolist()
-            new = [i for i, k in enumerate(listed) if k not in self.known]
-            raw = data.tobytes()
-            for a in range(0, len(new), 2000):
-                part = new[a : a + 2000]
-                self._learn([listed[i] for i in part], [raw[starts[at[i]] : ends[at[i]]].decode() for i in part])
-            index = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))[back]
-            length = self.length[index]
-            stop = np.cumsum(length)
-            flat = np.repeat(self.first[index] - (stop - length), length) + np.arange(stop[-1])
-            ids = self.ids[flat]
-            cuts = np.append(0, stop)[np.append(0, np.cumsum(count))]
+            slot = self._known(data, starts, ends - starts)
+            if slot is None:
+                raw = data.tobytes()
+                ids, length = self._one_by_one([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+            else:
+                length = self.length[slot]
+                ids = self.ids[_flat(self.first[slot], length)]
+            cuts = np.append(0, np.cumsum(length))[np.append(0, np.cumsum(count))]
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 yield ids[a:b]
 
 
-_word_tokens: dict[str, WordTokens] = {}
-
-
-def word_tokens(path: str) -> WordTokens:
-    """The one of this worker process: words that earlier tasks met are known to later ones."""
-    if path not in _word_tokens:
-        _word_tokens[path] = WordTokens(path)
-    return _word_tokens[path]
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """The pieces of every row of ``docs`` (doc_id, text): PIECES, and ``ids`` if asked for.
 
@@ -127,7 +144,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64).tolist()
-        tokens = word_tokens(path)
+        tokens = WordTokens(path)
         for batch in batches:
             rows = []
             for doc, ids in zip(column(batch, "doc_id").to_pylist(), tokens.encode(column(batch, "text")), strict=True):
@@ -145,102 +162,124 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def best_pattern(prices: np.ndarray) -> list[int]:
-    """Classes (with repeats) of the most valuable pattern of size ``len(prices) - 1``; prices[c] is that of class c, 0 for none."""
+def knapsack(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best value of every size up to ``len(prices) - 1``, and the class taken there (0 for none); prices[c] is that of class c."""
     room = len(prices) - 1
     value, took = np.zeros(room + 1), np.zeros(room + 1, np.int64)
-    down = prices[::-1]  # so that value[0:c] + down[room - c : room] pairs value[c - k] with prices[k]
+    down = prices[::-1].copy()  # so that value[0:c] + down[room - c : room] pairs value[c - k] with prices[k]
     for c in range(1, room + 1):
         sums = value[:c] + down[room - c : room]
-        best = int(np.argmax(sums))
-        if sums[best] > value[c - 1] and prices[c - best] > 0:
+        best = int(sums.argmax())
+        if sums[best] > value[c - 1]:
             value[c], took[c] = sums[best], c - best
         else:
             value[c] = value[c - 1]
-    out, c = [], room
-    while c > 0:
-        if took[c]:
-            out.append(int(took[c]))
-            c -= int(took[c])
-        else:
-            c -= 1
+    return value, took
+
+
+def traced(took: np.ndarray, size: int) -> list[int]:
+    """Classes (with repeats) of the best pattern of ``size``."""
+    filled, out = np.maximum.accumulate(np.where(took > 0, np.arange(len(took)), 0)), []
+    while (size := int(filled[size])) > 0:
+        out.append(int(took[size]))
+        size -= out[-1]
     return out
 
 
-def solve(counts: np.ndarray, rounds: int = ROUNDS, step: float = STEP, decay: float = DECAY) -> list[tuple[tuple[int, ...], float]]:
-    """Fractional pattern counts that cover ``counts`` (by class, 0 unused) as well as ``rounds`` rounds can."""
+def best_pattern(prices: np.ndarray) -> list[int]:
+    """Classes (with repeats) of the most valuable pattern of size ``len(prices) - 1``; 0 is the price of no class."""
+    return traced(knapsack(prices)[1], len(prices) - 1)
+
+
+def solve(counts: np.ndarray, step: float = STEP, decay: float = DECAY, slack: float = SLACK) -> list[tuple[tuple[int, ...], float]]:
+    """Fractional pattern counts that cover ``counts`` (by class, 0 unused), each class fully.
+
+    Of each dynamic program all patterns are used that are worth nearly as much as the best, one for each class in it.
+    """
     room = len(counts) - 1
-    live = counts > 0
-    size = np.arange(room + 1) / max(room, 1)
-    covered, found = np.zeros(room + 1), {}
-    for _ in range(rounds):
-        open_ = live & (covered < 1)
-        if not open_.any():
-            break
-        pattern = best_pattern(np.where(live, size * np.exp(-decay * covered), 0.0))
-        use = np.bincount(pattern, minlength=room + 1)
-        over = use > counts
-        use[over] = counts[over]
-        at = np.flatnonzero(use)
-        amount = step * float((counts[at] / use[at]).min())
-        covered[at] += amount * use[at] / counts[at]
-        key = tuple(np.repeat(at, use[at]).tolist())
-        found[key] = found.get(key, 0.0) + amount
-    return sorted(found.items(), key=lambda x: (-sum(x[0]), x[0]))
+    size, live, covered, found = np.arange(room + 1) / max(room, 1), counts > 0, np.zeros(room + 1), {}
+    price = lambda: np.where(live & (covered < 1 - 1e-9), size * np.exp(-decay * covered), 0.0)
+    while (now := price()).any():
+        value, took = knapsack(now)
+        kinds = np.flatnonzero(now)
+        worth = now[kinds] + value[room - kinds]
+        enough, first = (1 - slack) * worth.max(), True
+        for c in kinds[np.argsort(-worth, kind="stable")][: (worth >= enough).sum()].tolist():
+            need = np.bincount([c, *traced(took, room - c)], minlength=room + 1)
+            at = np.flatnonzero(need)
+            use = np.minimum(need[at], counts[at])
+            left = np.where(covered[at] < 1 - 1e-9, 1 - covered[at], 0.0)
+            if covered[c] >= 1 - 1e-9 or (not first and (np.where(left > 0, size[at] * np.exp(-decay * covered[at]), 0.0) * use).sum() < enough):
+                continue
+            first = False
+            at, use, left = at[left > 0], use[left > 0], left[left > 0]
+            amount = float(min(step * (counts[at] / use).min(), (left * counts[at] / use).min()))
+            covered[at] += amount * use / counts[at]
+            pattern = tuple(np.repeat(at, use).tolist()[::-1])
+            found[pattern] = found.get(pattern, 0.0) + amount
+    return sorted(found.items())
 
 
 class Plan:
     """Sequences of a packing, as (lengths, how many alike)."""
 
-    def __init__(self, counts: dict[int, int], capacity: int, grid: int = GRID) -> None:
-        self.capacity = capacity
-        self.left = {n: c for n, c in counts.items() if c}
+    def __init__(self, counts: dict[int, int], capacity: int, shares: tuple[float, ...] = SHARES) -> None:
+        self.capacity, self.all = capacity, {n: c for n, c in counts.items() if c}
         self.kinds: list[tuple[tuple[int, ...], int]] = []
-        if self.left:
-            self._round(grid)
+        self.planned = 0  # pieces placed by the program
+        if not self.all:
+            return
+        grid = max(1, capacity // CLASSES)
+        by_class = np.zeros(-(-capacity // grid) + 1, np.int64)
+        for n, c in self.all.items():
+            by_class[-(-n // grid)] += c
+        solution = solve(by_class)
+        best = None
+        for share in (0.0, *reversed(shares)):
+            self._round(solution, share, grid)
             self._fill()
-
-    def _round(self, grid: int) -> None:
-        """Take rounded-down pattern counts, slot by slot from the longest lengths of a class."""
-        room = self.capacity // grid
-        by_class: dict[int, list[int]] = {}
-        for n in sorted(n for n in self.left if n >= self.capacity * SHORT):
-            by_class.setdefault(-(-n // grid), []).append(n)
-        counts = np.zeros(room + 1, np.int64)
-        for c, lengths in by_class.items():
-            if c <= room:
-                counts[c] = sum(self.left[n] for n in lengths)
-        for pattern, amount in solve(counts):
-            if sum(pattern) < FULL * room:
-                continue  # best fit does better with these lengths
-            need = np.bincount(pattern, minlength=room + 1)
-            at = np.flatnonzero(need)
-            times = min(int(amount), int((counts[at] // need[at]).min()))
-            counts[at] -= times * need[at]
-            while times:
-                taken, run = [], times
-                for c in at.tolist():
-                    k, lengths = int(need[c]), by_class[c]
-                    while k:  # of each length as many as it has
-                        n = lengths[-1]
-                        have = self.left[n] - sum(m for x, m in taken if x == n)
-                        if not have:
-                            lengths.pop()
-                            continue
-                        m = min(k, have)
-                        taken.append((n, m))
-                        k -= m
-                        if have == m and k:
-                            lengths.pop()
-                for n, m in taken:
-                    run = min(run, self.left[n] // m)
-                for n, m in taken:
+            used = sum(c for _, c in self.kinds)
+            if best is None or used <= best[0]:
+                best = used, self.kinds, self.planned
+        _, self.kinds, self.planned = best
+
+    def _round(self, solution: list[tuple[tuple[int, ...], float]], share: float, grid: int) -> None:
+        """Take a share of the solution in whole sequences: the running sum of amounts, rounded, says how many of each pattern."""
+        self.left = np.zeros(self.capacity + 1, np.int64)
+        for n, c in self.all.items():
+            self.left[n] = c
+        self.kinds, self.planned = [], 0
+        if not share:
+            return
+        times = np.diff(np.floor(np.cumsum([share * x for _, x in solution]) + 0.5).astype(np.int64), prepend=0)
+        for i in np.argsort(-times, kind="stable").tolist():
+            todo = int(times[i])
+            while todo and (taken := self._filled(solution[i][0], grid)):
+                run = min(todo, *(int(self.left[n]) // m for n, m in taken.items()))
+                for n, m in taken.items():
                     self.left[n] -= run * m
-                self.kinds.append((tuple(n for n, m in taken for _ in range(m)), run))
-                times -= run
-                for c in at.tolist():
-                    while by_class[c] and not self.left[by_class[c][-1]]:
-                        by_class[c].pop()
+                    self.planned += run * m
+                self.kinds.append((tuple(sorted((n for n, m in taken.items() for _ in range(m)), reverse=True)), run))
+                todo -= run
+
+    def _filled(self, pattern: tuple[int, ...], grid: int) -> dict[int, int]:
+        """Lengths that make up a pattern and fill the sequence, with their numbers; empty if there are none left."""
+        taken: dict[int, int] = {}
+        for c in pattern:  # of each class the length that most pieces have
+            own = range((c - 1) * grid + 1, min(c * grid, self.capacity) + 1)
+            have, n = max((int(self.left[n]) - taken.get(n, 0), n) for n in own)
+            if have <= 0:
+                return {}
+            taken[n] = taken.get(n, 0) + 1
+        gap = self.capacity - sum(n * m for n, m in taken.items())
+        if gap:  # a longer piece in place of one closes the gap
+            for n in sorted(taken, reverse=True):
+                if n + gap <= self.capacity and self.left[n + gap] - taken.get(n + gap, 0) > 0:
+                    taken[n] -= 1
+                    taken[n + gap] = taken.get(n + gap, 0) + 1
+                    return {n: m for n, m in taken.items() if m}
+            return {}
+        return taken
 
     def _fill(self) -> None:
         """Best fit, longest first: the tightest open gap, else new sequences."""
@@ -256,8 +295,8 @@ class Plan:
 
         for lengths, count in self.kinds:
             add(lengths, count)
-        for n in sorted((n for n, c in self.left.items() if c), reverse=True):
-            count = self.left[n]
+        for n in np.flatnonzero(self.left)[::-1].tolist():
+            count = int(self.left[n])
             while count:
                 i = bisect_left(order, n)
                 if i == len(order):

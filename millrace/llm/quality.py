@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .shared import table
+from .shared import lean_batches, table
 from .textnp import BYTE, U, chunks, column, mix, ngrams, prefix, spans, words
 
 #: Largest share of characters inside repeated n-grams by n-gram length, and inside repeated lines.
@@ -114,6 +114,7 @@ def quality_rules(docs: DataFrame, limits=None, line_limit: float = LINE_CHARS_L
     A null text has no words; it and an empty text fail the base rule (fewer than ten words). Nothing is shuffled. A
     very long text is worked on alone, at about 100 bytes of memory a byte of text.
     """
+    lean_batches(docs.sparkSession)
     limits = dict(NGRAM_LIMITS if limits is None else limits)
     own = ADDED
     docs = docs.drop(*own)

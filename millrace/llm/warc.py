@@ -19,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, table
+from .shared import Workspace, small, table
 from .textnp import column
 
 #: Equal payloads of fewer bytes are all stored.
@@ -110,8 +110,14 @@ def roles(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).alias("n"), F.sha2(payload, 256).alias("digest"))
     firsts = rows.where(F.col("n") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
-    firsts = firsts.where("copies > 1").select(F.col("digest").alias("of"), "first")
-    out = rows.join(firsts, F.col("digest") == F.col("of"), "left")
+    firsts = Workspace(pages.sparkSession, "warc").write(firsts.where("copies > 1").select(F.col("digest").alias("of"), "first"), "firsts")
+    # Ids go to the payloads, not payloads to the digests: a payload that many pages share would be a hot key.
+    few = small(firsts)
+    if few is not firsts:
+        out = rows.join(few, F.col("digest") == F.col("of"), "left")
+    else:
+        later = rows.select(F.col("page_id").alias("id"), "digest").join(firsts, F.col("digest") == F.col("of")).select("id", "of", "first").distinct()
+        out = rows.join(later, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     kind = F.when(revisit, "revisit").otherwise("response")
     return out.select("page_id", "url", "payload", "digest", kind.alias("kind"), F.when(revisit, F.col("first")).alias("refers_to"))
