@@ -23,24 +23,37 @@ from .shared import WORD, Workspace, small, table
 DIVISOR, MIN_LINES = 3, 2
 #: Words of a run of lines that is removed where it repeats.
 RUN_WORDS = 50
-_MARK = "\u0001\u0002cut\u0002\u0001"
 
 
 def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
 
-def line_chunks(text: Column, divisor: int = DIVISOR) -> Column:
-    """The chunks of a text as an array; joined by line feeds they give the text. A text that holds the marker is one chunk."""
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _cuts(text: Column, divisor: int) -> Column:
+    """The lines of a text, and the numbers (from 1) of those that begin a chunk."""
     lines = F.split(text, "\n", -1)
-    before = F.concat(F.array(F.lit(None).cast("string")), lines)
 
-    def marked(line: Column, last: Column) -> Column:
-        cut = (_line_hash(line) + 31 * _line_hash(last)) % divisor == 0
-        return F.when(cut, F.concat(F.lit(_MARK), line)).otherwise(line)  # no line before: no cut
+    def starts(x: Column) -> Column:
+        ends = lambda i: (F.element_at(x["m"], i) + 31 * F.element_at(x["m"], i - 1)) % divisor == 0
+        return F.filter(F.sequence(F.lit(1), F.size(x["m"])), lambda i: F.when(i == 1, F.lit(True)).otherwise(ends(i)))
+
+    both = F.struct(lines.alias("lines"), F.transform(lines, _line_hash).alias("m"))
+    return _bound(both, lambda x: F.struct(x["lines"].alias("lines"), starts(x).alias("starts")))
+
 
-    parts = F.split(F.array_join(F.zip_with(lines, before, marked), "\n"), "\n" + _MARK, -1)
-    return F.when(F.contains(text, F.lit(_MARK)), F.array(text)).otherwise(parts)
+def line_chunks(text: Column, divisor: int = DIVISOR) -> Column:
+    """The chunks of a text as an array; joined by line feeds they give the text."""
+
+    def parts(x: Column) -> Column:
+        after = F.concat(F.slice(x["starts"], F.lit(2), F.size(x["starts"])), F.array(F.size(x["lines"]) + 1))
+        return F.zip_with(x["starts"], after, lambda a, b: F.array_join(F.slice(x["lines"], a, b - a), "\n"))
+
+    return _bound(_cuts(text, divisor), parts)
 
 
 def _n_lines(chunk: Column) -> Column:
@@ -61,24 +74,28 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LIN
     chunks = chunks.where((_n_lines(F.col("chunk")) >= min_lines) & (F.trim(F.regexp_replace("chunk", r"[\x20\x09-\x0D]+", " ")) != ""))
     chunks = chunks.withColumn("c1", F.xxhash64("chunk")).withColumn("c2", F.xxhash64(F.lit("2"), "chunk"))
 
-    hashes = chunks.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2")
+    cuts = ws.write(chunks.drop("chunk"), "cuts")
+    hashes = cuts.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2")
     hashes = ws.write(hashes, "hashes")
-    again = chunks.join(small(hashes), ["c1", "c2"])
-    again = ws.write(again, "again")
+    # Equal hashes aren't enough: texts are compared, combined in each task before they are shuffled.
     order = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "place", "k1", "k2")
-    first = again.groupBy("c1", "c2", "chunk").agg(F.min(order).alias("first"))
+    first = chunks.join(small(hashes), ["c1", "c2"]).groupBy("c1", "c2", "chunk").agg(F.min(order).alias("first"))
     first = ws.write(first.select("c1", "c2", F.col("chunk").alias("same"), "first"), "first")
-    # Equal hashes aren't enough: the texts are compared.
-    gone = again.join(first, ["c1", "c2"]).where(F.col("chunk") == F.col("same"))
+    clash = ws.write(first.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2"), "clash")
     own = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2")) & (F.col("place") == F.col("first.place"))
-    gone = gone.where(~own).groupBy("k1", "k2").agg(F.collect_set("place").alias("gone"))
-    gone = ws.write(gone, "gone")
+    clashes = not clash.isEmpty()
+    sole = first.join(clash, ["c1", "c2"], "left_anti") if clashes else first
+    gone = cuts.join(sole.select("c1", "c2", "first"), ["c1", "c2"]).where(~own).select("k1", "k2", "place")
+    if clashes:  # different chunks with both hashes alike
+        told = chunks.join(first.join(clash, ["c1", "c2"]), ["c1", "c2"]).where((F.col("chunk") == F.col("same")) & ~own)
+        gone = gone.unionByName(told.select("k1", "k2", "place"))
+    gone = ws.write(gone.groupBy("k1", "k2").agg(F.collect_set("place").alias("gone")), "gone")
 
     n_lines = F.when(F.col("body") == "", 0).otherwise(_n_lines(F.col("body"))).cast("long")
     keys = small(gone.select(F.col("k1").alias("u1"), F.col("k2").alias("u2")))
     on = (F.col("k1") == F.col("u1")) & (F.col("k2") == F.col("u2"))
     zero = F.lit(0).cast("long")
-    n_chunks = F.when(F.col("body") == "", 0).otherwise(F.size(line_chunks(F.col("body"), divisor))).cast("long")
+    n_chunks = F.when(F.col("body") == "", 0).otherwise(F.size(_cuts(F.col("body"), divisor)["starts"])).cast("long")
     whole = rows.join(keys, on, "left_anti").select("doc_id", n_lines.alias("n_lines"), n_chunks.alias("n_chunks"), zero.alias("n_removed_chunks"), zero.alias("n_removed_lines"), F.col("body").alias("kept_text"))
     touched = rows.join(keys, on, "left_semi").join(gone, ["k1", "k2"])
     kept = F.filter(F.transform(line_chunks(F.col("body"), divisor), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda s: ~F.array_contains(F.col("gone"), s["i"]))
@@ -129,11 +146,18 @@ def line_runs(docs: DataFrame, words: int = RUN_WORDS) -> DataFrame:
     runs = rows.select("doc_id", "k1", "k2", F.inline(_runs(F.col("body"), words)))
     runs = runs.withColumn("c1", F.xxhash64("chunk")).withColumn("c2", F.xxhash64(F.lit("2"), "chunk"))
 
-    hashes = ws.write(runs.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2"), "hashes")
-    again = ws.write(runs.join(small(hashes), ["c1", "c2"]), "again")
+    cuts = ws.write(runs.drop("chunk"), "cuts")
+    hashes = ws.write(cuts.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2"), "hashes")
     order = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "a", "b", "k1", "k2")
-    first = ws.write(again.groupBy("c1", "c2", "chunk").agg(F.min(order).alias("first")).select("c1", "c2", F.col("chunk").alias("same"), "first"), "first")
-    gone = again.join(first, ["c1", "c2"]).where(F.col("chunk") == F.col("same"))
+    first = runs.join(small(hashes), ["c1", "c2"]).groupBy("c1", "c2", "chunk").agg(F.min(order).alias("first"))
+    first = ws.write(first.select("c1", "c2", F.col("chunk").alias("same"), "first"), "first")
+    clash = ws.write(first.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2"), "clash")
+    clashes = not clash.isEmpty()
+    sole = first.join(clash, ["c1", "c2"], "left_anti") if clashes else first
+    gone = cuts.join(sole.select("c1", "c2", "first"), ["c1", "c2"])
+    if clashes:  # different runs with both hashes alike
+        told = runs.join(first.join(clash, ["c1", "c2"]), ["c1", "c2"]).where(F.col("chunk") == F.col("same"))
+        gone = gone.unionByName(told.select(*gone.columns))
     own = F.lit(True)
     for c in ("k1", "k2", "a", "b"):
         own &= F.col(c) == F.col(f"first.{c}")
