@@ -3,7 +3,11 @@
 Every node of a page gets a density: characters per tag in its subtree, lowered where many of them are in links. A
 node's density sum adds up the densities of its children; the article is the subtree with the largest sum. The lowest
 density on the path from there up to the body is the threshold for what else on that path belongs to it.
-Navigation, adverts, forms, notices, comments and the like are taken out of the tree before densities are computed.
+
+Elements that never hold article text (menus, forms, scripts, hidden ones) are out of the tree before densities are
+computed. A class or id made of words such as "comments" or "ad" takes an element out only where it isn't the dominant
+text of the page. Where the page marks an ``article`` or ``main`` part and the dense subtree agrees, the whole part is
+the text.
 """
 
 from __future__ import annotations
@@ -51,7 +55,7 @@ _WORDS = re.compile(r"[A-Za-z]+")
 
 
 def _dropped(tag: str, attrs: str, inside: bool) -> bool | None:
-    """Whether an element leaves the tree; None if its name has marks among other words, so its links decide."""
+    """Whether an element leaves the tree; None if its name has marks, so its text decides."""
     if tag in DROP or (tag in DROP_OUTSIDE and not inside):
         return True
     if not attrs or tag in ("html", "body", "main", "article"):
@@ -64,10 +68,7 @@ def _dropped(tag: str, attrs: str, inside: bool) -> bool | None:
                 continue
             for token in value.split():
                 own = {w.lower() for w in _WORDS.findall(token)}
-                marks = own & (MARKS if inside else MARKS | MARKS_OUTSIDE)
-                if marks and own <= marks | PLAIN and not (tag == "p" and marks <= {"notice", "notices", "alert"}):
-                    return True
-                if marks:
+                if own & (MARKS if inside else MARKS | MARKS_OUTSIDE):
                     found = None
         elif name == "role" and value.lower() in ROLES:
             return True
@@ -78,18 +79,65 @@ def _dropped(tag: str, attrs: str, inside: bool) -> bool | None:
     return found
 
 
+def _made_of_marks(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether a class or id consists of marks (and words that leave them what they are)."""
+    marks = MARKS if inside else MARKS | MARKS_OUTSIDE
+    for name, a, b, c, _ in _ATTR.findall(attrs):
+        if name.lower() not in ("class", "id") or (name.lower() == "id" and tag in HEADINGS):
+            continue
+        for token in (a or b or c).split():
+            own = {w.lower() for w in _WORDS.findall(token)}
+            if own & marks and own <= marks | PLAIN and not (tag == "p" and own & marks <= {"notice", "notices", "alert"}):
+                return True
+    return False
+
+
 class Page:
     """The tree of a page as parallel lists, in document order; node 0 is the root."""
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.end, self.gone, self.inside = ["#root"], [-1], [0], [False], [False]
         self.parts: list[tuple[int, str]] = []  # (node, text), and (node, None) where a block begins or ends
-        self.doubtful: list[int] = []
+        self.marked: list[tuple[int, bool]] = []  # nodes whose names have marks, and whether these are all there is
         self._build(source)
-        linked = self.linked() if self.doubtful else []
-        for i in self.doubtful:
-            if not self.gone[i] and linked[i]:
+        if self.marked:
+            self._judge()
+
+    def _judge(self) -> None:
+        """Take out marked nodes: those of marks alone unless they are the dominant text, others if most of it is in links.
+
+        A dominant text has more than half of what is left of the page, and no article or main part stands outside of it.
+        """
+        chars, links = self._sizes()
+        parts = [i for i, t in enumerate(self.tag) if t in ("article", "main") and chars[i] and not self.gone[i]]
+        left = chars[0]
+        for i, alone in self.marked:
+            if self.gone[i]:
+                continue
+            if alone:
+                outside = any(j >= self.end[i] or self.end[j] <= i for j in parts)
+                drop = outside or 2 * chars[i] <= left
+            else:
+                drop = 2 * links[i] > chars[i]
+            if drop:
                 self.gone[i : self.end[i]] = [True] * (self.end[i] - i)
+                left -= chars[i]
+
+    def _sizes(self) -> tuple[list[int], list[int]]:
+        """Characters of each subtree, and those in links."""
+        n = len(self.tag)
+        chars, links, in_link = [0] * n, [0] * n, [False] * n
+        for i in range(1, n):
+            in_link[i] = in_link[self.parent[i]] or self.tag[i] == "a"
+        for node, text in self.parts:
+            if text and not self.gone[node]:
+                size = len(" ".join(text.split()))
+                chars[node] += size
+                links[node] += size * in_link[node]
+        for i in range(n - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+            links[self.parent[i]] += links[i]
+        return chars, links
 
     def _open(self, tag: str, attrs: str, stack: list[int]) -> int:
         up, node = stack[-1], len(self.tag)
@@ -100,18 +148,23 @@ class Page:
         self.inside.append(inside)
         dropped = _dropped(tag, attrs, inside)
         if dropped is None:
-            self.doubtful.append(node)
+            self.marked.append((node, _made_of_marks(tag, attrs, inside)))
         self.gone.append(self.gone[up] or bool(dropped))
         return node
 
     def _build(self, source: str) -> None:
         stack, tag_of, at, parts = [0], self.tag, 0, self.parts
+        opened: dict[str, int] = {}  # how many elements of a name are open
+        blocks: list[int] = []  # depths of the open blocks
 
         def close(depth: int) -> None:
             while len(stack) > depth:
                 self.end[node := stack.pop()] = len(tag_of)
                 if tag_of[node] in BLOCK:
                     parts.append((node, None))
+                opened[tag_of[node]] = opened.get(tag_of[node], 1) - 1
+            while blocks and blocks[-1] >= depth:
+                blocks.pop()
 
         while (m := _TAG.search(source, at)) is not None:
             if m.start() > at and not self.gone[stack[-1]]:
@@ -122,25 +175,22 @@ class Page:
                 continue
             tag, ending = name.lower(), m[1] or m[4]
             if ending:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if tag_of[stack[depth]] == tag:
-                        close(depth)
-                        break
+                if opened.get(tag):
+                    depth = len(stack) - 1
+                    while tag_of[stack[depth]] != tag:
+                        depth -= 1
+                    close(depth)
                 continue
-            if tag in BLOCK:
-                for depth in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                    if tag_of[stack[depth]] == "p":
-                        close(depth)
-                        break
-                    if tag_of[stack[depth]] in BLOCK:
-                        break
+            if tag in BLOCK and blocks and tag_of[stack[blocks[-1]]] == "p":  # a block ends an open paragraph
+                close(blocks[-1])
             if tag in CLOSES:
                 same, stop = CLOSES[tag]
-                depth = len(stack) - 1
-                while depth > 0 and tag_of[stack[depth]] not in stop:
-                    if tag_of[stack[depth]] in same:
+                for depth in reversed(blocks.copy()):
+                    kind = tag_of[stack[depth]]
+                    if kind in stop:
+                        break
+                    if kind in same:
                         close(depth)
-                    depth -= 1
             attrs = m[3] or m[6] or ""
             node = self._open(tag, attrs, stack)
             if tag in BLOCK or tag == "br":
@@ -151,27 +201,14 @@ class Page:
                 stop = RAW[tag].search(source, at)
                 at = stop.end() if stop else len(source)
                 continue
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            opened[tag] = opened.get(tag, 0) + 1
             stack.append(node)
         if at < len(source) and not self.gone[stack[-1]]:
             parts.append((stack[-1], source[at:]))
         close(0)
 
-    def linked(self) -> list[bool]:
-        """Of each subtree, whether more than half of its text is in links."""
-        n = len(self.tag)
-        chars, links, in_link = [0] * n, [0] * n, [False] * n
-        for i in range(1, n):
-            in_link[i] = in_link[self.parent[i]] or self.tag[i] == "a"
-        for node, text in self.parts:
-            if text and not self.gone[node]:
-                size = len(" ".join(text.split()))
-                chars[node] += size
-                links[node] += size * in_link[node]
-        for i in range(n - 1, 0, -1):
-            chars[self.parent[i]] += chars[i]
-            links[self.parent[i]] += links[i]
-        return [2 * k > c for c, k in zip(chars, links, strict=True)]
-
     def densities(self) -> tuple[list[float], list[float]]:
         """Density and density sum of every node; 0 for nodes taken out."""
         n = len(self.tag)
@@ -212,31 +249,30 @@ class Page:
         alive = [i for i in range(len(self.tag)) if not self.gone[i] and density[i] > 0]
         if not alive:
             return []
-        # Where the page marks articles (or else a main part), only these are looked at.
-        area = []
-        for kind in ("article", "main"):
-            area = [i for i in alive if self.tag[i] == kind]
-            if area:
-                break
-        if area:
-            best = max(area, key=lambda i: (max(total[j] for j in range(i, self.end[i])), -i))
-            while self.parent[best] > 0 and any(self.tag[p] == self.tag[best] for p in self._path(self.parent[best])):
-                best = self.parent[best]
-            return [(best, self.end[best])]
         best = max(alive, key=lambda i: (total[i], density[i], -i))
         path = [best, *self._path(self.parent[best])] if best else [0]
+        chars, links = self._sizes()
+        for kind in ("article", "main"):
+            around = [i for i in path if self.tag[i] == kind]
+            if around:  # the dense subtree stands in a marked part: that is the article's extent
+                return [(around[-1], self.end[around[-1]])]
+            within = [i for i in alive if self.tag[i] == kind and best < i < self.end[best]]
+            outer = []
+            for i in within:
+                if not outer or i >= self.end[outer[-1]]:
+                    outer.append(i)
+            if 2 * sum(chars[i] for i in outer) > chars[best]:  # it holds marked parts, and most of its text is in them
+                return [(i, self.end[i]) for i in outer]
         body = next((i for i in path if self.tag[i] == "body"), path[-1])
         path = path[: path.index(body) + 1]
         threshold = min(density[i] for i in path)
-        out, linked = [(best, self.end[best])], self.linked()
-        for up in path[1:]:
-            out.append((up, up + 1))  # text that stands in it directly
-            for child in range(up + 1, self.end[up]):
-                if self.parent[child] == up and child not in path and not self.gone[child]:
-                    heading = self.tag[child] in HEADINGS
-                    if heading or (density[child] >= threshold if self.tag[child] in BLOCK else not linked[child]):
-                        out.append((child, self.end[child]))
-        return sorted(out)
+        on_path, out = set(path), [(best, self.end[best])]
+        for child in range(1, len(self.tag)):
+            if self.parent[child] in on_path and child not in on_path and self.parent[child] != best and not self.gone[child]:
+                heading = self.tag[child] in HEADINGS
+                if heading or (density[child] >= threshold if self.tag[child] in BLOCK else 2 * links[child] <= chars[child]):
+                    out.append((child, self.end[child]))
+        return sorted([*out, *((up, up + 1) for up in path[1:])])  # and text that stands directly on the path
 
     def _path(self, node: int) -> list[int]:
         out = []
@@ -246,10 +282,12 @@ class Page:
         return out
 
     def text(self) -> str:
-        ranges = self.main()
+        keep = [False] * len(self.tag)
+        for a, b in self.main():
+            keep[a:b] = [True] * (b - a)
         blocks: list[list[str]] = [[]]
         for node, text in self.parts:
-            if not any(a <= node < b for a, b in ranges) or self.gone[node]:
+            if not keep[node] or self.gone[node]:
                 if text is None:
                     blocks.append([])
                 continue
@@ -270,7 +308,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """Returns page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html).
 
     A null or empty html, and a page of menus only, give an empty text. Broken markup never fails: unclosed elements end
-    with their parent, and a stray end tag is ignored. Pages are handled one by one without a shuffle, whole however long.
+    with their parent, and a stray end tag is ignored. Pages are handled one by one without a shuffle, whole however long,
+    in time and memory proportional to their length. Rows that repeat a page_id give a row each; further columns go.
     """
     lean_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")

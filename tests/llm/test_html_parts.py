@@ -21,3 +21,28 @@ def test_names_with_other_words_stay(part):
 @pytest.mark.parametrize("part", ['<div class="related-reading"><a href=x>x y</a></div>', '<div class="share-buttons">x y</div>', '<div class="ad">x y</div>', '<p class="hidden">x</p>', '<ul class="comment-list"><li>x y</ul>'])
 def test_marks_alone_and_links_go(part):
     assert html_text.main_text(f"<article><p>one</p>{part}</article>") == "one"
+
+
+@pytest.mark.parametrize("name", ["post share-count", "article-content related-fix", "story alert", "hidden-gem-post", "responsive ad", "entry comment-enabled", "comments"])
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_no_name_empties_a_page(name, tag):
+    source = f'<body><nav><a href=x>menu</a></nav><{tag} class="{name}"><h1>T</h1><p>{A}</p><p>{B}</p></{tag}><div class="ad">buy</div></body>'
+    assert html_text.main_text(source) == f"T\n{A}\n{B}"
+
+
+def test_density_decides_between_marked_parts():
+    teasers = "".join(f"<article><a href=x>teaser {k}</a></article>" for k in range(6))
+    assert html_text.main_text(f"<body><div>{teasers}</div><div><p>{A}</p><p>{B}</p></div></body>") == f"{A}\n{B}"
+    both = f"<article><p>{A}</p></article><article><p>{B}</p></article>"
+    assert html_text.main_text(f"<body><div>{both}</div><footer>f</footer></body>") == f"{A}\n{B}"
+    comments = f'<div class="comments"><article><p>{B * 3}</p></article></div>'
+    assert html_text.main_text(f"<body><article><p>{A}</p></article>{comments}</body>") == A
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    began = time.perf_counter()
+    html_text.main_text("<div>" + "<span>x" * 40_000 + "<p>y</p></i>" * 2000)
+    html_text.main_text("<ul>" + "<b>x" * 20_000 + "<li>y" * 2000)
+    assert time.perf_counter() - began < 10
