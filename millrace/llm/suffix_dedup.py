@@ -13,7 +13,7 @@ are brought together first, and the transform is built over bounded segments:
    symbol, as in a positional Burrows-Wheeler transform) and updates the common lengths of neighbours. A start is
    repeated when a neighbour has ``length`` symbols in common, compared byte by byte.
 
-The strings of an anchor that more texts have than one task should hold are counted instead, by two hashes.
+The strings of an anchor with more segments than one task should hold are counted instead, by two hashes.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from .shared import Workspace, small, table
 from .textnp import BYTE, U, chunks, column, mix, powers, prefix, spans
 
 LENGTH, GRAM = 400, 48
-#: Texts with one anchor that a task takes, and segments sorted at once.
+#: Segments of one anchor that a task takes, and segments sorted at once.
 CROWD, BATCH = 16384, 4096
 
 
@@ -209,7 +209,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
     found = ws.write(long_enough.select("body", "t1", "t2").mapInArrow(find, "h long, t1 long, t2 long, spots binary"), "anchors")
     texts = long_enough.groupBy("t1", "t2").agg(F.min("doc_id").alias("one"), F.count("*").alias("copies"), F.max(F.octet_length("body")).alias("n"))
     texts = ws.write(texts, "texts")
-    often = found.groupBy("h").agg(F.count("*").alias("times"), F.sum(F.octet_length("spots")).alias("size")).where("size > 12").select("h", "times")
+    often = found.groupBy("h").agg((F.sum(F.octet_length("spots")) / 12).alias("times")).where("times > 1")
     # What several tasks saw of one text counts once.
     shared = found.join(often, "h").groupBy("t1", "t2", "h", "spots").agg(F.max("times").alias("times"))
     per_text = shared.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "spots", (F.col("times") > crowd).alias("hot"))).alias("anchors"))
