@@ -76,9 +76,9 @@ def normalize_support(value: Column) -> Column:
 
 
 def normalize_relation(value: Column) -> Column:
-    """left_of before right_of, by substring; empty if neither."""
-    t = _squeezed(value)
-    return F.when(F.contains(t, F.lit("left")), "left_of").when(F.contains(t, F.lit("right")), "right_of").otherwise("")
+    """left_of before right_of, by substring; else the cleaned text."""
+    t = clean_name(F.coalesce(value, F.lit("")))
+    return F.when(F.contains(t, F.lit("left")), "left_of").when(F.contains(t, F.lit("right")), "right_of").otherwise(t)
 
 
 def infer_support(text: Column) -> Column:
@@ -86,7 +86,7 @@ def infer_support(text: Column) -> Column:
     t = _squeezed(text)
     return (
         F.when(t.rlike(r"\b(wrong|incorrect|mismatch|does not match|not the evidence|invalid)\b"), "wrong_evidence")
-        .when(t.rlike(r"\b(contradicts|contradicted|contradict|unsupported|not supported|no support)\b"), "contradicted")
+        .when(t.rlike(r"\b(contradict|contradicted|unsupported|not supported|no support)\b"), "contradicted")
         .when(t.rlike(r"\b(supported|correct|matches|match)\b"), "supported")
         .otherwise("unknown")
     )

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Names that keep "is" and take no article, and names whose article is given.
-PLURALS = ["scissors", "skis"]
-OVERRIDES = {"broccoli": "broccoli", "scissors": "scissors", "skis": "skis", "bus": "a bus"}
-EVIDENCE_CUE = r"(?i)\b(evidence|because|based on|visible|annotated)\b"
+# Names that come in pairs, and words that cue evidence.
+PAIRS = ["scissors", "skis"]
+EVIDENCE_CUE = r"(?i)\b(evidence|visible|visually|see|seen|image|picture|photo|shown|because)\b"
 
 
 def clean_name(name: Column) -> Column:
@@ -20,19 +17,19 @@ def clean_name(name: Column) -> Column:
 
 
 def is_plural(name: Column) -> Column:
-    """Ends in s, "bus" and names in ss aside."""
-    return (F.endswith(name, F.lit("s")) & ~F.endswith(name, F.lit("ss")) & (name != "bus")) | name.isin(PLURALS)
+    """Whether a cleaned name ends in s, "bus" aside."""
+    return F.endswith(name, F.lit("s")) & (name != "bus")
 
 
 def article_phrase(name: Column) -> Column:
-    """"a dog", "an apple", "skis"."""
-    known = reduce(lambda c, kv: c.when(name == kv[0], kv[1]), list(OVERRIDES.items())[1:], F.when(name == "broccoli", "broccoli"))
+    """"a dog", "an apple", "cats", "a pair of skis"; the name is cleaned first."""
+    name = clean_name(name)
     article = F.when(F.substring(name, 1, 1).isin(list("aeiou")), F.lit("an ")).otherwise(F.lit("a "))
-    return known.when(is_plural(name), name).otherwise(F.concat(article, name))
+    return F.when(name.isin(PAIRS), F.concat(F.lit("a pair of "), name)).when(is_plural(name), name).otherwise(F.concat(article, name))
 
 
 def be_verb(name: Column) -> Column:
-    return F.when(is_plural(name), "are").otherwise("is")
+    return F.when(is_plural(clean_name(name)), "are").otherwise("is")
 
 
 def token_count(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 Annotation tables: images (image_id, file_name, width, height), annotations (image_id, category_id, x, y, w, h, area,
 iscrowd), categories (category_id, name). Scene graphs: objects (image_id, object_id, name, x, y, w, h, attributes,
-relations array<struct<name, object>>).
+relations array<struct<name, object>>), or graphs with a map of them.
 """
 
 from __future__ import annotations
@@ -14,18 +14,24 @@ from ..functions.geometry import box_area, holds_relation, normalize_xywh
 from ..functions.text import article_phrase, be_verb, clean_name
 from .sampling import capped_per_key, stable_key, stable_unit
 
-# Objects whose absence annotations don't prove, colours, materials, flipped relations.
-LOW_CONFIDENCE = ["book", "bottle", "bowl", "chair", "cup", "fork", "handbag", "knife", "person", "potted plant", "remote", "spoon", "backpack", "cell phone", "dining table"]
+# Objects whose absence annotations hardly prove, colours, materials, other names for them, attributes that
+# are easily confused, flipped relations.
+LOW_CONFIDENCE = ["fork", "knife", "spoon", "remote", "cell phone", "toothbrush", "hair drier", "scissors", "sports ball", "tie", "handbag", "book", "clock", "mouse", "keyboard"]
 COLORS = ["black", "blue", "brown", "gray", "green", "orange", "pink", "purple", "red", "white", "yellow"]
-MATERIALS = ["brick", "ceramic", "concrete", "glass", "leather", "metal", "paper", "plastic", "stone", "tile", "wicker", "wood"]
-ALIASES = {"grey": "gray", "wooden": "wood"}
-FLIPS = {"left_of": "right_of", "right_of": "left_of", "above": "below", "below": "above"}
+MATERIALS = ["brick", "ceramic", "cloth", "fabric", "glass", "leather", "metal", "paper", "plastic", "rubber", "stone", "wooden"]
+ALIASES = {"grey": "gray", "silver": "gray"}
+CONFUSABLE = [("gray", "white"), ("gray", "black"), ("white", "gray"), ("white", "yellow"), ("brown", "orange"), ("orange", "brown")]
+FLIPS = {"left": "right", "right": "left", "above": "below", "below": "above"}
+#: How much likelier a related class is drawn, and how much less likely a doubtful or confusable one.
+RELATED, DOUBTFUL = 3.0, 0.35
+#: Names that a vocabulary may have to be held as a literal.
+VOCABULARY = 10_000
 QUESTIONS = ["Is there {} in the image?", "Can you see {} in this image?", "Does the image contain {}?"]
 
 
 def visible_objects(images: DataFrame, annotations: DataFrame, categories: DataFrame, min_area: float = 0.01) -> DataFrame:
     """(image_id, name, max_area): classes seen in each image, crowds and boxes below ``min_area`` of the image left out."""
-    area = F.coalesce("area", box_area(F.col("w"), F.col("h")))
+    area = F.coalesce(F.nullif("area", F.lit(0)), box_area(F.col("w"), F.col("h")))
     rows = annotations.where(F.coalesce("iscrowd", F.lit(0)) != 1).withColumn("box", area).join(images, "image_id").join(categories, "category_id")
     rows = rows.where((F.col("width") * F.col("height") > 0) & (F.col("box") >= min_area * F.col("width") * F.col("height")))
     return rows.groupBy("image_id", clean_name(F.col("name")).alias("name")).agg(F.max("box").alias("max_area"))
@@ -42,99 +48,163 @@ def best_boxes(images: DataFrame, annotations: DataFrame, categories: DataFrame)
 def absent_candidates(visible: DataFrame, groups: DataFrame, exclude: list[str] | None = None) -> DataFrame:
     """(image_id, positive, negative): for each visible class the classes of its coarse group that the image lacks.
 
-    ``groups`` (name, grp) is a fixed vocabulary of a few hundred names. The pairs of an image are bounded by its classes
-    times a group, so this is a join on the group and an anti join, not a product with all images.
+    ``groups`` (name, grp) is a bounded vocabulary. An image's classes become one row: one shuffle, no join.
     """
-    own = visible.join(F.broadcast(groups), "name").select("image_id", F.col("name").alias("positive"), "grp")
-    pairs = own.join(F.broadcast(groups.select("grp", F.col("name").alias("negative"))), "grp").where("positive <> negative")
-    if exclude:
-        pairs = pairs.where(~F.col("negative").isin(exclude))
-    seen = visible.select("image_id", F.col("name").alias("negative"))
-    return pairs.join(seen, ["image_id", "negative"], "left_anti").select("image_id", "positive", "negative", "grp")
+    known = vocabulary(groups)
+    images = visible.groupBy("image_id").agg(F.collect_set("name").alias("seen"))
+    own = images.select("image_id", "seen", F.explode(F.filter(known, lambda v: F.array_contains(F.col("seen"), v["name"]))).alias("p"))
+    lacks = F.filter(known, lambda v: (v["grp"] == F.col("p.grp")) & ~F.array_contains(F.col("seen"), v["name"]) & ~v["name"].isin(exclude or []))
+    return own.select("image_id", F.col("p.name").alias("positive"), F.explode(lacks).alias("n"), F.col("p.grp").alias("grp")).select("image_id", "positive", F.col("n.name").alias("negative"), "grp")
+
+
+def vocabulary(names: DataFrame) -> Column:
+    """A bounded table (name, grp) as a literal array of (name, grp), sorted by name."""
+    rows = names.select("name", "grp").distinct().orderBy("name").limit(VOCABULARY + 1).collect()
+    if len(rows) > VOCABULARY:
+        raise ValueError(f"a vocabulary of more than {VOCABULARY} names can't be a literal")
+    kind = "array<struct<name:string,grp:string>>"
+    return F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.grp).alias("grp")) for r in rows]).cast(kind) if rows else F.array().cast(kind)
+
+
+def drawn(options: Column, weight, seed: str, *ids: Column) -> Column:
+    """The member of an array of (name, ...) that is drawn with chances by ``weight(member)``: the largest ln(u) / weight."""
+    scored = F.transform(options, lambda o: F.struct((F.ln(stable_unit(seed, *ids, o["name"])) / weight(o)).alias("s"), o["name"].alias("o")))
+    return F.array_max(scored)["o"]
 
 
 def object_pairs(visible: DataFrame, groups: DataFrame, per_image: int = 2, seed: str = "pairs") -> DataFrame:
     """Preference pairs on what an image shows: the chosen answer names a visible class, the rejected one an absent class.
 
-    Positives are drawn by area without replacement, negatives with three times the chance in the positive's group.
-    Images need two visible classes at least.
+    Positives are drawn by area without replacement. Negatives are drawn from all classes that the image lacks, those of the
+    positive's group with three times the chance, doubtful ones with 0.35 of it. Images need two visible classes at least.
+    One shuffle: an image's classes are one row, bounded by the vocabulary ``groups`` (name, grp).
     """
-    many = visible.groupBy("image_id").agg(F.count("*").alias("k")).where("k >= 2").select("image_id")
-    score = F.ln(stable_unit(seed, F.col("image_id"), F.col("name"))) / F.greatest("max_area", F.lit(1.0))
-    positives = capped_per_key(visible.join(many, "image_id", "left_semi").withColumn("s", score), ["image_id"], per_image, [F.col("s").desc(), "name"])
-    related = absent_candidates(positives, groups, LOW_CONFIDENCE)
-    related = related.join(visible.select("image_id", F.col("name").alias("negative")), ["image_id", "negative"], "left_anti")
-    pick = stable_key(seed, F.col("image_id"), F.col("positive"), F.col("negative"))
-    pairs = capped_per_key(related, ["image_id", "positive"], 1, [pick])
-    q = F.conv(F.substring(stable_key(seed + "q", F.col("image_id"), F.col("positive")), 1, 7), 16, 10).cast("int") % len(QUESTIONS)
-    phrase = article_phrase(F.col("positive"))
+    c, known = F.col, vocabulary(groups)
+    images = visible.groupBy("image_id").agg(F.collect_list(F.struct("name", c("max_area").cast("double").alias("area"))).alias("seen")).where(F.size("seen") >= 2)
+    score = lambda o: F.ln(stable_unit(seed, c("image_id"), o["name"])) / F.greatest(o["area"], F.lit(1.0))
+    ranked = F.array_sort(F.transform("seen", lambda o: F.struct((-score(o)).alias("k"), o["name"].alias("name"))))
+    pairs = images.select("image_id", F.transform("seen", lambda o: o["name"]).alias("seen"), F.explode(F.slice(ranked, 1, per_image)).alias("p")).select("image_id", "seen", c("p.name").alias("positive"))
+    pairs = pairs.withColumn("grp", F.try_element_at(F.transform(F.filter(known, lambda v: v["name"] == c("positive")), lambda v: v["grp"]), F.lit(1)))
+    weight = lambda v: F.when(v["grp"] == c("grp"), RELATED).otherwise(1.0) * F.when(v["name"].isin(LOW_CONFIDENCE), DOUBTFUL).otherwise(1.0)
+    absent = F.filter(known, lambda v: ~F.array_contains(c("seen"), v["name"]))
+    pairs = pairs.withColumn("negative", drawn(absent, weight, seed, c("image_id"), c("positive"))).where("negative is not null")
+    q = F.conv(F.substring(stable_key(seed + "q", c("image_id"), c("positive")), 1, 7), 16, 10).cast("int") % len(QUESTIONS)
+    phrase = article_phrase(c("positive"))
     question = F.element_at(F.array(*[F.format_string(t.replace("{}", "%s"), phrase) for t in QUESTIONS]), q + 1)
     return pairs.select(
         "image_id", "positive", "negative", question.alias("question"),
         F.format_string("Yes, there is %s in the image.", phrase).alias("chosen"),
-        F.format_string("Yes, there is %s in the image.", article_phrase(F.col("negative"))).alias("rejected"),
+        F.format_string("Yes, there is %s in the image.", article_phrase(c("negative"))).alias("rejected"),
         F.format_string("Evidence hint: annotated visible object: %s.", "positive").alias("hint_chosen"),
         F.format_string("Evidence hint: unsupported object: %s is not annotated as visible.", "negative").alias("hint_rejected"),
     )
 
 
-def canonical_attribute(name: Column) -> Column:
-    out = clean_name(name)
-    for a, b in ALIASES.items():
-        out = F.when(out == a, b).otherwise(out)
-    return out
+def scene_objects(graphs: DataFrame, with_boxes: bool = True) -> DataFrame:
+    """Objects of scene graphs (image_id, width, height, objects map of id to name, x, y, w, h, attributes, relations).
+
+    Returns image_id, object_id, name, box, attributes, relations; objects without a name go, and with ``with_boxes`` those
+    without a box and graphs without a size.
+    """
+    rows = graphs.select("image_id", "width", "height", F.explode("objects").alias("object_id", "o"))
+    box = normalize_xywh(*[F.col(f"o.{k}") for k in "xywh"], F.col("width"), F.col("height"))
+    empty = lambda k: F.coalesce(F.col(f"o.{k}"), F.expr("array()"))
+    rows = rows.select("image_id", "object_id", clean_name(F.col("o.name")).alias("name"), box.alias("box"), empty("attributes").alias("attributes"), empty("relations").alias("relations"))
+    return rows.where((F.col("name") != "") & (F.col("box").isNotNull() if with_boxes else F.lit(True)))
+
+
+def simple_attributes(attributes: Column) -> Column:
+    """The colours and materials among attributes, each once, as an array of (kind, attribute)."""
+
+    def told(a: Column) -> Column:
+        name = clean_name(a)
+        for x, y in ALIASES.items():
+            name = F.when(name == x, y).otherwise(name)
+        return F.struct(F.when(name.isin(COLORS), "color").when(name.isin(MATERIALS), "material").alias("kind"), name.alias("attribute"))
+
+    return F.array_distinct(F.filter(F.transform(attributes, told), lambda t: t["kind"].isNotNull()))
+
+
+def side(name: Column) -> Column:
+    """A relation's name as left, right, above or below; null for any other."""
+    r = clean_name(name)
+    return (
+        F.when((r == "left") | F.contains(r, F.lit("left of")), "left").when((r == "right") | F.contains(r, F.lit("right of")), "right")
+        .when(r.isin("above", "above of", "over"), "above").when(r.isin("below", "below of", "under", "underneath"), "below")
+    )
+
+
+def flipped(relation: Column) -> Column:
+    return F.coalesce(*[F.when(relation == a, b) for a, b in FLIPS.items()])
+
 
+def attribute_candidates(objects: DataFrame) -> DataFrame:
+    """(image_id, object_id, object, box, kind, attribute) of every colour and material of ``scene_objects``."""
+    rows = objects.withColumn("t", F.explode(simple_attributes(F.col("attributes"))))
+    return rows.select("image_id", "object_id", F.col("name").alias("object"), "box", "t.kind", "t.attribute")
 
-def attribute_pairs(objects: DataFrame, seed: str = "attr") -> DataFrame:
-    """A colour or material of each object against another of the same kind, chosen by stable order."""
-    rows = objects.select("image_id", "object_id", clean_name(F.col("name")).alias("object"), F.explode(F.array_distinct(F.transform("attributes", canonical_attribute))).alias("attribute"))
-    kind = F.when(F.col("attribute").isin(COLORS), "color").when(F.col("attribute").isin(MATERIALS), "material")
-    rows = rows.withColumn("kind", kind).where("kind is not null")
-    held = rows.groupBy("image_id", "object_id").agg(F.collect_set("attribute").alias("held"))  # an object's own attributes
-    rows = rows.join(held, ["image_id", "object_id"])
-    options = F.when(F.col("kind") == "color", F.array(*map(F.lit, COLORS))).otherwise(F.array(*map(F.lit, MATERIALS)))
-    scored = F.transform(F.array_except(options, "held"), lambda o: F.struct(stable_key(seed, F.col("image_id"), F.col("object_id"), o).alias("k"), o.alias("o")))
-    rows = rows.withColumn("negative", F.array_min(scored)["o"]).where("negative is not null")
-    said = lambda c: F.format_string("The %s %s %s.", "object", be_verb(F.col("object")), c)
-    return rows.select("image_id", "object_id", "object", "kind", "attribute", "negative", F.format_string("What %s is the %s?", "kind", "object").alias("question"), said("attribute").alias("chosen"), said("negative").alias("rejected"))
-
-
-def relation_edges(objects: DataFrame) -> DataFrame:
-    """Edges of the scene graph with both names and boxes: relations joined to their target within the image."""
-    box = F.array((F.col("x") / F.col("width")), (F.col("y") / F.col("height")), ((F.col("x") + F.col("w")) / F.col("width")), ((F.col("y") + F.col("h")) / F.col("height")))
-    nodes = objects.select("image_id", "object_id", clean_name(F.col("name")).alias("name"), box.alias("box"), "relations")
-    edges = nodes.select("image_id", F.col("object_id").alias("subject_id"), F.col("name").alias("subject"), F.col("box").alias("subject_box"), F.explode("relations").alias("r"))
-    edges = edges.withColumn("relation", F.replace(F.replace(clean_name(F.col("r.name")), F.lit("to the "), F.lit("")), F.lit(" "), F.lit("_")))
-    targets = nodes.select("image_id", F.col("object_id").alias("target_id"), F.col("name").alias("object"), F.col("box").alias("object_box"))
-    edges = edges.join(targets, (edges["image_id"] == targets["image_id"]) & (F.col("r.object") == F.col("target_id"))).drop(targets["image_id"])
-    return edges.where(F.col("relation").isin(list(FLIPS)) & (F.col("subject") != F.col("object"))).drop("r")
-
-
-def relation_pairs(edges: DataFrame, check_boxes: bool = True) -> DataFrame:
-    """Left/right claims that the boxes bear out, against the opposite relation."""
-    rows = edges.where(F.col("relation").isin("left_of", "right_of"))
+
+def relation_candidates(objects: DataFrame, check_boxes: bool = False) -> DataFrame:
+    """(image_id, subject_id, subject, subject_box, object_id, object, object_box, relation) of edges whose target exists.
+
+    With ``check_boxes`` only left and right are kept, where the boxes bear them out.
+    """
+    edges = objects.select("image_id", F.col("object_id").alias("subject_id"), F.col("name").alias("subject"), F.col("box").alias("subject_box"), F.explode("relations").alias("r"))
+    edges = edges.withColumn("relation", side(F.col("r.name"))).where("relation is not null").withColumn("to", F.col("r.object")).drop("r")
+    targets = objects.select(F.col("image_id").alias("i"), F.col("object_id"), F.col("name").alias("object"), F.col("box").alias("object_box"))
+    out = edges.join(targets, (F.col("image_id") == F.col("i")) & (F.col("to") == F.col("object_id"))).drop("i", "to").distinct()
     if check_boxes:
-        rows = rows.where(holds_relation(F.col("relation"), F.col("subject_box"), F.col("object_box")))
-    side, other = F.when(F.col("relation") == "left_of", "left").otherwise("right"), F.when(F.col("relation") == "left_of", "right").otherwise("left")
-    say = lambda head, s: F.format_string(head + " the %s to the %s of the %s", "subject", s, "object")
+        out = out.where(holds_relation(F.concat("relation", F.lit("_of")), F.col("subject_box"), F.col("object_box")))
+    return out
+
+
+def negative_attribute(kind: Column, attribute: Column, seed: str, *ids: Column) -> Column:
+    """Another attribute of the kind; those that are easily confused with it have 0.35 of the chance."""
+    options = F.when(kind == "color", F.array(*map(F.lit, COLORS))).otherwise(F.array(*map(F.lit, MATERIALS)))
+    options = F.transform(F.filter(options, lambda o: o != attribute), lambda o: F.struct(o.alias("name")))
+    confusable = lambda o: F.concat_ws("|", attribute, o["name"]).isin([f"{a}|{b}" for a, b in CONFUSABLE])
+    return drawn(options, lambda o: F.when(confusable(o), DOUBTFUL).otherwise(1.0), seed, *ids)
+
+
+def attribute_pairs(candidates: DataFrame, seed: str = "attr") -> DataFrame:
+    """A colour or material of each of ``attribute_candidates`` against another of the same kind."""
+    c = F.col
+    rows = candidates.withColumn("negative", negative_attribute(c("kind"), c("attribute"), seed, c("image_id"), c("object_id"), c("attribute")))
+    said = lambda a: F.format_string("The %s %s %s.", "object", be_verb(c("object")), a)
     return rows.select(
-        "image_id", "subject", "relation", "object", F.concat(say("Is", side), F.lit("?")).alias("question"),
-        F.format_string("Yes, the %s is to the %s of the %s.", "subject", side, "object").alias("chosen"),
-        F.format_string("No, the %s is to the %s of the %s.", "subject", other, "object").alias("rejected"),
-        F.format_string("Evidence hint: annotated relation: %s %s %s.", "subject", "relation", "object").alias("hint_chosen"),
+        "image_id", "object_id", "object", F.concat(F.lit("attribute_"), "kind").alias("task_type"), "attribute", "negative",
+        F.format_string("What %s is the %s?", "kind", "object").alias("question"), said("attribute").alias("chosen"), said("negative").alias("rejected"),
+        F.format_string("Evidence hint: annotated attribute of %s: %s.", "object", "attribute").alias("hint_chosen"),
+        F.format_string("Evidence hint: mismatched attribute for %s: %s.", "object", "negative").alias("hint_rejected"),
     )
 
 
-def claim(span: Column, kind: Column, support: Column, evidence: Column) -> Column:
-    """A claim with its evidence (array of role, label, box)."""
-    return F.struct(span.alias("span"), kind.alias("type"), support.alias("support"), evidence.alias("evidence"))
+def relation_pairs(candidates: DataFrame) -> DataFrame:
+    """Each of ``relation_candidates`` against the opposite relation."""
+    rows = candidates.withColumn("negative", flipped(F.col("relation")))
+    sideways = F.col("relation").isin("left", "right")
+    phrase = lambda r: F.when(sideways, F.format_string("to the %s of the %s", r, "object")).otherwise(F.format_string("%s the %s", r, "object"))
+    asked = F.when(sideways, F.format_string("to the %s of", "relation")).otherwise(F.col("relation"))
+    return rows.select(
+        "image_id", "subject_id", "object_id", "subject", "relation", "object", "negative", F.format_string("What is %s the %s?", asked, "object").alias("question"),
+        F.format_string("The %s is %s.", "subject", phrase("relation")).alias("chosen"), F.format_string("The %s is %s.", "subject", phrase("negative")).alias("rejected"),
+        F.format_string("Evidence hint: annotated relation: %s %s %s.", "subject", "relation", "object").alias("hint_chosen"),
+        F.format_string("Evidence hint: contradicted relation: %s %s %s.", "subject", "negative", "object").alias("hint_rejected"),
+    )
+
 
+def wrong_evidence(records: DataFrame, pool: str, label: str, row: str, seed: str = "wrong") -> DataFrame:
+    """Rows (pool, label, row) with ``wrong_label``: another label of the same pool, the next one in stable order.
 
-def wrong_evidence(records: DataFrame, pool: str, own: str, seed: str = "wrong") -> DataFrame:
-    """The same answers with the evidence label replaced by another member of the record's evidence pool."""
-    scored = F.transform(F.filter(pool, lambda p: p != F.col(own)), lambda p: F.struct(stable_key(seed, F.col("id"), p).alias("k"), p.alias("p")))
-    out = records.withColumn("wrong_label", F.array_min(scored)["p"]).where("wrong_label is not null")
-    return out.withColumn("negative_type", F.lit("evidence_wrong")).withColumn("source_record_id", F.col("id"))
+    Labels of a pool are put in the order of their stable key, and each takes the next one, the last the first. So a row
+    meets one label, however large its pool; pools of one label give no rows.
+    """
+    key = stable_key(seed, F.col(pool), F.col(label))
+    labels = records.select(pool, label).distinct().withColumn("_k", key)
+    order = Window.partitionBy(pool).orderBy("_k", label)
+    labels = labels.withColumn("wrong_label", F.coalesce(F.lead(label).over(order), F.first(label).over(order))).where(F.col("wrong_label") != F.col(label))
+    out = records.join(labels.drop("_k"), [pool, label])
+    return out.withColumn("negative_type", F.lit("evidence_wrong")).withColumn("source_record_id", F.col(row))
 
 
 def without_ids(df: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
@@ -155,8 +225,3 @@ def only_ids(df: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
         out = out.unionByName(left.join(ids, F.col(c) == F.col("_held"), "left_semi"))
         left = left.join(ids, F.col(c).eqNullSafe(F.col("_held")), "left_anti")
     return out
-
-
-def rank_by_size(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
-    """Rows with their rank by ``value`` within ``keys``."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(value).desc(), tie)))

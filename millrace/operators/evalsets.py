@@ -2,14 +2,45 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import article_phrase
+from ..functions.text import article_phrase, clean_name
 from .sampling import capped_per_key, round_robin
 
-# Question wordings of the paraphrase set, by variant.
-WORDINGS = ["Is it true that %s?", "Would you say that %s?", "Does the picture show that %s?"]
+# The three wordings of a probe question and of its evidence, by kind of evidence.
+WORDINGS = [
+    "Question for the image: {question}\nClaim to verify: {claim}\nProposed visual support: {evidence}\nJudge whether the proposed support is valid evidence for the claim.",
+    "Image question: {question}\nWe are checking this claim: {claim}\nThe candidate support says: {evidence}\nDoes this support actually back up the claim in the image?",
+    "Consider the visual claim '{claim}' for the image question '{question}'.\nCandidate support description: {evidence}\nDecide if that support should be accepted for the claim.",
+]
+RELATION_EVIDENCE = [
+    "it identifies {subject} as being {direction} {object}",
+    "the supporting relation is that {subject} is {direction} {object}",
+    "a relation cue with subject {subject}, object {object}, and direction {relation}",
+]
+ATTRIBUTE_EVIDENCE = [
+    "it describes {label} with attribute {attribute}",
+    "the evidence phrase says the {label} is {attribute}",
+    "a support cue naming {label} and the property {attribute}",
+]
+OBJECT_EVIDENCE = [
+    "it points to the object category {label}",
+    "the proposed support is the visible label {label}",
+    "a support cue naming {label}",
+]
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with columns in its braces."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[(values[p] if i % 2 else F.lit(p)) for i, p in enumerate(parts) if p])
+
+
+def by_variant(variant: Column, templates: list[str], **values: Column) -> Column:
+    return F.element_at(F.array(*[filled(t, **values) for t in templates]), variant + 1)
 
 
 def yes_no_rows(pairs: DataFrame) -> DataFrame:
@@ -33,26 +64,60 @@ def balanced_probe(rows: DataFrame, bucket: str, n: int, order: list[Column]) ->
 
 
 def relation_stress(rows: DataFrame) -> DataFrame:
-    """Two stress rows of each (id, subject, relation, object): roles swapped, and the relation reversed."""
-    other = F.when(F.col("relation") == "left_of", "right_of").when(F.col("relation") == "right_of", "left_of").when(F.col("relation") == "above", "below").otherwise("above")
-    make = lambda kind, s, r, o: F.struct(F.lit(kind).alias("stress"), s.alias("s"), r.alias("r"), o.alias("o"))
+    """Two stress rows of each left/right (id, subject, relation, object): roles swapped, and the relation reversed."""
     c = F.col
-    rows = rows.withColumn("x", F.explode(F.array(make("swap", c("object"), c("relation"), c("subject")), make("reversal", c("subject"), other, c("object")))))
-    return rows.select("id", "x.stress", F.format_string("%s %s %s", "x.s", "x.r", "x.o").alias("evidence"), F.lit("wrong_evidence").alias("target_support"))
+    rows = rows.withColumns({"subject": clean_name(c("subject")), "object": clean_name(c("object"))}).where(c("relation").isin("left_of", "right_of") & (c("subject") != "") & (c("object") != ""))
+    other = F.when(c("relation") == "left_of", "right_of").otherwise("left_of")
+    make = lambda kind, s, r, o: F.struct(F.lit(kind).alias("stress"), s.alias("s"), r.alias("r"), o.alias("o"))
+    rows = rows.withColumn("x", F.explode(F.array(make("subject_object_swap", c("object"), c("relation"), c("subject")), make("left_right_reversal", c("subject"), other, c("object")))))
+    claim = F.concat_ws(" ", "subject", "relation", "object")
+    question = filled(
+        "Visual question: Is the {subject} to the {side} of the {object}?\nCandidate claim: {claim}\nCandidate evidence: subject={s}; object={o}; relation={r}\n"
+        "Decide whether the candidate evidence supports the claim in the image.",
+        subject=c("subject"), side=F.replace(c("relation"), F.lit("_of"), F.lit("")), object=c("object"), claim=claim, s=c("x.s"), o=c("x.o"), r=c("x.r"),
+    )
+    return rows.select(
+        "id", c("x.stress").alias("stress_type"), question.alias("question"), F.lit("yes").alias("target_answer"), F.lit("wrong_evidence").alias("target_support"), claim.alias("target_claim"),
+        c("x.s").alias("target_subject"), c("x.o").alias("target_object"), c("x.r").alias("target_relation"), F.lit("wrong_evidence").alias("task_type"), F.lit("relation_spatial").alias("base_task_type"),
+    )
+
+
+def probe_evidence(variant: Column, claim: Column, label: Column, subject: Column, relation: Column, obj: Column) -> Column:
+    """The evidence of a probe row in words: its relation if it has one, else the attribute of its claim, else its label."""
+    label = F.when(clean_name(F.coalesce(label, F.lit(""))) == "", "unknown object").otherwise(clean_name(label))
+    attribute = F.regexp_extract(clean_name(F.coalesce(claim, F.lit(""))), "^.* is (.+)$", 1)
+    direction = F.replace(F.replace(relation, F.lit("_of"), F.lit(" of")), F.lit("_"), F.lit(" "))
+    return (
+        F.when(F.coalesce(relation, F.lit("")) != "", by_variant(variant, RELATION_EVIDENCE, subject=clean_name(subject), direction=direction, object=clean_name(obj), relation=relation))
+        .when(attribute != "", by_variant(variant, ATTRIBUTE_EVIDENCE, label=label, attribute=attribute))
+        .otherwise(by_variant(variant, OBJECT_EVIDENCE, label=label))
+    )
+
+
+def visual_question(claim: Column, question: Column) -> Column:
+    """The question that a left/right claim answers, else the line marked as visual question, else the first line."""
+    parts = lambda k: F.regexp_extract(F.trim(claim), r"^(.+?)\s+(left|right)_of\s+(.+)$", k)
+    marked = F.regexp_extract(question, r"(?m)^Visual question:(.*)$", 1)
+    told = F.concat(F.lit("Is the "), parts(1), F.lit(" to the "), parts(2), F.lit(" of the "), parts(3), F.lit("?"))
+    first = F.trim(F.substring_index(question, "\n", 1))
+    return F.when(parts(2) != "", told).when(F.contains(question, F.lit("Visual question:")), F.trim(marked)).when(question == "", "Is the claim visually supported?").otherwise(first)
 
 
 def paraphrases(rows: DataFrame, index: Column) -> DataFrame:
-    """The wording of each (id, statement) by its index modulo three."""
+    """Probe rows (id, question, target_claim, target_evidence_label, target_subject, target_relation, target_object) in the wording of their index modulo three."""
     variant = F.pmod(index, F.lit(len(WORDINGS))).cast("int")
-    text = F.element_at(F.array(*[F.format_string(w, "statement") for w in WORDINGS]), variant + 1)
-    return rows.select("id", variant.alias("variant"), text.alias("question"))
+    c = F.col
+    evidence = probe_evidence(variant, c("target_claim"), c("target_evidence_label"), c("target_subject"), c("target_relation"), c("target_object"))
+    text = by_variant(variant, WORDINGS, question=visual_question(c("target_claim"), c("question")), claim=c("target_claim"), evidence=evidence)
+    return rows.select("id", variant.cast("string").alias("paraphrase_variant"), c("id").alias("paraphrase_source_id"), text.alias("question"))
 
 
 def error_kind(target: Column, prediction: Column) -> Column:
-    """What went wrong with a scored row: false_positive, false_negative, invalid or correct."""
+    """What went wrong with a scored row: false_positive, false_negative, invalid_error, or correct (for any target but yes and no, too)."""
+    prediction, target = F.coalesce(prediction, F.lit("")), F.coalesce(target, F.lit(""))
     return (
-        F.when(target == prediction, "correct").when((target == "no") & (prediction == "yes"), "false_positive")
-        .when((target == "yes") & (prediction == "no"), "false_negative").otherwise("invalid")
+        F.when((target == "no") & (prediction == "yes"), "false_positive").when((target == "yes") & (prediction == "no"), "false_negative")
+        .when(target.isin("yes", "no") & (prediction != target), "invalid_error").otherwise("correct")
     )
 
 

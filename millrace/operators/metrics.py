@@ -5,11 +5,12 @@ Counts are integers and ratios are plain divisions, unrounded; 0 where nothing i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import normalize_target, parse_prediction
 from ..functions.text import has_evidence_cue, word_count
+from .sampling import stable_unit
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -127,19 +128,30 @@ def compare_models(scored: DataFrame, row_id: str, model: str, base: str, by: li
 def bootstrap_rate(df: DataFrame, value: str, by: list[str], draws: int, seed: str = "boot") -> DataFrame:
     """Mean, standard error and 2.5 / 97.5 percentiles of the means of ``draws`` resamples of 0/1 values, by group.
 
-    The mean of a resample of n zeros and ones depends on the number of ones alone, so resamples are made from the counts:
-    a normal deviate by the sum of twelve hashed uniform numbers stands for the binomial draw of a large group; groups are
-    never copied ``draws`` times. An empty group gives no row.
+    The sum of a resample of n zeros and ones is binomial, so each is drawn from its distribution by a hashed uniform number:
+    probabilities follow from one to the next (over 40 standard deviations, beyond which they vanish), and one sort by
+    value tells where each draw falls. Groups are never copied. An empty group gives no row.
     """
-    groups = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
-    draw = groups.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    key = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in by], F.col("b").cast("string")))
-    parts = [F.conv(F.substring(key, 1 + 4 * i, 4), 16, 10).cast("double") / 65536.0 for i in range(8)]
-    deviate = (sum(parts[1:], parts[0]) - 4.0 + 4.0 / 65536.0) / F.sqrt(F.lit(8.0 / 12.0))
-    mean = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round((F.col("mean") + deviate * F.sqrt(F.col("mean") * (1 - F.col("mean")) / F.col("n"))) * F.col("n")) / F.col("n")))
-    draw = draw.withColumn("drawn", mean)
+    c, key = F.col, F.concat_ws("|", *[F.col(b).cast("string") for b in by])
+    groups = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(c(value).cast("double")).alias("mean")).where("mean is not null")
+    sd, mid = F.sqrt(c("n") * c("mean") * (1 - c("mean"))), c("n") * c("mean")
+    bound = lambda x: F.when(sd == 0, F.round(mid).cast("long")).otherwise(x)
+    low = bound(F.greatest(F.lit(0), F.floor(mid - 40 * sd - 10).cast("long")))
+    high = bound(F.least(c("n"), F.ceil(mid + 40 * sd + 10).cast("long")))
+    groups = groups.withColumns({"lo": low, "hi": high})
+    own = Window.partitionBy(*by)
+    k = groups.withColumn("k", F.explode(F.sequence("lo", "hi")))
+    step = F.when(c("k") > c("lo"), F.ln((c("n") - c("k") + 1) / c("k")) + F.ln(c("mean") / (1 - c("mean")))).otherwise(0.0)
+    k = k.withColumn("l", F.sum(step).over(own.orderBy("k")))
+    k = k.withColumn("w", F.exp(c("l") - F.max("l").over(own)))
+    points = k.select(*by, "n", "mean", "lo", "hi", (F.sum("w").over(own.orderBy("k")) / F.sum("w").over(own)).alias("v"), F.lit(0).alias("draw"))
+    u = stable_unit(seed, key, c("b"))
+    drawn = groups.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(*by, "n", "mean", "lo", "hi", u.alias("v"), F.lit(1).alias("draw"))
+    below = F.sum(1 - c("draw")).over(own.orderBy("v", c("draw").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    rows = points.unionByName(drawn).withColumn("below", below).where("draw = 1")
+    rows = rows.withColumn("drawn", F.least(c("lo") + c("below"), c("hi")).cast("double") / c("n"))
     q = lambda p: F.percentile("drawn", F.lit(p))
-    return draw.groupBy(*by, "n", "mean").agg(F.stddev_samp("drawn").alias("se"), q(0.025).alias("low"), q(0.975).alias("high"))
+    return rows.groupBy(*by, "n", "mean").agg(F.stddev_samp("drawn").alias("se"), q(0.025).alias("low"), q(0.975).alias("high"))
 
 
 def trend(rows: DataFrame, step: str, value: str) -> DataFrame:

@@ -61,7 +61,7 @@ s AS (SELECT *, CASE
         WHEN regexp_matches(x, '\\byes\\b') THEN 'yes'
         WHEN regexp_matches(x, '\\bno\\b') THEN 'no' ELSE 'other' END AS prediction,
       len(regexp_extract_all(generation, '[A-Za-z0-9'']+')) AS n_words,
-      regexp_matches(generation, '(?i)\\b(evidence|because|based on|visible|annotated)\\b') AS cue FROM t)"""
+      regexp_matches(generation, '(?i)\\b(evidence|visible|visually|see|seen|image|picture|photo|shown|because)\\b') AS cue FROM t)"""
 _COUNTS = """count(*) AS n, count(*) FILTER (WHERE target = 'yes') AS n_yes, count(*) FILTER (WHERE target = 'no') AS n_no,
   count(*) FILTER (WHERE target = 'yes' AND prediction = 'yes') AS tp, count(*) FILTER (WHERE target = 'no' AND prediction = 'yes') AS fp,
   count(*) FILTER (WHERE target = 'yes' AND prediction <> 'yes') AS fn, count(*) FILTER (WHERE target = 'no' AND prediction = 'no') AS tn,
@@ -108,7 +108,7 @@ def prediction_counts(spark, sf_dir):
 
 @query(
     f"""WITH {_PARSED}, e AS (SELECT lang, CASE WHEN target = prediction THEN 'correct' WHEN target = 'no' AND prediction = 'yes' THEN 'false_positive'
-  WHEN target = 'yes' AND prediction = 'no' THEN 'false_negative' ELSE 'invalid' END AS kind FROM s)
+  WHEN target = 'yes' AND prediction = 'no' THEN 'false_negative' WHEN target IN ('yes', 'no') THEN 'invalid_error' ELSE 'correct' END AS kind FROM s)
 SELECT lang, kind, count(*) AS n FROM e GROUP BY ALL"""
 )
 def error_kinds(spark, sf_dir):
@@ -150,15 +150,19 @@ def compare_models(spark, sf_dir):
     return metrics.compare_models(rows.withColumn("is_correct", ok), "doc_id", "model", "base", ["lang"])
 
 
-_DEVIATE = " + ".join(f"CAST('0x' || substr(k, {1 + 4 * i}, 4) AS BIGINT)::DOUBLE / 65536.0::DOUBLE" for i in range(8))
-
-
 @query(
-    f"""WITH g AS (SELECT d.lang, count(*) AS n, avg(quality::DOUBLE) AS mean FROM documents d JOIN labels USING (doc_id) GROUP BY d.lang),
-k AS (SELECT *, md5('boot|' || lang || '|' || b) AS k FROM g, (SELECT unnest(range(0, 200)) AS b)),
-z AS (SELECT *, ({_DEVIATE} - 4.0::DOUBLE + 4.0::DOUBLE / 65536.0::DOUBLE) / sqrt(8.0::DOUBLE / 12.0::DOUBLE) AS z FROM k),
-m AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, round((mean + z * sqrt(mean * (1 - mean) / n)) * n) / n)) AS drawn FROM z)
-SELECT lang, n, mean, stddev_samp(drawn) AS se, quantile_cont(drawn, 0.025) AS low, quantile_cont(drawn, 0.975) AS high FROM m GROUP BY lang, n, mean"""
+    """WITH g AS (SELECT d.lang, count(*) AS n, avg(quality::DOUBLE) AS mean FROM documents d JOIN labels USING (doc_id) GROUP BY d.lang),
+b AS (SELECT *, sqrt(n * mean * (1 - mean)) AS sd, n * mean AS mid FROM g),
+r AS (SELECT *, CASE WHEN sd = 0 THEN CAST(round(mid) AS BIGINT) ELSE greatest(0, CAST(floor(mid - 40 * sd - 10) AS BIGINT)) END AS lo,
+  CASE WHEN sd = 0 THEN CAST(round(mid) AS BIGINT) ELSE least(n, CAST(ceil(mid + 40 * sd + 10) AS BIGINT)) END AS hi FROM b),
+k AS (SELECT *, unnest(range(lo, hi + 1)) AS k FROM r),
+l AS (SELECT *, sum(CASE WHEN k > lo THEN ln((n - k + 1)::DOUBLE / k::DOUBLE) + ln(mean / (1 - mean)) ELSE 0.0::DOUBLE END) OVER (PARTITION BY lang ORDER BY k) AS l FROM k),
+w AS (SELECT *, exp(l - max(l) OVER (PARTITION BY lang)) AS w FROM l),
+c AS (SELECT lang, lo, sum(w) OVER (PARTITION BY lang ORDER BY k) / sum(w) OVER (PARTITION BY lang) AS v, 0 AS draw FROM w),
+d AS (SELECT lang, lo, (CAST('0x' || substr(md5('boot|' || lang || '|' || b), 1, 8) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS v, 1 AS draw FROM r, (SELECT unnest(range(0, 200)) AS b)),
+x AS (SELECT *, sum(1 - draw) OVER (PARTITION BY lang ORDER BY v, draw DESC ROWS UNBOUNDED PRECEDING) AS below FROM (SELECT * FROM c UNION ALL SELECT * FROM d)),
+y AS (SELECT x.lang, g.n, g.mean, least(x.lo + below, r.hi)::DOUBLE / g.n AS drawn FROM x JOIN g USING (lang) JOIN r USING (lang) WHERE draw = 1)
+SELECT lang, n, mean, stddev_samp(drawn) AS se, quantile_cont(drawn, 0.025) AS low, quantile_cont(drawn, 0.975) AS high FROM y GROUP BY lang, n, mean"""
 )
 def bootstrap_quality(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
@@ -166,8 +170,8 @@ def bootstrap_quality(spark, sf_dir):
 
 
 _CLEAN = "trim(regexp_replace(regexp_replace(translate(lower({0}), '_-', '  '), '[^a-z0-9 /]+', '', 'g'), ' +', ' ', 'g'))"
-_PLURAL = "((x LIKE '%s' AND x NOT LIKE '%ss' AND x <> 'bus') OR x IN ('scissors', 'skis'))"
-_PHRASE = f"CASE WHEN x IN ('broccoli', 'scissors', 'skis') THEN x WHEN x = 'bus' THEN 'a bus' WHEN {_PLURAL} THEN x WHEN substr(x, 1, 1) IN ('a','e','i','o','u') THEN 'an ' || x ELSE 'a ' || x END"
+_PLURAL = "(x LIKE '%s' AND x <> 'bus')"
+_PHRASE = f"CASE WHEN x IN ('scissors', 'skis') THEN 'a pair of ' || x WHEN {_PLURAL} THEN x WHEN substr(x, 1, 1) IN ('a','e','i','o','u') THEN 'an ' || x ELSE 'a ' || x END"
 
 
 @query(f"WITH n AS (SELECT p_partkey, {_CLEAN.format('p_name')} AS x FROM part) SELECT p_partkey, x AS name, {_PHRASE} AS phrase, CASE WHEN {_PLURAL} THEN 'are' ELSE 'is' END AS verb, replace(replace(x, '/', ' '), ' ', '_') AS slug FROM n")
@@ -323,13 +327,14 @@ def hard_negatives(spark, sf_dir):
 p AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY
   ln((CAST('0x' || substr(md5('pairs|' || image_id || '|' || name), 1, 8) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / greatest(max_area, 1.0) DESC, name) <= 2),
 g AS (SELECT DISTINCT p_brand AS name, substr(p_brand, 1, 7) AS grp FROM part),
-c AS (SELECT p.image_id, p.name AS positive, b.name AS negative FROM p JOIN g a ON a.name = p.name JOIN g b ON b.grp = a.grp AND b.name <> p.name
+c AS (SELECT p.image_id, p.name AS positive, b.name AS negative, CASE WHEN b.grp = a.grp THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM p JOIN g a ON a.name = p.name, g b
   WHERE NOT EXISTS (SELECT 1 FROM v x WHERE x.image_id = p.image_id AND x.name = b.name)),
-k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY image_id, positive ORDER BY md5('pairs|' || image_id || '|' || positive || '|' || negative)) = 1),
-q AS (SELECT *, 'a ' || positive AS ph, CAST('0x' || substr(md5('pairsq|' || image_id || '|' || positive), 1, 7) AS BIGINT) % 3 AS qi FROM k)
+k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY image_id, positive ORDER BY
+  ln((CAST('0x' || substr(md5('pairs|' || image_id || '|' || positive || '|' || negative), 1, 8) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / weight DESC) = 1),
+q AS (SELECT *, lower(regexp_replace(positive, '#', '')) AS cp, 'a ' || cp AS ph, CAST('0x' || substr(md5('pairsq|' || image_id || '|' || positive), 1, 7) AS BIGINT) % 3 AS qi FROM k)
 SELECT image_id, positive, negative,
   CASE qi WHEN 0 THEN 'Is there ' || ph || ' in the image?' WHEN 1 THEN 'Can you see ' || ph || ' in this image?' ELSE 'Does the image contain ' || ph || '?' END AS question,
-  'Yes, there is ' || ph || ' in the image.' AS chosen, 'Yes, there is a ' || negative || ' in the image.' AS rejected,
+  'Yes, there is ' || ph || ' in the image.' AS chosen, 'Yes, there is a ' || lower(regexp_replace(negative, '#', '')) || ' in the image.' AS rejected,
   'Evidence hint: annotated visible object: ' || positive || '.' AS hint_chosen,
   'Evidence hint: unsupported object: ' || negative || ' is not annotated as visible.' AS hint_rejected FROM q"""
 )
@@ -445,20 +450,42 @@ def paired_eval(spark, sf_dir):
     return evalsets.yes_no_rows(pairs.drop("k")).select("id", "image_id", "kind", "target", "object", "question")
 
 
-@query(
-    """WITH r AS (SELECT c_custkey AS id, c_name AS s, CASE WHEN c_nationkey % 2 = 0 THEN 'left_of' ELSE 'right_of' END AS r, c_mktsegment AS o FROM customer)
-SELECT id, 'swap' AS stress, o || ' ' || r || ' ' || s AS evidence, 'wrong_evidence' AS target_support FROM r
-UNION ALL SELECT id, 'reversal', s || ' ' || CASE r WHEN 'left_of' THEN 'right_of' ELSE 'left_of' END || ' ' || o, 'wrong_evidence' FROM r"""
-)
+_STRESS = """r AS (SELECT c_custkey AS id, lower(replace(c_name, '#', '')) AS s, CASE WHEN c_nationkey % 2 = 0 THEN 'left_of' ELSE 'right_of' END AS r, lower(c_mktsegment) AS o FROM customer),
+x AS (SELECT id, s, r, o, 'subject_object_swap' AS stress_type, o AS es, r AS er, s AS eo FROM r
+  UNION ALL SELECT id, s, r, o, 'left_right_reversal', s, CASE r WHEN 'left_of' THEN 'right_of' ELSE 'left_of' END, o FROM r),
+t AS (SELECT id, stress_type, s || ' ' || r || ' ' || o AS target_claim, es AS target_subject, eo AS target_object, er AS target_relation,
+  'Visual question: Is the ' || s || ' to the ' || replace(r, '_of', '') || ' of the ' || o || '?' || chr(10) || 'Candidate claim: ' || s || ' ' || r || ' ' || o || chr(10)
+  || 'Candidate evidence: subject=' || es || '; object=' || eo || '; relation=' || er || chr(10) || 'Decide whether the candidate evidence supports the claim in the image.' AS question FROM x)"""
+
+
+@query(f"WITH {_STRESS} SELECT *, 'yes' AS target_answer, 'wrong_evidence' AS target_support, 'wrong_evidence' AS task_type, 'relation_spatial' AS base_task_type FROM t")
 def stress_rows(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
     relation = F.when(F.col("c_nationkey") % 2 == 0, "left_of").otherwise("right_of")
     return evalsets.relation_stress(c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("subject"), relation.alias("relation"), F.col("c_mktsegment").alias("object")))
 
 
-@query("SELECT p_partkey AS id, CAST(p_partkey % 3 AS INT) AS variant, CASE p_partkey % 3 WHEN 0 THEN 'Is it true that ' || p_name || '?' WHEN 1 THEN 'Would you say that ' || p_name || '?' ELSE 'Does the picture show that ' || p_name || '?' END AS question FROM part")
+@query(
+    f"""WITH {_STRESS}, v AS (SELECT *, CAST(id % 3 AS INT) AS i, id % 5 = 0 AS object_only, id % 5 = 1 AS attribute FROM t WHERE stress_type = 'left_right_reversal'),
+w AS (SELECT *, replace(target_relation, '_of', ' of') AS direction, CASE WHEN object_only OR attribute THEN target_object END AS label,
+  CASE WHEN object_only THEN target_subject || ' visible' WHEN attribute THEN target_subject || ' is red' ELSE target_claim END AS claim,
+  CASE WHEN object_only OR attribute THEN split_part(split_part(question, chr(10), 1), 'Visual question: ', 2) ELSE split_part(split_part(question, chr(10), 1), 'Visual question: ', 2) END AS asked FROM v),
+e AS (SELECT *, CASE WHEN object_only THEN CASE i WHEN 0 THEN 'it points to the object category ' || label WHEN 1 THEN 'the proposed support is the visible label ' || label ELSE 'a support cue naming ' || label END
+  WHEN attribute THEN CASE i WHEN 0 THEN 'it describes ' || label || ' with attribute red' WHEN 1 THEN 'the evidence phrase says the ' || label || ' is red' ELSE 'a support cue naming ' || label || ' and the property red' END
+  ELSE CASE i WHEN 0 THEN 'it identifies ' || target_subject || ' as being ' || direction || ' ' || target_object WHEN 1 THEN 'the supporting relation is that ' || target_subject || ' is ' || direction || ' ' || target_object
+    ELSE 'a relation cue with subject ' || target_subject || ', object ' || target_object || ', and direction ' || target_relation END END AS evidence FROM w)
+SELECT id, id AS paraphrase_source_id, CAST(i AS VARCHAR) AS paraphrase_variant, CASE i
+  WHEN 0 THEN 'Question for the image: ' || asked || chr(10) || 'Claim to verify: ' || claim || chr(10) || 'Proposed visual support: ' || evidence || chr(10) || 'Judge whether the proposed support is valid evidence for the claim.'
+  WHEN 1 THEN 'Image question: ' || asked || chr(10) || 'We are checking this claim: ' || claim || chr(10) || 'The candidate support says: ' || evidence || chr(10) || 'Does this support actually back up the claim in the image?'
+  ELSE 'Consider the visual claim ' || chr(39) || claim || chr(39) || ' for the image question ' || chr(39) || asked || chr(39) || '.' || chr(10) || 'Candidate support description: ' || evidence || chr(10) || 'Decide if that support should be accepted for the claim.' END AS question FROM e"""
+)
 def paraphrase_variant(spark, sf_dir):
-    return evalsets.paraphrases(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("statement")), F.col("id"))
+    """Stress rows as probe rows in three wordings: with relation, attribute and object evidence."""
+    rows = stress_rows(spark, sf_dir).where("stress_type = 'left_right_reversal'")
+    kind = F.col("id") % 5
+    claim = F.when(kind == 0, F.concat("target_subject", F.lit(" visible"))).when(kind == 1, F.concat("target_subject", F.lit(" is red"))).otherwise(F.col("target_claim"))
+    rows = rows.withColumns({"target_evidence_label": F.when(kind < 2, F.col("target_object")), "target_relation": F.when(kind >= 2, F.col("target_relation")), "target_claim": claim})
+    return evalsets.paraphrases(rows, F.col("id"))
 
 
 @query(
@@ -472,15 +499,17 @@ def bucketed_cases(spark, sf_dir):
 
 
 @query(
-    """WITH n AS (SELECT s_suppkey AS id, s_name AS label, s_nationkey FROM supplier), p AS (SELECT s_nationkey, list(DISTINCT label) AS pool FROM n GROUP BY s_nationkey),
-c AS (SELECT id, label, unnest(pool) AS o FROM n JOIN p USING (s_nationkey))
-SELECT id, label, o AS wrong_label FROM c WHERE o <> label QUALIFY row_number() OVER (PARTITION BY id ORDER BY md5('wrong|' || id || '|' || o)) = 1"""
+    """WITH n AS (SELECT s_suppkey AS id, s_name AS label, s_nationkey FROM supplier), l AS (SELECT DISTINCT s_nationkey, label, md5('wrong|' || s_nationkey || '|' || label) AS k FROM n),
+w AS (SELECT s_nationkey, label, coalesce(lead(label) OVER o, first(label) OVER o) AS wrong_label FROM l WINDOW o AS (PARTITION BY s_nationkey ORDER BY k, label))
+SELECT id, label, wrong_label FROM n JOIN w USING (s_nationkey, label) WHERE wrong_label <> label"""
 )
 def wrong_evidence(spark, sf_dir):
     n = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), "s_nationkey")
-    pool = n.groupBy("s_nationkey").agg(F.collect_set("label").alias("pool"))  # a nation's suppliers stand for an image's objects
-    return curate.wrong_evidence(n.join(pool, "s_nationkey"), "pool", "label").select("id", "label", "wrong_label")
+    return curate.wrong_evidence(n, "s_nationkey", "label", "id").select("id", "label", "wrong_label")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_groups(spark, sf_dir)
+
+
+from . import scenes  # noqa: E402, F401  registers its queries here

@@ -8,7 +8,11 @@ import uuid
 
 def table_store(spark):
     """A function (df, name) that writes ``df`` below spark.checkpoint.dir and reads it again."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="millrace-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
     base = f"{root.rstrip('/')}/rounds-{uuid.uuid4().hex}"
 
     def store(df, name):

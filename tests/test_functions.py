@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import geometry, parse, text
-from millrace.operators import curate, export, sampling
+from millrace.operators import claims, curate, evalsets, export, quality, rules, sampling
 from millrace.plans.store import table_store
 from millrace.sources import files
 
@@ -35,7 +35,9 @@ def test_generation_falls_back_to_fields(spark):
 
 def test_names(spark):
     assert column(spark, ["Traffic_Light", "hot-dog!", "a\nb", "  x  y "], text.clean_name) == ["traffic light", "hot dog", "ab", "x y"]
-    assert column(spark, ["apple", "dog", "bus", "skis", "cats", "glass"], text.article_phrase) == ["an apple", "a dog", "a bus", "skis", "cats", "a glass"]
+    assert column(spark, ["apple", "dog", "bus", "skis", "cats", "glass"], text.article_phrase) == ["an apple", "a dog", "a bus", "a pair of skis", "cats", "glass"]
+    assert column(spark, ["Bus", "scissors", "glass", "dog"], text.be_verb) == ["is", "are", "are", "is"]
+    assert column(spark, ["I see a dog", "as shown", "based on it", None], text.has_evidence_cue) == [True, True, False, False]
 
 
 def test_boxes(spark):
@@ -59,15 +61,71 @@ def test_multi_cap_random(spark):
     assert got == want
 
 
+GRAPH = "image_id int, width double, height double, objects map<string,struct<name:string,x:double,y:double,w:double,h:double,attributes:array<string>,relations:array<struct<name:string,object:string>>>>"
+
+
+def graph(spark):
+    dog = ("Dog", 0.0, 0.0, 10.0, 10.0, ["silver", "big", "Grey"], [("to the left of", "b"), ("under", "b"), ("near", "b"), ("left", "z")])
+    cat = ("cat", 60.0, 0.0, 10.0, 10.0, None, [("to the left of", "a")])
+    return spark.createDataFrame([(1, 100.0, 100.0, {"a": dog, "b": cat, "c": ("", 1.0, 1.0, 1.0, 1.0, [], []), "d": ("flat", 1.0, 1.0, 0.0, 1.0, [], [])}), (2, 0.0, 0.0, {"a": dog})], GRAPH)
+
+
 def test_scene_graph(spark):
-    objects = spark.createDataFrame(
-        [(1, "a", "Dog", 0.0, 0.0, 10.0, 10.0, 100.0, 100.0, ["grey", "big"], [("to the left of", "b")]), (1, "b", "cat", 60.0, 0.0, 10.0, 10.0, 100.0, 100.0, [], [("to the left of", "a")])],
-        "image_id int, object_id string, name string, x double, y double, w double, h double, width double, height double, attributes array<string>, relations array<struct<name:string,object:string>>",
-    )
-    pairs = curate.relation_pairs(curate.relation_edges(objects)).collect()
-    assert [(p.subject, p.relation, p.object, p.question) for p in pairs] == [("dog", "left_of", "cat", "Is the dog to the left of the cat?")]
-    (one,) = curate.attribute_pairs(objects).collect()
-    assert (one.attribute, one.kind) == ("gray", "color") and one.negative != "gray"
+    objects = curate.scene_objects(graph(spark))
+    assert sorted((r.image_id, r.object_id, r.name) for r in objects.collect()) == [(1, "a", "dog"), (1, "b", "cat")]
+    (one,) = curate.attribute_pairs(curate.attribute_candidates(objects)).collect()
+    assert (one.attribute, one.task_type, one.question) == ("gray", "attribute_color", "What color is the dog?") and one.negative in set(curate.COLORS) - {"gray"}
+    pairs = curate.relation_pairs(curate.relation_candidates(objects)).collect()
+    assert sorted((p.subject, p.relation, p.object) for p in pairs) == [("cat", "left", "dog"), ("dog", "below", "cat"), ("dog", "left", "cat")]
+    said = {(p.subject, p.relation): (p.question, p.chosen, p.rejected) for p in pairs}
+    assert said["dog", "below"] == ("What is below the cat?", "The dog is below the cat.", "The dog is above the cat.")
+    assert said["dog", "left"][0] == "What is to the left of the cat?"
+    (kept,) = curate.relation_candidates(objects, check_boxes=True).collect()
+    assert (kept.subject, kept.relation, kept.object) == ("dog", "left", "cat")
+
+
+def test_claims_of_objects_and_wrong_evidence(spark):
+    boxes = spark.createDataFrame([(1, "dog", [0.0, 0.0, 0.1, 0.1]), (1, "cat", [0.5, 0.0, 0.6, 0.1]), (2, "dog", [0.0, 0.0, 1.0, 1.0])], "image_id int, name string, box array<double>")
+    pairs = spark.createDataFrame([("p1", "1.jpg", 1, "dog", "bus"), ("p2", "2.jpg", 2, "dog", "bus"), ("p3", "2.jpg", 2, "cow", "bus")], "id string, image string, image_id int, positive string, negative string")
+    pairs = pairs.withColumns({"question": F.lit("Is there a dog in the image?"), "chosen": F.lit("Yes."), "rejected": F.lit("No.")})
+    records = claims.object_claims(pairs, boxes)
+    wrong = claims.wrong_evidence_claims(records)
+    assert sorted(r.id for r in records.collect()) == ["p1", "p2"]  # no box, no record
+    (one,) = wrong.collect()  # image 2 has no other object
+    assert (one.id, one.source_record_id, one.chosen_answer, one.rejected_answer, one.answer_rejected) == ("p1_wrong", "p1", "Yes.", "Yes.", "No.")
+    assert [(e.role, e.label) for e in one.rejected_claims[0].evidence] == [("target", "cat")] and one.rejected_claims[0].support == "wrong_evidence"
+    (text,) = [r.rejected for r in claims.claim_exports(wrong).collect()]
+    assert text == "Answer: Yes.\nClaims:\n- type: object\n  claim: dog visible\n  evidence: cat\n  support: wrong_evidence"
+    (probe,) = claims.probe_rows(wrong, "rejected_claims", "wrong_evidence").collect()
+    assert probe.question.splitlines()[0] == "Visual question: Is there a dog in the image?" and probe.target_evidence_label == "cat"
+    broken = wrong.withColumn("rejected_answer", F.lit("x")).withColumn("rejected_claims", F.col("chosen_claims"))
+    assert {r.rule for r in quality.rule_report(broken, rules.claim_rules()).where("n_failed > 0").collect()} == {"wrong_evidence_answers", "wrong_evidence_support"}
+
+
+def test_negatives_follow_their_weights(spark):
+    vocabulary = spark.createDataFrame([("dog", "a"), ("cat", "a"), ("fork", "b"), ("bus", "c")], "name string, grp string")
+    seen = spark.range(4000).select(F.col("id").alias("image_id"), F.explode(F.array(F.lit("dog"), F.lit("lamp"))).alias("name"), F.lit(5.0).alias("max_area"))
+    n = {r.negative: r["count"] for r in curate.object_pairs(seen, vocabulary).where("positive = 'dog'").groupBy("negative").count().collect()}
+    share = {k: v / sum(n.values()) for k, v in n.items()}
+    assert abs(share["cat"] - 3 / 4.35) < 0.03 and abs(share["fork"] - 0.35 / 4.35) < 0.03 and abs(share["bus"] - 1 / 4.35) < 0.03
+
+
+def test_error_kinds_and_areas(spark):
+    rows = spark.createDataFrame([("no", "yes"), ("yes", "no"), ("yes", "refusal"), ("yes", "yes"), ("maybe", "no"), (None, "yes")], "t string, p string")
+    assert [r.k for r in rows.select(evalsets.error_kind(F.col("t"), F.col("p")).alias("k")).collect()] == ["false_positive", "false_negative", "invalid_error", "correct", "correct", "correct"]
+    images = spark.createDataFrame([(1, "a.jpg", 10, 10)], "image_id int, file_name string, width int, height int")
+    boxes = spark.createDataFrame([(1, 1, 0.0, 0.0, 5.0, 5.0, 0.0, 0), (1, 2, 0.0, 0.0, 5.0, 5.0, 0.2, 0), (1, 1, 0.0, 0.0, 9.0, 9.0, 81.0, 1)], "image_id int, category_id int, x double, y double, w double, h double, area double, iscrowd int")
+    names = spark.createDataFrame([(1, "Dog"), (2, "cat")], "category_id int, name string")
+    assert [(r.name, r.max_area) for r in curate.visible_objects(images, boxes, names).collect()] == [("dog", 25.0)]
+
+
+def test_bootstrap_is_binomial(spark):
+    from millrace.operators import metrics
+
+    rows = spark.createDataFrame([("a", int(i < 50)) for i in range(125)] + [("b", 1)] * 9 + [("c", 0)], "g string, v int")
+    got = {r.g: r for r in metrics.bootstrap_rate(rows, "v", ["g"], 4000).collect()}
+    assert abs(got["a"].se - (0.4 * 0.6 / 125) ** 0.5) < 0.002 and abs(got["a"].low - 0.312) <= 0.009 and abs(got["a"].high - 0.488) <= 0.009
+    assert (got["b"].low, got["b"].high, got["b"].se) == (1.0, 1.0, 0.0) and (got["c"].low, got["c"].high) == (0.0, 0.0)
 
 
 def test_hint_without_prefix_fails(spark):
