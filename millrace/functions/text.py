@@ -60,3 +60,42 @@ def canonical_image_id(path: Column) -> Column:
     stem = F.regexp_extract(path, r"([^/]+?)(?:\.[A-Za-z]+)?$", 1)
     digits = F.regexp_extract(stem, r"0*([0-9]+)$", 1)
     return F.when(digits != "", digits).otherwise(stem)
+
+
+def one_line(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+
+
+def escape_md(text: Column) -> Column:
+    """One line whose bars don't end a Markdown cell."""
+    return F.replace(one_line(text), F.lit("|"), F.lit("\\|"))
+
+
+def compact(text: Column, size: int = 180) -> Column:
+    return F.substring(one_line(text), 1, size)
+
+
+def candidate_evidence(prompt: Column) -> Column:
+    """What a probe prompt names as candidate evidence."""
+    return one_line(F.regexp_extract(F.coalesce(prompt, F.lit("")), r"Candidate evidence:\s*(.+)", 1))
+
+
+def failure_category(claim: Column, subject: Column, obj: Column, relation: Column, support: Column) -> Column:
+    """Why a relation probe was accepted, by what its claim, evidence and predicted support say."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    claim, subject, obj = low(claim), low(subject), low(obj)
+    swapped = (subject != "") & (obj != "") & (F.position(obj, claim) > 0) & (F.position(subject, claim) > 0) & (F.position(obj, claim) < F.position(subject, claim))
+    copied = F.coalesce(support, F.lit("")) == "supported"
+    return (
+        F.when(swapped, "subject/object swap").when(copied, "copied candidate evidence without verification")
+        .when(F.coalesce(relation, F.lit("")).isin("left_of", "right_of"), "left/right ambiguity").otherwise("candidate relation text under-specified")
+    )
+
+
+def percent(value: float) -> str:
+    """A share as a percentage with one decimal."""
+    return f"{100 * float(value) + 1e-9:.1f}"
+
+
+def interval(mean: float, low: float, high: float) -> str:
+    return f"{percent(mean)} [{percent(low)}, {percent(high)}]"

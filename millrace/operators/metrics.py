@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import normalize_target, parse_prediction
-from ..functions.text import has_evidence_cue, word_count
+from ..functions.text import has_evidence_cue, token_count, word_count
 from .sampling import stable_unit
 
 
@@ -154,6 +154,55 @@ def bootstrap_rate(df: DataFrame, value: str, by: list[str], draws: int, seed: s
     return rows.groupBy(*by, "n", "mean").agg(F.stddev_samp("drawn").alias("se"), q(0.025).alias("low"), q(0.975).alias("high"))
 
 
+# Task types by slice.
+SLICES = {"object": ["object_existence"], "attribute": ["attribute_color", "attribute_material"], "relation": ["relation_spatial"]}
+
+
+def slice_of(task: Column) -> Column:
+    """The slice of a base task type, null for others."""
+    return F.coalesce(*[F.when(task.isin(tasks), name) for name, tasks in SLICES.items()])
+
+
+def slice_rates(rates: DataFrame, by: list[str], task: str, rate: str, count: str) -> DataFrame:
+    """(by, slice, weighted_rate) of rates by base task type: several task types of a slice weigh by their counts."""
+    return weighted_rate(rates.withColumn("slice", slice_of(F.col(task))).where("slice is not null"), rate, count, [*by, "slice"])
+
+
+def ci_summary(rows: DataFrame, model: str, task: str, value: str, draws: int) -> DataFrame:
+    """Bootstrap of 0/1 values by model over all rows, by slice and by task type: (model, level, name, n, mean, se, low, high)."""
+    one = lambda level, name: F.struct(F.lit(level).alias("level"), name.alias("name"))
+    levels = F.array(one("all", F.lit("all")), one("slice", slice_of(F.col(task))), one("task", F.col(task)))
+    rows = rows.withColumn("_l", F.explode(levels)).select(model, value, "_l.*").where("name is not null")
+    return bootstrap_rate(rows, value, [model, "level", "name"], draws)
+
+
+def stress_slices(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Share of rejected rows of each stress type, six decimals."""
+    return rows.groupBy(*by, "stress_type").agg(F.count("*").alias("n"), F.round(ratio(F.count_if("rejected"), F.count("*")), 6).alias("rejection"))
+
+
+def with_pending(specs: DataFrame, found: DataFrame, key: str, marks: list[str]) -> DataFrame:
+    """Every spec with its metrics; ``status`` is pending where none of ``marks`` is known."""
+    rows = specs.join(found, key, "left")
+    return rows.withColumn("status", F.when(F.coalesce(*[F.col(m).cast("string") for m in marks]).isNull(), "pending").otherwise("complete"))
+
+
+def record_summary(records: DataFrame, labels: list[str], texts: list[str], top: int = 20) -> DataFrame:
+    """(measure, name, value): total, rows by source and task type, the ``top`` labels, and mean token counts to three decimals.
+
+    Labels are columns; equal counts are in the order of their names.
+    """
+    c = F.col
+    one = lambda measure, name: F.struct(F.lit(measure).alias("measure"), name.alias("name"))
+    counted = F.array(one("total", F.lit("")), *[one(k, F.coalesce(k, F.lit("unknown"))) for k in ("source", "task_type")])
+    label = F.array(*[F.when(F.coalesce(c(k), F.lit("")) != "", one("label", F.concat(F.lit(f"{k}:"), c(k)))) for k in labels])
+    pairs = records.select(F.explode(F.concat(counted, F.array_compact(label))).alias("p")).select("p.*")
+    n = pairs.groupBy("measure", "name").agg(F.count("*").cast("double").alias("value"))
+    ranked = n.where("measure = 'label'").orderBy(F.desc("value"), "name").limit(top)
+    means = records.agg(*[F.coalesce(F.round(F.avg(token_count(c(t))), 3), F.lit(0.0)).alias(t) for t in texts]).unpivot([], texts, "name", "value")
+    return n.where("measure <> 'label'").unionByName(ranked).unionByName(means.select(F.lit("mean_tokens").alias("measure"), "name", "value"))
+
+
 def trend(rows: DataFrame, step: str, value: str) -> DataFrame:
     """One row: first and last value by ``step``, the gain, and whether no step falls. For reports of a few rows."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(value).cast("double").alias("v"))))

@@ -44,14 +44,36 @@ def round_robin(df: DataFrame, bucket: str, n: int, order: list[Column]) -> Data
     return df.withColumn("turn", rank).where(F.col("turn") <= n).orderBy("turn", bucket).limit(n)
 
 
-def ratio_split(df: DataFrame, ids: Column, ratio: float, seed: str) -> DataFrame:
-    """Mark exactly round-half-even(n * ratio) rows, in stable order, as ``picked``; ranks come from counts by key prefix."""
-    n = round(df.count() * ratio)
+def _ranked(df: DataFrame, ids: Column, seed: str) -> DataFrame:
+    """Add ``_place`` (from 1): the place in stable order over all rows, from counts by key prefix."""
     keyed = df.withColumn("_key", stable_key(seed, ids)).withColumn("_bin", F.substring("_key", 1, 3))
     before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # 4096 bins at most
     bins = keyed.groupBy("_bin").agg(F.count("*").alias("_n")).select("_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_bin").orderBy("_key", ids)) + F.col("_before")
-    return keyed.join(F.broadcast(bins), "_bin").withColumn("picked", rank <= n).drop("_key", "_bin", "_before")
+    return keyed.join(F.broadcast(bins), "_bin").withColumn("_place", rank).drop("_key", "_bin", "_before")
+
+
+def ratio_split(df: DataFrame, ids: Column, ratio: float, seed: str) -> DataFrame:
+    """Mark exactly round-half-even(n * ratio) rows, in stable order, as ``picked``."""
+    n = round(df.count() * ratio)
+    return _ranked(df, ids, seed).withColumn("picked", F.col("_place") <= n).drop("_place")
+
+
+def sample_exactly(df: DataFrame, ids: Column, n: int, seed: str, label: str = "sample", allow_short: bool = False) -> DataFrame:
+    """Mark ``n`` rows in stable order as ``picked``; fewer rows than that are an error unless ``allow_short``."""
+    if n < 0:
+        raise ValueError(f"{label}: the number of rows must not be negative")
+    have = df.count()
+    if have < n and not allow_short:
+        raise ValueError(f"{label}: {n} rows are asked for and there are {have}")
+    return _ranked(df, ids, seed).withColumn("picked", F.col("_place") <= n).drop("_place")
+
+
+def sample_pairs(pairs: DataFrame, ids: Column, n_rows: int, seed: str, label: str = "pairs") -> DataFrame:
+    """``n_rows`` / 2 pairs in stable order; an odd number, or fewer pairs, is an error."""
+    if n_rows % 2:
+        raise ValueError(f"{label}: the number of rows must be even")
+    return sample_exactly(pairs, ids, n_rows // 2, seed, label).where("picked").drop("picked")
 
 
 def weighted_pick(df: DataFrame, keys: list[str], weight: Column, ids: Column, n: int = 1, seed: str = "pick") -> DataFrame:
@@ -60,16 +82,17 @@ def weighted_pick(df: DataFrame, keys: list[str], weight: Column, ids: Column, n
     return capped_per_key(df.withColumn("_score", score), keys, n, [F.col("_score").desc(), ids]).drop("_score")
 
 
-def multi_cap(df: DataFrame, caps: dict[str, int], order: list[str], store) -> DataFrame:
+def multi_cap(df: DataFrame, caps: dict[str, int], order: list[str], store, taken: DataFrame | None = None) -> DataFrame:
     """Greedy selection in ``order`` under a cap on every one of several keys, exactly as a sequential pass takes rows.
 
     Each round accepts the undecided rows that rank within what is left of all their caps among undecided rows, and drops
     those whose key is used up by earlier accepted rows. ``store(df, name)`` writes a table and reads it again; it cuts
-    the lineage between rounds. Rows must be unique by ``order``.
+    the lineage between rounds. Rows must be unique by ``order``. Rows ``taken`` before count towards the caps.
     """
-    keys = list(caps)
-    open_ = store(df.select(*keys, *[c for c in order if c not in keys]), "open0")
-    accepted, turn = None, 0
+    keys, columns = list(caps), [*caps, *[c for c in order if c not in caps]]
+    order = ["_pass", *order]
+    open_ = store(df.select(*columns, F.lit(1).alias("_pass")), "open0")
+    accepted, turn = None if taken is None else taken.select(*columns, F.lit(0).alias("_pass")), 0
     while not open_.isEmpty():
         ranked = open_
         for k in keys:
@@ -94,13 +117,17 @@ def multi_cap(df: DataFrame, caps: dict[str, int], order: list[str], store) -> D
             rest = rest.join(last, F.col(k) == F.col("_k"), "left").where(F.col("_last").isNull() | (F.struct(*order) < F.col("_last"))).drop("_k", "_last")
         turn += 1
         open_ = store(rest, f"open{turn}")
-    return accepted if accepted is not None else open_
+    return (accepted if accepted is not None else open_).where("_pass = 1").select(*columns)
 
 
-def with_ids(df: DataFrame, prefix: str, order: list[Column]) -> DataFrame:
-    """Number rows ``prefix_000001`` on in the given order; for exports of a bounded, already selected set."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn("id", F.format_string(f"{prefix}_%06d", n))
+def with_ids(df: DataFrame, prefix: str, order: list[str]) -> DataFrame:
+    """Number rows ``prefix_000001`` on in the given order: sorted ranges are numbered from the counts of those before."""
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = rows.join(F.broadcast(starts), part == F.col("_p"))
+    return rows.withColumn("id", F.format_string(f"{prefix}_%06d", F.col("_before") + at + 1)).drop("_at", "_p", "_before")
 
 
 def unique_pairs(df: DataFrame, left: str, right: str, order: list[str], store) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import claims, curate, quality, rules, sampling
+from ..operators import builders, claims, curate, metrics, quality, rules, sampling
 from .registry import query, read
 
 #: By line number: further attributes, and the names of relations.
@@ -220,3 +220,187 @@ def export_report(spark, sf_dir):
     one = F.lit(1).alias("one")
     out = broken.select("*", one).join(lacking.select("*", one), "one").join(rules.export_mismatch(rows, made).select("*", one), "one")
     return out.drop("one")
+
+
+@query(
+    f"""WITH {_SCENES}, e AS (SELECT image_id || '-' || object_id || '-' || attribute AS source_id, 'attribute_' || kind AS task_type, object, attribute, negative, CASE kind WHEN 'material' THEN 'made of ' ELSE '' END AS made FROM an)
+SELECT source_id, task_type, 'Is the ' || object || ' ' || made || attribute || '?' AS question, 'yes' AS target, attribute AS target_text FROM e
+UNION ALL SELECT source_id, task_type, 'Is the ' || object || ' ' || made || negative || '?', 'no', negative FROM e
+UNION ALL SELECT image_id || '-' || subject_id || '-' || object_id, 'relation_spatial', 'Is the ' || subject || ' to the ' || relation || ' of the ' || object || '?', 'yes', relation FROM rn WHERE relation IN ('left', 'right')
+UNION ALL SELECT image_id || '-' || subject_id || '-' || object_id, 'relation_spatial', 'Is the ' || subject || ' to the ' || negative || ' of the ' || object || '?', 'no', negative FROM rn WHERE relation IN ('left', 'right')"""
+)
+def graph_eval_rows(spark, sf_dir):
+    """Yes/no evaluation rows of attributes and relations."""
+    named = lambda df, *parts: df.withColumn("id", F.concat_ws("-", *[F.col(p).cast("string") for p in parts]))
+    a = named(attribute_pairs(spark, sf_dir), "image_id", "object_id", "attribute")
+    return builders.graph_eval_rows(a, named(relation_pairs(spark, sf_dir), "image_id", "subject_id", "object_id"))
+
+
+def _yes_no(spark, sf_dir) -> DataFrame:
+    name = F.when(F.col("p_partkey") % 6 == 0, "Skis").when(F.col("p_partkey") % 6 == 1, "wine glass").when(F.col("p_partkey") % 6 == 2, "bus").when(F.col("p_partkey") % 6 == 3, "cats").otherwise(F.split_part("p_name", F.lit(" "), F.lit(1)))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("i.jpg").alias("image"), F.when(F.col("p_size") % 2 == 0, "yes").otherwise("no").alias("target"), name.alias("target_object"))
+
+
+_BALANCED = """b AS (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'yes' ELSE 'no' END AS target, CASE p_partkey % 6 WHEN 0 THEN 'skis' WHEN 1 THEN 'wine glass' WHEN 2 THEN 'bus' WHEN 3 THEN 'cats' ELSE split_part(p_name, ' ', 1) END AS o FROM part),
+n AS (SELECT *, o LIKE '%s' AND o NOT IN ('bus', 'wine glass') AS many FROM b),
+h AS (SELECT *, CASE WHEN o = 'skis' THEN 'a pair of skis' WHEN many THEN o WHEN substr(o, 1, 1) IN ('a','e','i','o','u') THEN 'an ' || o ELSE 'a ' || o END AS ph, CASE WHEN many THEN 'are' ELSE 'is' END AS v FROM n),
+t AS (SELECT *, CASE WHEN many THEN 'Are there ' ELSE 'Is there ' END || ph || ' in the image?' AS question, 'Yes, there ' || v || ' ' || ph || ' in the image.' AS yes,
+  CASE WHEN many THEN 'No, there are no ' ELSE 'No, there is no ' END || o || ' in the image.' AS no, ph || ' ' || v || ' visually supported in the image.' AS good, ph || ' ' || v || ' not visually supported in the image.' AS bad FROM h)"""
+
+
+@query(
+    f"""WITH {_BALANCED} SELECT id, target, o AS target_object, 'i.jpg' AS image, '<image>' || chr(10) || 'Visual cue: ' || CASE target WHEN 'yes' THEN good ELSE bad END || chr(10) || 'Question: ' || question || chr(10) || 'Answer:' AS prompt,
+  CASE target WHEN 'yes' THEN yes ELSE no END AS chosen, CASE target WHEN 'yes' THEN no ELSE yes END AS rejected FROM t"""
+)
+def balanced_cues(spark, sf_dir):
+    """Balanced rows with the cue in the prompt."""
+    return builders.balanced_rows(_yes_no(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_BALANCED}, u AS (SELECT *, yes || chr(10) || 'Evidence: ' || good AS y, no || chr(10) || 'Evidence: ' || bad AS x FROM t)
+SELECT id, target, o AS target_object, 'i.jpg' AS image, '<image>' || chr(10) || 'Question: ' || question || chr(10) || 'Answer:' AS prompt, CASE target WHEN 'yes' THEN y ELSE x END AS chosen, CASE target WHEN 'yes' THEN x ELSE y END AS rejected FROM u"""
+)
+def balanced_evidence(spark, sf_dir):
+    """Balanced rows with evidence after the answers."""
+    return builders.balanced_rows(_yes_no(spark, sf_dir), "response")
+
+
+@query(
+    """WITH r AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'absent' WHEN 2 THEN '0' ELSE 'perhaps' END AS label, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE ' Is it a ' || c_mktsegment || '? ' END AS text,
+  CASE c_custkey % 3 WHEN 0 THEN 'COCO_val2014_000000' || c_custkey || '.jpg' WHEN 1 THEN CAST(c_custkey AS VARCHAR) END AS image FROM customer)
+SELECT 'objects_' || lpad(CAST(k AS VARCHAR), 6, '0') AS id, 'objects' AS source, CAST(k AS VARCHAR) AS source_id, 'random' AS dimension,
+  CASE WHEN image IS NULL THEN 'img/pope_' || lpad(CAST(k AS VARCHAR), 6, '0') WHEN k % 3 = 0 THEN 'img/' || image ELSE 'img/COCO_val2014_' || lpad(image, 12, '0') || '.jpg' END AS image,
+  CASE WHEN image IS NULL THEN 'pope_' || lpad(CAST(k AS VARCHAR), 6, '0') ELSE CAST(k AS VARCHAR) END AS image_id, trim(text) AS question,
+  CASE k % 4 WHEN 0 THEN 'yes' ELSE 'no' END AS target, 'object_existence' AS task_type FROM r WHERE text <> '' AND k % 4 <> 3"""
+)
+def object_benchmark(spark, sf_dir):
+    """Rows of an outside yes/no benchmark made from customers; some have no question, target or image."""
+    k = F.col("c_custkey")
+    label = F.when(k % 4 == 0, "Yes").when(k % 4 == 1, "absent").when(k % 4 == 2, "0").otherwise("perhaps")
+    image = F.when(k % 3 == 0, F.concat(F.lit("COCO_val2014_000000"), k.cast("string"), F.lit(".jpg"))).when(k % 3 == 1, k.cast("string"))
+    text = F.when(k % 7 == 0, "").otherwise(F.concat(F.lit(" Is it a "), "c_mktsegment", F.lit("? ")))
+    raw = read(spark, sf_dir, "customer").select(k.alias("k"), label.alias("label"), text.alias("text"), image.alias("image"))
+    return builders.object_benchmark(raw, F.col("k"), "objects", "random", "img")
+
+
+@query(
+    """WITH q AS (SELECT o_custkey AS id, min(o_orderkey) AS k FROM orders GROUP BY o_custkey),
+a AS (SELECT c_custkey AS id, CASE c_nationkey % 5 WHEN 0 THEN 'discriminative-hallucination' WHEN 1 THEN 'discriminative-attribute-state' WHEN 2 THEN 'discriminative-attribute-number' WHEN 3 THEN 'relation' ELSE 'generative' END AS type,
+  CASE WHEN c_acctbal > 0 THEN 'yes' ELSE '0' END AS truth FROM customer WHERE c_custkey % 10 <> 0)
+SELECT 'x_' || lpad(CAST(id AS VARCHAR), 6, '0') AS id, 'x' AS source, id AS source_id, CASE WHEN type LIKE '%hallucination' THEN 'existence' WHEN type = 'relation' THEN 'relation' ELSE 'attribute' END AS dimension, type,
+  'img/AMBER_' || id || '.jpg' AS image, 'AMBER_' || id AS image_id, 'Is it ' || k || '?' AS question, CASE truth WHEN 'yes' THEN 'yes' ELSE 'no' END AS target,
+  CASE type WHEN 'discriminative-hallucination' THEN 'object_existence' WHEN 'relation' THEN 'relation' ELSE replace(type, 'discriminative-attribute-', 'attribute_') END AS task_type FROM q JOIN a USING (id) WHERE type <> 'generative'"""
+)
+def annotated_benchmark(spark, sf_dir):
+    """Queries with annotations: orders as queries, of which the first of a customer counts, customers as annotations."""
+    q = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.lit("").alias("image"), F.concat(F.lit("Is it "), F.col("o_orderkey").cast("string"), F.lit("?")).alias("query"), "o_orderkey")
+    n = F.col("c_nationkey") % 5
+    kind = F.when(n == 0, "discriminative-hallucination").when(n == 1, "discriminative-attribute-state").when(n == 2, "discriminative-attribute-number").when(n == 3, "relation").otherwise("generative")
+    a = read(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("id"), kind.alias("type"), F.when(F.col("c_acctbal") > 0, "yes").otherwise("0").alias("truth"))
+    return builders.annotated_benchmark(q, a, F.col("o_orderkey"), "x", "img")[0]
+
+
+@query(
+    f"""WITH {_SPOILED}, r AS (SELECT task, noun, chosen, rejected FROM t), n AS (
+SELECT 'total' AS measure, '' AS name, count(*)::DOUBLE AS value FROM r UNION ALL SELECT 'source', 'unknown', count(*)::DOUBLE FROM r UNION ALL SELECT 'task_type', task, count(*)::DOUBLE FROM r GROUP BY task
+UNION ALL SELECT * FROM (SELECT 'label', 'positive:' || noun, count(*)::DOUBLE AS v FROM r GROUP BY noun ORDER BY v DESC, noun LIMIT 5)
+UNION ALL SELECT 'mean_tokens', 'chosen', round(avg(len(regexp_extract_all(chosen, '[A-Za-z0-9_]+|[^\\pL\\pN_\\s]'))), 3) FROM r UNION ALL SELECT 'mean_tokens', 'rejected', round(avg(len(regexp_extract_all(rejected, '[A-Za-z0-9_]+|[^\\pL\\pN_\\s]'))), 3) FROM r)
+SELECT * FROM n"""
+)
+def record_summary(spark, sf_dir):
+    """Counts, top labels and mean token counts of records."""
+    rows = _spoiled(spark, sf_dir).withColumn("source", F.lit(None).cast("string"))
+    return metrics.record_summary(rows, ["positive"], ["chosen", "rejected"], 5)
+
+
+_PROBES = """p AS (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'base' ELSE 'dual' END AS model, CASE event_id % 5 WHEN 0 THEN 'object_existence' WHEN 1 THEN 'attribute_color' WHEN 2 THEN 'attribute_material' WHEN 3 THEN 'relation_spatial' ELSE 'other' END AS task,
+  value > 20 AS rejected, CASE WHEN event_id % 2 = 0 THEN 'subject_object_swap' ELSE 'left_right_reversal' END AS stress_type FROM events)"""
+
+
+def _probes(spark, sf_dir) -> DataFrame:
+    k = F.col("event_id")
+    task = F.when(k % 5 == 0, "object_existence").when(k % 5 == 1, "attribute_color").when(k % 5 == 2, "attribute_material").when(k % 5 == 3, "relation_spatial").otherwise("other")
+    return read(spark, sf_dir, "events").select(k, F.when(F.col("user_id") % 2 == 0, "base").otherwise("dual").alias("model"), task.alias("task"), (F.col("value") > 20).alias("rejected"), F.when(k % 2 == 0, "subject_object_swap").otherwise("left_right_reversal").alias("stress_type"))
+
+
+@query(
+    f"""WITH {_PROBES}, r AS (SELECT model, task, count(*) AS n, avg(rejected::INT)::DOUBLE AS rate FROM p GROUP BY ALL)
+SELECT model, CASE WHEN task LIKE 'attribute%' THEN 'attribute' WHEN task LIKE 'object%' THEN 'object' ELSE 'relation' END AS slice, sum(rate * n) / sum(n) AS weighted_rate FROM r WHERE task <> 'other' GROUP BY ALL"""
+)
+def slice_rates(spark, sf_dir):
+    """Rejection by slice: colours and materials together, weighted by their rows."""
+    rates = _probes(spark, sf_dir).groupBy("model", "task").agg(F.avg(F.col("rejected").cast("double")).alias("rate"), F.count("*").alias("n"))
+    return metrics.slice_rates(rates, ["model"], "task", "rate", "n")
+
+
+@query(f"WITH {_PROBES} SELECT model, stress_type, count(*) AS n, round(count(*) FILTER (WHERE rejected)::DOUBLE / count(*)::DOUBLE, 6) AS rejection FROM p WHERE task = 'relation_spatial' GROUP BY ALL")
+def stress_slices(spark, sf_dir):
+    return metrics.stress_slices(_probes(spark, sf_dir).where("task = 'relation_spatial'"), ["model"])
+
+
+@query(
+    f"""WITH {_PROBES}, l AS (SELECT model, 'all' AS level, 'all' AS name, rejected FROM p UNION ALL SELECT model, 'task', task, rejected FROM p
+  UNION ALL SELECT model, 'slice', CASE WHEN task LIKE 'attribute%' THEN 'attribute' WHEN task LIKE 'object%' THEN 'object' ELSE 'relation' END, rejected FROM p WHERE task <> 'other')
+SELECT model, level, name, count(*) AS n, avg(rejected::INT)::DOUBLE AS mean FROM l GROUP BY ALL"""
+)
+def ci_levels(spark, sf_dir):
+    """Bootstrap levels by model: all, slices and task types (the intervals are checked by bootstrap_quality)."""
+    rows = _probes(spark, sf_dir).withColumn("rejected", F.col("rejected").cast("int"))
+    return metrics.ci_summary(rows, "model", "task", "rejected", 100).select("model", "level", "name", "n", "mean")
+
+
+@query(f"WITH {_PROBES}, s AS (SELECT unnest(['object_existence', 'attribute_size', 'relation_spatial']) AS task), r AS (SELECT task, avg(rejected::INT)::DOUBLE AS rate FROM p GROUP BY task) SELECT task, rate, CASE WHEN rate IS NULL THEN 'pending' ELSE 'complete' END AS status FROM s LEFT JOIN r USING (task)")
+def pending_specs(spark, sf_dir):
+    """Asked-for task types with their rates, pending where there is none."""
+    specs = spark.createDataFrame([("object_existence",), ("attribute_size",), ("relation_spatial",)], "task string")
+    found = _probes(spark, sf_dir).groupBy("task").agg(F.avg(F.col("rejected").cast("double")).alias("rate"))
+    return metrics.with_pending(specs, found, "task", ["rate"])
+
+
+@query(
+    "SELECT doc_id, row_number() OVER (ORDER BY md5('exact|' || CAST(doc_id AS VARCHAR)), doc_id) <= 77 AS picked FROM documents"
+)
+def sample_exactly(spark, sf_dir):
+    """Exactly so many rows in stable order."""
+    return sampling.sample_exactly(read(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"), 77, "exact")
+
+
+@query("SELECT o_orderkey, 'order_' || lpad(CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS VARCHAR), 6, '0') AS id FROM orders")
+def sequential_ids(spark, sf_dir):
+    """Rows numbered in order over sorted ranges."""
+    return sampling.with_ids(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "order", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "id")
+
+
+@query(
+    """SELECT s.k AS id, CASE WHEN r.k IS NULL OR trim(s.mark) <> '' THEN s.mark WHEN r.q = 1 THEN 'yes' ELSE 'no' END AS good FROM (SELECT doc_id AS k, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'no' END AS mark FROM documents) s
+LEFT JOIN (SELECT doc_id AS k, quality AS q FROM labels) r USING (k)"""
+)
+def audited_sheet(spark, sf_dir):
+    """Audit marks filled from records where they are empty."""
+    k = F.col("doc_id")
+    sheet = read(spark, sf_dir, "documents").select(k.alias("id"), F.when(k % 3 == 0, "").when(k % 3 == 1, "no").alias("good"))
+    records = read(spark, sf_dir, "labels").select(k.alias("id"), "quality")
+    return builders.audited(sheet, records, {"good": F.col("quality") == 1})[0]
+
+
+def _mined(spark, sf_dir) -> DataFrame:
+    c = F.col
+    kind = F.when(c("o_orderstatus") == "F", "false_positive").when(c("o_orderstatus") == "O", "false_negative").otherwise("correct")
+    return read(spark, sf_dir, "orders").select(c("o_orderkey").alias("id"), c("o_custkey").alias("image_id"), c("o_orderpriority").alias("strategy"), (c("o_custkey") % 7).alias("category"), kind.alias("error_type"), sampling.stable_key("mine", c("o_orderkey")).alias("k"))
+
+
+@query()
+def locked_rows(spark, sf_dir):
+    """Error rows under three caps, half of each kind, then refilled; tests compare with a sequential pass."""
+    from .store import table_store
+
+    return builders.locked_rows(_mined(spark, sf_dir), 500, {"category": 80, "strategy": 120, "image_id": 3}, ["k", "id"], table_store(spark)).select("id", "error_type")
+
+
+@query()
+def strategy_pairs(spark, sf_dir):
+    """Pairs in turn from strategies under rules of their image; tests compare with a loop over the images."""
+    c = F.col
+    pairs = read(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("image_id"), c("l_partkey").alias("positive"), c("l_suppkey").alias("negative"), c("l_returnflag").alias("strategy"), "l_linenumber", sampling.stable_key("pair", c("l_orderkey"), c("l_linenumber"), c("l_partkey")).alias("k"))
+    return builders.strategy_pairs(pairs, 600, 2, ["k"])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, AtomicType, DataType, MapType, StructType
 
 #: Keys that can hold an image id.
 ID_KEYS = ["image_id", "imageId", "image", "img_id", "imageIdStr"]
@@ -62,9 +64,42 @@ def exploded_annotations(doc: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     return images, boxes, doc.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), "c.name")
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """One object a line without null fields; files appear whole or not at all."""
-    df.write.mode("overwrite").option("ignoreNullFields", True).json(path)
+def _sorted(value: Column, kind: DataType) -> Column:
+    """A value with the fields of all its structs in the order of their names."""
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[_sorted(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _sorted(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), _sorted(e["value"], kind.valueType).alias("value"))))) if isinstance(kind.valueType, AtomicType) else value
+    return value
+
+
+def write_jsonl(df: DataFrame, path: str) -> int:
+    """One object a line, keys sorted, without null fields; files appear whole or not at all. Returns the number of lines."""
+    seen = Observation()
+    rows = df.select(*[_sorted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)])
+    rows.observe(seen, F.count("*").alias("n")).write.mode("overwrite").option("ignoreNullFields", True).json(path)
+    return seen.get["n"]
+
+
+def write_json(spark: SparkSession, payload, path: str) -> None:
+    """A small report as one indented document, keys in the order given."""
+    lines = spark.createDataFrame([(json.dumps(payload, indent=2, ensure_ascii=False),)], "value string")
+    lines.coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_ids(df: DataFrame, column: str, path: str) -> None:
+    """The distinct ids of a column, one a line."""
+    df.select(F.col(column).cast("string").alias("value")).where("value <> ''").distinct().write.mode("overwrite").text(path)
+
+
+def publish(df: DataFrame, path: str, default: str | None = None) -> int:
+    """Write JSONL to ``path`` and, from there, the same rows to the default place."""
+    n = write_jsonl(df, path)
+    if default:
+        write_jsonl(df.sparkSession.read.schema(df.schema).json(path), default)
+    return n
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -79,9 +114,13 @@ def write_guarded(df: DataFrame, path: str, leaked: DataFrame) -> None:
 
 
 def markdown_table(df: DataFrame, rows: int = 200) -> str:
-    """A bounded report table as Markdown."""
+    """A report table as Markdown; a table of more than ``rows`` rows is an error. Cells are one line, bars escaped."""
+    got = df.limit(rows + 1).collect()
+    if len(got) > rows:
+        raise ValueError(f"a report of more than {rows} rows")
+    cell = lambda v: "" if v is None else " ".join(str(v).split()).replace("|", "\\|")
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
-    return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.limit(rows).collect())])
+    return "\n".join([head, *("| " + " | ".join(map(cell, r)) + " |" for r in got)])
 
 
 def read_records(spark: SparkSession, path: str, wrappers=("questions", "annotations", "data", "records")) -> DataFrame:
