@@ -27,7 +27,7 @@ from .textnp import BYTE, LOWER, U, chunks, column, mix, prefix, spans, words
 
 #: The least number of words that are symbols, and the factor of the vocabulary's cube root; classes of other words,
 #: features, and words whose counts every task holds.
-TOP, GROWTH, CLASSES, WIDTH, HELD = 150, 4, 48, 24, 1 << 18
+TOP, GROWTH, CLASSES, WIDTH, HELD = 1000, 4, 48, 24, 1 << 18
 #: Training: distinct triples a share has at least (if there are few shares) and at most about, rounds, sample and noise batch, step.
 FEW, MANY, SHARES, ROUNDS, BATCH, NOISE, RATE = 50_000, 1_000_000, 8, 3, 1024, 128, 0.15
 _GATHER = 6_000_000
@@ -296,7 +296,9 @@ def lm_scores(docs: DataFrame, held_out=None, top: int | None = None, held: int
 
     ``held_out`` is a condition on doc_id; such rows aren't learned from. By default those whose crc32(doc_id as text) mod
     7 is 2; null ids are learned from. A null text is empty and has its end alone. An empty training set makes all words
-    unknown. ``top`` words are symbols, by default as many as the vocabulary's size asks for. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    unknown. ``top`` words are symbols, by default as many as the vocabulary's size asks for. A very long text is worked on
+    alone. Rows that repeat a doc_id are scored each for itself; further columns go. Returns doc_id, held_out, n_tokens,
+    n_known, train_tokens, base_score, score.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "lm")
