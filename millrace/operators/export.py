@@ -41,22 +41,37 @@ def mixed_rows(df: DataFrame, ratio: float = 0.3, seed: str = "42") -> DataFrame
     return evidence_rows(marked.where("picked")).unionByName(answer_rows(marked.where("not picked")))
 
 
-def verifier_rows(df: DataFrame) -> DataFrame:
-    """(id, prompt, chosen, rejected) of records with claim, evidence, support and relation: supported or wrong_evidence as JSON."""
+def verifier_rows(records: DataFrame, side: str, support: str, part: str) -> DataFrame:
+    """Rows that ask whether the evidence of a claim record's first ``side`` claim supports it; answers are JSON, keys sorted.
+
+    ``support`` is what the evidence deserves, supported or wrong_evidence, ``part`` the slice that ids and rows carry.
+    """
+    one = F.get(side, F.lit(0))
+    label = lambda role: F.coalesce(F.nullif(F.get(F.filter(one["evidence"], lambda e: e["role"] == role), F.lit(0))["label"], F.lit("")), F.lit("unknown"))
+    relation = F.when(one["type"] == "relation", F.nullif(one["relation"], F.lit("")))
+    attribute = F.when(one["type"] == "attribute", F.nullif(one["attribute"], F.lit("")))
+    first = F.coalesce(F.get(one["evidence"], F.lit(0))["label"], F.lit("unknown"))
+    shown = F.when(one["type"] == "relation", F.concat(F.lit("subject="), label("subject"), F.lit("; object="), label("object"), F.lit("; relation="), F.coalesce(relation, F.lit("unknown"))))
+    shown = shown.otherwise(F.concat(F.lit("label="), first, F.coalesce(F.concat(F.lit("; attribute="), attribute), F.lit(""))))
     body = F.concat_ws(
-        "\n", F.lit("<image>"), F.concat(F.lit("Question: "), "question"), F.concat(F.lit("Candidate claim: "), "claim"),
-        F.concat(F.lit("Candidate evidence: "), "evidence"), F.lit("Does the candidate evidence support the claim in the image?"), F.lit("Answer:"),
+        "\n", F.lit("<image>"), F.concat(F.lit("Question: "), "question"), F.concat(F.lit("Candidate claim: "), one["span"]), F.concat(F.lit("Candidate evidence: "), shown),
+        F.lit("Does the candidate evidence support the claim in the image?"), F.lit("Answer:"),
+    )
+    payload = lambda s: F.concat(F.lit("{"), F.coalesce(F.concat(F.lit('"relation": "'), relation, F.lit('", ')), F.lit("")), F.lit(f'"support": "{s}"}}'))
+    other = "wrong_evidence" if support == "supported" else "supported"
+    return records.select(
+        F.concat(F.lit(f"{part}_"), "id").alias("id"), "image", body.alias("prompt"), payload(support).alias("chosen"), payload(other).alias("rejected"), "source",
+        F.lit("evidence_verifier").alias("task_type"), F.coalesce("base_task_type", "task_type").alias("base_task_type"), F.lit("evidence_support_label").alias("negative_type"),
+        F.lit(part).alias("slice"), F.col("id").alias("source_record_id"), F.lit(support).alias("target_support"), one["type"].alias("claim_type"),
     )
-    # Keys sorted, one space after separators, as the trainers of these files expect.
-    payload = lambda s: F.when(F.col("relation") != "", F.format_string('{"relation": "%s", "support": "%s"}', "relation", s)).otherwise(F.format_string('{"support": "%s"}', s))
-    other = F.when(F.col("support") == "supported", "wrong_evidence").otherwise("supported")
-    return df.select("id", "image", body.alias("prompt"), payload(F.col("support")).alias("chosen"), payload(other).alias("rejected"))
 
 
-def claims_block(answer: Column, claims: Column) -> Column:
-    """The answer and its claims (array of type, span, evidence text, support) as indented text."""
-    one = lambda c: F.format_string("- type: %s\n  claim: %s\n  evidence: %s\n  support: %s", c["type"], c["span"], c["evidence"], c["support"])
-    return F.concat(F.lit("Answer: "), answer, F.lit("\nClaims:\n"), F.array_join(F.transform(claims, one), "\n"))
+def dual_rules() -> dict[str, Column]:
+    """Rules of a mixed export: filled fields, different answers, and verifier answers that name a known support."""
+    blank = {f"missing_{c}": F.coalesce(c, F.lit("")) == "" for c in ("id", "image", "prompt", "chosen", "rejected", "slice")}
+    known = lambda c: F.coalesce(F.get_json_object(c, "$.support").isin("supported", "wrong_evidence"), F.lit(False))
+    judged = F.col("slice") != "short_answer"
+    return {**blank, "identical_answers": F.col("chosen").eqNullSafe(F.col("rejected")), "verifier_support": judged & ~(known("chosen") & known("rejected"))}
 
 
 def chat_rows(df: DataFrame) -> DataFrame:

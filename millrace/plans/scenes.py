@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import builders, claims, curate, metrics, quality, rules, sampling
+from ..operators import builders, claims, curate, evalsets, export, metrics, quality, rules, sampling
 from .registry import query, read
 
 #: By line number: further attributes, and the names of relations.
@@ -404,3 +404,140 @@ def strategy_pairs(spark, sf_dir):
     c = F.col
     pairs = read(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("image_id"), c("l_partkey").alias("positive"), c("l_suppkey").alias("negative"), c("l_returnflag").alias("strategy"), "l_linenumber", sampling.stable_key("pair", c("l_orderkey"), c("l_linenumber"), c("l_partkey")).alias("k"))
     return builders.strategy_pairs(pairs, 600, 2, ["k"])
+
+
+@query(
+    f"""WITH {_SCENES}, {_TOLD}, q AS (
+  SELECT 'supported_verifier_' || id AS id, image_id, question, span, type, CASE type WHEN 'attribute' THEN 'label=' || shown ELSE shown END AS shown, relation, 'supported' AS s, 'wrong_evidence' AS o, 'supported_verifier' AS slice, task_type, id AS source_record_id FROM c
+  UNION ALL SELECT 'wrong_verifier_' || id || '_wrong', image_id, question, span, type, CASE type WHEN 'attribute' THEN 'label=' || wrong_shown ELSE wrong_shown END, relation, 'wrong_evidence', 'supported', 'wrong_verifier', task_type, id || '_wrong' FROM w)
+SELECT id, image_id || '.jpg' AS image, '<image>' || chr(10) || 'Question: ' || question || chr(10) || 'Candidate claim: ' || span || chr(10) || 'Candidate evidence: ' || shown || chr(10)
+  || 'Does the candidate evidence support the claim in the image?' || chr(10) || 'Answer:' AS prompt,
+  '{{' || coalesce('"relation": "' || relation || '", ', '') || '"support": "' || s || '"}}' AS chosen, '{{' || coalesce('"relation": "' || relation || '", ', '') || '"support": "' || o || '"}}' AS rejected,
+  'gqa' AS source, 'evidence_verifier' AS task_type, task_type AS base_task_type, 'evidence_support_label' AS negative_type, slice, source_record_id, s AS target_support, type AS claim_type FROM q"""
+)
+def verifier_rows(spark, sf_dir):
+    """Verifier rows of claim records: their own evidence is supported, that of the wrong-evidence variants isn't."""
+    records = _records(spark, sf_dir)
+    wrong = claims.wrong_evidence_claims(records)
+    return export.verifier_rows(records, "chosen_claims", "supported", "supported_verifier").unionByName(export.verifier_rows(wrong, "rejected_claims", "wrong_evidence", "wrong_verifier"))
+
+
+def _detections(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as images, lines as boxes, parts as categories."""
+    c, n = F.col, F.col("l_linenumber")
+    images = read(spark, sf_dir, "orders").select(c("o_orderkey").alias("image_id"), F.lit("a.jpg").alias("file_name"), F.lit(64).alias("width"), F.lit(32).alias("height"))
+    w, h = (c("l_quantity") - 5).cast("double"), (n + 1).cast("double")
+    boxes = read(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("image_id"), c("l_partkey").alias("category_id"), c("l_quantity").cast("double").alias("x"), (n * 3).cast("double").alias("y"), w.alias("w"), h.alias("h"),
+        F.when(n % 3 == 0, 0.0).otherwise(w * h).alias("area"), F.when(n % 5 == 0, 1).otherwise(0).alias("iscrowd"),
+    )
+    return images, boxes, read(spark, sf_dir, "part").select(c("p_partkey").alias("category_id"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("name"))
+
+
+_BOXES = """b AS (SELECT l_orderkey AS image_id, split_part(p_name, ' ', 2) AS name, l_quantity::DOUBLE AS x, (l_linenumber * 3)::DOUBLE AS y, (l_quantity - 5)::DOUBLE AS w, (l_linenumber + 1)::DOUBLE AS h, l_linenumber AS n FROM lineitem JOIN part ON l_partkey = p_partkey),
+v AS (SELECT image_id, name, max(CASE WHEN n % 3 = 0 OR w * h = 0 THEN greatest(w, 0) * h ELSE w * h END) AS max_area FROM b
+  WHERE n % 5 <> 0 AND (CASE WHEN n % 3 = 0 OR w * h = 0 THEN greatest(w, 0) * h ELSE w * h END) >= 20.48 GROUP BY ALL)"""
+
+
+@query(f"WITH {_BOXES} SELECT * FROM v")
+def visible_objects(spark, sf_dir):
+    """Classes that images show: crowds and small boxes left out, an area of 0 replaced by that of the box."""
+    return curate.visible_objects(*_detections(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_BOXES}, r AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY image_id, name ORDER BY greatest(w, 0) * h DESC, x, y) = 1)
+SELECT image_id, name, CAST(round(least(1.0, x / 64) * 1000) AS BIGINT) AS x1, CAST(round(least(1.0, (x + w) / 64) * 1000) AS BIGINT) AS x2 FROM r WHERE w > 0 AND x < 64"""
+)
+def best_boxes(spark, sf_dir):
+    """The largest box of each class of an image."""
+    rows = curate.best_boxes(*_detections(spark, sf_dir)).where("box is not null")
+    at = lambda i: F.round(F.col("box")[i] * 1000).cast("long")
+    return rows.select("image_id", "name", at(0).alias("x1"), at(2).alias("x2"))
+
+
+def _hinted(spark, sf_dir) -> DataFrame:
+    return _spoiled(spark, sf_dir).where("id % 13 <> 0 and id % 17 <> 0")
+
+
+_CUED = "SELECT k AS id, image, '<image>' || chr(10) || 'Question: What is it?' || chr(10) || 'Answer:' AS prompt, {0} FROM t WHERE k % 13 <> 0 AND k % 17 <> 0"
+
+
+@query(f"WITH {_SPOILED} " + _CUED.format("'Evidence hint: a' AS chosen, 'Evidence hint: b' AS rejected"))
+def export_evidence_only(spark, sf_dir):
+    return export.evidence_only_rows(_hinted(spark, sf_dir))
+
+
+@query(f"WITH {_SPOILED} " + _CUED.replace("chr(10) || 'Question", "chr(10) || 'Evidence hint: a' || chr(10) || 'Question").format("chosen, rejected"))
+def export_input_cue(spark, sf_dir):
+    return export.input_cue_rows(_hinted(spark, sf_dir))
+
+
+@query(f"WITH {_SPOILED} " + _CUED.format("chosen AS answer"))
+def export_chosen_only(spark, sf_dir):
+    return export.chosen_only_rows(_hinted(spark, sf_dir))
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey AS id, o_custkey AS pair, CASE WHEN o_orderstatus = 'F' THEN 'yes' ELSE 'no' END AS target FROM orders),
+f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY pair, target ORDER BY id) = 1)
+SELECT id, pair, target FROM f WHERE pair IN (SELECT pair FROM f GROUP BY pair HAVING count(*) = 2)"""
+)
+def first_pairs(spark, sf_dir):
+    """The first yes row and the first no row of every pair that has both."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("pair"), F.when(F.col("o_orderstatus") == "F", "yes").otherwise("no").alias("target"))
+    return evalsets.first_pair(rows, "pair", "target", [F.col("id")])
+
+
+@query(
+    """WITH g AS (SELECT doc_id, CASE WHEN source = 'src0' THEN 'coco' ELSE 'graph' END AS g, row_number() OVER (PARTITION BY source = 'src0' ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source = 'src0') AS n FROM documents),
+c AS (SELECT max(n) FILTER (WHERE g = 'coco') AS a, max(n) FILTER (WHERE g = 'graph') AS b FROM g)
+SELECT doc_id FROM g, c WHERE CASE g WHEN 'coco' THEN r <= least(c.a, least(c.a, 40) + 100000 + 40 - least(c.a, 40) - least(c.b, 100000)) ELSE r <= least(c.b, 100000) END"""
+)
+def split_targets(spark, sf_dir):
+    """So many rows of each group; what one lacks is taken from the other."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("source") == "src0", "coco").otherwise("graph").alias("g"))
+    return sampling.split_targets(docs, F.col("g"), {"coco": 40, "graph": 100_000}, [F.col("doc_id")], "coco").select("doc_id")
+
+
+@query(
+    f"""WITH {_PROBES}, r AS (SELECT task, avg(rejected::INT)::DOUBLE AS wrong FROM p WHERE model = 'dual' GROUP BY task)
+SELECT (SELECT wrong FROM r ORDER BY task LIMIT 1) AS first, (SELECT wrong FROM r ORDER BY task DESC LIMIT 1) AS last,
+  (SELECT wrong FROM r ORDER BY task DESC LIMIT 1) - (SELECT wrong FROM r ORDER BY task LIMIT 1) AS gain, (SELECT bool_and(ok) FROM (SELECT coalesce(wrong >= lag(wrong) OVER (ORDER BY task), true) AS ok FROM r)) AS monotonic"""
+)
+def trend(spark, sf_dir):
+    """Rejection over the task types as steps."""
+    rates = _probes(spark, sf_dir).where("model = 'dual'").groupBy("task").agg(F.avg(F.col("rejected").cast("double")).alias("wrong"))
+    return metrics.trend(rates, "task", "wrong")
+
+
+@query(
+    f"""WITH {_PROBES}, r AS (SELECT task AS model, avg(rejected::INT)::DOUBLE AS wrong, avg((event_id % 3)::DOUBLE) AS short FROM p GROUP BY task), b AS (SELECT * FROM r WHERE model = 'attribute_color')
+SELECT r.model, r.wrong - b.wrong >= 0.0005::DOUBLE AND r.short - b.short >= -0.5::DOUBLE AS passes FROM r, b"""
+)
+def gate(spark, sf_dir):
+    """Which task types gain over one of them without much loss."""
+    rows = _probes(spark, sf_dir).groupBy(F.col("task").alias("model")).agg(F.avg(F.col("rejected").cast("double")).alias("wrong"), F.avg((F.col("event_id") % 3).cast("double")).alias("short"))
+    return metrics.passes_gate(rows, "attribute_color", "wrong", "short", 0.0005, 0.5).select("model", "passes")
+
+
+@query()
+def unique_pairs(spark, sf_dir):
+    """Greedy pairs of customers and parts none of which shares an item with an earlier one; tests compare with a loop."""
+    from .store import table_store
+
+    pairs = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"), "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").distinct()
+    return sampling.unique_pairs(pairs, "a", "b", ["l_orderkey", "l_linenumber", "a", "b", "l_quantity", "l_extendedprice"], table_store(spark)).select("a", "b")
+
+
+@query(
+    f"""WITH {_SCENES}, e AS (SELECT DISTINCT image_id, object_id, name FROM o), f AS (SELECT image_id, name, min(object_id) AS object_id FROM e GROUP BY ALL), m AS (SELECT image_id, min(name) AS positive, max(name) AS last FROM f GROUP BY image_id HAVING count(*) >= 2)
+SELECT CAST(image_id AS VARCHAR) AS id, 'Answer: Yes.' || chr(10) || 'Claims:' || chr(10) || '- type: object' || chr(10) || '  claim: ' || positive || ' visible' || chr(10) || '  evidence: ' || positive || chr(10) || '  support: supported' AS chosen,
+  'Answer: No.' || chr(10) || 'Claims:' || chr(10) || '- type: object' || chr(10) || '  claim: unicorn visible' || chr(10) || '  evidence: unicorn' || chr(10) || '  support: contradicted' AS rejected FROM m"""
+)
+def object_claims(spark, sf_dir):
+    """Claim records of object pairs: the first class of each graph against one it lacks."""
+    boxes = curate.scene_objects(_graphs(spark, sf_dir)).groupBy("image_id", "name").agg(F.min_by("box", "object_id").alias("box"))
+    pairs = boxes.groupBy("image_id").agg(F.min("name").alias("positive"), F.count("*").alias("k")).where("k >= 2")
+    told = {"id": F.col("image_id").cast("string"), "image": F.lit("a.jpg"), "negative": F.lit("unicorn"), "question": F.lit("q"), "chosen": F.lit("Yes."), "rejected": F.lit("No.")}
+    return claims.claim_exports(claims.object_claims(pairs.withColumns(told), boxes)).select("id", "chosen", "rejected")
