@@ -443,7 +443,7 @@ def export_same_ids(spark, sf_dir):
 @query(
     f"""WITH {_SEEN}, p AS (SELECT image_id, min(name) AS positive, max(name) AS negative FROM v GROUP BY image_id HAVING count(*) >= 2),
 r AS (SELECT image_id, positive, negative, 'present' AS kind, 'yes' AS target, positive AS object FROM p UNION ALL SELECT image_id, positive, negative, 'absent', 'no', negative FROM p)
-SELECT image_id::VARCHAR || '::' || positive || '::' || kind || '::' || object AS id, image_id, kind, target, object, 'Is there a ' || object || ' in the image?' AS question FROM r"""
+SELECT image_id::VARCHAR || '::' || positive || '::' || kind || '::' || object AS id, image_id, kind, target, object, 'Is there a ' || lower(replace(object, '#', '')) || ' in the image?' AS question FROM r"""
 )
 def paired_eval(spark, sf_dir):
     pairs = _seen(spark, sf_dir).groupBy("image_id").agg(F.min("name").alias("positive"), F.max("name").alias("negative"), F.count("*").alias("k")).where("k >= 2")

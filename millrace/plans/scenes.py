@@ -197,7 +197,12 @@ def claim_task_shares(spark, sf_dir):
     return rules.task_shares(every, dict.fromkeys(["attribute_color", "attribute_material", "relation_spatial", "wrong_evidence"], (0.1, 0.4)))
 
 
-@query("SELECT unnest(['" + "', '".join(rules.claim_rules()) + "']) AS rule, 0::BIGINT AS n_failed")
+_CLAIM_RULES = [f"missing_{c}" for c in "source image image_id task_type question chosen_answer rejected_answer answer_rejected negative_type".split()] + ["chosen_too_long", "rejected_too_long", "identical_plain_answers"]
+_CLAIM_RULES += [k.format(side) for side in ("chosen_claims", "rejected_claims") for k in ("no_{}", "{}_field", "{}_evidence", "{}_roles", "{}_bare")]
+_CLAIM_RULES += ["wrong_evidence_answers", "wrong_evidence_support", "identical_answers", "evidence_wrong_elsewhere"]
+
+
+@query(f"SELECT unnest({_list(_CLAIM_RULES)}) AS rule, 0::BIGINT AS n_failed")
 def claim_report(spark, sf_dir):
     """The rule catalog of claim records on the records built here: none is broken."""
     records = _records(spark, sf_dir)

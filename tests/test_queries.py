@@ -28,3 +28,11 @@ def test_multi_cap_is_the_greedy_pass(spark):
             want.add(key)
             used[cust], used[prio] = used.get(cust, 0) + 1, used.get(prio, 0) + 1
     assert {r.o_orderkey for r in registry.multi_cap(spark, SF).collect()} == want
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=entry.__file__.rsplit("/", 1)[0])
