@@ -25,24 +25,38 @@ def _without(docs, verdicts, stays, name):
 
 
 def quality(spark, docs, sf_dir):
-    """Drop documents that the quality rules reject; a null or empty text is rejected."""
+    """Drop documents that the quality rules reject.
+
+    A null or empty text is rejected, an empty table stays empty, rows that repeat a doc_id are judged each for itself, and
+    columns named like the measures keep their values.
+    """
     names = {c: f"own_{c}" for c in docs.columns if c in ADDED}  # they would be replaced
     kept = quality_rules(docs.withColumnsRenamed(names)).where("kept")
     return kept.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def exact(spark, docs, sf_dir):
-    """Keep one document of each group of equal texts."""
+    """Keep one document of each group of equal texts.
+
+    Null and empty texts are one group. Rows that repeat the doc_id that stays all stay; a null doc_id is an id of its own.
+    """
     return _without(docs, exact_dedup(docs.select("doc_id", "text")), F.col("kept"), "exact")
 
 
 def near(spark, docs, sf_dir):
-    """Keep the document with the smallest doc_id of each near-duplicate group."""
+    """Keep the document with the smallest doc_id of each near-duplicate group.
+
+    Texts without words, null ones too, are near to nothing and stay. Rows that repeat a doc_id stand or fall together.
+    """
     return _without(docs, ngram_join(docs.select("doc_id", "text")), F.col("doc_id").eqNullSafe(F.col("component_id")), "near")
 
 
 def mixed(spark, docs, sf_dir):
-    """Repeat each document as often as the mix takes it; one it doesn't take goes."""
+    """Repeat each document as often as the mix takes it; one it doesn't take goes.
+
+    Texts without words have no size and are never taken. A null source is a source. Rows that repeat a doc_id get as many
+    copies as the most any of them is given.
+    """
     ws = Workspace(spark, "mixed")
     copies = mix(docs.select("doc_id", "source", "text")).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("n_copies"))
     out = docs.join(small(ws.write(copies.where("n_copies > 0"), "copies")), docs["doc_id"].eqNullSafe(F.col("mixed_id")))
@@ -50,7 +64,10 @@ def mixed(spark, docs, sf_dir):
 
 
 def packed(spark, docs, sf_dir):
-    """Pack what is left into sequences of 4096 tokens."""
+    """Pack what is left into sequences of 4096 tokens.
+
+    A null text has its end alone; longer texts are cut; every row is packed for itself, repeated ones too.
+    """
     return pack(docs.select("doc_id", "text"), vocabulary())
 
 
