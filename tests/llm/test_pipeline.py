@@ -1,16 +1,57 @@
 """Every stage against what it should do to its own input."""
 
 import collections
+import re
 
 import corpus_pipeline
 import __spark_entry__ as entry
-from millrace.llm import exact_dedup, mixing, ngram_join, quality
+from millrace.llm import mixing, quality
 from pyspark.sql import functions as F
 from tests.conftest import SF
 
 from .test_models import check_packing
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def base_failed(text):
+    words = WORD.findall(text)
+    at = collections.defaultdict(list)
+    for i in range(len(words) - 4):
+        at[tuple(words[i : i + 5])].append(i)
+    inside = {i + j for places in at.values() if len(places) > 1 for i in places for j in range(5)}
+    return len(words) < 10 or 100 * len(inside) > 20 * len(words)
+
+
+def exact_kept(texts):
+    best = {}
+    for d, t in texts.items():
+        key = re.sub(r"[\x20\x09-\x0D]", "", t)
+        best[key] = min(best.get(key, (1, 0)), (-len(t), d))
+    return {d for _, d in best.values()}
+
+
+def near_kept(texts):
+    sets = {}
+    for d, t in sorted(texts.items()):
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[d] = {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                lo, hi = sorted((find(a), find(b)))
+                root[hi] = lo
+    return {d for d in sets if find(d) == d}
+
+
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("kept", F.lit("clash")).withColumn("copies", F.lit(9))
     stages, outs = dict(corpus_pipeline.STAGES), [docs]
@@ -21,8 +62,10 @@ def test_stages(spark, tmp_path):
     ids = [collections.Counter(r.doc_id for r in o.select("doc_id").collect()) for o in outs[:5]]
     assert all(o.columns == docs.columns for o in outs[:5])
     assert set(ids[1]) == {r.doc_id for r in quality.quality_rules(docs.select("doc_id", "text")).where("kept").collect()}
-    assert set(ids[2]) == {r.doc_id for r in exact_dedup.exact_dedup(outs[1]).where("kept").collect()}
-    assert set(ids[3]) == {r.component_id for r in ngram_join.ngram_join(outs[2]).collect()}
+    texts = [{r.doc_id: r.text or "" for r in o.select("doc_id", "text").collect()} for o in outs[:4]]
+    assert set(ids[1]) <= {d for d, t in texts[0].items() if not base_failed(t)}
+    assert set(ids[2]) == exact_kept(texts[1])
+    assert set(ids[3]) == near_kept(texts[2])
     assert ids[4] == collections.Counter({r.doc_id: r.copies for r in mixing.mix(outs[3].drop("copies")).collect() if r.copies})
     check_packing([(r.doc_id, r.text) for r in outs[4].collect()], outs[5].collect(), 4096)
 
