@@ -156,6 +156,13 @@ def count_triples(docs: DataFrame, shared, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """The sums of rows by their index, for indices below ``n``."""
+    at, rows = np.concatenate([i for i, _ in parts]), np.concatenate([x for _, x in parts])
+    width = rows.shape[1]
+    return np.bincount((at[:, None] * width + np.arange(width)).ravel(), rows.ravel(), n * width).reshape(n, width)
+
+
 class Model:
     """Parameters: context features, their maps by place, target features and biases."""
 
@@ -176,18 +183,16 @@ class Model:
             z = rng.choice(self.n, NOISE, p=noise_p)
             context = r[x1] @ c1 + r[x2] @ c2
             real = (context * q[w]).sum(1) + b[w] - log_noise[w]
-            fake = context @ q[z].T + (b[z] - log_noise[z])
+            # Noise in single precision: most of the work is here.
+            qz = q[z].astype(np.float32)
+            fake = context.astype(np.float32) @ qz.T + (b[z] - log_noise[z]).astype(np.float32)
             u = weight[i : i + BATCH]
             g = u / (1 + np.exp(np.clip(real, -30, 30)))
-            f = -u[:, None] / (1 + np.exp(-np.clip(fake, -30, 30)))
-            back = (g[:, None] * q[w] + f @ q[z]) / m
-            dq, db, dr = np.zeros_like(q), np.zeros_like(b), np.zeros_like(r)
-            np.add.at(dq, w, g[:, None] * context / m)
-            np.add.at(dq, z, f.T @ context / m)
-            np.add.at(db, w, g / m)
-            np.add.at(db, z, f.sum(0) / m)
-            np.add.at(dr, x1, back @ c1.T)
-            np.add.at(dr, x2, back @ c2.T)
+            f = -u[:, None].astype(np.float32) / (1 + np.exp(-np.clip(fake, -30, 30)))
+            back = (g[:, None] * q[w] + f @ qz) / m
+            dq = _summed([(w, g[:, None] * context / m), (z, f.T @ context.astype(np.float32) / m)], self.n)
+            db = np.bincount(w, g / m, self.n) + np.bincount(z, f.sum(0) / m, self.n)
+            dr = _summed([(x1, back @ c1.T), (x2, back @ c2.T)], self.n + 1)
             for x, s, d in zip(self.p, speed, (dr, r[x1].T @ back, r[x2].T @ back, dq, db), strict=True):
                 s += d * d
                 x += rate * d / np.sqrt(s)

@@ -28,6 +28,7 @@ def test_a_round_has_every_share_and_norms_are_the_tables(spark):
 
 def test_symbols_grow_with_the_vocabulary(spark, monkeypatch):
     tops, real = [], lm_scoring.frequent
+    monkeypatch.setattr(lm_scoring, "TOP", 150)
     monkeypatch.setattr(lm_scoring, "frequent", lambda words, limit: tops.append(limit) or real(words, limit))
     for words in (1000, 125_000):
         docs = spark.range(words).groupBy((F.col("id") % 50).alias("doc_id")).agg(F.array_join(F.collect_list(F.concat(F.lit("w"), "id")), " ").alias("text"))
