@@ -28,19 +28,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .shared import Workspace, small, table
-from .textnp import BYTE, U, chunks, column, prefix, spans, words
+from .textnp import BYTE, IS_SPACE, U, chunks, column, prefix, spans, words
 
 CAPACITY, END = 4096, 1
 #: Classes of lengths at most; the program: part of a class that one step covers, fall of prices, and how much less than
 #: the best a pattern may be worth; shares of the solution that are tried in rounding.
 CLASSES, STEP, DECAY, SLACK = 1024, 0.5, 2.0, 0.05
 SHARES = (0.9, 0.75, 0.5, 0.25)
-#: Bytes of words and tokens that a task remembers.
+#: Bytes of words and tokens that a worker remembers, over its tasks.
 CACHE = 24 << 20
 #: A character that stands between words while they are encoded.
 PARTING = "\x01"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, lrank long"
 _encoders: dict[str, tokenizers.Tokenizer] = {}
+_word_tokens: dict[str, WordTokens] = {}
 
 
 def _flat(first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -97,9 +98,8 @@ class WordTokens:
         self.length, self.ids = np.append(self.length, count), np.append(self.ids, ids)
         self.at = np.append(self.at, len(self.bytes) + np.cumsum(size) - size)
         self.size, self.bytes = np.append(self.size, size), np.append(self.bytes, data[_flat(starts, size)])
-        keys, slot = np.append(self.keys, keys), np.append(self.slot, np.arange(n, n + len(size), dtype=np.int32))
-        by = np.argsort(keys, kind="stable")
-        self.keys, self.slot = keys[by], slot[by]
+        place = np.searchsorted(self.keys, keys)  # keys are sorted
+        self.keys, self.slot = np.insert(self.keys, place, keys), np.insert(self.slot, place, np.arange(n, n + len(size), dtype=np.int32))
 
     def _known(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray | None:
         """The slot of each word; None if two words have one hash."""
@@ -113,7 +113,8 @@ class WordTokens:
             self._keep(keys[new], data, starts[at[new]], size[at[new]])
             place = np.searchsorted(self.keys, keys)
         slot = self.slot[place][back]
-        same = (self.size[slot] == size).all() and (self.bytes[_flat(self.at[slot], size)] == data[_flat(starts, size)]).all()
+        # Without white space, the bytes of a chunk are those of its words in turn.
+        same = (self.size[slot] == size).all() and (self.bytes[_flat(self.at[slot], size)] == data[~IS_SPACE[data]]).all()
         return slot if same else None
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -144,7 +145,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64).tolist()
-        tokens = WordTokens(path)
+        if path not in _word_tokens:
+            _word_tokens[path] = WordTokens(path)
+        tokens = _word_tokens[path]
         for batch in batches:
             rows = []
             for doc, ids in zip(column(batch, "doc_id").to_pylist(), tokens.encode(column(batch, "text")), strict=True):
