@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, line_dedup, lm_scoring, mixing, ngram_join, packing, quality, suffix_dedup, warc
+from . import alignment, exact_dedup, html_text, language, line_dedup, lm_scoring, mixing, ngram_join, packing, quality, resampling, suffix_dedup, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_html_text": html_text.op9_html_text,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_language_id": language.op12_language_id,
+    "op13_target_resampling": resampling.op13_target_resampling,
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,

@@ -71,8 +71,8 @@ def trim() -> None:
         _libc.malloc_trim(0)
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, row offsets into them) of a string or binary column; null is empty."""
+def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, row offsets into them) of a string or binary column; null is empty. ``size`` bytes at most, or one text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
@@ -86,7 +86,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     a = 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offs, offs[a] + CHUNK, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offs, offs[a] + size, "right")) - 1)
         b = min(b, n)
         yield a, b, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b
