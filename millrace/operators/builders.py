@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import article_phrase, clean_name
 from .export import prompt
-from .sampling import multi_cap
+from .sampling import binned, capped_per_key, first_rows, multi_cap, running_sum, with_ids
 
 # Names in s that are singular, in balanced rows.
 SINGULAR = ["bus", "wine glass"]
@@ -131,44 +131,98 @@ def graph_eval_rows(attributes: DataFrame, relations: DataFrame) -> DataFrame:
     return a.unionByName(r).select(c("id").alias("source_id"), "task_type", "q.*")
 
 
-def locked_rows(rows: DataFrame, total: int, caps: dict[str, int], order: list[str], store, kind: str = "error_type", kinds: tuple[str, str] = ("false_positive", "false_negative")) -> DataFrame:
+def locked_rows(
+    rows: DataFrame, total: int, caps: dict[str, int], order: list[str], store, kind: str = "error_type", kinds: tuple[str, str] = ("false_positive", "false_negative"), refill: tuple[str, ...] = ()
+) -> DataFrame:
     """``total`` rows of two kinds, half of each, then whatever is left, under caps on several keys at once.
 
     Exactly what a sequential pass takes: the first kind in ``order`` up to its half, then the second, then the rest of
-    both, each row only while all its keys are below their caps. ``order`` must be unique; ``store`` as for multi_cap.
+    both and the kinds that may only ``refill``, each row only while all its keys are below their caps. ``order`` must be
+    unique; ``store`` as for multi_cap.
     """
-    rows = store(rows.where(F.col(kind).isin(*kinds)), "eligible")
+    rows = store(rows.where(F.col(kind).isin(*kinds, *refill)), "eligible")
     total = min(total, rows.count())
     quota, taken = {kinds[0]: total // 2, kinds[1]: total - total // 2}, None
     key = lambda df: df.select(*order)
     for k, n in quota.items():
-        new = multi_cap(rows.where(F.col(kind) == k), caps, order, store, taken).orderBy(*order).limit(n)
+        new = first_rows(multi_cap(rows.where(F.col(kind) == k), caps, order, store, taken), order, n, store, f"first-{k}")
         taken = store(new if taken is None else taken.unionByName(new), f"taken-{k}")
     missing = total - taken.count()
     if missing:
         rest = rows.join(key(taken), order, "left_anti")
-        taken = store(taken.unionByName(multi_cap(rest, caps, order, store, taken).orderBy(*order).limit(missing)), "taken-rest")
+        taken = store(taken.unionByName(first_rows(multi_cap(rest, caps, order, store, taken), order, missing, store)), "taken-rest")
     return rows.join(key(taken), order, "left_semi")
 
 
-def strategy_pairs(pairs: DataFrame, n: int, per_image: int, order: list[str]) -> DataFrame:
-    """``n`` pairs (image_id, positive, negative, strategy) in turn from the strategies.
+#: What a mined row keeps of the row it was chosen from, and how it is named.
+MINED_FIELDS = "image image_id question target target_object target_text task_type candidate_strategy positive_object negative_object pair_id".split()
+MINED_PREFIX, MINED_SOURCE = "base_error_mined", "base_error_mined_coco_object_existence"
 
-    Within an image pairs are taken in the order of their turn and strategy while fewer than ``per_image`` are, none asks
-    about an object in a way that a taken one does. All these rules concern one image, so each is settled in its own row;
-    turns are counted again after that. A sequential pass would let a strategy catch up within its turn.
+
+def mined_rows(locked: DataFrame, prediction: str = "prediction", kind: str = "error_type") -> DataFrame:
+    """Locked rows numbered in the order of their ids as text, with the fields of MINED_FIELDS that they have."""
+    rows = locked.withColumn("_id", F.col("id").cast("string"))
+    kept = [F.col(c) for c in MINED_FIELDS if c in locked.columns]
+    rows = rows.select(F.lit(MINED_SOURCE).alias("source"), F.col("_id").alias("source_candidate_id"), *kept, F.col(prediction).alias("base_prediction"), F.col(kind).alias("base_error_type"))
+    return with_ids(rows, MINED_PREFIX, ["source_candidate_id"])
+
+
+def strategy_pairs(pairs: DataFrame, n: int, per_image: int, order: list[str], store) -> DataFrame:
+    """``n`` pairs (image_id, positive, negative, strategy) in turn from the strategies, exactly as a sequential pass takes them.
+
+    In each turn every strategy, by name, gives its next pair in ``order`` that isn't refused. A pair is refused if its image
+    has ``per_image`` pairs already, or one with the same positive or the same negative. ``order`` must be unique within a
+    strategy; ``store`` as for multi_cap.
+
+    A pair's turn is one more than the pairs of its strategy taken before it, and what is taken of an image depends on the
+    turns of its pairs. Both are worked out again and again, first as if nothing were refused, until they agree on all turns
+    up to the last one that is needed; only the sequential result agrees with itself. Turns are sums over ranges of the
+    order, and of an image only the pairs that could be taken meet in one row.
+    """
+    columns = ["image_id", "positive", "negative", "strategy", *[c for c in order if c not in ("image_id", "positive", "negative", "strategy")]]
+    rows = binned(pairs.select(*columns), order, store, "pairs")
+    rows = store(rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_alive", F.lit(True)), "pairs0")
+    turn = 0
+    while True:
+        turned = running_sum(rows, ["strategy"], order, "_upto", F.col("_alive").cast("long"))
+        turned = store(turned.withColumn("turn", F.col("_upto") - F.col("_alive").cast("long") + 1).drop("_upto"), f"turned{turn}")
+        taken = _taken(turned, per_image, order).withColumnRenamed("_id", "_taken")
+        after = store(turned.join(taken, F.col("_id") == F.col("_taken"), "left").withColumn("_now", F.col("_taken").isNotNull()).drop("_taken"), f"after{turn}")
+        have = [r.n for r in turned.where("_alive").groupBy("strategy").agg(F.count("*").alias("n")).collect()]  # a row a strategy
+        last = _last_turn(have, n)
+        if after.where((F.col("turn") <= last) & (F.col("_now") != F.col("_alive"))).isEmpty():
+            chosen = after.where("_alive").where(F.col("turn") <= last).select("image_id", "positive", "negative", "strategy", "turn")
+            return first_rows(chosen, ["turn", "strategy"], n, store, "chosen")
+        rows = after.select(*columns, "_bin", "_id", F.col("_now").alias("_alive"))
+        turn += 1
+
+
+def _last_turn(have: list[int], n: int) -> int:
+    """The turn in which strategies with so many pairs give the n-th."""
+    low, high = 0, max(have, default=0)
+    if sum(have) <= n:
+        return high
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if sum(min(c, mid) for c in have) >= n else (mid + 1, high)
+    return low
+
+
+def _taken(turned: DataFrame, per_image: int, order: list[str]) -> DataFrame:
+    """The ``_id`` of the pairs that images take, in the order of turn and strategy.
+
+    Of equal pairs the first counts. With k to be taken, only the first k pairs of each positive and of each negative can be
+    among them, and of those only the first k + 2 (k - 1)^2 of an image.
     """
-    turn = F.row_number().over(Window.partitionBy("strategy").orderBy(*order))
-    rows = pairs.withColumn("turn", turn)
-    item = F.struct("turn", "strategy", "positive", "negative", *[F.col(c).alias(f"o_{c}") for c in order])
-    images = rows.groupBy("image_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    when = F.struct("turn", "strategy", *[F.col(c).alias(f"o_{c}") for c in order], "_id")
+    one = turned.groupBy("image_id", "positive", "negative").agg(F.min(when).alias("when"))
+    for part, most in ((["image_id", "positive"], per_image), (["image_id", "negative"], per_image), (["image_id"], per_image + 2 * (per_image - 1) ** 2)):
+        one = capped_per_key(one, part, most, [F.col("when")])
+    images = one.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("when", "positive", "negative"))).alias("items"))
     kind = images.schema["items"].dataType.simpleString()
-    clash = lambda kept, x: F.exists(kept, lambda y: (y["positive"] == x["positive"]) | (y["negative"] == x["negative"]))
+    clash = lambda kept, x: F.exists(kept, lambda y: y["positive"].eqNullSafe(x["positive"]) | y["negative"].eqNullSafe(x["negative"]))
     fold = lambda kept, x: F.when((F.size(kept) >= per_image) | clash(kept, x), kept).otherwise(F.concat(kept, F.array(x)))
-    kept = images.select("image_id", F.explode(F.aggregate("items", F.array().cast(kind), fold)).alias("k")).select("image_id", "k.*")
-    again = F.row_number().over(Window.partitionBy("strategy").orderBy("turn"))
-    kept = kept.withColumn("turn", again).where(F.col("turn") <= n).orderBy("turn", "strategy").limit(n)
-    return kept.select("image_id", "positive", "negative", "strategy", "turn")
+    return images.select(F.explode(F.aggregate("items", F.array().cast(kind), fold)).alias("k")).select("k.when._id")
 
 
 def audited(sheet: DataFrame, records: DataFrame, columns: dict[str, Column], overwrite: bool = False) -> tuple[DataFrame, DataFrame]:

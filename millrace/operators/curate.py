@@ -197,13 +197,18 @@ def wrong_evidence(records: DataFrame, pool: str, label: str, row: str, seed: st
     """Rows (pool, label, row) with ``wrong_label``: another label of the same pool, the next one in stable order.
 
     Labels of a pool are put in the order of their stable key, and each takes the next one, the last the first. So a row
-    meets one label, however large its pool; pools of one label give no rows.
+    meets one label, however large its pool; pools of one label give no rows. A pool's labels are ordered within 4096 ranges
+    of keys, and the last of a range takes the first of the next range that has any.
     """
-    key = stable_key(seed, F.col(pool), F.col(label))
-    labels = records.select(pool, label).distinct().withColumn("_k", key)
-    order = Window.partitionBy(pool).orderBy("_k", label)
-    labels = labels.withColumn("wrong_label", F.coalesce(F.lead(label).over(order), F.first(label).over(order))).where(F.col("wrong_label") != F.col(label))
-    out = records.join(labels.drop("_k"), [pool, label])
+    labels = records.select(pool, label).distinct().withColumn("_k", stable_key(seed, F.col(pool), F.col(label))).withColumn("_bin", F.substring("_k", 1, 3))
+    firsts = labels.groupBy(pool, "_bin").agg(F.min_by(label, F.struct("_k", label)).alias("_first"))
+    bins = Window.partitionBy(pool).orderBy("_bin")
+    after = F.coalesce(F.lead("_first").over(bins), F.first("_first").over(bins.rowsBetween(Window.unboundedPreceding, 0)))
+    firsts = firsts.select(F.col(pool).alias("_pool"), F.col("_bin").alias("_of"), after.alias("_after"))
+    labels = labels.withColumn("_next", F.lead(label).over(Window.partitionBy(pool, "_bin").orderBy("_k", label)))
+    labels = labels.join(firsts, (F.col(pool) == F.col("_pool")) & (F.col("_bin") == F.col("_of")))
+    labels = labels.select(pool, label, F.coalesce("_next", "_after").alias("wrong_label")).where(F.col("wrong_label") != F.col(label))
+    out = records.join(labels, [pool, label])
     return out.withColumn("negative_type", F.lit("evidence_wrong")).withColumn("source_record_id", F.col(row))
 
 

@@ -82,39 +82,66 @@ def weighted_pick(df: DataFrame, keys: list[str], weight: Column, ids: Column, n
     return capped_per_key(df.withColumn("_score", score), keys, n, [F.col("_score").desc(), ids]).drop("_score")
 
 
+def binned(df: DataFrame, order: list, store, name: str = "binned") -> DataFrame:
+    """``df``, written, with ``_bin``: the range in ``order`` that a row lies in.
+
+    Ranks and sums within a key that has a great part of all rows are then counted range by range.
+    """
+    return store(df.repartitionByRange(*order).withColumn("_bin", F.spark_partition_id()), name)
+
+
+def running_sum(rows: DataFrame, keys: list[str], order: list, name: str, value: Column | None = None, used: DataFrame | None = None) -> DataFrame:
+    """Add ``name``: the sum of ``value`` (1, so a rank) over a key's rows up to this one, in the ``order`` of ``binned`` rows.
+
+    A window spans one range of a key; what the key has in the ranges before is a sum over one row for each range. ``used``
+    (keys, _used), a row for each key, is where the sums of some keys begin. A null key is a key.
+    """
+    value = F.lit(1) if value is None else value
+    own = F.sum(value).over(Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    sums = rows.groupBy(*keys, "_bin").agg(F.sum(value).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    theirs = [f"_key{i}" for i in range(len(keys))]
+    sums = sums.select(*[F.col(k).alias(t) for k, t in zip(keys, theirs)], F.col("_bin").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    if used is not None:
+        used = used.select(*[F.col(k).alias(f"_u{t}") for k, t in zip(keys, theirs)], "_used")
+        same = [F.col(t).eqNullSafe(F.col(f"_u{t}")) for t in theirs]
+        sums = sums.join(used, same, "left").withColumn("_before", F.col("_before") + F.coalesce("_used", F.lit(0)))
+    same = [F.col(k).eqNullSafe(F.col(t)) for k, t in zip(keys, theirs)]
+    out = rows.withColumn("_own", own).join(sums, [*same, F.col("_bin") == F.col("_of")])
+    return out.select(*rows.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+
+def first_rows(df: DataFrame, order: list, n: int, store, name: str = "first") -> DataFrame:
+    """The first ``n`` rows in ``order``, however many: sorted ranges are counted, so no task holds all of them."""
+    return running_sum(binned(df, order, store, name), [], order, "_rank").where(F.col("_rank") <= n).select(*df.columns)
+
+
 def multi_cap(df: DataFrame, caps: dict[str, int], order: list[str], store, taken: DataFrame | None = None) -> DataFrame:
     """Greedy selection in ``order`` under a cap on every one of several keys, exactly as a sequential pass takes rows.
 
     Each round accepts the undecided rows that rank within what is left of all their caps among undecided rows, and drops
-    those whose key is used up by earlier accepted rows. ``store(df, name)`` writes a table and reads it again; it cuts
-    the lineage between rounds. Rows must be unique by ``order``. Rows ``taken`` before count towards the caps.
+    those whose key is used up by earlier accepted rows. Ranks are counted over ranges of the order, so a key with a great
+    part of all rows isn't sorted in one task. ``store(df, name)`` writes a table and reads it again; it cuts the lineage
+    between rounds. Rows must be unique by ``order``. Rows ``taken`` before count towards the caps.
     """
     keys, columns = list(caps), [*caps, *[c for c in order if c not in caps]]
     order = ["_pass", *order]
-    open_ = store(df.select(*columns, F.lit(1).alias("_pass")), "open0")
-    accepted, turn = None if taken is None else taken.select(*columns, F.lit(0).alias("_pass")), 0
+    open_ = binned(df.select(*columns, F.lit(1).alias("_pass")), order, store, "open0")
+    accepted, turn = None if taken is None else taken.select(*columns, F.lit(0).alias("_pass"), F.lit(-1).alias("_bin")), 0
     while not open_.isEmpty():
-        ranked = open_
-        for k in keys:
-            ranked = ranked.withColumn(f"_r_{k}", F.row_number().over(Window.partitionBy(k).orderBy(*order)))
-            if accepted is None:
-                ranked = ranked.withColumn(f"_u_{k}", F.lit(0))
-            else:
-                used = accepted.groupBy(k).agg(F.count("*").alias(f"_u_{k}"))
-                ranked = ranked.join(used, k, "left").withColumn(f"_u_{k}", F.coalesce(f"_u_{k}", F.lit(0)))
-        fits = F.lit(True)
+        ranked, fits = open_, F.lit(True)
         for k in keys:
-            fits = fits & (F.col(f"_r_{k}") + F.col(f"_u_{k}") <= caps[k])
+            used = None if accepted is None else accepted.groupBy(k).agg(F.count("*").alias("_used"))
+            ranked = running_sum(ranked, [k], order, f"_r_{k}", used=used)
+            fits = fits & (F.col(f"_r_{k}") <= caps[k])
         ranked = store(ranked.withColumn("_fits", fits), f"ranked{turn}")
         new = ranked.where("_fits").select(*open_.columns)
         accepted = store(new if accepted is None else accepted.unionByName(new), f"accepted{turn}")
         rest = ranked.where("not _fits").select(*open_.columns)
-        # A row goes when one of its keys has its cap full of earlier accepted rows.
+        # A row goes when one of its keys has its cap full of earlier accepted rows; the last of them tells.
         for k in keys:
-            full = Window.partitionBy(k).orderBy(*order)
-            last = accepted.withColumn("_n", F.row_number().over(full)).where(F.col("_n") == caps[k])
-            last = last.select(F.col(k).alias("_k"), F.struct(*order).alias("_last"))
-            rest = rest.join(last, F.col(k) == F.col("_k"), "left").where(F.col("_last").isNull() | (F.struct(*order) < F.col("_last"))).drop("_k", "_last")
+            full = accepted.groupBy(F.col(k).alias("_k")).agg(F.count("*").alias("_n"), F.max(F.struct(*order)).alias("_last")).where(F.col("_n") >= caps[k])
+            rest = rest.join(full, F.col(k).eqNullSafe(F.col("_k")), "left").where(F.col("_last").isNull() | (F.struct(*order) < F.col("_last"))).select(*open_.columns)
         turn += 1
         open_ = store(rest, f"open{turn}")
     return (accepted if accepted is not None else open_).where("_pass = 1").select(*columns)
@@ -155,16 +182,15 @@ def unique_pairs(df: DataFrame, left: str, right: str, order: list[str], store)
     return (kept if kept is not None else open_).drop("_rank")
 
 
-def split_targets(df: DataFrame, group: Column, targets: dict[str, int], order: list[Column], backfill: str | None = None) -> DataFrame:
+def split_targets(df: DataFrame, group: Column, targets: dict[str, int], order: list[Column], store, backfill: str | None = None) -> DataFrame:
     """``targets[g]`` rows of each group g by ``order``; what a group lacks is taken from the further rows of ``backfill``.
 
-    The lack is a sum over one count for each group; rows are ranked within their group.
+    The lack is a sum over one count for each group; ranks within a group are counted over ranges of the order.
     """
-    rows = df.withColumn("_group", group).where(F.col("_group").isin(list(targets)))
-    have = {r["_group"]: r["n"] for r in rows.groupBy("_group").agg(F.count("*").alias("n")).collect()}
+    rows = binned(df.withColumn("_group", group).where(F.col("_group").isin(list(targets))), order, store, "split")
+    have = {r["_group"]: r["n"] for r in rows.groupBy("_group").agg(F.count("*").alias("n")).collect()}  # a row a target
     want = {g: min(n, have.get(g, 0)) for g, n in targets.items()}
     if backfill is not None:
         want[backfill] = min(have.get(backfill, 0), want[backfill] + sum(targets.values()) - sum(want.values()))
     limit = F.coalesce(*[F.when(F.col("_group") == g, n) for g, n in want.items()])
-    rank = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
-    return rows.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank", "_group")
+    return running_sum(rows, ["_group"], order, "_rank").where(F.col("_rank") <= limit).select(*df.columns)

@@ -405,10 +405,12 @@ def locked_rows(spark, sf_dir):
 
 @query()
 def strategy_pairs(spark, sf_dir):
-    """Pairs in turn from strategies under rules of their image; tests compare with a loop over the images."""
+    """Pairs in turn from strategies under rules of their image; tests compare with a sequential pass."""
+    from .store import table_store
+
     c = F.col
     pairs = read(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("image_id"), c("l_partkey").alias("positive"), c("l_suppkey").alias("negative"), c("l_returnflag").alias("strategy"), "l_linenumber", sampling.stable_key("pair", c("l_orderkey"), c("l_linenumber"), c("l_partkey")).alias("k"))
-    return builders.strategy_pairs(pairs, 600, 2, ["k"])
+    return builders.strategy_pairs(pairs, 600, 2, ["k"], table_store(spark))
 
 
 @query(
@@ -501,8 +503,10 @@ SELECT doc_id FROM g, c WHERE CASE g WHEN 'coco' THEN r <= least(c.a, least(c.a,
 )
 def split_targets(spark, sf_dir):
     """So many rows of each group; what one lacks is taken from the other."""
+    from .store import table_store
+
     docs = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("source") == "src0", "coco").otherwise("graph").alias("g"))
-    return sampling.split_targets(docs, F.col("g"), {"coco": 40, "graph": 100_000}, [F.col("doc_id")], "coco").select("doc_id")
+    return sampling.split_targets(docs, F.col("g"), {"coco": 40, "graph": 100_000}, [F.col("doc_id")], table_store(spark), "coco").select("doc_id")
 
 
 @query(

@@ -48,26 +48,43 @@ def test_locked_rows_is_the_sequential_pass(spark, share):
     assert got == sequential_locked(rows, 30, caps)
 
 
-def test_strategy_pairs_keep_their_rules(spark):
-    rng = random.Random(5)
-    rows = [(rng.randrange(12), rng.randrange(6), rng.randrange(6), rng.choice("xyz"), i) for i in range(150)]
+def sequential_turns(rows, n, per_image):
+    """The pass that ``strategy_pairs`` stands for; rows are (image, positive, negative, strategy, place)."""
+    queues = {s: sorted((r for r in rows if r[3] == s), key=lambda r: r[4]) for s in {r[3] for r in rows}}
+    at, own, out, turn = dict.fromkeys(queues, 0), {}, [], 0
+    while len(out) < n and any(at[s] < len(q) for s, q in queues.items()):
+        turn += 1
+        for s in sorted(queues):
+            while len(out) < n and at[s] < len(queues[s]):
+                image, pos, neg, _, _ = queues[s][at[s]]
+                at[s] += 1
+                kept = own.setdefault(image, [])
+                if len(kept) < per_image and all(p != pos and m != neg for p, m in kept):
+                    kept.append((pos, neg))
+                    out.append((turn, s, image, pos, neg))
+                    break
+    return out
+
+
+@pytest.mark.parametrize("seed, n, per_image, images", [(5, 20, 2, 12), (6, 1000, 3, 12), (7, 60, 1, 40), (8, 25, 2, 1), (9, 0, 2, 5)])
+def test_strategy_pairs_are_the_sequential_pass(spark, seed, n, per_image, images):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(images), rng.randrange(6), rng.randrange(6), rng.choice("xxxyyz"), i) for i in range(200)]
     df = spark.createDataFrame(rows, "image_id int, positive int, negative int, strategy string, i int")
-    got = builders.strategy_pairs(df, 20, 2, ["i"]).collect()
-    turn, turns = {}, []
-    for image, pos, neg, s, i in sorted(rows, key=lambda r: r[4]):
-        turn[s] = turn.get(s, 0) + 1
-        turns.append((turn[s], s, i, image, pos, neg))
-    kept, by_image = [], {}
-    for t, s, _, image, pos, neg in sorted(turns):
-        own = by_image.setdefault(image, [])
-        if len(own) < 2 and all(p != pos and n != neg for p, n in own):
-            own.append((pos, neg))
-            kept.append((s, t, image, pos, neg))
-    want, n = [], {}
-    for s, _, image, pos, neg in sorted(kept, key=lambda x: (x[0], x[1])):
-        n[s] = n.get(s, 0) + 1
-        want.append((n[s], s, image, pos, neg))
-    assert [(r.turn, r.strategy, r.image_id, r.positive, r.negative) for r in got] == sorted(want)[:20]
+    got = builders.strategy_pairs(df, n, per_image, ["i"], table_store(spark)).collect()
+    assert sorted((r.turn, r.strategy, r.image_id, r.positive, r.negative) for r in got) == sequential_turns(rows, n, per_image)
+
+
+def test_locked_rows_are_refilled_with_invalid_errors(spark):
+    rows = [(i, i % 3, "false_positive" if i < 4 else "false_negative" if i < 6 else "invalid_error" if i < 9 else "correct") for i in range(12)]
+    df = spark.createDataFrame(rows, "id int, a int, error_type string").withColumn("prediction", F.lit("yes")).withColumn("image", F.lit("x.jpg"))
+    take = lambda **k: sorted(r.id for r in builders.locked_rows(df, 8, {"a": 9}, ["id"], table_store(spark), **k).collect())
+    assert take() == [0, 1, 2, 3, 4, 5]
+    assert take(refill=("invalid_error",)) == [0, 1, 2, 3, 4, 5, 6, 7]
+    got = builders.mined_rows(df).orderBy("id").collect()
+    assert [r.id for r in got][:2] == ["base_error_mined_000001", "base_error_mined_000002"]
+    assert [r.source_candidate_id for r in got] == sorted(str(i) for i in range(12))
+    assert set(got[0].asDict()) == {"id", "source", "source_candidate_id", "image", "base_prediction", "base_error_type"}
 
 
 def test_exact_samples(spark):

@@ -175,7 +175,7 @@ def test_unique_pairs_is_the_greedy_pass(spark):
 
 def test_split_targets_backfill(spark):
     df = spark.createDataFrame([(i, "coco" if i < 20 else "graph") for i in range(24)], "i int, source string")
-    got = [r.source for r in sampling.split_targets(df, F.col("source"), {"coco": 5, "graph": 6}, [F.col("i")], "coco").collect()]
+    got = [r.source for r in sampling.split_targets(df, F.col("source"), {"coco": 5, "graph": 6}, [F.col("i")], table_store(spark), "coco").collect()]
     assert (got.count("coco"), got.count("graph")) == (7, 4)
 
 
