@@ -5,9 +5,9 @@ coalesced: a group ends where a start reaches the largest end so far, that is wh
 an A token with a B token is a link; how often an id pair is linked in the whole corpus ranks the pairs.
 
 Neither tokenizer joins anything across a single space between two characters that aren't white space, so texts fall into
-fragments there, and a fragment that a batch has many times is encoded and coalesced once. What a batch yields is one row:
-its documents as lists of fragments, its fragments as lists of links, and the id pairs it has with their numbers. Pairs
-are summed over the corpus, and each batch gets the sums of its own pairs back, so nothing larger than a batch is gathered.
+fragments there, and a fragment that a block of documents has many times is encoded and coalesced once. A block yields one
+row: its documents as lists of fragments, its fragments as lists of links, and the id pairs it has with their numbers. Pairs
+are summed over the corpus, and each block gets the sums of its own pairs back, so nothing larger than a block is gathered.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ from .shared import Workspace, small, table
 from .textnp import chunks, column, trim
 
 #: Bytes of fragments that are encoded at once, and of texts that are looked at together.
-PIECE, BLOCK = 1 << 16, 8 << 20
+PIECE, PART = 1 << 16, 1 << 20
+#: Bytes of texts and distinct fragments that end a block.
+BLOCK, FRAGMENTS = 16 << 20, 1 << 17
 #: First bytes of characters that are surely no white space, and of how many bytes they are.
 _SOLID = np.zeros(256, np.uint8)
 _SOLID[0x21:0x7F], _SOLID[0xC3:0xE0], _SOLID[0xE0], _SOLID[0xE4:0xF0], _SOLID[0xF0:0xF5] = 1, 2, 3, 3, 4
@@ -61,6 +63,7 @@ class Pair:
             raise ValueError(f"{path_b} has pieces of more than one word, its tokens may join words")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.len_a, self.len_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
+        self.digits = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
 
     def encode(self, text: bytes) -> tuple[list[int], list[int]] | None:
         """Ids of both for a text that begins with a space; None if the joined bytes of one differ from the text."""
@@ -123,7 +126,7 @@ class Aligned:
     """Fragments encoded by both tokenizers and coalesced.
 
     By fragment: ``good`` (both give its bytes back), ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``text`` (its groups).
-    By link, fragment after fragment: ``link``, a place in ``pair`` (ids of A times the size of B, plus ids of B).
+    By link, fragment after fragment: ``pairs`` (the id of A times the size of B, plus the id of B).
     """
 
     def __init__(self, fragments: list[bytes], clean: np.ndarray, both: Pair) -> None:
@@ -137,10 +140,11 @@ class Aligned:
         parts = np.split(order[:n_clean], np.flatnonzero(np.diff(begin[order[:n_clean]] // PIECE)) + 1) + [order[i : i + 1] for i in range(n_clean, n)]
         ids: tuple[list, list] = ([], [])
         starts: tuple[list, list] = ([], [])
-
-        def encode(part: np.ndarray) -> None:
+        parts.reverse()
+        while parts:
+            part = parts.pop()
             if not len(part):
-                return
+                continue
             got = both.encode(b"".join([fragments[i] for i in part.tolist()]))
             if got is not None:
                 for side, lengths in enumerate((both.len_a, both.len_b)):
@@ -151,11 +155,7 @@ class Aligned:
             elif len(part) == 1:
                 self.good[part[0]] = False
             else:
-                for i in range(len(part)):
-                    encode(part[i : i + 1])
-
-        for part in parts:
-            encode(part)
+                parts += [part[i : i + 1] for i in range(len(part))][::-1]
         flat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
         a, b, a_at, b_at = flat(ids[0]), flat(ids[1]), flat(starts[0]), flat(starts[1])
         a_to, b_to = a_at + both.len_a[a], b_at + both.len_b[b]
@@ -168,68 +168,85 @@ class Aligned:
         group = np.zeros(len(by), np.int64)
         group[by] = np.cumsum(opens) - 1
         group_a, group_b = group[: len(a)], group[len(a) :]
-        n_groups = int(opens.sum())
         # Overlaps within the groups.
         first = np.searchsorted(b_to, a_at, "right")
         count = np.searchsorted(b_at, a_to, "left") - first
         link_a, link_b = np.repeat(np.arange(len(a)), count), _ranges(first, count)
-        key = a[link_a] * len(both.bytes_b) + b[link_b]
-        self.pair, self.link = np.unique(key, return_inverse=True)
         # Back from places to fragments.
         slot = begin[order]
         holder = lambda at: order[np.searchsorted(slot, at, "right") - 1]
-        of_a, of_b, of_group, of_link = holder(a_at), holder(b_at), holder(start[by][opens]), holder(a_at[link_a])
+        of_a, of_b, of_group = holder(a_at), holder(b_at), holder(start[by][opens])
+        of_link = of_a[link_a]
         self.n_a, self.n_b, self.n_groups, self.n_links = (np.bincount(x, minlength=n).astype(np.int64) for x in (of_a, of_b, of_group, of_link))
-        self.link = self.link[np.argsort(of_link, kind="stable")]
-        said_a, said_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        edge = np.arange(n_groups + 1)
+        self.pairs = (a[link_a] * len(both.bytes_b) + b[link_b])[np.argsort(of_link, kind="stable")]
+        said_a, said_b = (list(map(both.digits.__getitem__, x.tolist())) for x in (a, b))
+        edge = np.arange(int(opens.sum()) + 1)
         bounds_a, bounds_b = np.searchsorted(group_a, edge).tolist(), np.searchsorted(group_b, edge).tolist()
-        groups = [f"{','.join(said_a[i:j])}|{','.join(said_b[k:m])}" for i, j, k, m in zip(bounds_a, bounds_a[1:], bounds_b, bounds_b[1:])]
+        several = lambda i, j, k, m: f"{','.join(said_a[i:j])}|{','.join(said_b[k:m])}"
+        bounds = zip(bounds_a, bounds_a[1:], bounds_b, bounds_b[1:])
+        groups = [f"{said_a[i]}|{said_b[k]}" if j - i == 1 == m - k else several(i, j, k, m) for i, j, k, m in bounds]
         self.text, at = [b""] * n, 0
         for i, m in zip(order.tolist(), self.n_groups[order].tolist()):
             self.text[i] = ";".join(groups[at : at + m]).encode()
             at += m
 
 
-def _block(batch: pa.RecordBatch, both: Pair, with_groups: bool) -> Iterator[dict]:
-    """The documents of a batch, in blocks of at most BLOCK bytes or one text: columns of BLOCKS but its number."""
-    for lo, hi, data, offs in chunks(column(batch, "text"), BLOCK):
-        m = hi - lo
+class Block:
+    """Documents of one row: texts come in parts, and a fragment is worked on when it is met first."""
+
+    def __init__(self, both: Pair, with_groups: bool) -> None:
+        self.both, self.with_groups, self.size = both, with_groups, 0
+        self.known: dict[bytes, int] = {}
+        self.bad: list[int] = []
+        self.text: list[bytes] = []
+        self.made: list[tuple[np.ndarray, ...]] = []  # n_a, n_b, n_groups, n_links and pairs of fragments
+        self.docs: list[tuple] = []  # doc_id, fragments of each document, the fragments, digests, groups
+
+    def add(self, doc_id: pa.Array, data: np.ndarray, offs: np.ndarray) -> None:
+        """Documents as bytes and row offsets into them."""
+        self.size += len(data)
+        m = len(offs) - 1
         real = np.flatnonzero(np.diff(offs) > 0)
-        data = np.insert(data, offs[real], 0x20)
-        offs = np.concatenate([[0], np.cumsum(np.diff(offs)[real] + 1)])
-        out = {c: np.zeros(m, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
-        counts, index = np.zeros(m, np.int32), np.zeros(0, np.int32)
-        said: list[bytes] = [b""] * m
-        aligned = None
+        counts, index, said = np.zeros(m, np.int32), np.zeros(0, np.int32), [b""] * m
         if len(real):
-            at, clean, per_row = cut(data, offs)
-            raw, known = data.tobytes(), {}
+            data = np.insert(data, offs[real], 0x20)
+            at, clean, per_row = cut(data, np.concatenate([[0], np.cumsum(np.diff(offs)[real] + 1)]))
+            raw, known, old = data.tobytes(), self.known, len(self.known)
             edges = [*at.tolist(), len(raw)]
             index = np.fromiter((known.setdefault(raw[i:j], len(known)) for i, j in zip(edges, edges[1:])), np.int32, len(at))
-            first = np.zeros(len(known), np.int64)
-            first[index[::-1]] = np.arange(len(index))[::-1]
-            aligned = Aligned(list(known), clean[first], both)
-            whole = _sums(~aligned.good[index], per_row) == 0
-            index, real, per_row = index[np.repeat(whole, per_row)], real[whole], per_row[whole]
+            if len(known) > old:
+                first = np.zeros(len(known) - old, np.int64)
+                here = np.flatnonzero(index >= old)[::-1]
+                first[index[here] - old] = here
+                new = Aligned([raw[edges[i] : edges[i + 1]] for i in first.tolist()], clean[first], self.both)
+                self.bad += (np.flatnonzero(~new.good) + old).tolist()
+                self.text += new.text
+                self.made.append((new.n_a, new.n_b, new.n_groups, new.n_links, new.pairs))
+            if self.bad:
+                whole = _sums(np.isin(index, self.bad), per_row) == 0
+                index, real, per_row = index[np.repeat(whole, per_row)], real[whole], per_row[whole]
             counts[real] = per_row
-            for c in out:
-                out[c][real] = _sums(getattr(aligned, c)[index], per_row)
-            texts = list(map(aligned.text.__getitem__, index.tolist()))
-            ends = np.cumsum(per_row).tolist()
-            for r, e, k in zip(real.tolist(), ends, per_row.tolist()):
+            texts = list(map(self.text.__getitem__, index.tolist()))
+            for r, e, k in zip(real.tolist(), np.cumsum(per_row).tolist(), per_row.tolist()):
                 said[r] = b";".join(texts[e - k : e])
-        n_links = aligned.n_links if aligned else np.zeros(0, np.int64)
-        times = np.zeros(0, np.int64)
-        if aligned:
-            seen = np.bincount(index, minlength=len(n_links))
-            times = np.bincount(aligned.link, np.repeat(seen, n_links), len(aligned.pair)).astype(np.int64)
-        yield out | {
-            "doc_id": column(batch, "doc_id").slice(lo, m), "groups_sha256": [hashlib.sha256(x).hexdigest() if x else "" for x in said],
-            "n_fragments": counts, "fragment": index, "fragment_links": n_links.astype(np.int32),
-            "link": aligned.link.astype(np.int32) if aligned else np.zeros(0, np.int32), "pair": aligned.pair if aligned else np.zeros(0, np.int64), "times": times,
-        } | ({"groups": [x.decode() for x in said]} if with_groups else {})
-        trim()
+        digests = [hashlib.sha256(x).hexdigest() if x else "" for x in said]
+        self.docs.append((doc_id, counts, index, digests, [x.decode() for x in said] if self.with_groups else []))
+
+    def full(self) -> bool:
+        return self.size >= BLOCK or len(self.known) >= FRAGMENTS
+
+    def row(self) -> dict:
+        """The columns of BLOCKS but the block's number."""
+        n_a, n_b, n_groups, n_links, keys = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*self.made)) or [()] * 5))
+        counts, index = np.concatenate([d[1] for d in self.docs]), np.concatenate([d[2] for d in self.docs])
+        pair, link = np.unique(keys, return_inverse=True)
+        seen = np.bincount(index, minlength=len(n_links))
+        out = {c: _sums(v[index], counts) for c, v in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("n_links", n_links))}
+        return out | {
+            "doc_id": pa.concat_arrays([d[0] for d in self.docs]), "groups_sha256": [x for d in self.docs for x in d[3]], "groups": [x for d in self.docs for x in d[4]],
+            "n_fragments": counts, "fragment": index, "fragment_links": n_links.astype(np.int32), "link": link.astype(np.int32), "pair": pair,
+            "times": np.bincount(link, np.repeat(seen, n_links), len(pair)).astype(np.int64),
+        }
 
 
 def blocks(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False) -> DataFrame:
@@ -239,14 +256,26 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, number = pair_of(path_a, path_b), TaskContext.get().partitionId() << 32
+        block = Block(both, with_groups)
+
+        def row() -> pa.RecordBatch:
+            made = block.row()
+            cols = [pa.array([number], pa.int64())]
+            for f in schema.fields[1:]:
+                v = made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name])
+                cols.append(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v))
+            return pa.RecordBatch.from_arrays(cols, names=schema.names)
+
         for batch in batches:
-            for row in _block(batch, both, with_groups):
-                cols = [pa.array([number], pa.int64())]
-                for f in schema.fields[1:]:
-                    v = row[f.name] if isinstance(row[f.name], pa.Array) else pa.array(row[f.name])
-                    cols.append(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v))
-                number += 1
-                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            for lo, hi, data, offs in chunks(column(batch, "text"), PART):
+                block.add(column(batch, "doc_id").slice(lo, hi - lo), data, offs)
+                if block.full():
+                    yield row()
+                    block, number = Block(both, with_groups), number + 1
+                    trim()
+        if block.docs:
+            yield row()
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
