@@ -5,9 +5,9 @@ node's density sum adds up the densities of its children; the article is the sub
 density on the path from there up to the body is the threshold for what else on that path belongs to it.
 
 Elements that never hold article text (menus, forms, scripts, hidden ones) are out of the tree before densities are
-computed. A class or id made of words such as "comments" or "ad" takes an element out only where it isn't the dominant
-text of the page. Where the page marks an ``article`` or ``main`` part and the dense subtree agrees, the whole part is
-the text.
+computed. Elements whose class or id says that they are reader comments go whatever their tag and size, unless nothing but
+links would be left; those named as adverts, menus and the like go unless the dense subtree lies in them. Where the page
+marks an ``article`` or ``main`` part and the dense subtree agrees, the whole part is the text.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Blocks that are a part of an article, never all of it: where one of them is the densest subtree, those beside it belong to it.
+PARAGRAPH = frozenset("p blockquote pre ul ol dl table figure".split())
 #: An open element that ends where one of these begins, without looking past the elements after it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words of class and id names that mark what is not the article.
@@ -46,6 +48,8 @@ MARKS = frozenset(
     "comment comments commentlist disqus replies respond share sharing social related recommended recommendations widget widgets login pagination pager "
     "skip hidden paywall".split()
 )
+#: Those of them that mark what readers say.
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 #: Words that leave a name of marks what it is.
 PLAIN = frozenset("list box block section container wrapper wrap inner outer area item items link links button buttons icon icons left right top main form bar post posts article articles unit slot".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -79,15 +83,15 @@ def _dropped(tag: str, attrs: str, inside: bool) -> bool | None:
     return found
 
 
-def _made_of_marks(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether a class or id consists of marks (and words that leave them what they are)."""
-    marks = MARKS if inside else MARKS | MARKS_OUTSIDE
+def _made_of(marks: frozenset, tag: str, attrs: str, inside: bool) -> bool:
+    """Whether a class or id consists of marks, some of them of ``marks``, and of words that leave them what they are."""
+    every = PLAIN | (MARKS if inside else MARKS | MARKS_OUTSIDE)
     for name, a, b, c, _ in _ATTR.findall(attrs):
         if name.lower() not in ("class", "id") or (name.lower() == "id" and tag in HEADINGS):
             continue
         for token in (a or b or c).split():
             own = {w.lower() for w in _WORDS.findall(token)}
-            if own & marks and own <= marks | PLAIN and not (tag == "p" and own & marks <= {"notice", "notices", "alert"}):
+            if own & marks and own <= every and not (tag == "p" and own - PLAIN <= {"notice", "notices", "alert"}):
                 return True
     return False
 
@@ -99,29 +103,44 @@ class Page:
         self.tag, self.parent, self.end, self.gone, self.inside = ["#root"], [-1], [0], [False], [False]
         self.parts: list[tuple[int, str]] = []  # (node, text), and (node, None) where a block begins or ends
         self.marked: list[tuple[int, bool]] = []  # nodes whose names have marks, and whether these are all there is
+        self.said: list[int] = []  # nodes that are named as comments
         self._build(source)
-        if self.marked:
+        if self.marked or self.said:
             self._judge()
 
+    def _take_out(self, node: int) -> None:
+        self.gone[node : self.end[node]] = [True] * (self.end[node] - node)
+
     def _judge(self) -> None:
-        """Take out marked nodes: those of marks alone unless they are the dominant text, others if most of it is in links.
+        """Take out nodes by their names.
 
-        A dominant text has more than half of what is left of the page, and no article or main part stands outside of it.
+        Those with marks among other words go if most of their text is in links. Comments go, unless only links and named
+        parts would be left and the densest subtree lies in the comments. Other marks alone go unless the densest subtree of
+        what is left lies in them and no article or main part stands outside of them.
         """
         chars, links = self._sizes()
-        parts = [i for i, t in enumerate(self.tag) if t in ("article", "main") and chars[i] and not self.gone[i]]
-        left = chars[0]
         for i, alone in self.marked:
-            if self.gone[i]:
-                continue
-            if alone:
+            if not alone and not self.gone[i] and 2 * links[i] > chars[i]:
+                self._take_out(i)
+        alone = [i for i, only in self.marked if only and not self.gone[i]]
+        said = [i for i in self.said if not self.gone[i]]
+        if said:
+            chars, links = self._sizes()
+            left, upto = chars[0] - links[0], 0
+            for i in sorted([*said, *alone]):
+                if i >= upto:  # not within another one
+                    left -= chars[i] - links[i]
+                    upto = self.end[i]
+            if left or not any(i <= best < self.end[i] for best in [self._dense()] for i in said):
+                for i in said:
+                    self._take_out(i)
+        if alone:
+            chars, best = self._sizes()[0], self._dense()
+            parts = [i for i, t in enumerate(self.tag) if t in ("article", "main") and chars[i] and not self.gone[i]]
+            for i in alone:
                 outside = any(j >= self.end[i] or self.end[j] <= i for j in parts)
-                drop = outside or 2 * chars[i] <= left
-            else:
-                drop = 2 * links[i] > chars[i]
-            if drop:
-                self.gone[i : self.end[i]] = [True] * (self.end[i] - i)
-                left -= chars[i]
+                if not self.gone[i] and (outside or not i <= best < self.end[i]):
+                    self._take_out(i)
 
     def _sizes(self) -> tuple[list[int], list[int]]:
         """Characters of each subtree, and those in links."""
@@ -147,8 +166,10 @@ class Page:
         self.end.append(node + 1)
         self.inside.append(inside)
         dropped = _dropped(tag, attrs, inside)
-        if dropped is None:
-            self.marked.append((node, _made_of_marks(tag, attrs, inside)))
+        if (dropped is None or (tag == "article" and attrs)) and _made_of(COMMENTS, tag, attrs, inside):
+            self.said.append(node)
+        elif dropped is None:
+            self.marked.append((node, _made_of(MARKS | MARKS_OUTSIDE, tag, attrs, inside)))
         self.gone.append(self.gone[up] or bool(dropped))
         return node
 
@@ -156,12 +177,18 @@ class Page:
         stack, tag_of, at, parts = [0], self.tag, 0, self.parts
         opened: dict[str, int] = {}  # how many elements of a name are open
         blocks: list[int] = []  # depths of the open blocks
+        where: dict[str, list[int]] = {t: [] for t in BLOCK}  # and by name
+
+        def deepest(kinds: set[str]) -> int:
+            return max((where[k][-1] for k in kinds if where.get(k)), default=0)
 
         def close(depth: int) -> None:
             while len(stack) > depth:
                 self.end[node := stack.pop()] = len(tag_of)
                 if tag_of[node] in BLOCK:
                     parts.append((node, None))
+                    if node:
+                        where[tag_of[node]].pop()
                 opened[tag_of[node]] = opened.get(tag_of[node], 1) - 1
             while blocks and blocks[-1] >= depth:
                 blocks.pop()
@@ -185,12 +212,8 @@ class Page:
                 close(blocks[-1])
             if tag in CLOSES:
                 same, stop = CLOSES[tag]
-                for depth in reversed(blocks.copy()):
-                    kind = tag_of[stack[depth]]
-                    if kind in stop:
-                        break
-                    if kind in same:
-                        close(depth)
+                while (depth := deepest(same)) > deepest(stop):
+                    close(depth)
             attrs = m[3] or m[6] or ""
             node = self._open(tag, attrs, stack)
             if tag in BLOCK or tag == "br":
@@ -203,6 +226,7 @@ class Page:
                 continue
             if tag in BLOCK:
                 blocks.append(len(stack))
+                where[tag].append(len(stack))
             opened[tag] = opened.get(tag, 0) + 1
             stack.append(node)
         if at < len(source) and not self.gone[stack[-1]]:
@@ -243,13 +267,19 @@ class Page:
                 total[self.parent[i]] += density[i]
         return density, total
 
+    def _dense(self, found: tuple[list[float], list[float]] | None = None) -> int:
+        """The node with the largest density sum; -1 if there is no text."""
+        density, total = found or self.densities()
+        alive = (i for i in range(len(self.tag)) if not self.gone[i] and density[i] > 0)
+        return max(alive, key=lambda i: (total[i], density[i], -i), default=-1)
+
     def main(self) -> list[tuple[int, int]]:
         """Node ranges [first, end) that make up the article."""
         density, total = self.densities()
-        alive = [i for i in range(len(self.tag)) if not self.gone[i] and density[i] > 0]
-        if not alive:
+        best = self._dense((density, total))
+        if best < 0:
             return []
-        best = max(alive, key=lambda i: (total[i], density[i], -i))
+        alive = [i for i in range(len(self.tag)) if not self.gone[i] and density[i] > 0]
         path = [best, *self._path(self.parent[best])] if best else [0]
         chars, links = self._sizes()
         for kind in ("article", "main"):
@@ -267,10 +297,22 @@ class Page:
         path = path[: path.index(body) + 1]
         threshold = min(density[i] for i in path)
         on_path, out = set(path), [(best, self.end[best])]
+        beside: dict[int, list[int]] = {up: [] for up in path[1:]}
         for child in range(1, len(self.tag)):
-            if self.parent[child] in on_path and child not in on_path and self.parent[child] != best and not self.gone[child]:
-                heading = self.tag[child] in HEADINGS
-                if heading or (density[child] >= threshold if self.tag[child] in BLOCK else 2 * links[child] <= chars[child]):
+            if self.parent[child] in beside and not self.gone[child]:
+                beside[self.parent[child]].append(child)
+        for up, children in beside.items():
+            also = PARAGRAPH if self.tag[best] in PARAGRAPH and up == self.parent[best] else ()
+
+            def belongs(c: int) -> bool:
+                if self.tag[c] in also or self.tag[c] not in BLOCK:  # noqa: B023
+                    return 2 * links[c] <= chars[c]
+                return self.tag[c] in HEADINGS or density[c] >= threshold
+
+            own = [c in on_path or belongs(c) for c in children]
+            first, last = own.index(True), len(own) - 1 - own[::-1].index(True)
+            for k, child in enumerate(children):  # what stands between kept siblings stays unless it is mostly links
+                if child not in on_path and (own[k] or (first < k < last and 2 * links[child] <= chars[child])):
                     out.append((child, self.end[child]))
         return sorted([*out, *((up, up + 1) for up in path[1:])])  # and text that stands directly on the path
 

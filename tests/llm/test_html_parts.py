@@ -46,3 +46,49 @@ def test_deep_nesting_takes_linear_time():
     html_text.main_text("<div>" + "<span>x" * 40_000 + "<p>y</p></i>" * 2000)
     html_text.main_text("<ul>" + "<b>x" * 20_000 + "<li>y" * 2000)
     assert time.perf_counter() - began < 10
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "li"])
+@pytest.mark.parametrize("n", [1, 4, 40])
+def test_comments_go_whatever_their_tag_and_size(tag, n):
+    said = "".join(f'<{tag} class="comment" id="comment-{k}"><p>{B}</p></{tag}>' for k in range(n))
+    text = f"<p>{A}</p><p>{B}</p>" * 2
+    want = "\n".join([A, B] * 2)
+    for page in (
+        f'<div class="content">{text}</div><section class="comments">{said}</section>', f'<article>{text}<section id="comments"><h3>Said</h3>{said}</section></article>',
+        f"<article>{text}</article>{said}", f'<main>{text}<div class="comment-list">{said}</div></main>', f'<div class="sidebar-right">{text}</div><div class="comments">{said}</div>' if n < 4 else f"<div>{text}</div>{said}",
+    ):
+        assert html_text.main_text(f"<body><nav><a href=x>m</a></nav>{page}</body>") == want
+
+
+def test_articles_within_an_article_are_no_extent_of_their_own():
+    inner = "".join(f"<article><p>{B}</p></article>" for _ in range(5))
+    assert html_text.main_text(f"<body><article><p>{A}</p>{inner}</article></body>") == "\n".join([A, *[B] * 5])
+
+
+def test_layout_names_do_not_take_the_article():
+    side = "<ul>" + "".join(f"<li>short {k}</li>" for k in range(60)) + "</ul>"
+    page = f'<body><div class="sidebar-right"><div><p>{A}</p><p>{B}</p><p>{A}</p></div></div><div class="widget">{side}</div><p>Imprint</p></body>'
+    assert html_text.main_text(page).startswith(f"{A}\n{B}\n{A}") and "short" not in html_text.main_text(page)
+
+
+def test_short_blocks_between_dense_ones_stay():
+    dense, other = f"<div>{f'<p>{A}</p>' * 4}</div>", f"<div>{f'<p>{B}</p>' * 4}</div>"
+    page = f"<body><div>{dense}<p>short TAILA.</p><div>x</div><ul><li><a href=x>link</a></li></ul>{other}</div></body>"
+    assert html_text.main_text(page) == "\n".join([*[A] * 4, "short TAILA.", "x", *[B] * 4])
+
+
+def test_open_elements_take_linear_time():
+    import time
+
+    for item in ("<dl><dt>x", "<table><tr><td>x", "<ul><li>x"):
+        for wrap in ("<div>", "<p>", "<span>"):
+            began = time.perf_counter()
+            html_text.main_text(item[: item.index(">") + 1] + f"{wrap}{item[item.index('>') + 1 :]}" * 20_000)
+            assert time.perf_counter() - began < 5
+
+
+def test_articles_are_found_without_their_marks(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    same = sum(html_text.main_text(r.html) == html_text.main_text(r.html.replace("<article", "<div").replace("</article", "</div")) for r in pages if r.html)
+    assert same >= 0.99 * len(pages)
