@@ -1,17 +1,9 @@
-"""Free-text model answers as labels.
-
-Everything but strict JSON is a chain of patterns on Catalyst columns. Strict JSON (no trailing text, double quotes) has
-no built-in equivalent: one Arrow-batched function parses it, and only for rows that hold a brace.
-"""
+"""Free-text model answers as labels: chains of patterns and VARIANT values, all of them Catalyst columns."""
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType
 
 from .text import clean_name
 
@@ -31,6 +23,10 @@ def _squeezed(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
 
 
+def _stripped(text: Column, what: str = r"\s") -> Column:
+    return F.regexp_replace(text, f"^[{what}]+|[{what}]+$", "")
+
+
 def parse_prediction(text: Column) -> Column:
     """yes, no, refusal or other; the first pattern that holds decides, so "not visible" is a yes."""
     t = _squeezed(text)
@@ -54,7 +50,7 @@ def normalize_target(value: Column) -> Column:
 
 
 def normalize_answer(value: Column) -> Column:
-    t = _squeezed(value)
+    t = F.lower(_stripped(F.coalesce(value, F.lit(""))))
     word = F.regexp_extract(t, r"\b(yes|no|yeah|yep|nope)\b", 1)
     one = lambda w: F.when(w.isin([*YES, "yeah", "yep"]), "yes").when(w.isin([*NO, "nope"]), "no")
     return F.coalesce(one(t), one(word), t)
@@ -83,7 +79,7 @@ def normalize_relation(value: Column) -> Column:
 
 def infer_support(text: Column) -> Column:
     """What free text says of its evidence."""
-    t = _squeezed(text)
+    t = F.lower(F.coalesce(text, F.lit("")))
     return (
         F.when(t.rlike(r"\b(wrong|incorrect|mismatch|does not match|not the evidence|invalid)\b"), "wrong_evidence")
         .when(t.rlike(r"\b(contradict|contradicted|unsupported|not supported|no support)\b"), "contradicted")
@@ -94,44 +90,55 @@ def infer_support(text: Column) -> Column:
 
 def labeled_field(text: Column, key: str) -> Column:
     """The value after ``key:`` or ``key=``, up to a line feed, comma, semicolon or brace; quotes are stripped."""
-    name = key.replace("_", "[_ -]?")
-    value = F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?i)\b{name}\b[\"']?\s*[:=]\s*([^\n,;}}]+)", 1)
-    return F.trim(F.regexp_replace(F.trim(value), "^[\"']+|[\"']+$", ""))
+    name = key.replace("_", r"[_\s-]?")
+    value = F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?i){name}\s*[:=]\s*([^\n,;}}]+)", 1)
+    return _stripped(_stripped(_stripped(value), '"'), "'")
 
 
-@F.pandas_udf(MapType(StringType(), StringType()))
-def strict_json(text: pd.Series) -> pd.Series:
-    """The object from the first { to the last }, by strict JSON; null if there is none. Falsy values become empty text."""
+def json_object(text: Column) -> Column:
+    """The object from the first { to the last } as VARIANT (the first item of an array), null where that isn't strict JSON.
 
-    def parse(t):
-        if not t or "{" not in t or t.rfind("}") < t.find("{"):
-            return None
-        try:
-            got = json.loads(t[t.find("{") : t.rfind("}") + 1])
-        except ValueError:
-            return None
-        return {str(k): "" if not v else "true" if v is True else v if isinstance(v, str) else json.dumps(v) for k, v in got.items()}
+    What stands behind a complete value is no error to the parser. So the object is read as the only item of an array and as
+    the value of a field as well: what follows it would have to close both a bracket and a brace. NaN is no JSON here, and a
+    number's last zeros don't count. An object that gives a key twice is read only with spark.sql.variant.allowDuplicateKeys,
+    then the last one counts.
+    """
+    span = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)\{.*\}", 0)
+    listed, held = F.try_parse_json(F.concat(F.lit("["), span, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"x":'), span, F.lit("}")))
+    return F.when((span != "") & held.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull(), listed)
 
-    return text.map(parse)
 
+def json_text(value: Column, key: str) -> Column:
+    """A field of ``json_object`` as text; empty if it is missing, null, false, zero or empty. Lists and objects are spelled out."""
+    at = f"$[0].{key}"
+    kind = F.coalesce(F.schema_of_variant(F.try_variant_get(value, at, "variant")), F.lit("VOID"))
+    plain = F.coalesce(F.try_variant_get(value, at, "string"), F.lit(""))
+    spelled = F.to_json(F.try_variant_get(value, at, "variant"))
+    return (
+        F.when(kind == "STRING", plain).when(kind == "BOOLEAN", F.nullif(plain, F.lit("false")))
+        .when(kind.rlike("^(ARRAY|OBJECT)"), F.when(~spelled.isin("[]", "{}"), F.regexp_replace(spelled, "([,:])", "$1 ")))
+        .when(F.try_variant_get(value, at, "double") != 0, plain)
+    )
 
-def parse_generation(text: Column, parsed: Column) -> Column:
-    """A struct of answer, claim, evidence_label, support, relation, invalid_json and parse_failed.
 
-    ``parsed`` is ``strict_json(text)`` or any other map; where it is null the labelled fields of the text count.
+def parse_generation(text: Column, value: Column) -> Column:
+    """A struct of answer, claim, evidence_label, support, relation, said (claim and evidence), json_valid and parse_failed.
+
+    ``value`` is ``json_object(text)``, best a column of its own; where it is null the first yes or no and the labelled fields
+    of the text count.
     """
-    json_of = lambda k: F.coalesce(parsed[k], F.lit(""))
-    here = parsed.isNotNull()
-    field = lambda k: F.when(here, json_of(k)).otherwise(labeled_field(text, k))
-    evidence = F.when(here, F.when(json_of("evidence_label") != "", json_of("evidence_label")).otherwise(json_of("evidence"))).otherwise(
-        F.when(labeled_field(text, "evidence_label") != "", labeled_field(text, "evidence_label")).otherwise(labeled_field(text, "evidence"))
-    )
-    answer = normalize_answer(F.when(here, json_of("answer")).otherwise(text))
-    said = field("support")
-    support = F.when(said != "", normalize_support(said)).when(here, F.lit("unknown")).otherwise(infer_support(text))
-    relation = normalize_relation(F.when(field("relation") != "", field("relation")).otherwise(text))
-    failed = ~here & ~answer.isin("yes", "no") & (field("claim") == "") & (evidence == "") & (support == "unknown")
+    here = value.isNotNull()
+    field = {k: F.coalesce(F.when(here, json_text(value, k)).otherwise(labeled_field(text, k)), F.lit("")) for k in FIELDS}
+    first = F.regexp_extract(F.lower(F.coalesce(text, F.lit(""))), r"\b(yes|no|yeah|yep|nope)\b", 1)
+    answer = F.coalesce(F.when(here, json_text(value, "answer")).otherwise(first), F.lit(""))
+    evidence = F.coalesce(F.nullif(field["evidence_label"], F.lit("")), field["evidence"])
+    named = field["support"] != ""
+    inferred = infer_support(text)
+    relation = F.coalesce(*[F.nullif(field[k], F.lit("")) for k in ("relation", "claim", "evidence")], text)
+    said = F.concat_ws(" ", field["claim"], field["evidence"], field["evidence_label"])
+    useful = (answer != "") | (field["claim"] != "") | (field["evidence_label"] != "") | (field["evidence"] != "") | named | (inferred != "unknown")
     return F.struct(
-        answer.alias("answer"), clean_name(field("claim")).alias("claim"), clean_name(evidence).alias("evidence_label"), support.alias("support"),
-        relation.alias("relation"), (~here).alias("invalid_json"), failed.alias("parse_failed"),
+        normalize_answer(answer).alias("answer"), clean_name(field["claim"]).alias("claim"), clean_name(evidence).alias("evidence_label"),
+        normalize_support(F.when(here | named, field["support"]).otherwise(inferred)).alias("support"), normalize_relation(relation).alias("relation"),
+        clean_name(said).alias("said"), here.alias("json_valid"), (~here & ~useful).alias("parse_failed"),
     )

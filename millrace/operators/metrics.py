@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.parse import normalize_target, parse_prediction
-from ..functions.text import has_evidence_cue, token_count, word_count
+from ..functions.parse import json_object, normalize_answer, normalize_relation, normalize_support, normalize_target, parse_generation, parse_prediction
+from ..functions.text import clean_name, has_evidence_cue, token_count, word_count
 from .sampling import stable_unit
 
 
@@ -72,35 +72,60 @@ def evaluate_groups(scored: DataFrame, fields: list[str], min_size: int = 20, ta
     return binary_metrics(counts.where(F.col("n") >= min_size))
 
 
-def probe_metrics(rows: DataFrame, by: str | None = None) -> DataFrame:
-    """Rates of parsed probe answers.
+def score_probes(rows: DataFrame, text: str = "generation") -> DataFrame:
+    """Probe answers against their targets: prediction and predicted_* columns, and what is right, as booleans.
 
-    ``rows``: answer, target_answer, support, target_support, evidence_label, target_evidence, claim, target_claim, is_relation,
-    relation, target_relation, invalid_json, parse_failed. Over all rows wrong-evidence rejection divides by the wrong-evidence
-    rows, within groups by the whole group. An empty claim matches any.
+    ``rows`` have base_task_type, target_answer, target_support, target_evidence_label, target_claim, target_relation,
+    target_subject and target_object. The evidence of a relation is right if claim or evidence name subject and object, other
+    evidence if it is or contains the target's label. A missing target is never met, but an empty claim fits any claim.
     """
     c = F.col
-    wrong = c("target_support") == "wrong_evidence"
-    rejected = wrong & c("support").isin("wrong_evidence", "contradicted")
-    evidence = (c("target_evidence") != "") & ((c("evidence_label") == c("target_evidence")) | F.contains(c("evidence_label"), c("target_evidence")))
-    claim = F.contains(c("target_claim"), c("claim")) | F.contains(c("claim"), c("target_claim"))
-    n = {
-        "n": F.count("*"), "n_answer": F.count_if(c("answer") == c("target_answer")), "n_support": F.count_if(c("support") == c("target_support")),
-        "n_evidence": F.count_if(evidence), "n_claim": F.count_if(claim), "n_wrong": F.count_if(wrong), "n_rejected": F.count_if(rejected),
-        "n_relation": F.count_if(c("is_relation")), "n_direction": F.count_if(c("is_relation") & (c("relation") == c("target_relation"))),
-        "n_invalid_json": F.count_if(c("invalid_json")), "n_parse_failed": F.count_if(c("parse_failed")),
+    blank = lambda k: F.coalesce(clean_name(c(k)), F.lit(""))
+    out = rows.withColumn("_json", json_object(c(text))).withColumn("_p", parse_generation(c(text), c("_json"))).drop("_json")
+    is_relation = F.coalesce(c("base_task_type") == "relation_spatial", F.lit(False))
+    has = lambda whole, part: F.contains(whole, part)
+    support, label, claim, subject, obj = normalize_support(c("target_support")), blank("target_evidence_label"), blank("target_claim"), blank("target_subject"), blank("target_object")
+    answer, relation = normalize_answer(c("target_answer")), normalize_relation(c("target_relation"))
+    evidence = F.when(is_relation, (subject != "") & (obj != "") & has(c("_p.said"), subject) & has(c("_p.said"), obj)).otherwise((label != "") & has(c("_p.evidence_label"), label))
+    return out.withColumns({
+        "prediction": c("_p.answer"), "predicted_support": c("_p.support"), "predicted_evidence_label": c("_p.evidence_label"), "predicted_relation": c("_p.relation"),
+        "answer_correct": (answer != "") & (c("_p.answer") == answer), "support_correct": c("_p.support") == support, "evidence_label_correct": evidence,
+        "claim_match": (claim != "") & (has(claim, c("_p.claim")) | has(c("_p.claim"), claim)),
+        "relation_direction_correct": F.when(is_relation, (relation != "") & (c("_p.relation") == relation)).otherwise(True),
+        "wrong_evidence_rejected": (support == "wrong_evidence") & c("_p.support").isin("wrong_evidence", "contradicted", "unsupported"),
+        "json_valid": c("_p.json_valid"), "parse_failed": c("_p.parse_failed"),
+    }).drop("_p")
+
+
+def probe_metrics(scored: DataFrame, by: str | None = None) -> DataFrame:
+    """Counts and rates of ``score_probes`` rows, over all of them or by the text of a column, where null and '' are "unknown".
+
+    Over all rows the rejection of wrong evidence divides by the rows that have it as target, within groups by the group.
+    """
+    c, n = F.col, F.count_if
+    counts = {
+        "n": F.count("*"), "n_answer": n("answer_correct"), "n_support": n("support_correct"), "n_evidence": n("evidence_label_correct"), "n_claim": n("claim_match"),
+        "n_wrong": n(c("target_support") == "wrong_evidence"), "n_rejected": n(c("wrong_evidence_rejected") & (F.lit(by is not None) | (c("target_support") == "wrong_evidence"))), "n_relation": n(c("base_task_type") == "relation_spatial"),
+        "n_direction": n((c("base_task_type") == "relation_spatial") & c("relation_direction_correct")), "n_invalid_json": n(~c("json_valid")), "n_parse_failed": n("parse_failed"),
     }
-    out = (rows.groupBy(by) if by else rows).agg(*[v.alias(k) for k, v in n.items()])
-    share = lambda k, of: ratio(c(k), c(of))
+    if by:
+        scored = scored.groupBy(F.coalesce(F.nullif(c(by).cast("string"), F.lit("")), F.lit("unknown")).alias(by))
+    out = scored.agg(*[v.alias(k) for k, v in counts.items()])
+    share = lambda k, of: F.round(ratio(c(k), c(of)), 6)
     return out.withColumns(
         {
-            "answer_accuracy": share("n_answer", "n"), "support_accuracy": share("n_support", "n"), "evidence_accuracy": share("n_evidence", "n"),
-            "claim_match_rate": share("n_claim", "n"), "wrong_rejection": share("n_rejected", "n" if by else "n_wrong"),
-            "relation_accuracy": share("n_direction", "n_relation"), "invalid_json_rate": share("n_invalid_json", "n"), "parse_failure_rate": share("n_parse_failed", "n"),
+            "answer_accuracy": share("n_answer", "n"), "support_accuracy": share("n_support", "n"), "evidence_label_accuracy": share("n_evidence", "n"),
+            "claim_match_rate": share("n_claim", "n"), "wrong_evidence_rejection_accuracy": share("n_rejected", "n" if by else "n_wrong"),
+            "relation_direction_accuracy": share("n_direction", "n_relation"), "invalid_json_rate": share("n_invalid_json", "n"), "parse_failure_rate": share("n_parse_failed", "n"),
         }
     )
 
 
+def predicted_supports(scored: DataFrame) -> DataFrame:
+    """(predicted_support, n)."""
+    return scored.groupBy("predicted_support").agg(F.count("*").alias("n"))
+
+
 def weighted_rate(df: DataFrame, rate: str, count: str, by: list[str]) -> DataFrame:
     """sum(rate * count) / sum(count) over rows that have both; null if there are none."""
     both = F.col(rate).isNotNull() & F.col(count).isNotNull()

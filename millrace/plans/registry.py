@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import parse, text
+from ..functions import text
 from ..functions.geometry import holds_relation, normalize_xywh
 from ..operators import curate, evalsets, export, metrics, quality, sampling
 
@@ -189,33 +189,69 @@ def token_stats(spark, sf_dir):
     return docs.groupBy("lang").agg(F.sum(text.token_count(F.col("text"))).alias("tokens"), F.sum(text.word_count(F.col("text"))).alias("words"), F.count("*").alias("n"))
 
 
-_SUPPORT = ["supported", "Wrong-evidence", "mismatched", "not supported", "contradiction", "maybe", "", "it does match"]
+# Probe answers in odd forms, and what must be read from each: answer, claim, evidence label, support, relation, all that is
+# said of claim and evidence, whether it is JSON, whether nothing was found.
+PROBE_SAID = [
+    ('Sure: {"answer": "Yes", "claim": "a dog", "evidence_label": "dog", "support": "Supported", "relation": "left of"}', "yes", "a dog", "dog", "supported", "left_of", "a dog dog", True, False),
+    ('{"answer": false, "claim": "a dog and a cat", "evidence": "the dog", "support": "not supported"}', "", "a dog and a cat", "the dog", "contradicted", "a dog and a cat", "a dog and a cat the dog", True, False),
+    ('{"answer": 1, "evidence_label": "", "evidence": "Cat", "support": "wrong-evidence", "relation": 0}', "yes", "", "cat", "wrong_evidence", "cat", "cat", True, False),
+    ('{"answer": ["no"], "claim": null, "support": "mismatch, clearly"}', "no", "", "", "wrong_evidence", "answer no claim null support mismatch clearly", "", True, False),
+    ('{"a": 1} then {"b": 2}', "", "", "", "unknown", "a 1 then b 2", "", False, True),
+    ("Answer: no; claim = dog left of cat; support: contradiction", "no", "dog left of cat", "", "contradicted", "left_of", "dog left of cat", False, False),
+    ("Evidence label: hot-dog, Evidence: 'a cat'", "", "", "hot dog", "unknown", "a cat", "a cat hot dog", False, False),
+    ("It does not match, on the right", "", "", "", "wrong_evidence", "right_of", "", False, False),
+    ("hm", "", "", "", "unknown", "hm", "", False, True),
+    ("", "", "", "", "unknown", "", "", False, True),
+    ("Yeah it is correct", "yes", "", "", "supported", "yeah it is correct", "", False, False),
+    ("{}", "", "", "", "unknown", "", "", True, False),
+    ("proclaim: dog; relation: Right", "", "dog", "", "unknown", "right_of", "dog", False, False),
+]
+_PROBE_ROWS = ", ".join("(" + ", ".join([str(k), *("'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v).lower() for v in r[1:])]) + ")" for k, r in enumerate(PROBE_SAID))
 
 
 @query(
-    """WITH e AS (SELECT event_id, event_type, value, CASE event_id % 8 WHEN 0 THEN 'supported' WHEN 1 THEN 'wrong evidence' WHEN 2 THEN 'mismatched' WHEN 3 THEN 'unsupported'
-  WHEN 4 THEN 'contradiction' WHEN 5 THEN 'maybe' WHEN 6 THEN '' ELSE 'it does match' END AS t FROM events),
-p AS (SELECT *, CASE WHEN t IN ('supported', 'it does match') THEN 'supported' WHEN t IN ('wrong evidence', 'mismatched') THEN 'wrong_evidence'
-  WHEN t IN ('unsupported', 'contradiction') THEN 'contradicted' WHEN t = '' THEN 'unknown' ELSE t END AS support,
-  CASE WHEN event_id % 3 = 0 THEN 'supported' ELSE 'wrong_evidence' END AS target FROM e)
-SELECT event_type, count(*) AS n, count(*) FILTER (WHERE support = target) AS n_support, count(*) FILTER (WHERE target = 'wrong_evidence') AS n_wrong,
-  count(*) FILTER (WHERE target = 'wrong_evidence' AND support IN ('wrong_evidence', 'contradicted')) AS n_rejected,
-  count(*) FILTER (WHERE target = 'wrong_evidence' AND support IN ('wrong_evidence', 'contradicted'))::DOUBLE / count(*) AS wrong_rejection,
-  count(*) FILTER (WHERE event_id % 2 = 0) AS n_answer, count(*) FILTER (WHERE event_id % 5 = 0 AND event_id % 4 < 2) AS n_direction, count(*) FILTER (WHERE event_id % 5 = 0) AS n_relation
-FROM p GROUP BY event_type"""
+    f"""WITH said(k, answer, claim, label, support, relation, said, valid, failed) AS (VALUES {_PROBE_ROWS}),
+e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'relation_spatial' WHEN 1 THEN 'object_existence' WHEN 2 THEN 'attribute_color' END AS base_task_type,
+  CASE event_id % 3 WHEN 0 THEN 'supported' WHEN 1 THEN 'wrong_evidence' ELSE '' END AS target_support, CASE WHEN event_id % 7 < 4 THEN 'yes' ELSE 'no' END AS target_answer,
+  CASE WHEN event_id % 5 = 0 THEN '' ELSE 'dog' END AS target_label, CASE WHEN event_id % 5 = 1 THEN '' ELSE 'a dog' END AS target_claim, CASE WHEN event_id % 11 < 8 THEN 'left_of' ELSE '' END AS target_relation,
+  CASE WHEN event_id % 5 = 2 THEN '' ELSE 'cat' END AS target_object, s.* FROM events JOIN said s ON s.k = event_id % {len(PROBE_SAID)}),
+p AS (SELECT *, answer = target_answer AS ok_answer, support = CASE target_support WHEN '' THEN 'unknown' ELSE target_support END AS ok_support, coalesce(base_task_type = 'relation_spatial', false) AS rel,
+  CASE WHEN base_task_type = 'relation_spatial' THEN target_object <> '' AND contains(said, 'dog') AND contains(said, target_object) ELSE target_label <> '' AND contains(label, target_label) END AS ok_evidence,
+  target_claim <> '' AND (contains(target_claim, claim) OR contains(claim, target_claim)) AS ok_claim, target_relation <> '' AND relation = target_relation AS ok_relation,
+  target_support = 'wrong_evidence' AS wrong, target_support = 'wrong_evidence' AND support IN ('wrong_evidence', 'contradicted', 'unsupported') AS rejected FROM e),
+g AS (SELECT *, 'all' AS level, 'all' AS name FROM p UNION ALL SELECT *, 'base_task_type', coalesce(base_task_type, 'unknown') FROM p UNION ALL SELECT *, 'target_support', CASE target_support WHEN '' THEN 'unknown' ELSE target_support END FROM p),
+c AS (SELECT level, name, count(*) AS n, count(*) FILTER (WHERE ok_answer) AS n_answer, count(*) FILTER (WHERE ok_support) AS n_support, count(*) FILTER (WHERE ok_evidence) AS n_evidence, count(*) FILTER (WHERE ok_claim) AS n_claim,
+  count(*) FILTER (WHERE wrong) AS n_wrong, count(*) FILTER (WHERE rejected) AS n_rejected, count(*) FILTER (WHERE rel) AS n_relation, count(*) FILTER (WHERE rel AND ok_relation) AS n_direction,
+  count(*) FILTER (WHERE NOT valid) AS n_invalid_json, count(*) FILTER (WHERE failed) AS n_parse_failed FROM g GROUP BY level, name)
+SELECT *, round(n_answer::DOUBLE / n, 6) AS answer_accuracy, round(n_support::DOUBLE / n, 6) AS support_accuracy, round(n_evidence::DOUBLE / n, 6) AS evidence_label_accuracy, round(n_claim::DOUBLE / n, 6) AS claim_match_rate,
+  round(n_rejected::DOUBLE / CASE level WHEN 'all' THEN n_wrong ELSE n END, 6) AS wrong_evidence_rejection_accuracy, CASE WHEN n_relation = 0 THEN 0.0::DOUBLE ELSE round(n_direction::DOUBLE / n_relation, 6) END AS relation_direction_accuracy,
+  round(n_invalid_json::DOUBLE / n, 6) AS invalid_json_rate, round(n_parse_failed::DOUBLE / n, 6) AS parse_failure_rate FROM c"""
 )
 def probe_metrics(spark, sf_dir):
-    """Probe answers as JSON, parsed strictly, by event type."""
-    e = read(spark, sf_dir, "events")
-    said = F.element_at(F.array(*[F.lit(s) for s in _SUPPORT]), (F.col("event_id") % 8 + 1).cast("int"))
-    answer = F.when(F.col("event_id") % 2 == 0, "yes").otherwise("no")
-    rel = F.when(F.col("event_id") % 4 < 2, "left of").otherwise("right of")
-    gen = F.format_string('Sure: {"answer": "%s", "claim": "a dog", "evidence_label": "dog", "support": "%s", "relation": "%s"}', answer, said, rel)
-    rows = e.select("event_id", "event_type", gen.alias("generation")).withColumn("parsed", parse.strict_json("generation"))
-    rows = rows.withColumn("p", parse.parse_generation(F.col("generation"), F.col("parsed"))).select("event_id", "event_type", "p.*")
-    target = F.when(F.col("event_id") % 3 == 0, "supported").otherwise("wrong_evidence")
-    rows = rows.withColumns({"target_answer": F.lit("yes"), "target_support": target, "target_evidence": F.lit("dog"), "target_claim": F.lit("a dog"), "is_relation": F.col("event_id") % 5 == 0, "target_relation": F.lit("left_of")})
-    return metrics.probe_metrics(rows, "event_type").select("event_type", "n", "n_support", "n_wrong", "n_rejected", "wrong_rejection", "n_answer", "n_direction", "n_relation")
+    """All measures of probe answers in odd forms: over all rows, by kind of question and by the support they should name."""
+    scored = _scored_probes(spark, sf_dir)
+    named = lambda by: metrics.probe_metrics(scored, by).withColumns({"level": F.lit(by), "name": F.col(by)}).drop(by)
+    every = metrics.probe_metrics(scored).withColumns({"level": F.lit("all"), "name": F.lit("all")})
+    return every.unionByName(named("base_task_type")).unionByName(named("target_support"))
+
+
+def _scored_probes(spark, sf_dir) -> DataFrame:
+    k = F.col("event_id")
+    pick = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (k % n + 1).cast("int"))
+    return metrics.score_probes(read(spark, sf_dir, "events").select(
+        k, pick(len(PROBE_SAID), *[r[0] for r in PROBE_SAID]).alias("generation"), pick(4, "relation_spatial", "object_existence", "attribute_color", None).alias("base_task_type"),
+        pick(3, "supported", "wrong_evidence", "").alias("target_support"), F.when(k % 7 < 4, "yes").otherwise("no").alias("target_answer"), F.when(k % 5 == 0, "").otherwise("dog").alias("target_evidence_label"),
+        F.when(k % 5 == 1, "").otherwise("a dog").alias("target_claim"), F.when(k % 11 < 8, "left_of").alias("target_relation"), F.lit("dog").alias("target_subject"), F.when(k % 5 != 2, "cat").alias("target_object"),
+    ))
+
+
+@query(
+    f"""WITH said(k, answer, claim, label, support, relation, said, valid, failed) AS (VALUES {_PROBE_ROWS})
+SELECT support AS predicted_support, count(*) AS n FROM events JOIN said ON k = event_id % {len(PROBE_SAID)} GROUP BY support"""
+)
+def probe_supports(spark, sf_dir):
+    """How often each support is named."""
+    return metrics.predicted_supports(_scored_probes(spark, sf_dir))
 
 
 def _key(seed: str, column: str) -> str:

@@ -25,12 +25,53 @@ def test_support_and_answers(spark):
     assert column(spark, ["Y", "0", "I say nope", "maybe"], parse.normalize_answer) == ["yes", "no", "no", "maybe"]
 
 
-def test_generation_falls_back_to_fields(spark):
-    rows = spark.createDataFrame([(0, '{"answer": true, "support": "match"} trailing'), (1, '{"a":1} x }'), (2, "Claim: a dog; Evidence: dog, it does not match"), (3, "hm"), (4, None)], "i int, t string")
-    rows = rows.withColumn("p", parse.parse_generation(F.col("t"), parse.strict_json("t"))).select("i", "p.*").orderBy("i").collect()
-    assert (rows[0].answer, rows[0].support, rows[0].invalid_json) == ("yes", "supported", False)
-    assert rows[1].invalid_json and rows[3].parse_failed and rows[4].parse_failed
-    assert (rows[2].claim, rows[2].evidence_label, rows[2].support) == ("a dog", "dog", "wrong_evidence")
+def generations(spark, said):
+    df = spark.createDataFrame(list(enumerate(said)), "i int, t string").withColumn("v", parse.json_object(F.col("t")))
+    rows = df.select("i", parse.parse_generation(F.col("t"), F.col("v")).alias("p")).select("i", "p.*").orderBy("i").collect()
+    return [(r.answer, r.claim, r.evidence_label, r.support, r.relation, r.json_valid, r.parse_failed) for r in rows]
+
+
+def test_generations_as_json(spark):
+    said = {
+        '{"answer": true, "support": "match"} trailing': ("yes", "", "", "supported", "answer true support match trailing", True, False),
+        '{"answer":"No.","claim":"A-dog","evidence_label":"","evidence":"Dog","relation":"to the left"}': ("no", "a dog", "dog", "unknown", "left_of", True, False),
+        '{"answer":0,"claim":null,"evidence":[],"support":false}': ("", "", "", "unknown", "answer0claimnullevidencesupportfalse", True, False),
+        '{"answer":1,"evidence":["a","b"],"claim":{"x":"left"}}': ("yes", "x left", "a b", "unknown", "left_of", True, False),
+        "{}": ("", "", "", "unknown", "", True, False),
+        '{"a":1} {"b":2}': ("", "", "", "unknown", "a1 b2", False, True),
+        '{"a":1}] x}': ("", "", "", "unknown", "a1 x", False, True),
+        '{"a":1}} {"b":"yes"}': ("yes", "", "", "unknown", "a1 byes", False, False),
+        '{"a":1},{"b":2}': ("", "", "", "unknown", "a1b2", False, True),
+        "{'answer': 'yes'}": ("yes", "", "", "unknown", "answer yes", False, False),
+        '[{"answer":"no"}]': ("no", "", "", "unknown", "answerno", True, False),
+    }
+    assert dict(zip(said, generations(spark, list(said)))) == said
+
+
+def test_generations_as_text(spark):
+    said = {
+        "Claim: a dog; Evidence: dog, it does not match": ("", "a dog", "dog", "wrong_evidence", "a dog", False, False),
+        "Yeah. Evidence-label = 'Cat'\nSupport: unsupported": ("yes", "", "cat", "contradicted", "yeah evidence label catsupport unsupported", False, False),
+        "hm": ("", "", "", "unknown", "hm", False, True),
+        None: ("", "", "", "unknown", "", False, True),
+        "nothing left here": ("", "", "", "unknown", "left_of", False, True),
+        "preclaim: on the right, relation: above": ("", "on the right", "", "unknown", "above", False, False),
+        "reclaim= left cat": ("", "left cat", "", "unknown", "left_of", False, False),
+        "claim: \"quoted\" ": ("", "quoted", "", "unknown", "quoted", False, False),
+        "it is correct": ("", "", "", "supported", "it is correct", False, False),
+        "support: dunno": ("", "", "", "dunno", "support dunno", False, False),
+        "relation: left": ("", "", "", "unknown", "left_of", False, True),
+        "I say NOPE": ("no", "", "", "unknown", "i say nope", False, False),
+    }
+    assert dict(zip(said, generations(spark, list(said)))) == {k: v for k, v in said.items()}
+
+
+def test_a_key_given_twice(spark):
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    try:
+        assert generations(spark, ['{"answer":"no","answer":"yes"}'])[0][0] == "yes"
+    finally:
+        spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
 
 
 def test_names(spark):
