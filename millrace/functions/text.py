@@ -55,11 +55,15 @@ def slug(name: Column) -> Column:
     return F.regexp_replace(clean_name(name), "[ /]+", "_")
 
 
-def canonical_image_id(path: Column) -> Column:
-    """Digits of a file name without leading zeros, else its stem."""
-    stem = F.regexp_extract(path, r"([^/]+?)(?:\.[A-Za-z]+)?$", 1)
-    digits = F.regexp_extract(stem, r"0*([0-9]+)$", 1)
-    return F.when(digits != "", digits).otherwise(stem)
+def stem(path: Column) -> Column:
+    """A path's last part without its suffix; a name that begins or ends with its only dot has none."""
+    name = F.regexp_extract(path, "([^/]*)/*$", 1)
+    return F.when(name.rlike(r"(?s)^.+\.[^.]+$"), F.regexp_replace(name, r"\.[^.]+$", "")).otherwise(name)
+
+
+def canonical_image_id(file_name: Column, image_id: Column, prefix: str = "coco_train2017_") -> Column:
+    """The prefix and the stem of the file name; without a name that of the number, in twelve digits."""
+    return F.concat(F.lit(prefix), stem(F.coalesce(F.nullif(file_name, F.lit("")), F.format_string("%012d.jpg", image_id.cast("long")))))
 
 
 def one_line(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_area, holds_relation, normalize_xywh
-from ..functions.text import article_phrase, be_verb, clean_name
+from ..functions.text import article_phrase, be_verb, canonical_image_id, clean_name
 from .sampling import capped_per_key, stable_key, stable_unit
 
 # Objects whose absence annotations hardly prove, colours, materials, other names for them, attributes that
@@ -37,12 +37,17 @@ def visible_objects(images: DataFrame, annotations: DataFrame, categories: DataF
     return rows.groupBy("image_id", clean_name(F.col("name")).alias("name")).agg(F.max("box").alias("max_area"))
 
 
-def best_boxes(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
-    """The largest box of each (image_id, name), the first of equals by its corner."""
-    rows = annotations.join(images, "image_id").join(categories, "category_id").withColumn("name", clean_name(F.col("name")))
-    rows = rows.withColumn("area", box_area(F.col("w"), F.col("h")))
-    best = capped_per_key(rows, ["image_id", "name"], 1, [F.col("area").desc(), F.col("x"), F.col("y")])
-    return best.select("image_id", "name", normalize_xywh(*[F.col(c) for c in ("x", "y", "w", "h", "width", "height")]).alias("box"))
+def best_boxes(images: DataFrame, annotations: DataFrame, categories: DataFrame, order: list[str]) -> DataFrame:
+    """(image_id, image, name, box): the valid box with the largest annotated area of each class of an image.
+
+    Crowds, boxes that are empty within the image and images without a size don't count; a missing area is 0. Of equal areas
+    the first annotation in ``order`` wins. ``image`` is the canonical id by the file name.
+    """
+    rows = annotations.where(F.coalesce("iscrowd", F.lit(0)) != 1).join(images, "image_id").join(categories, "category_id").withColumn("name", clean_name(F.col("name")))
+    box = normalize_xywh(*[F.col(c) for c in ("x", "y", "w", "h", "width", "height")])
+    rows = rows.withColumn("box", F.when((F.col("width") > 0) & (F.col("height") > 0), box)).where("box is not null and name <> ''")
+    best = capped_per_key(rows.withColumn("area", F.coalesce("area", F.lit(0.0))), ["image_id", "name"], 1, [F.col("area").desc(), *map(F.col, order)])
+    return best.select("image_id", canonical_image_id(F.col("file_name"), F.col("image_id")).alias("image"), "name", "box")
 
 
 def absent_candidates(visible: DataFrame, groups: DataFrame, exclude: list[str] | None = None) -> DataFrame:

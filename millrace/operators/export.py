@@ -17,22 +17,41 @@ def answer_rows(df: DataFrame) -> DataFrame:
     return df.select("id", "image", prompt(F.col("question")).alias("prompt"), "chosen", "rejected")
 
 
+# What a hint must contain, and what stands before its body in evidence and in cues.
+HINT, EVIDENCE, CUE = "Evidence hint:", "Evidence: ", "Visual cue: "
+
+
+def evidence_body(hint: str) -> Column:
+    """What follows the first ``HINT`` of a column; a hint without it is an error."""
+    body = F.regexp_extract(hint, rf"(?s){HINT}(.*)$", 1)
+    wrong = F.raise_error(F.concat(F.lit(f"{hint} lacks its prefix: "), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+    return F.when(F.contains(hint, F.lit(HINT)), F.regexp_replace(body, r"^\s+|\s+$", "")).otherwise(wrong)
+
+
+def _followed(answer: str, what: Column) -> Column:
+    return F.concat_ws("\n", F.col(answer), what)
+
+
 def evidence_rows(df: DataFrame) -> DataFrame:
-    """Hints go before both answers; a hint without its prefix is an error."""
-    hint = lambda c: F.when(F.startswith(F.col(c), F.lit("Evidence hint:")), F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"{c} lacks its prefix: "), F.col("id"))))
-    return df.select("id", "image", prompt(F.col("question")).alias("prompt"), F.concat_ws("\n", hint("hint_chosen"), F.col("chosen")).alias("chosen"), F.concat_ws("\n", hint("hint_rejected"), F.col("rejected")).alias("rejected"))
+    """The whole hints stand after both answers; a hint without its prefix is an error."""
+    whole = lambda c: F.when(evidence_body(c).isNotNull(), F.col(c))
+    return df.select("id", "image", prompt(F.col("question")).alias("prompt"), _followed("chosen", whole("hint_chosen")).alias("chosen"), _followed("rejected", whole("hint_rejected")).alias("rejected"))
 
 
 def evidence_only_rows(df: DataFrame) -> DataFrame:
-    return df.select("id", "image", prompt(F.col("question")).alias("prompt"), F.col("hint_chosen").alias("chosen"), F.col("hint_rejected").alias("rejected"))
+    """The chosen answer on both sides, so that the evidence after it alone makes the difference."""
+    shown = lambda c: _followed("chosen", F.concat(F.lit(EVIDENCE), evidence_body(c)))
+    return df.select("id", "image", prompt(F.col("question")).alias("prompt"), shown("hint_chosen").alias("chosen"), shown("hint_rejected").alias("rejected"))
 
 
 def input_cue_rows(df: DataFrame) -> DataFrame:
-    return df.select("id", "image", prompt(F.col("question"), F.col("hint_chosen")).alias("prompt"), "chosen", "rejected")
+    """What the chosen hint says stands in the prompt, answers are plain."""
+    return df.select("id", "image", prompt(F.col("question"), F.concat(F.lit(CUE), evidence_body("hint_chosen"))).alias("prompt"), "chosen", "rejected")
 
 
 def chosen_only_rows(df: DataFrame) -> DataFrame:
-    return df.select("id", "image", prompt(F.col("question")).alias("prompt"), F.col("chosen").alias("answer"))
+    """Evidence after the chosen answer only."""
+    return df.select("id", "image", prompt(F.col("question")).alias("prompt"), _followed("chosen", F.concat(F.lit(EVIDENCE), evidence_body("hint_chosen"))).alias("chosen"), "rejected")
 
 
 def mixed_rows(df: DataFrame, ratio: float = 0.3, seed: str = "42") -> DataFrame:

@@ -450,15 +450,15 @@ def export_answers(spark, sf_dir):
     return export.answer_rows(_turns(spark, sf_dir))
 
 
-@query(f"WITH {_TURNS} SELECT id, image, {_PROMPT} AS prompt, 'Evidence hint: annotated.' || chr(10) || chosen AS chosen, 'Evidence hint: unsupported.' || chr(10) || 'No.' AS rejected FROM r")
+@query(f"WITH {_TURNS} SELECT id, image, {_PROMPT} AS prompt, chosen || chr(10) || 'Evidence hint: annotated.' AS chosen, 'No.' || chr(10) || 'Evidence hint: unsupported.' AS rejected FROM r")
 def export_evidence(spark, sf_dir):
     return export.evidence_rows(_turns(spark, sf_dir))
 
 
 @query(
     f"""WITH {_TURNS}, k AS (SELECT *, row_number() OVER (ORDER BY {_key('42', 'id')}, id) <= round_even((SELECT count(*) FROM r) * 0.3, 0) AS picked FROM r)
-SELECT id, image, {_PROMPT} AS prompt, CASE WHEN picked THEN 'Evidence hint: annotated.' || chr(10) || chosen ELSE chosen END AS chosen,
-  CASE WHEN picked THEN 'Evidence hint: unsupported.' || chr(10) || 'No.' ELSE 'No.' END AS rejected FROM k"""
+SELECT id, image, {_PROMPT} AS prompt, chosen || CASE WHEN picked THEN chr(10) || 'Evidence hint: annotated.' ELSE '' END AS chosen,
+  'No.' || CASE WHEN picked THEN chr(10) || 'Evidence hint: unsupported.' ELSE '' END AS rejected FROM k"""
 )
 def export_mix(spark, sf_dir):
     return export.mixed_rows(_turns(spark, sf_dir))

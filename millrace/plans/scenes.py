@@ -44,20 +44,20 @@ def _list(names: list[str]) -> str:
 _SCENES = f"""l AS (SELECT l_orderkey AS image_id, l_linenumber AS n, split_part(p_name, ' ', 2) AS name, split_part(p_name, ' ', 1) AS adj, l_quantity::DOUBLE AS x, (l_quantity - 5)::DOUBLE AS w
   FROM lineitem JOIN part ON l_partkey = p_partkey
   QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1),
-o AS (SELECT image_id, n, CAST(n AS VARCHAR) AS object_id, name, adj, lower({_case(MORE)}) AS more, {_case(RELATIONS)} AS rel, CAST(n % 7 + 1 AS VARCHAR) AS target,
+o AS MATERIALIZED (SELECT image_id, n, CAST(n AS VARCHAR) AS object_id, name, adj, lower({_case(MORE)}) AS more, {_case(RELATIONS)} AS rel, CAST(n % 7 + 1 AS VARCHAR) AS target,
   (least(1.0, round_even(x / 64, 4)) + least(1.0, round_even(least(1.0, (x + w) / 64), 4))) / 2 AS mid FROM l WHERE w > 0 AND x / 64 < least(1.0, (x + w) / 64)),
 a0 AS (SELECT image_id, object_id, name AS object, unnest([adj, CASE more WHEN 'grey' THEN 'gray' WHEN 'silver' THEN 'gray' ELSE more END]) AS attribute FROM o),
-a AS (SELECT DISTINCT *, CASE WHEN attribute IN ({", ".join(f"'{x}'" for x in curate.COLORS)}) THEN 'color' ELSE 'material' END AS kind FROM a0
+a AS MATERIALIZED (SELECT DISTINCT *, CASE WHEN attribute IN ({", ".join(f"'{x}'" for x in curate.COLORS)}) THEN 'color' ELSE 'material' END AS kind FROM a0
   WHERE attribute IN ({", ".join(f"'{x}'" for x in curate.COLORS + curate.MATERIALS)})),
 v AS (SELECT unnest({_list(curate.COLORS)}) AS option, 'color' AS kind UNION ALL SELECT unnest({_list(curate.MATERIALS)}), 'material'),
-an AS (SELECT a.*, v.option AS negative FROM a JOIN v ON a.kind = v.kind AND v.option <> attribute
+an AS MATERIALIZED (SELECT a.*, v.option AS negative FROM a JOIN v ON a.kind = v.kind AND v.option <> attribute
   QUALIFY row_number() OVER (PARTITION BY image_id, object_id, attribute ORDER BY ln({_unit("'attr|' || image_id || '|' || object_id || '|' || attribute || '|' || option")})
     / CASE WHEN attribute || '|' || option IN ({", ".join(f"'{x}|{y}'" for x, y in curate.CONFUSABLE)}) THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END DESC, option DESC) = 1),
 r AS (SELECT s.image_id, s.object_id AS subject_id, t.object_id, s.name AS subject, t.name AS object, s.mid AS subject_mid, t.mid AS object_mid,
   CASE s.rel WHEN 'to the left of' THEN 'left' WHEN 'Left' THEN 'left' WHEN 'right of' THEN 'right' WHEN 'above' THEN 'above' ELSE 'below' END AS relation FROM o s JOIN o t ON t.image_id = s.image_id AND t.object_id = s.target
   WHERE s.rel <> 'near'),
 rn AS (SELECT *, CASE relation WHEN 'left' THEN 'right' WHEN 'right' THEN 'left' WHEN 'above' THEN 'below' ELSE 'above' END AS negative FROM r),
-rb AS (SELECT * FROM rn WHERE (relation = 'left' AND subject_mid + 0.02::DOUBLE < object_mid) OR (relation = 'right' AND subject_mid > object_mid + 0.02::DOUBLE))"""
+rb AS MATERIALIZED (SELECT * FROM rn WHERE (relation = 'left' AND subject_mid + 0.02::DOUBLE < object_mid) OR (relation = 'right' AND subject_mid > object_mid + 0.02::DOUBLE))"""
 _VERB = "CASE WHEN object LIKE '%s' AND object <> 'bus' THEN 'are' ELSE 'is' END"
 
 
@@ -101,7 +101,7 @@ def _records(spark, sf_dir) -> DataFrame:
 
 
 _CLAIM = "'Answer: ' || {answer} || chr(10) || 'Claims:' || chr(10) || '- type: ' || {kind} || chr(10) || '  claim: ' || {span} || chr(10) || '  evidence: ' || {shown} || chr(10) || '  support: ' || {support}"
-_TOLD = f"""c AS (SELECT image_id || '-' || object_id || '-' || attribute AS id, CAST(image_id AS VARCHAR) AS image_id, object AS own, 'attribute' AS type, 'attribute_' || kind AS task_type, 'What ' || kind || ' is the ' || object || '?' AS question,
+_TOLD = f"""c AS MATERIALIZED (SELECT image_id || '-' || object_id || '-' || attribute AS id, CAST(image_id AS VARCHAR) AS image_id, object AS own, 'attribute' AS type, 'attribute_' || kind AS task_type, 'What ' || kind || ' is the ' || object || '?' AS question,
   'The ' || object || ' ' || {_VERB} || ' ' || attribute || '.' AS chosen_answer, 'The ' || object || ' ' || {_VERB} || ' ' || negative || '.' AS rejected_answer,
   object || ' is ' || attribute AS span, object || ' is ' || negative AS other_span, object || '; attribute=' || attribute AS shown, object || '; attribute=' || negative AS other_shown, attribute,
   NULL AS subject, NULL AS object, NULL AS relation, 'attribute_mismatch' AS negative_type FROM an
@@ -109,8 +109,8 @@ UNION ALL SELECT image_id || '-' || subject_id || '-' || object_id, CAST(image_i
   'Yes, the ' || subject || ' is to the ' || relation || ' of the ' || object || '.', 'No, the ' || subject || ' is to the ' || negative || ' of the ' || object || '.',
   subject || ' ' || relation || '_of ' || object, subject || ' ' || negative || '_of ' || object, 'subject=' || subject || '; object=' || object || '; relation=' || relation || '_of',
   'subject=' || subject || '; object=' || object || '; relation=' || negative || '_of', NULL, subject, object, relation || '_of', 'relation_reversal' FROM rb),
-p AS (SELECT DISTINCT CAST(image_id AS VARCHAR) AS image_id, name AS label FROM o),
-wa AS (SELECT c.*, label FROM c JOIN p ON c.image_id = p.image_id AND label <> own WHERE type = 'attribute' QUALIFY row_number() OVER (PARTITION BY id ORDER BY md5('wrong|' || id || '|' || label)) = 1),
+p AS MATERIALIZED (SELECT DISTINCT CAST(image_id AS VARCHAR) AS image_id, name AS label FROM o),
+wa AS MATERIALIZED (SELECT c.*, label FROM c JOIN p ON c.image_id = p.image_id AND label <> own WHERE type = 'attribute' QUALIFY row_number() OVER (PARTITION BY id ORDER BY md5('wrong|' || id || '|' || label)) = 1),
 w AS (SELECT *, label || '; attribute=' || attribute AS wrong_shown FROM wa
   UNION ALL SELECT *, NULL, 'subject=' || object || '; object=' || subject || '; relation=' || relation FROM c WHERE type = 'relation')"""
 
@@ -430,20 +430,24 @@ def verifier_rows(spark, sf_dir):
 
 
 def _detections(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Orders as images, lines as boxes, parts as categories."""
-    c, n = F.col, F.col("l_linenumber")
-    images = read(spark, sf_dir, "orders").select(c("o_orderkey").alias("image_id"), F.lit("a.jpg").alias("file_name"), F.lit(64).alias("width"), F.lit(32).alias("height"))
+    """Orders as images, lines as boxes, parts as categories; some images have no file name, some boxes no area."""
+    c, n, k = F.col, F.col("l_linenumber"), F.col("o_orderkey")
+    name = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("train/"), F.lpad(k.cast("string"), 9, "0"), F.when(k % 5 == 0, ".tar.gz").otherwise(".jpg")))
+    images = read(spark, sf_dir, "orders").select(k.alias("image_id"), name.alias("file_name"), F.lit(64).alias("width"), F.when(k % 17 == 0, 0).otherwise(32).alias("height"))
     w, h = (c("l_quantity") - 5).cast("double"), (n + 1).cast("double")
     boxes = read(spark, sf_dir, "lineitem").select(
         c("l_orderkey").alias("image_id"), c("l_partkey").alias("category_id"), c("l_quantity").cast("double").alias("x"), (n * 3).cast("double").alias("y"), w.alias("w"), h.alias("h"),
-        F.when(n % 3 == 0, 0.0).otherwise(w * h).alias("area"), F.when(n % 5 == 0, 1).otherwise(0).alias("iscrowd"),
+        F.when(n % 3 == 0, 0.0).when(n % 7 != 0, w * h).alias("area"), F.when(n % 5 == 0, 1).otherwise(0).alias("iscrowd"), n.alias("line"), c("l_suppkey").alias("supplier"), c("l_extendedprice").alias("price"),
     )
     return images, boxes, read(spark, sf_dir, "part").select(c("p_partkey").alias("category_id"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("name"))
 
 
-_BOXES = """b AS (SELECT l_orderkey AS image_id, split_part(p_name, ' ', 2) AS name, l_quantity::DOUBLE AS x, (l_linenumber * 3)::DOUBLE AS y, (l_quantity - 5)::DOUBLE AS w, (l_linenumber + 1)::DOUBLE AS h, l_linenumber AS n FROM lineitem JOIN part ON l_partkey = p_partkey),
-v AS (SELECT image_id, name, max(CASE WHEN n % 3 = 0 OR w * h = 0 THEN greatest(w, 0) * h ELSE w * h END) AS max_area FROM b
-  WHERE n % 5 <> 0 AND (CASE WHEN n % 3 = 0 OR w * h = 0 THEN greatest(w, 0) * h ELSE w * h END) >= 20.48 GROUP BY ALL)"""
+_BOXES = """i AS (SELECT o_orderkey AS image_id, CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE 32 END AS height,
+  'coco_train2017_' || CASE WHEN o_orderkey % 3 = 0 THEN lpad(CAST(o_orderkey AS VARCHAR), 12, '0') ELSE lpad(CAST(o_orderkey AS VARCHAR), 9, '0') || CASE WHEN o_orderkey % 5 = 0 THEN '.tar' ELSE '' END END AS image FROM orders),
+b AS (SELECT l_orderkey AS image_id, image, height, split_part(p_name, ' ', 2) AS name, l_quantity::DOUBLE AS x, (l_linenumber * 3)::DOUBLE AS y, (l_quantity - 5)::DOUBLE AS w, (l_linenumber + 1)::DOUBLE AS h, l_linenumber AS n,
+  l_partkey, l_suppkey, l_extendedprice FROM lineitem JOIN part ON l_partkey = p_partkey JOIN i ON l_orderkey = i.image_id),
+v AS (SELECT image_id, name, max(CASE WHEN n % 3 = 0 OR n % 7 = 0 OR w * h = 0 THEN greatest(w, 0) * h ELSE w * h END) AS max_area FROM b
+  WHERE height > 0 AND n % 5 <> 0 AND (CASE WHEN n % 3 = 0 OR n % 7 = 0 OR w * h = 0 THEN greatest(w, 0) * h ELSE w * h END) >= 20.48 GROUP BY ALL)"""
 
 
 @query(f"WITH {_BOXES} SELECT * FROM v")
@@ -453,34 +457,45 @@ def visible_objects(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_BOXES}, r AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY image_id, name ORDER BY greatest(w, 0) * h DESC, x, y) = 1)
-SELECT image_id, name, CAST(round(least(1.0, x / 64) * 1000) AS BIGINT) AS x1, CAST(round(least(1.0, (x + w) / 64) * 1000) AS BIGINT) AS x2 FROM r WHERE w > 0 AND x < 64"""
+    f"""WITH {_BOXES}, e AS (SELECT *, least(1.0, x / 64) AS x1, least(1.0, y / 32) AS y1, least(1.0, (x + w) / 64) AS x2, least(1.0, (y + h) / 32) AS y2,
+  CASE WHEN n % 3 = 0 OR n % 7 = 0 THEN 0.0 ELSE w * h END AS area FROM b WHERE height > 0 AND n % 5 <> 0 AND w > 0),
+r AS (SELECT * FROM e WHERE x2 > x1 AND y2 > y1 QUALIFY row_number() OVER (PARTITION BY image_id, name ORDER BY area DESC, n, l_partkey, l_suppkey, x, l_extendedprice) = 1)
+SELECT image_id, image, name, CAST(round_even(x1 * 10000, 0) AS BIGINT) AS x1, CAST(round_even(y1 * 10000, 0) AS BIGINT) AS y1, CAST(round_even(x2 * 10000, 0) AS BIGINT) AS x2, CAST(round_even(y2 * 10000, 0) AS BIGINT) AS y2 FROM r"""
 )
 def best_boxes(spark, sf_dir):
-    """The largest box of each class of an image."""
-    rows = curate.best_boxes(*_detections(spark, sf_dir)).where("box is not null")
-    at = lambda i: F.round(F.col("box")[i] * 1000).cast("long")
-    return rows.select("image_id", "name", at(0).alias("x1"), at(2).alias("x2"))
+    """The box with the largest annotated area of each class of an image, in ten thousandths."""
+    rows = curate.best_boxes(*_detections(spark, sf_dir), ["line", "category_id", "supplier", "x", "price"])
+    at = lambda i: F.round(F.col("box")[i] * 10000).cast("long")
+    return rows.select("image_id", "image", "name", *[at(i).alias(k) for i, k in enumerate(("x1", "y1", "x2", "y2"))])
 
 
 def _hinted(spark, sf_dir) -> DataFrame:
-    return _spoiled(spark, sf_dir).where("id % 13 <> 0 and id % 17 <> 0")
+    """Records whose hints have their prefix, some of them within other words and before a line feed."""
+    k = F.col("id")
+    hint = F.when(k % 4 == 0, "so: Evidence hint:  a\n ").when(k % 4 == 1, "Evidence hint: b. Evidence hint: c").otherwise("Evidence hint: a")
+    return _spoiled(spark, sf_dir).where("id % 17 <> 0").withColumn("hint_chosen", hint)
 
 
-_CUED = "SELECT k AS id, image, '<image>' || chr(10) || 'Question: What is it?' || chr(10) || 'Answer:' AS prompt, {0} FROM t WHERE k % 13 <> 0 AND k % 17 <> 0"
+_CUED = f"""WITH {_SPOILED}, h AS (SELECT *, CASE k % 4 WHEN 0 THEN 'so: Evidence hint:  a' || chr(10) || ' ' WHEN 1 THEN 'Evidence hint: b. Evidence hint: c' ELSE 'Evidence hint: a' END AS hint,
+  CASE k % 4 WHEN 1 THEN 'b. Evidence hint: c' ELSE 'a' END AS body FROM t WHERE k % 17 <> 0) SELECT k AS id, image, '<image>' || chr(10) || {{1}}'Question: What is it?' || chr(10) || 'Answer:' AS prompt, {{0}} FROM h"""
 
 
-@query(f"WITH {_SPOILED} " + _CUED.format("'Evidence hint: a' AS chosen, 'Evidence hint: b' AS rejected"))
+@query(_CUED.format("chosen || chr(10) || hint AS chosen, rejected || chr(10) || 'Evidence hint: b' AS rejected", ""))
+def export_hints(spark, sf_dir):
+    return export.evidence_rows(_hinted(spark, sf_dir))
+
+
+@query(_CUED.format("chosen || chr(10) || 'Evidence: ' || body AS chosen, chosen || chr(10) || 'Evidence: b' AS rejected", ""))
 def export_evidence_only(spark, sf_dir):
     return export.evidence_only_rows(_hinted(spark, sf_dir))
 
 
-@query(f"WITH {_SPOILED} " + _CUED.replace("chr(10) || 'Question", "chr(10) || 'Evidence hint: a' || chr(10) || 'Question").format("chosen, rejected"))
+@query(_CUED.format("chosen, rejected", "'Visual cue: ' || body || chr(10) || "))
 def export_input_cue(spark, sf_dir):
     return export.input_cue_rows(_hinted(spark, sf_dir))
 
 
-@query(f"WITH {_SPOILED} " + _CUED.format("chosen AS answer"))
+@query(_CUED.format("chosen || chr(10) || 'Evidence: ' || body AS chosen, rejected", ""))
 def export_chosen_only(spark, sf_dir):
     return export.chosen_only_rows(_hinted(spark, sf_dir))
 
