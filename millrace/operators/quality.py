@@ -30,6 +30,16 @@ def overlap(train: DataFrame, held: DataFrame, key: str) -> DataFrame:
     return train.select(key).distinct().join(held.select(key).distinct(), key, "left_semi")
 
 
+def overlap_report(train: DataFrame, held: DataFrame, key: str, first: int = 20) -> DataFrame:
+    """One row: n_train, n_held and n_overlap, distinct keys as text, and the ``first`` common ones in order."""
+    some = lambda df: df.select(F.col(key).cast("string").alias("k")).where("k is not null")
+    both = some(train).select("k", F.lit(1).alias("t"), F.lit(0).alias("h")).unionByName(some(held).select("k", F.lit(0).alias("t"), F.lit(1).alias("h")))
+    keys = both.groupBy("k").agg(F.max("t").alias("t"), F.max("h").alias("h"))
+    counts = keys.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n_train"), F.coalesce(F.sum("h"), F.lit(0)).alias("n_held"), F.count_if((F.col("t") == 1) & (F.col("h") == 1)).alias("n_overlap"))
+    shown = keys.where("t = 1 and h = 1").orderBy("k").limit(first).agg(F.array_sort(F.collect_list("k")).alias("first"))
+    return counts.crossJoin(shown)  # a row each
+
+
 def duplicate_ids(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 

@@ -5,7 +5,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_count
@@ -27,7 +29,7 @@ def with_repeats(df: DataFrame, key: str = "id") -> DataFrame:
     return df.join(n, key, "left").withColumn("is_repeat", F.col("_n").isNotNull()).drop("_n")
 
 
-def canonical_rules(max_tokens: int = 32, task: str = "task_type") -> dict[str, Column]:
+def canonical_rules(max_tokens: int = 40, task: str = "task_type") -> dict[str, Column]:
     """Rules of preference records (image, image_id, question, chosen, rejected, hint_chosen, hint_rejected, positive, negative, visible)."""
     c = F.col
     same = c("positive").eqNullSafe(c("negative"))
@@ -45,7 +47,7 @@ def canonical_rules(max_tokens: int = 32, task: str = "task_type") -> dict[str,
     }
 
 
-def claim_rules(max_tokens: int = 64) -> dict[str, Column]:
+def claim_rules(max_tokens: int = 80) -> dict[str, Column]:
     """Rules of claim records."""
     c = F.col
     wrong = c("task_type") == "wrong_evidence"
@@ -72,9 +74,78 @@ def claim_rules(max_tokens: int = 64) -> dict[str, Column]:
         "wrong_evidence_support": wrong & ~each("rejected_claims", lambda x: x["support"] == "wrong_evidence"),
         "identical_answers": ~wrong & c("chosen_answer").eqNullSafe(c("rejected_answer")),
         "evidence_wrong_elsewhere": ~wrong & (c("negative_type") == "evidence_wrong"),
+        "identical_attributes": (c("negative_type") == "attribute_mismatch") & _both("attribute"),
+        "identical_relations": (c("negative_type") == "relation_reversal") & _both("relation"),
     }
 
 
+def _both(field: str) -> Column:
+    """Whether the first claims of both sides agree in a field, or lack it."""
+    return F.get("chosen_claims", F.lit(0))[field].eqNullSafe(F.get("rejected_claims", F.lit(0))[field])
+
+
+# What a finding says after the record's id.
+CANONICAL_SAYS = {
+    "missing_image": "missing image", "missing_image_id": "missing image_id", "missing_question": "missing question", "missing_chosen": "missing chosen_answer", "missing_rejected": "missing rejected_answer",
+    "missing_hint_chosen": "missing evidence_hint_chosen", "missing_hint_rejected": "missing evidence_hint_rejected", "identical_answers": "chosen and rejected are identical",
+    "chosen_too_long": "chosen exceeds 40 tokens", "rejected_too_long": "rejected exceeds 40 tokens", "chosen_hint_prefix": "chosen hint missing Evidence hint prefix",
+    "rejected_hint_prefix": "rejected hint missing Evidence hint prefix", "identical_objects": "positive and negative object are identical",
+    "negative_is_visible": "rejected object is annotated visible", "identical_attributes": "positive and negative attributes are identical", "identical_relations": "positive and negative relations are identical",
+}
+CLAIM_SAYS = {
+    "chosen_too_long": "chosen answer exceeds 80 tokens", "rejected_too_long": "rejected answer exceeds 80 tokens", "identical_plain_answers": "Answer-DPO chosen/rejected are identical",
+    "wrong_evidence_answers": "wrong-evidence row must keep chosen/rejected answer identical", "wrong_evidence_support": "wrong-evidence rejected claim must use support=wrong_evidence",
+    "identical_answers": "non-wrong-evidence row has identical answers", "evidence_wrong_elsewhere": "evidence_wrong negative used outside wrong_evidence task",
+    "identical_attributes": "positive and negative attributes are identical", "identical_relations": "relation and negative relation are identical", "missing_answer_rejected": "missing answer_dpo_rejected_answer",
+} | {
+    f"{rule}": says for side in ("chosen_claims", "rejected_claims") for rule, says in (
+        (f"no_{side}", f"{side} must be a non-empty list"), (f"{side}_field", f"{side} claim missing a field"), (f"{side}_evidence", f"{side} evidence must be a list"),
+        (f"{side}_roles", "relation claim missing subject/object evidence"), (f"{side}_bare", "non-relation claim has empty evidence"),
+    )
+}
+
+
+def checked(df: DataFrame, place: str, files: DataFrame | None = None) -> DataFrame:
+    """``df`` with what rules of ids and files need: record_id, is_repeat (an earlier row has the id) and no_file.
+
+    A row without an id is named after its place. ``files`` (path) lists the images there are; without it all are taken to exist.
+    """
+    df = df.withColumn("record_id", F.coalesce(F.nullif(F.col("id").cast("string"), F.lit("")), F.concat(F.lit("line-"), F.col(place).cast("string"))))
+    first = df.groupBy(F.col("record_id").alias("_id")).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    df = df.join(first, F.col("record_id") == F.col("_id"), "left").withColumn("is_repeat", F.coalesce(F.col(place) > F.col("_first"), F.lit(False))).drop("_id", "_first", "_n")
+    if files is None:
+        return df.withColumn("no_file", F.lit(False))
+    there = files.select(F.col("path").alias("_path")).distinct()
+    return df.join(there, F.col("image") == F.col("_path"), "left").withColumn("no_file", ~_blank("image") & F.col("_path").isNull()).drop("_path")
+
+
+def with_record_rules(rules: dict[str, Column]) -> dict[str, Column]:
+    """``rules`` for ``checked`` records: ids that an earlier row has, and images that don't exist, count too."""
+    return {"repeated_id": F.col("is_repeat"), **rules, "no_file": F.col("no_file")}
+
+
+def findings(df: DataFrame, rules: dict[str, Column], says: dict[str, str], place: str, store, limit: int = 200) -> tuple[DataFrame, dict[str, int]]:
+    """The findings of ``checked`` records, and how often each rule is broken.
+
+    (place, rule, message): of each rule the first ``limit`` by place. The numbers are observed on all findings while these
+    are written, so records are read once; their sum is 0 where a check passes.
+    """
+    said = {k: says.get(k, k.replace("missing_", "missing ")) for k in rules} | {"repeated_id": "duplicate id"}
+    told = lambda k: F.concat("record_id", F.lit(": image path does not exist: "), "image") if k == "no_file" else F.concat("record_id", F.lit(f": {said[k]}"))
+    broken = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(k).alias("rule"), told(k).alias("message"))) for k, cond in rules.items()]))
+    seen = Observation(f"findings-{uuid.uuid4().hex[:8]}")
+    rows = df.select(F.col(place).alias("place"), F.explode(broken).alias("f")).select("place", "f.*").observe(seen, *[F.count_if(F.col("rule") == k).alias(k) for k in rules])
+    rank = F.row_number().over(Window.partitionBy("rule").orderBy("place", "message"))
+    first = store(rows.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank"), "findings")
+    return first, dict(seen.get)
+
+
+def first_findings(found: DataFrame, rules: dict[str, Column], n: int = 200) -> DataFrame:
+    """The first ``n`` findings by place, those of a record in the order of the rules."""
+    order = F.array_position(F.array(*map(F.lit, rules)), F.col("rule"))
+    return found.orderBy("place", order).limit(n)
+
+
 def answer_export_rules(block: str = HINT) -> dict[str, Column]:
     """Rules of plain exports (prompt, chosen, rejected): no evidence in them, different answers."""
     has = lambda k: F.contains(F.coalesce(k, F.lit("")), F.lit(block))

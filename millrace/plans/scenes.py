@@ -158,7 +158,7 @@ def _spoiled(spark, sf_dir) -> DataFrame:
     task = F.when(k % 3 == 0, "object_existence").when(k % 3 == 1, "attribute_color").otherwise("relation_spatial")
     return read(spark, sf_dir, "part").select(
         k.alias("id"), F.when(k % 41 == 0, "").otherwise(F.concat(k.cast("string"), F.lit(".jpg"))).alias("image"), F.when(k % 43 != 0, k.cast("string")).alias("image_id"), F.lit("What is it?").alias("question"),
-        F.concat(F.lit("It is "), noun).alias("chosen"), F.when(k % 7 == 0, F.concat(F.lit("It is "), noun)).otherwise(F.repeat(F.concat(F.lit("not "), adj, F.lit(", ")), F.when(k % 11 == 0, 12).otherwise(1))).alias("rejected"),
+        F.concat(F.lit("It is "), noun).alias("chosen"), F.when(k % 7 == 0, F.concat(F.lit("It is "), noun)).otherwise(F.repeat(F.concat(F.lit("not "), adj, F.lit(", ")), F.when(k % 11 == 0, 16).otherwise(1))).alias("rejected"),
         F.when(k % 13 == 0, "hint").otherwise("Evidence hint: a").alias("hint_chosen"), F.when(k % 17 == 0, F.lit(None)).otherwise("Evidence hint: b").alias("hint_rejected"),
         noun.alias("positive"), F.when(k % 5 == 0, noun).otherwise(adj).alias("negative"), F.array(noun, F.when(k % 19 == 0, adj).otherwise("x")).alias("visible"), task.alias("task_type"),
     )
@@ -166,7 +166,7 @@ def _spoiled(spark, sf_dir) -> DataFrame:
 
 _SPOILED = r"""s AS (SELECT p_partkey AS k, split_part(p_name, ' ', 2) AS noun, split_part(p_name, ' ', 1) AS adj FROM part),
 t AS (SELECT *, CASE WHEN k % 41 = 0 THEN '' ELSE k || '.jpg' END AS image, CASE WHEN k % 43 <> 0 THEN CAST(k AS VARCHAR) END AS image_id, 'It is ' || noun AS chosen,
-  CASE WHEN k % 7 = 0 THEN 'It is ' || noun ELSE repeat('not ' || adj || ', ', CASE WHEN k % 11 = 0 THEN 12 ELSE 1 END) END AS rejected, CASE WHEN k % 5 = 0 THEN noun ELSE adj END AS negative,
+  CASE WHEN k % 7 = 0 THEN 'It is ' || noun ELSE repeat('not ' || adj || ', ', CASE WHEN k % 11 = 0 THEN 16 ELSE 1 END) END AS rejected, CASE WHEN k % 5 = 0 THEN noun ELSE adj END AS negative,
   CASE k % 3 WHEN 0 THEN 'object_existence' WHEN 1 THEN 'attribute_color' ELSE 'relation_spatial' END AS task FROM s)"""
 
 
@@ -174,7 +174,7 @@ t AS (SELECT *, CASE WHEN k % 41 = 0 THEN '' ELSE k || '.jpg' END AS image, CASE
     rf"""WITH {_SPOILED}, u AS (SELECT 'missing_image' AS rule, image = '' AS bad FROM t UNION ALL SELECT 'missing_image_id', image_id IS NULL FROM t UNION ALL SELECT 'missing_question', false FROM t
 UNION ALL SELECT 'missing_chosen', chosen = '' FROM t UNION ALL SELECT 'missing_rejected', rejected = '' FROM t UNION ALL SELECT 'missing_hint_chosen', false FROM t UNION ALL SELECT 'missing_hint_rejected', k % 17 = 0 FROM t
 UNION ALL SELECT 'identical_answers', chosen = rejected FROM t
-UNION ALL SELECT 'chosen_too_long', len(regexp_extract_all(chosen, '[A-Za-z0-9_]+|[^\pL\pN_\s]')) > 32 FROM t UNION ALL SELECT 'rejected_too_long', len(regexp_extract_all(rejected, '[A-Za-z0-9_]+|[^\pL\pN_\s]')) > 32 FROM t
+UNION ALL SELECT 'chosen_too_long', len(regexp_extract_all(chosen, '[A-Za-z0-9_]+|[^\pL\pN_\s]')) > 40 FROM t UNION ALL SELECT 'rejected_too_long', len(regexp_extract_all(rejected, '[A-Za-z0-9_]+|[^\pL\pN_\s]')) > 40 FROM t
 UNION ALL SELECT 'chosen_hint_prefix', k % 13 = 0 FROM t UNION ALL SELECT 'rejected_hint_prefix', k % 17 = 0 FROM t UNION ALL SELECT 'identical_objects', task = 'object_existence' AND noun = negative FROM t
 UNION ALL SELECT 'negative_is_visible', task = 'object_existence' AND (negative = noun OR (k % 19 = 0 AND negative = adj)) FROM t UNION ALL SELECT 'identical_attributes', task = 'attribute_color' AND noun = negative FROM t
 UNION ALL SELECT 'identical_relations', task = 'relation_spatial' AND noun = negative FROM t)
@@ -197,16 +197,114 @@ def claim_task_shares(spark, sf_dir):
     return rules.task_shares(every, dict.fromkeys(["attribute_color", "attribute_material", "relation_spatial", "wrong_evidence"], (0.1, 0.4)))
 
 
-_CLAIM_RULES = [f"missing_{c}" for c in "source image image_id task_type question chosen_answer rejected_answer answer_rejected negative_type".split()] + ["chosen_too_long", "rejected_too_long", "identical_plain_answers"]
-_CLAIM_RULES += [k.format(side) for side in ("chosen_claims", "rejected_claims") for k in ("no_{}", "{}_field", "{}_evidence", "{}_roles", "{}_bare")]
-_CLAIM_RULES += ["wrong_evidence_answers", "wrong_evidence_support", "identical_answers", "evidence_wrong_elsewhere"]
+_FILED = rf"""{_SPOILED}, f AS (SELECT *, CASE WHEN k % 29 = 0 THEN 'line-' || k WHEN k % 23 = 0 THEN CAST(k - 1 AS VARCHAR) ELSE CAST(k AS VARCHAR) END AS rid FROM t),
+g AS (SELECT *, k > min(k) OVER (PARTITION BY rid) AS repeated FROM f),
+u AS (SELECT k, rid, 0 AS o, 'repeated_id' AS rule, 'duplicate id' AS says, repeated AS bad FROM g
+UNION ALL SELECT k, rid, 1, 'missing_image', 'missing image', image = '' FROM g UNION ALL SELECT k, rid, 2, 'missing_image_id', 'missing image_id', image_id IS NULL FROM g
+UNION ALL SELECT k, rid, 7, 'missing_hint_rejected', 'missing evidence_hint_rejected', k % 17 = 0 FROM g UNION ALL SELECT k, rid, 8, 'identical_answers', 'chosen and rejected are identical', chosen = rejected FROM g
+UNION ALL SELECT k, rid, 10, 'rejected_too_long', 'rejected exceeds 40 tokens', len(regexp_extract_all(rejected, '[A-Za-z0-9_]+|[^\pL\pN_\s]')) > 40 FROM g
+UNION ALL SELECT k, rid, 11, 'chosen_hint_prefix', 'chosen hint missing Evidence hint prefix', k % 13 = 0 FROM g UNION ALL SELECT k, rid, 12, 'rejected_hint_prefix', 'rejected hint missing Evidence hint prefix', k % 17 = 0 FROM g
+UNION ALL SELECT k, rid, 13, 'identical_objects', 'positive and negative object are identical', task = 'object_existence' AND noun = negative FROM g
+UNION ALL SELECT k, rid, 14, 'negative_is_visible', 'rejected object is annotated visible', task = 'object_existence' AND (negative = noun OR (k % 19 = 0 AND negative = adj)) FROM g
+UNION ALL SELECT k, rid, 15, 'identical_attributes', 'positive and negative attributes are identical', task = 'attribute_color' AND noun = negative FROM g
+UNION ALL SELECT k, rid, 16, 'identical_relations', 'positive and negative relations are identical', task = 'relation_spatial' AND noun = negative FROM g
+UNION ALL SELECT k, rid, 17, 'no_file', 'image path does not exist: ' || image, image <> '' AND k % 31 = 0 FROM g)"""
 
 
-@query(f"SELECT unnest({_list(_CLAIM_RULES)}) AS rule, 0::BIGINT AS n_failed")
-def claim_report(spark, sf_dir):
-    """The rule catalog of claim records on the records built here: none is broken."""
+def _filed(spark, sf_dir) -> tuple[DataFrame, dict]:
+    """Records of which some repeat an id, some have none, and some have an image that isn't there."""
+    k, records = F.col("k"), _spoiled(spark, sf_dir).withColumn("k", F.col("id"))
+    named = F.when(k % 29 == 0, "").when(k % 23 == 0, (k - 1).cast("string")).otherwise(k.cast("string"))
+    files = read(spark, sf_dir, "part").where("p_partkey % 31 <> 0").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".jpg")).alias("path"))
+    return rules.checked(records.withColumn("id", named), "k", files), rules.with_record_rules(rules.canonical_rules())
+
+
+@query(f"WITH {_FILED} SELECT k AS place, rule, rid || ': ' || says AS message FROM u WHERE bad QUALIFY row_number() OVER (PARTITION BY rule ORDER BY k) <= 6")
+def record_findings(spark, sf_dir):
+    """Of each rule of preference records the first findings, with ids."""
+    from .store import table_store
+
+    rows, catalog = _filed(spark, sf_dir)
+    return rules.findings(rows, catalog, rules.CANONICAL_SAYS, "k", table_store(spark), 6)[0]
+
+
+@query(f"WITH {_FILED} SELECT place, message, total FROM (SELECT k AS place, rid || ': ' || says AS message, count(*) OVER () AS total, row_number() OVER (ORDER BY k, o) AS r FROM u WHERE bad) WHERE r <= 200")
+def first_findings(spark, sf_dir):
+    """The first 200 findings of all rules, with the number of all findings as it was observed."""
+    from .store import table_store
+
+    rows, catalog = _filed(spark, sf_dir)
+    found, counts = rules.findings(rows, catalog, rules.CANONICAL_SAYS, "k", table_store(spark))
+    return rules.first_findings(found, catalog).select("place", "message", F.lit(sum(counts.values())).cast("long").alias("total"))
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS k FROM orders), h AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS k FROM customer WHERE c_nationkey < 8), b AS (SELECT k FROM t JOIN h USING (k))
+SELECT (SELECT count(*) FROM t) AS n_train, (SELECT count(*) FROM h) AS n_held, (SELECT count(*) FROM b) AS n_overlap, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT k FROM b ORDER BY k LIMIT 20)) AS first"""
+)
+def overlap_report(spark, sf_dir):
+    """Ids on both sides, and the first of them."""
+    held = read(spark, sf_dir, "customer").where("c_nationkey < 8").select(F.col("c_custkey").alias("id"))
+    return quality.overlap_report(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), held, "id").withColumn("first", F.array_join("first", ","))
+
+
+def _claims_spoiled(spark, sf_dir) -> DataFrame:
+    """Claim records and their wrong-evidence variants, broken by a number from their ids so that every rule fires."""
+    c = F.col
     records = _records(spark, sf_dir)
-    return quality.rule_report(records.unionByName(claims.wrong_evidence_claims(records)), rules.claim_rules())
+    rows = records.unionByName(claims.wrong_evidence_claims(records)).withColumn("j", F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("long") % 26)
+    j, place = c("j"), c("id").alias("place")
+    put = lambda k, v, old: F.when(j == k, F.lit(v)).otherwise(c(old)).alias(old)
+    edit = lambda side, k, f: F.when(j == k, F.transform(side, f)).otherwise(c(side))
+    kind = claims.CLAIMS
+    rows = rows.select(place, "j", F.when(j == 20, F.when(c("id") < "2", "same").otherwise("")).otherwise(c("id")).alias("id"), put(0, "", "source"), put(1, None, "image"), put(2, "", "image_id"), put(19, "", "task_type"), put(4, "", "question"),
+        F.when(j == 13, F.repeat(F.lit("word "), 81)).when(j == 15, c("rejected_answer")).when(j == 23, "").otherwise(c("chosen_answer")).alias("chosen_answer"), F.when(j == 14, F.repeat(F.lit("word "), 81)).when(j == 24, "").otherwise(c("rejected_answer")).alias("rejected_answer"),
+        F.when(j == 6, "").when(j == 16, c("chosen_answer")).otherwise(c("answer_rejected")).alias("answer_rejected"), F.when(j == 5, "").when(j == 17, "evidence_wrong").otherwise(c("negative_type")).alias("negative_type"), "chosen_claims", "rejected_claims")
+    first = F.get("chosen_claims", F.lit(0))
+    rows = rows.withColumn("rejected_claims", edit("rejected_claims", 21, lambda x: x.withField("attribute", first["attribute"]).withField("relation", first["relation"])))
+    rows = rows.withColumn("chosen_claims", F.when(j == 7, F.array().cast(kind)).otherwise(edit("chosen_claims", 9, lambda x: x.withField("span", F.lit(None).cast("string")))))
+    rows = rows.withColumn("chosen_claims", edit("chosen_claims", 11, lambda x: x.withField("evidence", F.array().cast(claims.EVIDENCE)))).withColumn("chosen_claims", edit("chosen_claims", 22, lambda x: x.withField("evidence", F.lit(None).cast(claims.EVIDENCE))))
+    rows = rows.withColumn("rejected_claims", F.when(j == 8, F.lit(None).cast(kind)).otherwise(edit("rejected_claims", 10, lambda x: x.withField("evidence", F.lit(None).cast(claims.EVIDENCE)))))
+    rows = rows.withColumn("rejected_claims", edit("rejected_claims", 12, lambda x: x.withField("evidence", F.slice(x["evidence"], 1, 0)))).withColumn("rejected_claims", edit("rejected_claims", 18, lambda x: x.withField("support", F.lit("contradicted"))))
+    return rows.withColumn("rejected_claims", edit("rejected_claims", 25, lambda x: x.withField("type", F.lit(None).cast("string"))))
+
+
+_SPOILED_CLAIMS = f"""{_SCENES}, {_TOLD}, z AS MATERIALIZED (SELECT id, image_id || '.jpg' AS image, image_id, task_type, type, question, chosen_answer, rejected_answer, rejected_answer AS answer_rejected, negative_type, false AS wrong FROM c
+  UNION ALL SELECT id || '_wrong', image_id || '.jpg', image_id, 'wrong_evidence', type, question, chosen_answer, chosen_answer, rejected_answer, 'evidence_wrong', true FROM w),
+y AS (SELECT *, CAST('0x' || substr(md5(id), 1, 6) AS BIGINT) % 26 AS j FROM z),
+x AS (SELECT id AS place, j, type, wrong AS is_wrong, CASE WHEN j = 20 THEN CASE WHEN id < '2' THEN 'same' ELSE 'line-' || id END ELSE id END AS rid, CASE j WHEN 19 THEN '' ELSE task_type END AS task_type, CASE j WHEN 5 THEN '' WHEN 17 THEN 'evidence_wrong' ELSE negative_type END AS negative_type,
+  CASE j WHEN 13 THEN repeat('word ', 81) WHEN 15 THEN rejected_answer WHEN 23 THEN '' ELSE chosen_answer END AS chosen, CASE j WHEN 14 THEN repeat('word ', 81) WHEN 24 THEN '' ELSE rejected_answer END AS rejected,
+  CASE j WHEN 6 THEN '' WHEN 16 THEN chosen_answer ELSE answer_rejected END AS plain FROM y),
+v1 AS (SELECT *, place > min(place) OVER (PARTITION BY rid) AS repeated FROM x)"""
+_CLAIM_SQL = [
+    ("repeated_id", "duplicate id", "repeated"), ("missing_source", "missing source", "j = 0"), ("missing_image", "missing image", "j = 1"), ("missing_image_id", "missing image_id", "j = 2"), ("missing_task_type", "missing task_type", "j = 19"),
+    ("missing_question", "missing question", "j = 4"), ("missing_chosen_answer", "missing chosen_answer", "chosen = ''"), ("missing_rejected_answer", "missing rejected_answer", "rejected = ''"), ("missing_answer_rejected", "missing answer_dpo_rejected_answer", "plain = ''"),
+    ("missing_negative_type", "missing negative_type", "negative_type = ''"), ("chosen_too_long", "chosen answer exceeds 80 tokens", "chosen LIKE 'word word%'"), ("rejected_too_long", "rejected answer exceeds 80 tokens", "rejected LIKE 'word word%'"),
+    ("identical_plain_answers", "Answer-DPO chosen/rejected are identical", "chosen = plain"), ("no_chosen_claims", "chosen_claims must be a non-empty list", "j = 7"), ("chosen_claims_field", "chosen_claims claim missing a field", "j = 9"),
+    ("chosen_claims_evidence", "chosen_claims evidence must be a list", "j = 22"), ("chosen_claims_roles", "relation claim missing subject/object evidence", "j = 11 AND type = 'relation'"), ("chosen_claims_bare", "non-relation claim has empty evidence", "j = 11 AND type <> 'relation'"),
+    ("no_rejected_claims", "rejected_claims must be a non-empty list", "j = 8"), ("rejected_claims_field", "rejected_claims claim missing a field", "j = 25"), ("rejected_claims_evidence", "rejected_claims evidence must be a list", "j = 10"),
+    ("rejected_claims_roles", "relation claim missing subject/object evidence", "j = 12 AND type = 'relation'"), ("rejected_claims_bare", "non-relation claim has empty evidence", "j = 12 AND type <> 'relation'"),
+    ("wrong_evidence_answers", "wrong-evidence row must keep chosen/rejected answer identical", "task_type = 'wrong_evidence' AND chosen <> rejected"), ("wrong_evidence_support", "wrong-evidence rejected claim must use support=wrong_evidence", "task_type = 'wrong_evidence' AND j IN (8, 18)"),
+    ("identical_answers", "non-wrong-evidence row has identical answers", "task_type <> 'wrong_evidence' AND chosen = rejected"), ("evidence_wrong_elsewhere", "evidence_wrong negative used outside wrong_evidence task", "task_type <> 'wrong_evidence' AND negative_type = 'evidence_wrong'"),
+    ("identical_attributes", "positive and negative attributes are identical", "negative_type = 'attribute_mismatch' AND j = 21"), ("identical_relations", "relation and negative relation are identical", "negative_type = 'relation_reversal' AND j = 21"),
+]
+_CLAIM_UNION = " UNION ALL ".join(f"SELECT place, rid, '{rule}' AS rule, '{says}' AS says FROM v1 WHERE {bad}" for rule, says, bad in _CLAIM_SQL)
+
+
+@query(f"WITH {_SPOILED_CLAIMS}, n AS (SELECT rule, count(*) AS n FROM ({_CLAIM_UNION}) GROUP BY rule) SELECT k.rule, coalesce(n, 0) AS n_failed FROM (SELECT unnest({_list([r[0] for r in _CLAIM_SQL] + ['no_file'])}) AS rule) k LEFT JOIN n ON n.rule = k.rule")
+def claim_report(spark, sf_dir):
+    """The rule catalog of claim records on records that are broken in every way, counted in one pass."""
+    rows = rules.checked(_claims_spoiled(spark, sf_dir), "place")
+    return quality.rule_report(rows, rules.with_record_rules(rules.claim_rules()))
+
+
+@query(f"WITH {_SPOILED_CLAIMS} SELECT place, rule, rid || ': ' || says AS message FROM ({_CLAIM_UNION}) QUALIFY row_number() OVER (PARTITION BY rule ORDER BY place) <= 4")
+def claim_findings(spark, sf_dir):
+    """Of each rule of claim records the first findings, with ids."""
+    from .store import table_store
+
+    rows = rules.checked(_claims_spoiled(spark, sf_dir), "place")
+    return rules.findings(rows, rules.with_record_rules(rules.claim_rules()), rules.CLAIM_SAYS, "place", table_store(spark), 4)[0]
 
 
 @query(
