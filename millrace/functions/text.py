@@ -46,9 +46,10 @@ def has_evidence_cue(text: Column) -> Column:
 
 
 def mentions(text: Column, name: Column) -> Column:
-    """Whether the cleaned text has the cleaned name as whole words."""
-    pad = lambda c: F.concat(F.lit(" "), clean_name(c), F.lit(" "))
-    return F.contains(pad(text), pad(name))
+    """Whether the cleaned text has the cleaned name as whole words; an empty name is never mentioned."""
+    text, name = (F.coalesce(clean_name(c), F.lit("")) for c in (text, name))
+    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    return (name != "") & F.contains(pad(text), pad(name))
 
 
 def slug(name: Column) -> Column:

@@ -548,4 +548,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_groups(spark, sf_dir)
 
 
-from . import scenes  # noqa: E402, F401  registers its queries here
+from . import audit, scenes  # noqa: E402, F401  register their queries here
