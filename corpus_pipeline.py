@@ -13,15 +13,28 @@ from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.mixing import mix
 from millrace.llm.ngram_join import ngram_join
 from millrace.llm.packing import pack, vocabulary
-from millrace.llm.quality import ADDED, quality_rules
+from millrace.llm.quality import quality_rules
 from millrace.llm.shared import Workspace, small
 
 
+def _unused(df, name):
+    """``name``, longer by as many underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _own(df):
+    """The columns of ``df``, whatever characters their names have."""
+    return [df["`" + c.replace("`", "``") + "`"] for c in df.columns]
+
+
 def _without(docs, verdicts, stays, name):
     """``docs`` less the doc_ids none of whose rows in ``verdicts`` stay."""
-    ws = Workspace(docs.sparkSession, name)
-    out = verdicts.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max(stays).alias("stays")).where("not stays").select("gone_id")
-    return docs.join(small(ws.write(out, "gone")), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+    ws, gone_id = Workspace(docs.sparkSession, name), _unused(docs, "gone_id")
+    out = verdicts.groupBy(F.col("doc_id").alias(gone_id)).agg(F.max(stays).alias("stays")).where("not stays").select(gone_id)
+    return docs.join(small(ws.write(out, "gone")), docs["doc_id"].eqNullSafe(F.col(gone_id)), "left_anti")
 
 
 def quality(spark, docs, sf_dir):
@@ -30,9 +43,9 @@ def quality(spark, docs, sf_dir):
     A null or empty text is rejected, an empty table stays empty, rows that repeat a doc_id are judged each for itself, and
     columns named like the measures keep their values.
     """
-    names = {c: f"own_{c}" for c in docs.columns if c in ADDED}  # they would be replaced
-    kept = quality_rules(docs.withColumnsRenamed(names)).where("kept")
-    return kept.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+    names = [c if c in ("doc_id", "text") else _unused(docs, f"own_{k}") for k, c in enumerate(docs.columns)]  # measures would replace some
+    kept = quality_rules(docs.select(*[c.alias(n) for c, n in zip(_own(docs), names)])).where("kept")
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def exact(spark, docs, sf_dir):
@@ -57,10 +70,11 @@ def mixed(spark, docs, sf_dir):
     Texts without words have no size and are never taken. A null source is a source. Rows that repeat a doc_id get as many
     copies as the most any of them is given.
     """
-    ws = Workspace(spark, "mixed")
-    copies = mix(docs.select("doc_id", "source", "text")).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("n_copies"))
-    out = docs.join(small(ws.write(copies.where("n_copies > 0"), "copies")), docs["doc_id"].eqNullSafe(F.col("mixed_id")))
-    return out.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("n_copies").cast("int"))).alias("_copy")).drop("_copy")
+    ws, mixed_id, times, copy = Workspace(spark, "mixed"), *(_unused(docs, c) for c in ("mixed_id", "n_copies", "copy"))
+    copies = mix(docs.select("doc_id", "source", "text")).groupBy(F.col("doc_id").alias(mixed_id)).agg(F.max("copies").alias(times))
+    copies = ws.write(copies.where(F.col(times) > 0), "copies")
+    out = docs.join(small(copies), docs["doc_id"].eqNullSafe(copies[mixed_id]))
+    return out.select(*_own(docs), F.explode(F.array_repeat(F.lit(0), copies[times].cast("int"))).alias(copy)).drop(copy)
 
 
 def packed(spark, docs, sf_dir):

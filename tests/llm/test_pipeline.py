@@ -78,3 +78,36 @@ def test_run_and_odd_rows(spark):
     for data in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, data, SF).collect()
+
+
+NAMES = ["gone_id", "n_copies", "_copy", "copy", "copy_", "stays", "mixed_id", "kept", "own_5", "own_6", "N_Words", "keep_id", "component_id", "copies", "size", "_text", "a.b", "it`s"]
+
+
+def test_clashing_names_ties_and_repeated_rows(spark):
+    words = lambda k, n=30: " ".join(f"w{k}x{i}" for i in range(n))
+    near = words(3, 60)
+    rows = [
+        (1, words(1), "a"), (2, words(1) + " ", "a"), (2, words(1) + " ", "a"),  # equal; the longer row's doc_id stays, both of its rows
+        (4, words(2), "b"), (5, words(2), "b"),  # a tie: the smaller doc_id
+        (6, near, "b"), (7, near + " end", None), (8, words(4), None), (8, words(4), None), (None, words(5), "a"), (9, "same line\n" * 20, "a"), (10, None, "a"), (11, "", None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(n) for n in NAMES])
+    got, want = docs, {
+        "quality rules": [1, 2, 2, 4, 5, 6, 7, 8, 8, None], "exact dedup": [2, 2, 4, 6, 7, 8, 8, None], "near duplicates": [2, 2, 4, 6, 8, 8, None],
+    }
+    key = lambda d: (d is None, d or 0)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before, got = got, stage(spark, got, SF)
+        assert got.columns == docs.columns
+        held = got.collect()
+        assert all(r[n] == f"{n}|{'null' if r.doc_id is None else r.doc_id}" for r in held for n in NAMES)
+        if name in want:
+            assert sorted((r.doc_id for r in held), key=key) == want[name]
+        else:
+            copies = collections.Counter()
+            for r in mixing.mix(before.select("doc_id", "source", "text")).collect():
+                copies[r.doc_id] = max(copies[r.doc_id], r.copies)
+            assert collections.Counter(r.doc_id for r in held) == collections.Counter({d: n * (2 if d in (2, 8) else 1) for d, n in copies.items() if n})
+    last = corpus_pipeline.STAGES[4][1](spark, got, SF).collect()
+    assert collections.Counter(r.doc_id for r in last) == collections.Counter(r.doc_id for r in held)
