@@ -95,6 +95,13 @@ def labeled_field(text: Column, key: str) -> Column:
     return _stripped(_stripped(_stripped(value), '"'), "'")
 
 
+def whole_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else; see ``json_object`` for how that is told."""
+    listed, held = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    one = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.coalesce((text != "") & held.isNotNull() & one, F.lit(False))
+
+
 def json_object(text: Column) -> Column:
     """The object from the first { to the last } as VARIANT (the first item of an array), null where that isn't strict JSON.
 

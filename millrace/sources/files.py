@@ -8,13 +8,21 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, AtomicType, DataType, MapType, StructType
 
+from .documents import malformed_lines
+
 #: Keys that can hold an image id.
 ID_KEYS = ["image_id", "imageId", "image", "img_id", "imageIdStr"]
 
 
 def read_jsonl(spark: SparkSession, path, schema: StructType | str, strict: bool = True) -> DataFrame:
-    """One object a line; blank lines are skipped. A malformed line fails the job, or is kept in _corrupt_record with its file."""
+    """One object a line; blank lines are skipped.
+
+    With ``strict`` the lines are looked at first, and the first malformed one is an error that names its file and line;
+    else malformed lines are kept in _corrupt_record with their file.
+    """
     if strict:
+        for bad in malformed_lines(spark, path).orderBy("path", "line").limit(1).collect():
+            raise ValueError(f"{bad.path}:{bad.line}: invalid JSONL record")
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     kept = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     rows = spark.read.schema(StructType(kept.fields).add("_corrupt_record", "string")).option("mode", "PERMISSIVE").json(path)
