@@ -31,10 +31,13 @@ def yes_no(value: Column, present: bool = False) -> Column:
     return F.when(t.isin(*YES, *(["present"] if present else [])), "yes").when(t.isin(*NO, *(["absent"] if present else [])), "no")
 
 
-def image_path(image: Column, root: str) -> Column:
-    """A path as it is, a bare number as a padded file name below ``root``, any other name below ``root``."""
-    numbered = F.concat(F.lit(f"{root}/COCO_val2014_"), F.lpad(F.regexp_replace(image, "^0+(?=.)", ""), 12, "0"), F.lit(".jpg"))
-    return F.when(F.contains(image, F.lit("/")), image).when(image.rlike("^[0-9]+$"), numbered).otherwise(F.concat(F.lit(f"{root}/"), image))
+def image_path(image: Column, root: str, numbered: bool = False) -> Column:
+    """A path as it is, any other name below ``root``; with ``numbered`` a bare number as a padded file name."""
+    named = F.concat(F.lit(f"{root}/"), image)
+    if numbered:
+        padded = F.concat(F.lit(f"{root}/COCO_val2014_"), F.lpad(F.regexp_replace(image, "^0+(?=.)", ""), 12, "0"), F.lit(".jpg"))
+        named = F.when(image.rlike("^[0-9]+$"), padded).otherwise(named)
+    return F.when(F.contains(image, F.lit("/")), image).otherwise(named)
 
 
 def object_benchmark(raw: DataFrame, number: Column, source: str, dimension: str, root: str) -> DataFrame:
@@ -45,7 +48,7 @@ def object_benchmark(raw: DataFrame, number: Column, source: str, dimension: str
     image_id = F.coalesce(first_value(raw, IMAGE_ID_KEYS), F.nullif(numbered, F.lit("")), F.nullif(stem, F.lit("")), fallback)
     rows = raw.select(
         F.format_string(f"{source}_%06d", number).alias("id"), F.lit(source).alias("source"), F.coalesce(first_value(raw, ["question_id", "id"]), number.cast("string")).alias("source_id"),
-        F.lit(dimension).alias("dimension"), F.coalesce(image_path(image, root), F.concat(F.lit(f"{root}/"), image_id)).alias("image"), image_id.alias("image_id"),
+        F.lit(dimension).alias("dimension"), F.coalesce(image_path(image, root, numbered=True), F.concat(F.lit(f"{root}/"), image_id)).alias("image"), image_id.alias("image_id"),
         F.trim(first_value(raw, QUESTION_KEYS)).alias("question"), yes_no(first_value(raw, LABEL_KEYS), True).alias("target"), F.lit("object_existence").alias("task_type"),
     )
     return rows.where("question is not null and target is not null")

@@ -7,8 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parse import normalize_target
 from ..functions.text import article_phrase, clean_name
-from .sampling import capped_per_key, round_robin
+from .sampling import capped_per_key, round_robin, stable_key, with_ids
 
 # The three wordings of a probe question and of its evidence, by kind of evidence.
 WORDINGS = [
@@ -63,10 +64,30 @@ def balanced_probe(rows: DataFrame, bucket: str, n: int, order: list[Column]) ->
     return round_robin(rows, bucket, n, order)
 
 
-def relation_stress(rows: DataFrame) -> DataFrame:
-    """Two stress rows of each left/right (id, subject, relation, object): roles swapped, and the relation reversed."""
+def _entity(value: Column) -> Column:
+    return F.lower(F.regexp_replace(F.coalesce(value, F.lit("")), r"^\s+|\s+$", ""))
+
+
+def stress_relation(value: Column) -> Column:
+    """left_of or right_of; any other relation as lower-cased text with underscores."""
+    t = F.translate(_entity(value), "- ", "__")
+    return F.when(t.isin("left", "left_of"), "left_of").when(t.isin("right", "right_of"), "right_of").otherwise(t)
+
+
+def relation_stress(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Two stress rows of each relation that an image bears out: roles swapped, and the relation reversed.
+
+    ``rows`` have id, source, source_id, image, image_id, task_type, target, subject, object and relation. Of a source (by
+    source_id, else id) the first row in ``order`` counts whose subject differs from its object. A row that counts but lacks
+    a name, or whose relation is neither left nor right, is an error.
+    """
     c = F.col
-    rows = rows.withColumns({"subject": clean_name(c("subject")), "object": clean_name(c("object"))}).where(c("relation").isin("left_of", "right_of") & (c("subject") != "") & (c("object") != ""))
+    rows = rows.where((c("task_type") == "relation_spatial") & (normalize_target(c("target").cast("string")) == "yes"))
+    rows = rows.withColumns({"subject": _entity(c("subject")), "object": _entity(c("object")), "relation": stress_relation(c("relation"))}).where("subject <> object")
+    rows = rows.withColumn("_source", F.coalesce(F.nullif(c("source_id").cast("string"), F.lit("")), c("id").cast("string")))
+    rows = capped_per_key(rows, ["_source"], 1, [c(k) for k in order])
+    sound = (c("subject") != "") & (c("object") != "") & c("relation").isin("left_of", "right_of")
+    rows = rows.withColumn("relation", F.when(sound, c("relation")).otherwise(F.raise_error(F.concat(F.lit("Malformed relation row: "), F.coalesce(c("id").cast("string"), F.lit("null"))))))
     other = F.when(c("relation") == "left_of", "right_of").otherwise("left_of")
     make = lambda kind, s, r, o: F.struct(F.lit(kind).alias("stress"), s.alias("s"), r.alias("r"), o.alias("o"))
     rows = rows.withColumn("x", F.explode(F.array(make("subject_object_swap", c("object"), c("relation"), c("subject")), make("left_right_reversal", c("subject"), other, c("object")))))
@@ -77,11 +98,19 @@ def relation_stress(rows: DataFrame) -> DataFrame:
         subject=c("subject"), side=F.replace(c("relation"), F.lit("_of"), F.lit("")), object=c("object"), claim=claim, s=c("x.s"), o=c("x.o"), r=c("x.r"),
     )
     return rows.select(
-        "id", c("x.stress").alias("stress_type"), question.alias("question"), F.lit("yes").alias("target_answer"), F.lit("wrong_evidence").alias("target_support"), claim.alias("target_claim"),
-        c("x.s").alias("target_subject"), c("x.o").alias("target_object"), c("x.r").alias("target_relation"), F.lit("wrong_evidence").alias("task_type"), F.lit("relation_spatial").alias("base_task_type"),
+        F.lit("relation_stress_probe").alias("benchmark"), "source", "source_id", "image", "image_id", question.alias("question"), F.lit("yes").alias("target"), F.lit("yes").alias("target_answer"),
+        F.lit("wrong_evidence").alias("target_support"), claim.alias("target_claim"), F.lit(None).cast("string").alias("target_evidence_label"), c("x.s").alias("target_subject"), c("x.o").alias("target_object"),
+        c("x.r").alias("target_relation"), F.lit("wrong_evidence").alias("task_type"), F.lit("relation_spatial").alias("base_task_type"), c("x.stress").alias("negative_type"), c("x.stress").alias("stress_type"), "_source",
     )
 
 
+def stress_probe(candidates: DataFrame, n: int, seed: str = "42") -> DataFrame:
+    """``n`` of the ``relation_stress`` rows in turn from the stress types, numbered relation_stress_000001 on."""
+    key = [stable_key(seed, F.col("_source")), F.col("_source")]
+    chosen = round_robin(candidates, "stress_type", n, key)
+    return with_ids(chosen, "relation_stress", ["turn", "stress_type"]).drop("turn", "_source")
+
+
 def probe_evidence(variant: Column, claim: Column, label: Column, subject: Column, relation: Column, obj: Column) -> Column:
     """The evidence of a probe row in words: its relation if it has one, else the attribute of its claim, else its label."""
     label = F.when(clean_name(F.coalesce(label, F.lit(""))) == "", "unknown object").otherwise(clean_name(label))
@@ -104,12 +133,16 @@ def visual_question(claim: Column, question: Column) -> Column:
 
 
 def paraphrases(rows: DataFrame, index: Column) -> DataFrame:
-    """Probe rows (id, question, target_claim, target_evidence_label, target_subject, target_relation, target_object) in the wording of their index modulo three."""
+    """Probe rows in the wording of their index modulo three; their other columns stay.
+
+    ``rows`` have id, question, target_claim, target_evidence_label, target_subject, target_relation and target_object.
+    """
     variant = F.pmod(index, F.lit(len(WORDINGS))).cast("int")
     c = F.col
     evidence = probe_evidence(variant, c("target_claim"), c("target_evidence_label"), c("target_subject"), c("target_relation"), c("target_object"))
     text = by_variant(variant, WORDINGS, question=visual_question(c("target_claim"), c("question")), claim=c("target_claim"), evidence=evidence)
-    return rows.select("id", variant.cast("string").alias("paraphrase_variant"), c("id").alias("paraphrase_source_id"), text.alias("question"))
+    told = {"id": F.concat(c("id").cast("string"), F.lit("_paraphrase")), "benchmark": F.lit("cepo_paraphrase_probe"), "question": text, "paraphrase_source_id": c("id"), "paraphrase_variant": variant.cast("string")}
+    return rows.withColumns(told)
 
 
 def error_kind(target: Column, prediction: Column) -> Column:

@@ -94,7 +94,8 @@ def dual_rules() -> dict[str, Column]:
 
 
 def chat_rows(df: DataFrame) -> DataFrame:
-    """Chat preference format of (id, image, prompt, chosen, rejected)."""
+    """Chat preference format of (id, image, prompt, chosen, rejected); a prompt without the image's place gets one."""
+    df = df.withColumn("prompt", F.when(F.contains("prompt", F.lit("<image>")), F.col("prompt")).otherwise(F.concat(F.lit("<image>\n"), "prompt")))
     turn = lambda who, c: F.struct(F.lit(who).alias("from"), F.col(c).alias("value"))
     return df.select("id", F.array(turn("human", "prompt")).alias("conversations"), turn("gpt", "chosen").alias("chosen"), turn("gpt", "rejected").alias("rejected"), F.array("image").alias("images"))
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_reason(rules: dict[str, Column]) -> Column:
+def first_reason(rules: dict[str, Column] | list[tuple[str, Column]]) -> Column:
     """The name of the first rule that a row breaks, null if none. Rules are conditions that mean failure; null is no failure."""
-    return F.coalesce(*[F.when(cond, name) for name, cond in rules.items()], F.lit(None).cast("string"))
+    pairs = rules.items() if isinstance(rules, dict) else rules
+    return F.coalesce(*[F.when(cond, name) for name, cond in pairs], F.lit(None).cast("string"))
 
 
 def all_reasons(rules: dict[str, Column]) -> Column:
@@ -21,7 +22,7 @@ def rule_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return counts.unpivot([], list(rules), "rule", "n_failed")
 
 
-def reason_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+def reason_counts(df: DataFrame, rules: dict[str, Column] | list[tuple[str, Column]]) -> DataFrame:
     return df.groupBy(F.coalesce(first_reason(rules), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_count
+from .curate import LOW_CONFIDENCE
+from .quality import first_reason
+from .sampling import multi_cap
 
 HINT = "Evidence hint:"
 
@@ -146,6 +149,58 @@ def first_findings(found: DataFrame, rules: dict[str, Column], n: int = 200) ->
     return found.orderBy("place", order).limit(n)
 
 
+def cleaning_rules(max_tokens: int = 40, low_confidence: list[str] | None = None) -> list[tuple[str, Column]]:
+    """Why a preference record is rejected, in the order in which that is asked; for ``checked`` records.
+
+    A record's label is its positive, negative and visible names; an image that doesn't exist is missing like one not named.
+    Objects whose absence is doubtful are rejected unless ``low_confidence`` is an empty list.
+    """
+    c = F.col
+    doubtful = LOW_CONFIDENCE if low_confidence is None else low_confidence
+    is_object = F.coalesce(c("task_type") == "object_existence", F.lit(False))
+    named = {"id": "id", "source": "source", "image": "image", "image_id": "image_id", "task_type": "task_type", "question": "question", "chosen_answer": "chosen", "rejected_answer": "rejected", "evidence_hint_chosen": "hint_chosen", "evidence_hint_rejected": "hint_rejected"}
+    label = _blank("positive") & _blank("negative") & (F.coalesce(F.size("visible"), F.lit(0)) <= 0)
+    return [
+        *[(f"missing_{k}", _blank(v)) for k, v in named.items()], ("missing_label", label), ("missing_image", c("no_file")), ("identical_answers", c("chosen") == c("rejected")),
+        ("chosen_too_long", token_count(c("chosen")) > max_tokens), ("rejected_too_long", token_count(c("rejected")) > max_tokens), ("bad_chosen_hint", ~F.contains("hint_chosen", F.lit(HINT))),
+        ("bad_rejected_hint", ~F.contains("hint_rejected", F.lit(HINT))), ("same_positive_negative", is_object & c("positive").eqNullSafe(c("negative"))),
+        ("negative_visible", is_object & F.array_contains("visible", c("negative"))), ("low_confidence_negative", is_object & c("negative").isin(doubtful)),
+    ]
+
+
+def cleaned(records: DataFrame, caps: dict[str, int], order: list[str], store, rules: list[tuple[str, Column]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records that no rule rejects, greedily under caps on their names, and (reason, n) of those that go.
+
+    ``caps`` are on positive and negative; a record without a name counts as "unknown". A record that the caps refuse is told
+    by the first of them that is full when its turn comes; here by the key whose cap the kept records fill before it.
+    """
+    rules = cleaning_rules() if rules is None else rules
+    rows = records.withColumn("reason", first_reason(rules)).withColumns({f"_{k}": F.coalesce(F.nullif(F.col(k).cast("string"), F.lit("")), F.lit("unknown")) for k in caps})
+    sound = rows.where("reason is null")
+    kept = multi_cap(sound.select(*[f"_{k}" for k in caps], *order), {f"_{k}": n for k, n in caps.items()}, order, store)
+    out = sound.join(kept.select(*order), order, "left_semi").drop("reason", *[f"_{k}" for k in caps])
+    refused, why = sound.join(kept.select(*order), order, "left_anti"), F.lit(None).cast("string")
+    for k, n in caps.items():
+        last = kept.groupBy(F.col(f"_{k}").alias("_key")).agg(F.count("*").alias("_n"), F.max(F.struct(*order)).alias(f"_last_{k}")).where(F.col("_n") >= n).drop("_n")
+        refused = refused.join(last, F.col(f"_{k}") == F.col("_key"), "left").drop("_key")
+        why = F.coalesce(why, F.when(F.col(f"_last_{k}") < F.struct(*order), f"{k}_cap"))
+    reasons = rows.where("reason is not null").select("reason").unionByName(refused.select(why.alias("reason")))
+    return out, reasons.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def claim_summary(records: DataFrame) -> DataFrame:
+    """(measure, name, n) of claim records: by task, base task, negative type and source, rows with equal answers, items without a box."""
+    c = F.col
+    fields = {"task_type": c("task_type"), "base_task_type": F.coalesce("base_task_type", F.lit("")), "negative_type": c("negative_type"), "source": c("source")}
+    items = lambda side: F.flatten(F.transform(F.coalesce(c(side), F.array()), lambda x: F.coalesce(x["evidence"], F.array())))
+    boxless = F.size(F.filter(F.concat(items("chosen_claims"), items("rejected_claims")), lambda e: e["box"].isNull()))
+    plain = F.coalesce(F.nullif(c("answer_rejected"), F.lit("")), c("rejected_answer"))
+    one = lambda measure, name, n: F.struct(F.lit(measure).alias("measure"), name.alias("name"), n.cast("long").alias("n"))
+    told = [one(f"{k}_counts", v, F.lit(1)) for k, v in fields.items()]
+    told += [one(k, F.lit(""), v) for k, v in (("same_answer_rows", (c("chosen_answer") == c("rejected_answer")).cast("int")), ("answer_dpo_identical_rows", (c("chosen_answer") == plain).cast("int")), ("claims_with_missing_box", boxless), ("total", F.lit(1)))]
+    return records.select(F.explode(F.array(*told)).alias("t")).select("t.*").groupBy("measure", "name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def answer_export_rules(block: str = HINT) -> dict[str, Column]:
     """Rules of plain exports (prompt, chosen, rejected): no evidence in them, different answers."""
     has = lambda k: F.contains(F.coalesce(k, F.lit("")), F.lit(block))

@@ -486,19 +486,36 @@ def paired_eval(spark, sf_dir):
     return evalsets.yes_no_rows(pairs.drop("k")).select("id", "image_id", "kind", "target", "object", "question")
 
 
-_STRESS = """r AS (SELECT c_custkey AS id, lower(replace(c_name, '#', '')) AS s, CASE WHEN c_nationkey % 2 = 0 THEN 'left_of' ELSE 'right_of' END AS r, lower(c_mktsegment) AS o FROM customer),
-x AS (SELECT id, s, r, o, 'subject_object_swap' AS stress_type, o AS es, r AS er, s AS eo FROM r
-  UNION ALL SELECT id, s, r, o, 'left_right_reversal', s, CASE r WHEN 'left_of' THEN 'right_of' ELSE 'left_of' END, o FROM r),
-t AS (SELECT id, stress_type, s || ' ' || r || ' ' || o AS target_claim, es AS target_subject, eo AS target_object, er AS target_relation,
+def _relations(spark, sf_dir) -> DataFrame:
+    """Customers as relation rows: some repeat a source, some have equal names, some are no spatial relation or not borne out."""
+    k, c = F.col("c_custkey"), F.col
+    relation = F.when(c("c_nationkey") % 4 == 0, "left").when(c("c_nationkey") % 4 == 1, "right of").when(c("c_nationkey") % 4 == 2, "Left-Of").otherwise("right_of")
+    return read(spark, sf_dir, "customer").select(
+        k.alias("id"), F.lit("gqa").alias("source"), F.when(k % 5 != 0, (k - k % 3).cast("string")).alias("source_id"), F.concat(k.cast("string"), F.lit(".jpg")).alias("image"), k.cast("string").alias("image_id"),
+        F.when(k % 11 == 0, "attribute_color").otherwise("relation_spatial").alias("task_type"), F.when(k % 7 == 0, "no").when(k % 7 == 1, "1").otherwise("Yes").alias("target"),
+        F.when(k % 4 == 0, F.concat(F.lit(" "), "c_mktsegment")).otherwise(c("c_name")).alias("subject"), c("c_mktsegment").alias("object"), relation.alias("relation"),
+    )
+
+
+_STRESS = """r0 AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey - c_custkey % 3 AS VARCHAR) END AS source_id, lower(CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE c_name END) AS s,
+  CASE WHEN c_nationkey % 2 = 0 THEN 'left_of' ELSE 'right_of' END AS r, lower(c_mktsegment) AS o FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 7 <> 0),
+r AS (SELECT *, coalesce(source_id, CAST(id AS VARCHAR)) AS source_key FROM r0 WHERE s <> o QUALIFY row_number() OVER (PARTITION BY coalesce(source_id, CAST(id AS VARCHAR)) ORDER BY id) = 1),
+x AS (SELECT id, source_id, source_key, s, r, o, 'subject_object_swap' AS stress_type, o AS es, r AS er, s AS eo FROM r
+  UNION ALL SELECT id, source_id, source_key, s, r, o, 'left_right_reversal', s, CASE r WHEN 'left_of' THEN 'right_of' ELSE 'left_of' END, o FROM r),
+t AS (SELECT id, source_id, source_key, id || '.jpg' AS image, CAST(id AS VARCHAR) AS image_id, stress_type, s || ' ' || r || ' ' || o AS target_claim, es AS target_subject, eo AS target_object, er AS target_relation,
   'Visual question: Is the ' || s || ' to the ' || replace(r, '_of', '') || ' of the ' || o || '?' || chr(10) || 'Candidate claim: ' || s || ' ' || r || ' ' || o || chr(10)
   || 'Candidate evidence: subject=' || es || '; object=' || eo || '; relation=' || er || chr(10) || 'Decide whether the candidate evidence supports the claim in the image.' AS question FROM x)"""
 
 
-@query(f"WITH {_STRESS} SELECT *, 'yes' AS target_answer, 'wrong_evidence' AS target_support, 'wrong_evidence' AS task_type, 'relation_spatial' AS base_task_type FROM t")
+@query(
+    f"""WITH {_STRESS}, k AS (SELECT *, row_number() OVER (PARTITION BY stress_type ORDER BY md5('42|' || source_key), source_key) AS turn FROM t),
+n AS (SELECT *, row_number() OVER (ORDER BY turn, stress_type) AS n FROM k)
+SELECT 'relation_stress_' || lpad(CAST(n AS VARCHAR), 6, '0') AS id, 'relation_stress_probe' AS benchmark, 'gqa' AS source, source_id, image, image_id, question, 'yes' AS target, 'yes' AS target_answer, 'wrong_evidence' AS target_support, target_claim,
+  CAST(NULL AS VARCHAR) AS target_evidence_label, target_subject, target_object, target_relation, 'wrong_evidence' AS task_type, 'relation_spatial' AS base_task_type, stress_type AS negative_type, stress_type FROM n WHERE n <= 99"""
+)
 def stress_rows(spark, sf_dir):
-    c = read(spark, sf_dir, "customer")
-    relation = F.when(F.col("c_nationkey") % 2 == 0, "left_of").otherwise("right_of")
-    return evalsets.relation_stress(c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("subject"), relation.alias("relation"), F.col("c_mktsegment").alias("object")))
+    """A probe of 99 stress rows, numbered, in turn from both types."""
+    return evalsets.stress_probe(evalsets.relation_stress(_relations(spark, sf_dir), ["id"]), 99)
 
 
 @query(
@@ -508,20 +525,20 @@ w AS (SELECT *, replace(target_relation, '_of', ' of') AS direction, CASE WHEN o
   CASE WHEN object_only OR attribute THEN split_part(split_part(question, chr(10), 1), 'Visual question: ', 2) ELSE split_part(split_part(question, chr(10), 1), 'Visual question: ', 2) END AS asked FROM v),
 e AS (SELECT *, CASE WHEN object_only THEN CASE i WHEN 0 THEN 'it points to the object category ' || label WHEN 1 THEN 'the proposed support is the visible label ' || label ELSE 'a support cue naming ' || label END
   WHEN attribute THEN CASE i WHEN 0 THEN 'it describes ' || label || ' with attribute red' WHEN 1 THEN 'the evidence phrase says the ' || label || ' is red' ELSE 'a support cue naming ' || label || ' and the property red' END
-  ELSE CASE i WHEN 0 THEN 'it identifies ' || target_subject || ' as being ' || direction || ' ' || target_object WHEN 1 THEN 'the supporting relation is that ' || target_subject || ' is ' || direction || ' ' || target_object
-    ELSE 'a relation cue with subject ' || target_subject || ', object ' || target_object || ', and direction ' || target_relation END END AS evidence FROM w)
-SELECT id, id AS paraphrase_source_id, CAST(i AS VARCHAR) AS paraphrase_variant, CASE i
+  ELSE CASE i WHEN 0 THEN 'it identifies ' || replace(target_subject, chr(35), '') || ' as being ' || direction || ' ' || target_object WHEN 1 THEN 'the supporting relation is that ' || replace(target_subject, chr(35), '') || ' is ' || direction || ' ' || target_object
+    ELSE 'a relation cue with subject ' || replace(target_subject, chr(35), '') || ', object ' || target_object || ', and direction ' || target_relation END END AS evidence FROM w)
+SELECT id || '_paraphrase' AS id, 'cepo_paraphrase_probe' AS benchmark, image_id, target_subject, id AS paraphrase_source_id, CAST(i AS VARCHAR) AS paraphrase_variant, CASE i
   WHEN 0 THEN 'Question for the image: ' || asked || chr(10) || 'Claim to verify: ' || claim || chr(10) || 'Proposed visual support: ' || evidence || chr(10) || 'Judge whether the proposed support is valid evidence for the claim.'
   WHEN 1 THEN 'Image question: ' || asked || chr(10) || 'We are checking this claim: ' || claim || chr(10) || 'The candidate support says: ' || evidence || chr(10) || 'Does this support actually back up the claim in the image?'
   ELSE 'Consider the visual claim ' || chr(39) || claim || chr(39) || ' for the image question ' || chr(39) || asked || chr(39) || '.' || chr(10) || 'Candidate support description: ' || evidence || chr(10) || 'Decide if that support should be accepted for the claim.' END AS question FROM e"""
 )
 def paraphrase_variant(spark, sf_dir):
     """Stress rows as probe rows in three wordings: with relation, attribute and object evidence."""
-    rows = stress_rows(spark, sf_dir).where("stress_type = 'left_right_reversal'")
+    rows = evalsets.relation_stress(_relations(spark, sf_dir), ["id"]).where("stress_type = 'left_right_reversal'").withColumn("id", F.col("image_id").cast("long"))
     kind = F.col("id") % 5
     claim = F.when(kind == 0, F.concat("target_subject", F.lit(" visible"))).when(kind == 1, F.concat("target_subject", F.lit(" is red"))).otherwise(F.col("target_claim"))
     rows = rows.withColumns({"target_evidence_label": F.when(kind < 2, F.col("target_object")), "target_relation": F.when(kind >= 2, F.col("target_relation")), "target_claim": claim})
-    return evalsets.paraphrases(rows, F.col("id"))
+    return evalsets.paraphrases(rows, F.col("id")).select("id", "benchmark", "image_id", "target_subject", "paraphrase_source_id", "paraphrase_variant", "question")
 
 
 @query(

@@ -238,6 +238,42 @@ def first_findings(spark, sf_dir):
     return rules.first_findings(found, catalog).select("place", "message", F.lit(sum(counts.values())).cast("long").alias("total"))
 
 
+_REASONS = rf"""{_FILED}, q AS (SELECT k, noun, negative, CASE WHEN rid LIKE 'line-%' THEN 'missing_id' WHEN k % 47 = 0 THEN 'missing_source' WHEN image = '' THEN 'missing_image' WHEN image_id IS NULL THEN 'missing_image_id' WHEN k % 17 = 0 THEN 'missing_evidence_hint_rejected'
+  WHEN k % 31 = 0 THEN 'missing_image' WHEN chosen = rejected THEN 'identical_answers' WHEN len(regexp_extract_all(rejected, '[A-Za-z0-9_]+|[^\pL\pN_\s]')) > 40 THEN 'rejected_too_long' WHEN k % 13 = 0 THEN 'bad_chosen_hint'
+  WHEN task = 'object_existence' AND noun = negative THEN 'same_positive_negative' WHEN task = 'object_existence' AND k % 19 = 0 AND negative = adj THEN 'negative_visible' WHEN task = 'object_existence' AND negative = 'red' THEN 'low_confidence_negative' END AS reason FROM g)"""
+
+
+@query(f"WITH {_REASONS} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM q GROUP BY ALL")
+def cleaning_reasons(spark, sf_dir):
+    """Why records are rejected: the first of the cleaning step's reasons."""
+    rows = _filed(spark, sf_dir)[0].withColumn("source", F.when(F.col("k") % 47 == 0, "").otherwise("coco"))
+    return quality.reason_counts(rows, rules.cleaning_rules(low_confidence=["red"]))
+
+
+@query()
+def cleaned_records(spark, sf_dir):
+    """Sound records under caps on both names, with the reasons of those that go; tests compare with a sequential pass."""
+    from .store import table_store
+
+    rows = _filed(spark, sf_dir)[0].withColumn("source", F.when(F.col("k") % 47 == 0, "").otherwise("coco")).withColumn("turn", sampling.stable_key("clean", F.col("k")))
+    kept, reasons = rules.cleaned(rows, {"positive": 9, "negative": 7}, ["turn", "k"], table_store(spark), rules.cleaning_rules(low_confidence=["red"]))
+    return kept.select("k", F.lit(None).cast("string").alias("reason"), F.lit(1).cast("long").alias("n")).unionByName(reasons.select(F.lit(None).cast("long").alias("k"), "reason", "n"))
+
+
+@query(
+    f"""WITH {_SCENES}, {_TOLD}, z AS (SELECT task_type, task_type AS base, negative_type, chosen_answer, rejected_answer, rejected_answer AS plain FROM c UNION ALL SELECT 'wrong_evidence', task_type, 'evidence_wrong', chosen_answer, chosen_answer, rejected_answer FROM w),
+e AS (SELECT DISTINCT image_id, name FROM o), m AS (SELECT image_id FROM e GROUP BY image_id HAVING count(*) >= 2),
+y AS (SELECT task_type, base, negative_type, 'gqa' AS source, (chosen_answer = rejected_answer)::INT AS same, (chosen_answer = plain)::INT AS plain, 0 AS boxless FROM z UNION ALL SELECT 'object_existence', 'object_existence', 'answer_wrong', 'coco', 0, 0, 1 FROM m)
+SELECT 'task_type_counts' AS measure, task_type AS name, count(*) AS n FROM y GROUP BY task_type UNION ALL SELECT 'base_task_type_counts', base, count(*) FROM y GROUP BY base UNION ALL SELECT 'negative_type_counts', negative_type, count(*) FROM y GROUP BY negative_type
+UNION ALL SELECT 'source_counts', source, count(*) FROM y GROUP BY source UNION ALL SELECT 'same_answer_rows', '', CAST(sum(same) AS BIGINT) FROM y UNION ALL SELECT 'answer_dpo_identical_rows', '', CAST(sum(plain) AS BIGINT) FROM y
+UNION ALL SELECT 'claims_with_missing_box', '', CAST(sum(boxless) AS BIGINT) FROM y UNION ALL SELECT 'total', '', count(*) FROM y"""
+)
+def claim_summary(spark, sf_dir):
+    """Claim records of all kinds counted, and items of evidence without a box."""
+    records = _records(spark, sf_dir)
+    return rules.claim_summary(records.unionByName(claims.wrong_evidence_claims(records)).unionByName(_object_records(spark, sf_dir)))
+
+
 @query(
     """WITH t AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS k FROM orders), h AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS k FROM customer WHERE c_nationkey < 8), b AS (SELECT k FROM t JOIN h USING (k))
 SELECT (SELECT count(*) FROM t) AS n_train, (SELECT count(*) FROM h) AS n_held, (SELECT count(*) FROM b) AS n_overlap, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT k FROM b ORDER BY k LIMIT 20)) AS first"""
@@ -659,7 +695,11 @@ SELECT CAST(image_id AS VARCHAR) AS id, 'Answer: Yes.' || chr(10) || 'Claims:' |
 )
 def object_claims(spark, sf_dir):
     """Claim records of object pairs: the first class of each graph against one it lacks."""
+    return claims.claim_exports(_object_records(spark, sf_dir)).select("id", "chosen", "rejected")
+
+
+def _object_records(spark, sf_dir) -> DataFrame:
     boxes = curate.scene_objects(_graphs(spark, sf_dir)).groupBy("image_id", "name").agg(F.min_by("box", "object_id").alias("box"))
     pairs = boxes.groupBy("image_id").agg(F.min("name").alias("positive"), F.count("*").alias("k")).where("k >= 2")
     told = {"id": F.col("image_id").cast("string"), "image": F.lit("a.jpg"), "negative": F.lit("unicorn"), "question": F.lit("q"), "chosen": F.lit("Yes."), "rejected": F.lit("No.")}
-    return claims.claim_exports(claims.object_claims(pairs.withColumns(told), boxes)).select("id", "chosen", "rejected")
+    return claims.object_claims(pairs.withColumns(told), boxes)
