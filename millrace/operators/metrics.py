@@ -27,7 +27,8 @@ def score_rows(df: DataFrame, target: str = "target", text: str = "generation")
     )
 
 
-def _counts(target: str) -> dict[str, Column]:
+def count_columns(target: str) -> dict[str, Column]:
+    """What ``binary_metrics`` needs of scored rows, by name; all but max_words add up over parts of the rows."""
     t, p = F.col(target), F.col("prediction")
     n = lambda c: F.count_if(c)
     return {
@@ -61,14 +62,14 @@ def binary_metrics(counts: DataFrame) -> DataFrame:
 
 
 def evaluate(scored: DataFrame, target: str = "target") -> DataFrame:
-    return binary_metrics(scored.agg(*[v.alias(k) for k, v in _counts(target).items()]))
+    return binary_metrics(scored.agg(*[v.alias(k) for k, v in count_columns(target).items()]))
 
 
 def evaluate_groups(scored: DataFrame, fields: list[str], min_size: int = 20, target: str = "target") -> DataFrame:
     """Metrics of each value of each field, for groups of ``min_size`` rows or more; one pass over the rows."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("group_field"), F.col(f).cast("string").alias("group_value")) for f in fields]))
     rows = scored.withColumn("_g", pairs).select("*", "_g.*")
-    counts = rows.groupBy("group_field", "group_value").agg(*[v.alias(k) for k, v in _counts(target).items()])
+    counts = rows.groupBy("group_field", "group_value").agg(*[v.alias(k) for k, v in count_columns(target).items()])
     return binary_metrics(counts.where(F.col("n") >= min_size))
 
 

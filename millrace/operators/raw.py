@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_name
+from ..functions.text import clean_name, stem
 
 #: An object of a raw graph with every name its fields go by.
 NODE = (
@@ -95,3 +95,94 @@ def detection_rows(raw: DataFrame, names: Column) -> tuple[DataFrame, DataFrame]
     pairs = F.transform(F.arrays_zip("bbox", "category"), lambda p: F.struct(named(p["category"]).alias("name"), raw_box(p["bbox"]).alias("b")))
     kept = rows.where("reason is null").select("image_id", F.explode(pairs).alias("p")).where("p.b is not null and p.name <> ''")
     return kept.select("image_id", "p.name", "p.b.*"), rows.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+# Keys under which an image is looked for first, where ids stand, and where annotations do.
+IMAGE_FIRST = ["image", "img", "input_image", "filepath", "file_path", "path"]
+ID_FIRST = ["image_id", "imageId", "id", "sample_id", "filepath", "file_path", "coco_url", "url"]
+ANNOTATIONS_FIRST = ["objects", "annotations", "annotation", "target", "labels", "instances", "segmentations"]
+BOX_KEYS, LABEL_KEYS = ["bbox", "bboxes"], ["category", "categories", "category_id", "category_ids", "labels", "label"]
+
+
+def _is_object(v: Column) -> Column:
+    return F.startswith(F.coalesce(F.schema_of_variant(v), F.lit("")), F.lit("OBJECT"))
+
+
+def _has(v: Column, *keys: str) -> Column:
+    held = F.lit(False)
+    for k in keys:
+        held = held | F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
+    return held
+
+
+def _first_true(v: Column, *keys: str) -> Column:
+    """The first field that is neither missing nor null, false, zero or empty."""
+    out = []
+    for k in keys:
+        one = F.try_variant_get(v, f"$.{k}", "variant")
+        said = F.coalesce(F.try_variant_get(v, f"$.{k}", "string"), F.to_json(one), F.lit(""))
+        out.append(F.when(~said.isin("", "[]", "{}", "false", "0", "0.0", "null"), one))
+    return F.coalesce(*out)
+
+
+def found_images(rows: DataFrame, key: str, value: str, store) -> DataFrame:
+    """(key, image): the image of each row of nested JSON (a VARIANT column), an object with ``bytes`` or ``path`` at any depth.
+
+    In an object its preferred fields come first, then what is found within its fields, by their names; the first image so
+    found counts. Objects are walked level by level, and only those without an image of their own are walked further;
+    lists are not.
+    """
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, IMAGE_FIRST)), F.col("field")), F.lit(0)), F.lit(99)).cast("int")
+    level = store(rows.select(F.col(key).alias("_key"), F.col(value).alias("v"), F.array().cast("array<struct<r:int,field:string>>").alias("at")).where(_is_object(F.col("v"))), "level0")
+    found, depth = level.where(_has(F.col("v"), "bytes", "path")), 0
+    while True:
+        inner = level.where(~_has(F.col("v"), "bytes", "path")).select("_key", "at", F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")).alias("e"))
+        inner = inner.select("_key", "at", F.explode("e").alias("e")).select("_key", "at", F.col("e.key").alias("field"), F.col("e.value").alias("v")).where(_is_object(F.col("v")))
+        here = _has(F.col("v"), "bytes", "path")
+        step = F.struct(F.when(here, rank).otherwise(F.lit(99)).alias("r"), "field")
+        depth += 1
+        level = store(inner.select("_key", "v", F.concat("at", F.array(step)).alias("at")), f"level{depth}")
+        if level.isEmpty():
+            break
+        found = found.unionByName(level.where(_has(F.col("v"), "bytes", "path")))
+    best = found.groupBy("_key").agg(F.min_by(F.to_json("v"), "at").alias("image"))
+    return best.select(F.col("_key").alias(key), F.try_parse_json("image").alias("image"))
+
+
+def raw_detections(rows: DataFrame, key: str, value: str, names: Column, store) -> tuple[DataFrame, DataFrame]:
+    """Boxes (key, file_name, name, x, y, w, h, area, iscrowd) of nested JSON rows, and (reason, n) of the rows that give none.
+
+    Annotations are a field of the row that holds boxes and categories, the usual names first; categories are names, or
+    numbers that ``names`` (a literal map) resolves, else "category n". Boxes and categories are paired in order.
+    """
+    v = F.col(value)
+    ids = [F.coalesce(F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")), F.lit(None)) for k in ID_FIRST]
+    image_id = F.coalesce(*[F.coalesce(F.nullif(stem(i), F.lit("")), i) for i in ids], F.col(key).cast("string"))
+    file_name = F.when(image_id.rlike("^[0-9]+$"), F.format_string("%012d.jpg", int_like_id(image_id))).otherwise(F.concat(safe_name(image_id), F.lit(".jpg")))
+    entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    sound = lambda e: _is_object(e["value"]) & _has(e["value"], *BOX_KEYS) & _has(e["value"], *LABEL_KEYS)
+    place = lambda e: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ANNOTATIONS_FIRST)), e["key"]), F.lit(0)), F.lit(99))
+    ranked = F.array_sort(F.transform(F.filter(entries, sound), lambda e: F.struct(place(e).alias("p"), e["key"].alias("k"), F.to_json(e["value"]).alias("v"))))
+    rows = rows.join(found_images(rows, key, value, store).select(F.col(key).alias("_found")), F.col(key) == F.col("_found"), "left")
+    rows = rows.select(key, file_name.alias("file_name"), F.col("_found").isNotNull().alias("has_image"), F.try_parse_json(F.get(ranked, F.lit(0))["v"]).alias("ann"))
+    a = F.col("ann")
+    said = F.try_variant_get(a, "$.categories", "array<variant>")
+    texts = F.forall(F.coalesce(said, F.array().cast("array<variant>")), lambda x: F.schema_of_variant(x) == "STRING") & (F.coalesce(F.size(said), F.lit(0)) > 0)
+    numbers = F.coalesce(F.try_variant_get(_first_true(a, "category_id", "category_ids", "category", "labels", "label"), "$", "array<variant>"), said, F.array().cast("array<variant>"))
+    named = F.transform(F.when(texts, said).otherwise(numbers), lambda x: F.try_variant_get(x, "$", "string"))
+    number = lambda x: x.try_cast("int")
+    resolved = F.when(texts, F.transform(named, lambda x: clean_name(x))).otherwise(
+        F.transform(F.filter(named, lambda x: number(x).isNotNull() | (clean_name(x) != "")), lambda x: F.when(number(x).isNotNull(), F.coalesce(F.try_element_at(names, number(x).cast("string")), F.concat(F.lit("category "), number(x).cast("string")))).otherwise(clean_name(x)))
+    )
+    listed = lambda *keys: F.coalesce(F.try_variant_get(_first_true(a, *keys), "$", "array<variant>"), F.array().cast("array<variant>"))
+    zipped = F.arrays_zip(listed(*BOX_KEYS).alias("bbox"), resolved.alias("name"), listed("area", "areas").alias("area"), listed("iscrowd", "is_crowd").alias("crowd"))
+    at = lambda p, i: F.try_variant_get(p["bbox"], f"$[{i}]", "double")
+    area = lambda p: F.coalesce(F.try_variant_get(p["area"], "$", "double"), at(p, 2) * at(p, 3))
+    crowd = lambda p: F.coalesce(F.try_variant_get(p["crowd"], "$", "boolean").cast("int"), F.lit(0))
+    made = F.transform(zipped, lambda p: F.struct(p["name"].alias("name"), *[at(p, i).alias(k) for i, k in enumerate("xywh")], area(p).alias("area"), crowd(p).alias("iscrowd")))
+    good = F.filter(made, lambda b: (F.coalesce(b["name"], F.lit("")) != "") & b["x"].isNotNull() & b["y"].isNotNull() & (b["w"] > 0) & (b["h"] > 0))
+    rows = rows.withColumn("boxes", good)
+    reason = F.when(~F.col("has_image"), "missing_image").when(a.isNull(), "missing_annotations").when(F.size("boxes") == 0, "empty_annotations")
+    rows = store(rows.select(key, "file_name", "boxes", reason.alias("reason")), "rows")
+    kept = rows.where("reason is null").select(key, "file_name", F.explode("boxes").alias("b")).select(key, "file_name", "b.*")
+    return kept, rows.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))

@@ -565,4 +565,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_groups(spark, sf_dir)
 
 
-from . import audit, scenes  # noqa: E402, F401  register their queries here
+from . import audit, files, scenes  # noqa: E402, F401  register their queries here

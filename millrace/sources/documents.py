@@ -338,7 +338,11 @@ def numbered(lines: DataFrame, picked: Column) -> DataFrame:
     return found.select("path", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
 
 
-def malformed_lines(spark: SparkSession, path) -> DataFrame:
+def numbered_malformed(lines: DataFrame) -> DataFrame:
     """(path, line, value) of the lines of JSONL files that are neither blank nor one whole JSON value."""
     text = F.regexp_replace("value", r"^\s+|\s+$", "")
-    return numbered(spark.read.text(path), (text != "") & ~whole_json(text))
+    return numbered(lines, (text != "") & ~whole_json(text))
+
+
+def malformed_lines(spark: SparkSession, path) -> DataFrame:
+    return numbered_malformed(spark.read.text(path))

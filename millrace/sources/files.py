@@ -163,6 +163,76 @@ def file_manifest(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
 
 
+#: Suffixes that an image without one may have, the preferred one first.
+SUFFIXES = [".jpg", ".jpeg", ".png"]
+
+
+def listed_files(spark: SparkSession, folders: list[str], store) -> DataFrame:
+    """(path, name, bytes) of all files below ``folders``: tasks list the folders of one level, then those found in them."""
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for folder in batch["path"].to_pylist():
+                fs, inner = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+                root = folder[: len(folder) - len(inner)] if folder.endswith(inner) else "file://"
+                for f in fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True)):
+                    out.append({"path": f"{root}{f.path}", "name": f.base_name, "bytes": f.size if f.is_file else None, "folder": f.type == pafs.FileType.Directory})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("name", pa.string()), ("bytes", pa.int64()), ("folder", pa.bool_())]))
+
+    level, found, depth = spark.createDataFrame([(f,) for f in folders], "path string"), None, 0
+    while not level.isEmpty():
+        seen = store(level.repartition("path").mapInArrow(run, "path string, name string, bytes long, folder boolean"), f"listed{depth}")
+        here, level, depth = seen.where("not folder").select("path", "name", "bytes"), seen.where("folder").select("path"), depth + 1
+        found = here if found is None else found.unionByName(here)
+    return found
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+
+
+def touch(names: DataFrame, folder: str) -> int:
+    """Empty files of the (relative) ``name``s below ``folder``, made by tasks; returns how many."""
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    def run(batches):
+        fs, root = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        for batch in batches:
+            for name in batch["name"].to_pylist():
+                path = f"{root}/{name}"
+                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                fs.open_output_stream(path).close()
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(batch)], pa.int64())})
+
+    return names.select("name").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def image_stem(name: Column) -> Column:
+    """A file name without one of SUFFIXES."""
+    return F.regexp_replace(name, r"\.(jpg|jpeg|png)$", "")
+
+
+def with_image(df: DataFrame, column: str, manifest: DataFrame, suffixes: list[str] | None = None) -> DataFrame:
+    """Add ``image_path``: the file of the manifest that ``column`` names, with the first of ``suffixes`` there is, else null."""
+    suffixes = SUFFIXES if suffixes is None else suffixes
+    place = F.array_position(F.array(*map(F.lit, suffixes)), F.regexp_extract("name", r"(\.[^.]+)$", 1))
+    held = manifest.where(place > 0).groupBy(image_stem(F.col("name")).alias("_stem")).agg(F.min_by("path", F.struct(place.alias("p"), "path")).alias("image_path"))
+    return df.join(held, F.col(column) == F.col("_stem"), "left").drop("_stem")
+
+
+def completeness(expected: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(state, name) of expected images (``stem``) and files: found, missing (named with the first suffix) or unexpected."""
+    files = manifest.select("name", image_stem(F.col("name")).alias("_stem")).distinct()
+    both = expected.select("stem").distinct().join(files, F.col("stem") == F.col("_stem"), "full")
+    state = F.when(F.col("_stem").isNull(), "missing").when(F.col("stem").isNull(), "unexpected").otherwise("found")
+    return both.select(state.alias("state"), F.coalesce("name", F.concat("stem", F.lit(SUFFIXES[0]))).alias("name"))
+
+
 def with_existing_file(df: DataFrame, name: str, manifest: DataFrame) -> DataFrame:
     """Add ``file_exists``: whether the manifest has a file of the name in column ``name``."""
     seen = manifest.select(F.col("name").alias("_name")).distinct()
