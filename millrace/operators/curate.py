@@ -24,8 +24,6 @@ CONFUSABLE = [("gray", "white"), ("gray", "black"), ("white", "gray"), ("white",
 FLIPS = {"left": "right", "right": "left", "above": "below", "below": "above"}
 #: How much likelier a related class is drawn, and how much less likely a doubtful or confusable one.
 RELATED, DOUBTFUL = 3.0, 0.35
-#: Names that a vocabulary may have to be held as a literal.
-VOCABULARY = 10_000
 QUESTIONS = ["Is there {} in the image?", "Can you see {} in this image?", "Does the image contain {}?"]
 
 
@@ -53,22 +51,33 @@ def best_boxes(images: DataFrame, annotations: DataFrame, categories: DataFrame,
 def absent_candidates(visible: DataFrame, groups: DataFrame, exclude: list[str] | None = None) -> DataFrame:
     """(image_id, positive, negative): for each visible class the classes of its coarse group that the image lacks.
 
-    ``groups`` (name, grp) is a bounded vocabulary. An image's classes become one row: one shuffle, no join.
+    ``groups`` (name, grp) is a vocabulary. An image's classes become one row, a group's too; each visible class meets its
+    group's list once, broadcast only if the vocabulary is small.
     """
-    known = vocabulary(groups)
     images = visible.groupBy("image_id").agg(F.collect_set("name").alias("seen"))
-    own = images.select("image_id", "seen", F.explode(F.filter(known, lambda v: F.array_contains(F.col("seen"), v["name"]))).alias("p"))
-    lacks = F.filter(known, lambda v: (v["grp"] == F.col("p.grp")) & ~F.array_contains(F.col("seen"), v["name"]) & ~v["name"].isin(exclude or []))
-    return own.select("image_id", F.col("p.name").alias("positive"), F.explode(lacks).alias("n"), F.col("p.grp").alias("grp")).select("image_id", "positive", F.col("n.name").alias("negative"), "grp")
+    own = images.select("image_id", "seen", F.explode("seen").alias("positive"))
+    named = groups.select(F.col("name").alias("_name"), "grp").distinct()
+    members = named.groupBy("grp").agg(F.array_sort(F.collect_set("_name")).alias("_all"))
+    known = small(named.join(members, "grp"), groups)
+    rows = own.join(known, F.col("positive") == F.col("_name"))
+    lacks = F.array_except("_all", F.concat("seen", F.array(*map(F.lit, exclude or [])).cast("array<string>")))
+    return rows.select("image_id", "positive", F.explode(lacks).alias("negative"), "grp")
+
+
+#: Bytes of a vocabulary up to which it is broadcast: a name and its group in each row of a class, and in its group's list.
+BROADCAST = 32 << 20
+
+
+def small(df: DataFrame, measured: DataFrame, limit: int = BROADCAST) -> DataFrame:
+    """``df`` with a broadcast hint if it takes no more than ``limit`` bytes: each row holds the names of its group in ``measured``."""
+    names = measured.select("name", "grp").distinct().groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.octet_length("name") + 16).alias("b"))
+    total = names.agg(F.coalesce(F.sum(F.col("n") * (F.col("b") + 64)), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= limit else df
 
 
 def vocabulary(names: DataFrame) -> Column:
-    """A bounded table (name, grp) as a literal array of (name, grp), sorted by name."""
-    rows = names.select("name", "grp").distinct().orderBy("name").limit(VOCABULARY + 1).collect()
-    if len(rows) > VOCABULARY:
-        raise ValueError(f"a vocabulary of more than {VOCABULARY} names can't be a literal")
-    kind = "array<struct<name:string,grp:string>>"
-    return F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.grp).alias("grp")) for r in rows]).cast(kind) if rows else F.array().cast(kind)
+    """A table (name, grp) as an array of (name, grp), sorted by name: one value that all rows share."""
+    return names.agg(F.array_sort(F.collect_set(F.struct("name", "grp")))).scalar()
 
 
 def drawn(options: Column, weight, seed: str, *ids: Column) -> Column:
@@ -84,15 +93,17 @@ def object_pairs(visible: DataFrame, groups: DataFrame, per_image: int = 2, seed
     positive's group with three times the chance, doubtful ones with 0.35 of it. Images need two visible classes at least.
     One shuffle: an image's classes are one row, bounded by the vocabulary ``groups`` (name, grp).
     """
-    c, known = F.col, vocabulary(groups)
+    c, known = F.col, F.col("known")
     images = visible.groupBy("image_id").agg(F.collect_list(F.struct("name", c("max_area").cast("double").alias("area"))).alias("seen")).where(F.size("seen") >= 2)
     score = lambda o: F.ln(stable_unit(seed, c("image_id"), o["name"])) / F.greatest(o["area"], F.lit(1.0))
     ranked = F.array_sort(F.transform("seen", lambda o: F.struct((-score(o)).alias("k"), o["name"].alias("name"))))
     pairs = images.select("image_id", F.transform("seen", lambda o: o["name"]).alias("seen"), F.explode(F.slice(ranked, 1, per_image)).alias("p")).select("image_id", "seen", c("p.name").alias("positive"))
+    pairs = pairs.withColumn("known", vocabulary(groups))
     pairs = pairs.withColumn("grp", F.try_element_at(F.transform(F.filter(known, lambda v: v["name"] == c("positive")), lambda v: v["grp"]), F.lit(1)))
     weight = lambda v: F.when(v["grp"] == c("grp"), RELATED).otherwise(1.0) * F.when(v["name"].isin(LOW_CONFIDENCE), DOUBTFUL).otherwise(1.0)
     absent = F.filter(known, lambda v: ~F.array_contains(c("seen"), v["name"]))
-    pairs = pairs.withColumn("negative", drawn(absent, weight, seed, c("image_id"), c("positive"))).where("negative is not null")
+    one = F.array_compact(F.array(drawn(absent, weight, seed, c("image_id"), c("positive"))))  # exploded, it is worked out once
+    pairs = pairs.select("image_id", "positive", F.explode(one).alias("negative"))
     q = F.conv(F.substring(stable_key(seed + "q", c("image_id"), c("positive")), 1, 7), 16, 10).cast("int") % len(QUESTIONS)
     phrase = article_phrase(c("positive"))
     question = F.element_at(F.array(*[F.format_string(t.replace("{}", "%s"), phrase) for t in QUESTIONS]), q + 1)

@@ -118,7 +118,7 @@ def raw_layouts(spark, sf_dir):
 @query(f"WITH {_PARSED}, c AS (SELECT {_COUNTS} FROM s), {_RATES} SELECT * FROM r2")
 def streamed_scores(spark, sf_dir):
     """Answers that arrive as a stream, some of them twice, scored batch by batch: the same as all at once."""
-    rows = _generations(spark, sf_dir).select("doc_id", "target", "generation", F.timestamp_seconds(F.col("doc_id") * 60).alias("at"))
+    rows = _generations(spark, sf_dir).select("doc_id", "target", "generation", F.timestamp_seconds(F.col("doc_id") * 60 + 1_700_000_000).alias("at"))
     folder = shared_path(spark, "answers")
     rows.unionByName(rows.where("doc_id % 3 = 0")).repartition(6).write.parquet(folder)  # late copies are in other files
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import builders, claims, curate, evalsets, export, metrics, quality, rules, sampling
 from .registry import query, read
+from .store import table_store
 
 #: By line number: further attributes, and the names of relations.
 MORE = ["Grey", "silver", "wooden", "Cloth", "large"]
@@ -91,13 +92,14 @@ def relation_pairs(spark, sf_dir):
 
 
 def _records(spark, sf_dir) -> DataFrame:
-    """Claim records of attributes and of relations that the boxes bear out."""
-    objects = curate.scene_objects(_graphs(spark, sf_dir))
+    """Claim records of attributes and of relations that the boxes bear out; objects and records are written once."""
+    store = table_store(spark)
+    objects = store(curate.scene_objects(_graphs(spark, sf_dir)), "objects")
     image = F.concat(F.col("image_id").cast("string"), F.lit(".jpg"))
     named = lambda df, *parts: df.withColumns({"image": image, "id": F.concat_ws("-", *[F.col(p).cast("string") for p in parts])})
     attributes = claims.attribute_claims(named(curate.attribute_candidates(objects), "image_id", "object_id", "attribute"), objects)
     relations = claims.relation_claims(named(curate.relation_candidates(objects, check_boxes=True), "image_id", "subject_id", "object_id"))
-    return attributes.unionByName(relations)
+    return store(attributes.unionByName(relations), "records")
 
 
 _CLAIM = "'Answer: ' || {answer} || chr(10) || 'Claims:' || chr(10) || '- type: ' || {kind} || chr(10) || '  claim: ' || {span} || chr(10) || '  evidence: ' || {shown} || chr(10) || '  support: ' || {support}"
@@ -222,8 +224,6 @@ def _filed(spark, sf_dir) -> tuple[DataFrame, dict]:
 @query(f"WITH {_FILED} SELECT k AS place, rule, rid || ': ' || says AS message FROM u WHERE bad QUALIFY row_number() OVER (PARTITION BY rule ORDER BY k) <= 6")
 def record_findings(spark, sf_dir):
     """Of each rule of preference records the first findings, with ids."""
-    from .store import table_store
-
     rows, catalog = _filed(spark, sf_dir)
     return rules.findings(rows, catalog, rules.CANONICAL_SAYS, "k", table_store(spark), 6)[0]
 
@@ -231,8 +231,6 @@ def record_findings(spark, sf_dir):
 @query(f"WITH {_FILED} SELECT place, message, total FROM (SELECT k AS place, rid || ': ' || says AS message, count(*) OVER () AS total, row_number() OVER (ORDER BY k, o) AS r FROM u WHERE bad) WHERE r <= 200")
 def first_findings(spark, sf_dir):
     """The first 200 findings of all rules, with the number of all findings as it was observed."""
-    from .store import table_store
-
     rows, catalog = _filed(spark, sf_dir)
     found, counts = rules.findings(rows, catalog, rules.CANONICAL_SAYS, "k", table_store(spark))
     return rules.first_findings(found, catalog).select("place", "message", F.lit(sum(counts.values())).cast("long").alias("total"))
@@ -253,8 +251,6 @@ def cleaning_reasons(spark, sf_dir):
 @query()
 def cleaned_records(spark, sf_dir):
     """Sound records under caps on both names, with the reasons of those that go; tests compare with a sequential pass."""
-    from .store import table_store
-
     rows = _filed(spark, sf_dir)[0].withColumn("source", F.when(F.col("k") % 47 == 0, "").otherwise("coco")).withColumn("turn", sampling.stable_key("clean", F.col("k")))
     kept, reasons = rules.cleaned(rows, {"positive": 9, "negative": 7}, ["turn", "k"], table_store(spark), rules.cleaning_rules(low_confidence=["red"]))
     return kept.select("k", F.lit(None).cast("string").alias("reason"), F.lit(1).cast("long").alias("n")).unionByName(reasons.select(F.lit(None).cast("long").alias("k"), "reason", "n"))
@@ -337,8 +333,6 @@ def claim_report(spark, sf_dir):
 @query(f"WITH {_SPOILED_CLAIMS} SELECT place, rule, rid || ': ' || says AS message FROM ({_CLAIM_UNION}) QUALIFY row_number() OVER (PARTITION BY rule ORDER BY place) <= 4")
 def claim_findings(spark, sf_dir):
     """Of each rule of claim records the first findings, with ids."""
-    from .store import table_store
-
     rows = rules.checked(_claims_spoiled(spark, sf_dir), "place")
     return rules.findings(rows, rules.with_record_rules(rules.claim_rules()), rules.CLAIM_SAYS, "place", table_store(spark), 4)[0]
 
@@ -532,16 +526,12 @@ def _mined(spark, sf_dir) -> DataFrame:
 @query()
 def locked_rows(spark, sf_dir):
     """Error rows under three caps, half of each kind, then refilled; tests compare with a sequential pass."""
-    from .store import table_store
-
     return builders.locked_rows(_mined(spark, sf_dir), 500, {"category": 80, "strategy": 120, "image_id": 3}, ["k", "id"], table_store(spark)).select("id", "error_type")
 
 
 @query()
 def strategy_pairs(spark, sf_dir):
     """Pairs in turn from strategies under rules of their image; tests compare with a sequential pass."""
-    from .store import table_store
-
     c = F.col
     pairs = read(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("image_id"), c("l_partkey").alias("positive"), c("l_suppkey").alias("negative"), c("l_returnflag").alias("strategy"), "l_linenumber", sampling.stable_key("pair", c("l_orderkey"), c("l_linenumber"), c("l_partkey")).alias("k"))
     return builders.strategy_pairs(pairs, 600, 2, ["k"], table_store(spark))
@@ -652,8 +642,6 @@ SELECT doc_id FROM g, c WHERE CASE g WHEN 'coco' THEN r <= least(c.a, least(c.a,
 )
 def split_targets(spark, sf_dir):
     """So many rows of each group; what one lacks is taken from the other."""
-    from .store import table_store
-
     docs = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("source") == "src0", "coco").otherwise("graph").alias("g"))
     return sampling.split_targets(docs, F.col("g"), {"coco": 40, "graph": 100_000}, [F.col("doc_id")], table_store(spark), "coco").select("doc_id")
 
@@ -682,8 +670,6 @@ def gate(spark, sf_dir):
 @query()
 def unique_pairs(spark, sf_dir):
     """Greedy pairs of customers and parts none of which shares an item with an earlier one; tests compare with a loop."""
-    from .store import table_store
-
     pairs = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"), "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").distinct()
     return sampling.unique_pairs(pairs, "a", "b", ["l_orderkey", "l_linenumber", "a", "b", "l_quantity", "l_extendedprice"], table_store(spark)).select("a", "b")
 

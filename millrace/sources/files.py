@@ -177,7 +177,7 @@ def listed_files(spark: SparkSession, folders: list[str], store) -> DataFrame:
             out = []
             for folder in batch["path"].to_pylist():
                 fs, inner = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-                root = folder[: len(folder) - len(inner)] if folder.endswith(inner) else "file://"
+                root = folder.removesuffix(inner) or "file://"
                 for f in fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True)):
                     out.append({"path": f"{root}{f.path}", "name": f.base_name, "bytes": f.size if f.is_file else None, "folder": f.type == pafs.FileType.Directory})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("name", pa.string()), ("bytes", pa.int64()), ("folder", pa.bool_())]))

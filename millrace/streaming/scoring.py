@@ -18,7 +18,7 @@ def windowed_accuracy(stream: DataFrame, time: str, window: str = "10 minutes",
 def scored_stream(stream: DataFrame, key: str, time: str, folder: str, late: str = "36500 days") -> DataFrame:
     """Confusion metrics of a stream of (key, time, target, generation) up to now, as ``evaluate`` gives them for all rows at once.
 
-    An answer that comes again, within ``late`` of the newest one, doesn't count twice: its key is kept as state until then.
+    Times are later than the first moment of 1970, where watermarks begin. An answer that comes again, within ``late`` of the newest one, doesn't count twice: its key is kept as state until then.
     Each batch writes its counts under its number below ``folder``, so a batch that is run again replaces what it wrote;
     the state's checkpoint stands there too.
     """
