@@ -150,20 +150,23 @@ def compare_models(spark, sf_dir):
     return metrics.compare_models(rows.withColumn("is_correct", ok), "doc_id", "model", "base", ["lang"])
 
 
-@query(
-    """WITH g AS (SELECT d.lang, count(*) AS n, avg(quality::DOUBLE) AS mean FROM documents d JOIN labels USING (doc_id) GROUP BY d.lang),
-b AS (SELECT *, sqrt(n * mean * (1 - mean)) AS sd, n * mean AS mid FROM g),
+def bootstrap_sql(keys: list[str], draws: int) -> str:
+    """CTEs from ``g`` (keys, n, mean) to ``boot``: keys, n, mean, se, low and high of the means of resampled 0/1 values."""
+    by, said = ", ".join(keys), " || '|' || ".join(keys)
+    return f"""b AS (SELECT *, sqrt(n * mean * (1 - mean)) AS sd, n * mean AS mid FROM g),
 r AS (SELECT *, CASE WHEN sd = 0 THEN CAST(round(mid) AS BIGINT) ELSE greatest(0, CAST(floor(mid - 40 * sd - 10) AS BIGINT)) END AS lo,
   CASE WHEN sd = 0 THEN CAST(round(mid) AS BIGINT) ELSE least(n, CAST(ceil(mid + 40 * sd + 10) AS BIGINT)) END AS hi FROM b),
 k AS (SELECT *, unnest(range(lo, hi + 1)) AS k FROM r),
-l AS (SELECT *, sum(CASE WHEN k > lo THEN ln((n - k + 1)::DOUBLE / k::DOUBLE) + ln(mean / (1 - mean)) ELSE 0.0::DOUBLE END) OVER (PARTITION BY lang ORDER BY k) AS l FROM k),
-w AS (SELECT *, exp(l - max(l) OVER (PARTITION BY lang)) AS w FROM l),
-c AS (SELECT lang, lo, sum(w) OVER (PARTITION BY lang ORDER BY k) / sum(w) OVER (PARTITION BY lang) AS v, 0 AS draw FROM w),
-d AS (SELECT lang, lo, (CAST('0x' || substr(md5('boot|' || lang || '|' || b), 1, 8) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS v, 1 AS draw FROM r, (SELECT unnest(range(0, 200)) AS b)),
-x AS (SELECT *, sum(1 - draw) OVER (PARTITION BY lang ORDER BY v, draw DESC ROWS UNBOUNDED PRECEDING) AS below FROM (SELECT * FROM c UNION ALL SELECT * FROM d)),
-y AS (SELECT x.lang, g.n, g.mean, least(x.lo + below, r.hi)::DOUBLE / g.n AS drawn FROM x JOIN g USING (lang) JOIN r USING (lang) WHERE draw = 1)
-SELECT lang, n, mean, stddev_samp(drawn) AS se, quantile_cont(drawn, 0.025) AS low, quantile_cont(drawn, 0.975) AS high FROM y GROUP BY lang, n, mean"""
-)
+l AS (SELECT *, sum(CASE WHEN k > lo THEN ln((n - k + 1)::DOUBLE / k::DOUBLE) + ln(mean / (1 - mean)) ELSE 0.0::DOUBLE END) OVER (PARTITION BY {by} ORDER BY k) AS l FROM k),
+w AS (SELECT *, exp(l - max(l) OVER (PARTITION BY {by})) AS w FROM l),
+c AS (SELECT {by}, lo, sum(w) OVER (PARTITION BY {by} ORDER BY k) / sum(w) OVER (PARTITION BY {by}) AS v, 0 AS draw FROM w),
+d AS (SELECT {by}, lo, (CAST('0x' || substr(md5('boot|' || {said} || '|' || b), 1, 8) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS v, 1 AS draw FROM r, (SELECT unnest(range(0, {draws})) AS b)),
+x AS (SELECT *, sum(1 - draw) OVER (PARTITION BY {by} ORDER BY v, draw DESC ROWS UNBOUNDED PRECEDING) AS below FROM (SELECT * FROM c UNION ALL SELECT * FROM d)),
+y AS (SELECT {", ".join(f"x.{key}" for key in keys)}, g.n, g.mean, least(x.lo + below, r.hi)::DOUBLE / g.n AS drawn FROM x JOIN g USING ({by}) JOIN r USING ({by}) WHERE draw = 1),
+boot AS (SELECT {by}, n, mean, stddev_samp(drawn) AS se, quantile_cont(drawn, 0.025) AS low, quantile_cont(drawn, 0.975) AS high FROM y GROUP BY {by}, n, mean)"""
+
+
+@query(f"WITH g AS (SELECT d.lang, count(*) AS n, avg(quality::DOUBLE) AS mean FROM documents d JOIN labels USING (doc_id) GROUP BY d.lang), {bootstrap_sql(['lang'], 200)} SELECT * FROM boot")
 def bootstrap_quality(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     return metrics.bootstrap_rate(rows, "quality", ["lang"], 200)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import builders, claims, curate, evalsets, export, metrics, quality, rules, sampling
-from .registry import query, read
+from .registry import bootstrap_sql, query, read
 from .store import table_store
 
 #: By line number: further attributes, and the names of relations.
@@ -427,11 +427,20 @@ SELECT 'x_' || lpad(CAST(id AS VARCHAR), 6, '0') AS id, 'x' AS source, id AS sou
 )
 def annotated_benchmark(spark, sf_dir):
     """Queries with annotations: orders as queries, of which the first of a customer counts, customers as annotations."""
+    return builders.annotated_benchmark(*_annotated(spark, sf_dir), F.col("o_orderkey"), "x", "img")[0]
+
+
+@query("SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)")
+def annotations_lacking(spark, sf_dir):
+    """Queries without an annotation."""
+    return builders.annotated_benchmark(*_annotated(spark, sf_dir), F.col("o_orderkey"), "x", "img")[1]
+
+
+def _annotated(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     q = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.lit("").alias("image"), F.concat(F.lit("Is it "), F.col("o_orderkey").cast("string"), F.lit("?")).alias("query"), "o_orderkey")
     n = F.col("c_nationkey") % 5
     kind = F.when(n == 0, "discriminative-hallucination").when(n == 1, "discriminative-attribute-state").when(n == 2, "discriminative-attribute-number").when(n == 3, "relation").otherwise("generative")
-    a = read(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("id"), kind.alias("type"), F.when(F.col("c_acctbal") > 0, "yes").otherwise("0").alias("truth"))
-    return builders.annotated_benchmark(q, a, F.col("o_orderkey"), "x", "img")[0]
+    return q, read(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("id"), kind.alias("type"), F.when(F.col("c_acctbal") > 0, "yes").otherwise("0").alias("truth"))
 
 
 @query(
@@ -474,13 +483,13 @@ def stress_slices(spark, sf_dir):
 
 @query(
     f"""WITH {_PROBES}, l AS (SELECT model, 'all' AS level, 'all' AS name, rejected FROM p UNION ALL SELECT model, 'task', task, rejected FROM p
-  UNION ALL SELECT model, 'slice', CASE WHEN task LIKE 'attribute%' THEN 'attribute' WHEN task LIKE 'object%' THEN 'object' ELSE 'relation' END, rejected FROM p WHERE task <> 'other')
-SELECT model, level, name, count(*) AS n, avg(rejected::INT)::DOUBLE AS mean FROM l GROUP BY ALL"""
+  UNION ALL SELECT model, 'slice', CASE WHEN task LIKE 'attribute%' THEN 'attribute' WHEN task LIKE 'object%' THEN 'object' ELSE 'relation' END, rejected FROM p WHERE task <> 'other'),
+g AS (SELECT model, level, name, count(*) AS n, avg(rejected::INT)::DOUBLE AS mean FROM l GROUP BY ALL), {bootstrap_sql(['model', 'level', 'name'], 100).replace('l AS (', 'l2 AS (').replace('FROM l)', 'FROM l2)')} SELECT * FROM boot"""
 )
 def ci_levels(spark, sf_dir):
-    """Bootstrap levels by model: all, slices and task types (the intervals are checked by bootstrap_quality)."""
+    """Bootstrap levels by model with their intervals: all, slices and task types."""
     rows = _probes(spark, sf_dir).withColumn("rejected", F.col("rejected").cast("int"))
-    return metrics.ci_summary(rows, "model", "task", "rejected", 100).select("model", "level", "name", "n", "mean")
+    return metrics.ci_summary(rows, "model", "task", "rejected", 100)
 
 
 @query(f"WITH {_PROBES}, s AS (SELECT unnest(['object_existence', 'attribute_size', 'relation_spatial']) AS task), r AS (SELECT task, avg(rejected::INT)::DOUBLE AS rate FROM p GROUP BY task) SELECT task, rate, CASE WHEN rate IS NULL THEN 'pending' ELSE 'complete' END AS status FROM s LEFT JOIN r USING (task)")
@@ -526,7 +535,7 @@ def _mined(spark, sf_dir) -> DataFrame:
 @query()
 def locked_rows(spark, sf_dir):
     """Error rows under three caps, half of each kind, then refilled; tests compare with a sequential pass."""
-    return builders.locked_rows(_mined(spark, sf_dir), 500, {"category": 80, "strategy": 120, "image_id": 3}, ["k", "id"], table_store(spark)).select("id", "error_type")
+    return builders.locked_rows(_mined(spark, sf_dir), 500, {"category": 80, "strategy": 120, "image_id": 3}, ["k", "id"], table_store(spark)).select("id", "error_type", "category", "strategy", "image_id")
 
 
 @query()
