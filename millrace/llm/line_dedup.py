@@ -64,8 +64,9 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LIN
     """Remove repeated chunks of ``min_lines`` lines or more that hold anything but white space.
 
     The first chunk of equal ones, by doc_id (null last) and place, stays. A null text is empty; an empty text has no
-    lines. Rows that repeat both doc_id and text are one document and all keep what it keeps. Returns doc_id, n_lines,
-    n_chunks, n_removed_chunks, n_removed_lines and kept_text for every row.
+    lines. Rows that repeat both doc_id and text are one document and all keep what it keeps. A text of any length is
+    worked on whole; an empty table gives no rows; other columns aren't read, whatever their names. Returns doc_id,
+    n_lines, n_chunks, n_removed_chunks, n_removed_lines and kept_text for every row.
     """
     ws = Workspace(docs.sparkSession, "line_dedup")
     text = F.coalesce("text", F.lit(""))
@@ -138,7 +139,8 @@ def line_runs(docs: DataFrame, words: int = RUN_WORDS) -> DataFrame:
 
     Runs are compared byte by byte, blank lines left out; blank lines within a removed run go with it. Earlier is by
     doc_id (null last) and line, so of each line the first occurrence stays. A null text is empty; an empty text has no
-    lines. Rows that repeat both doc_id and text are one document. Returns doc_id, n_lines, n_removed_lines and kept_text.
+    lines. Rows that repeat both doc_id and text are one document. A text of any length is worked on whole; an empty table
+    gives no rows; other columns aren't read, whatever their names. Returns doc_id, n_lines, n_removed_lines and kept_text.
     """
     ws = Workspace(docs.sparkSession, "line_runs")
     text = F.coalesce("text", F.lit(""))

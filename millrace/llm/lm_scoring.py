@@ -302,7 +302,8 @@ def lm_scores(docs: DataFrame, held_out=None, top: int | None = None, held: int
     ``held_out`` is a condition on doc_id; such rows aren't learned from. By default those whose crc32(doc_id as text) mod
     7 is 2; null ids are learned from. A null text is empty and has its end alone. An empty training set makes all words
     unknown. ``top`` words are symbols, by default as many as the vocabulary's size asks for. A very long text is worked on
-    alone. Rows that repeat a doc_id are scored each for itself; further columns go. Returns doc_id, held_out, n_tokens,
+    alone. Rows that repeat a doc_id are scored each for itself; a doc_id is a whole number or null; further columns go,
+    whatever their names; an empty table gives no rows. Returns doc_id, held_out, n_tokens,
     n_known, train_tokens, base_score, score.
     """
     spark = docs.sparkSession

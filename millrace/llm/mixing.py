@@ -68,7 +68,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, share: f
     Size is the number of words of a text (null: 0). Sources are taken by code point, null last, and weigh
     ``weights`` in turn. A document is part of the fractional epoch if the middle of its span in the running sum is
     within the rest of the budget, so a source is off by half of one document at most. Ties in the key go by doc_id;
-    rows that repeat a doc_id each stand for themselves. Sources whose texts are all empty get a target of 0.
+    rows that repeat a doc_id each stand for themselves. Sources whose texts are all empty get a target of 0. An empty table
+    gives no rows, a very long text counts whole; columns that aren't read may have any name, those in ``keep`` none of
+    the result's.
 
     Returns doc_id, source, size, source_size, target, copies, taken and the columns named in ``keep``, for every row.
     """

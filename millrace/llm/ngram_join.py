@@ -345,7 +345,8 @@ def ngram_join(docs: DataFrame, n: int = SHINGLE, ratio: tuple[int, int] = THRES
 
     A document without words has no shingles and links with nothing. component_id is the smallest doc_id that links reach.
     Rows with equal texts, and rows that repeat a doc_id, each are documents; null ids are passed over for component_id.
-    Other columns are ignored. No list, group or chunk is cut short.
+    Other columns are ignored, whatever their names; a very long text is worked on whole; an empty table gives no rows. No
+    list, group or chunk is cut short.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "ngram_join")

@@ -340,7 +340,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, w
     """Pack every row of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     A document's tokens are those of the tokenizer file ``path`` without special ones, then the id ``end``; a null text
-    has the end alone. Rows that repeat a doc_id are packed each for itself. Sequences are gapless from 0.
+    has the end alone. Rows that repeat a doc_id are packed each for itself; a doc_id is a whole number or null. A text of any
+    length is cut into pieces; an empty table gives none; other columns aren't read, whatever their names. Sequences are
+    gapless from 0.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "pack")

@@ -111,6 +111,8 @@ ADDED = [f.split()[0] for f in SCHEMA.split(", ")]
 def quality_rules(docs: DataFrame, limits=None, line_limit: float = LINE_CHARS_LIMIT) -> DataFrame:
     """Add the measures of SCHEMA and the verdict ``kept`` to every row of ``docs``; columns of these names are replaced.
 
+    Rows that repeat are judged each for itself; an empty table stays empty, with the columns of SCHEMA.
+
     A null text has no words; it and an empty text fail the base rule (fewer than ten words). Nothing is shuffled. A
     very long text is worked on alone, at about 100 bytes of memory a byte of text.
     """

@@ -128,7 +128,7 @@ def write_warc(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, le
 
     The payload is the html in UTF-8, empty for null. Of records with equal payloads of ``min_revisit`` bytes or more, that
     with the smallest page_id is a response and the others revisit it; where several rows share that page_id all of them
-    are responses. A null page_id comes after all others. ``folder`` is a URI that every executor reaches. The result has
+    are responses. A null page_id comes after all others. An empty table writes no archive. ``folder`` is a URI that every executor reaches. The result has
     side effects when it runs: write it to a table once.
     """
 
