@@ -104,3 +104,20 @@ def percent(value: float) -> str:
 
 def interval(mean: float, low: float, high: float) -> str:
     return f"{percent(mean)} [{percent(low)}, {percent(high)}]"
+
+
+def percent_or_pending(value: float | None, nudged: bool = False, sign: str = "") -> str:
+    """A share as a percentage with one decimal and ``sign`` behind it; "pending" where there is none."""
+    if value is None:
+        return "pending"
+    return percent(value) if nudged else f"{100 * float(value):.1f}{sign}"
+
+
+def delta(value: float) -> str:
+    """A difference of shares in percentage points, with its sign."""
+    return f"{100 * value:+.1f}"
+
+
+def csv_value(value):
+    """A value as a CSV report has it: nothing for none, six decimals for fractions."""
+    return "" if value is None else f"{value:.6f}" if isinstance(value, float) else value

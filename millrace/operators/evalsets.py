@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import normalize_target
-from ..functions.text import article_phrase, clean_name
+from ..functions.text import article_phrase, candidate_evidence, clean_name, compact, failure_category, one_line
 from .sampling import capped_per_key, round_robin, stable_key, with_ids
 
 # The three wordings of a probe question and of its evidence, by kind of evidence.
@@ -158,3 +158,38 @@ def bucketed_cases(rows: DataFrame, buckets: dict[str, Column], k: int, order: l
     """``k`` rows for each bucket whose condition they meet; a row can be in several."""
     held = F.array_compact(F.array(*[F.when(cond, name) for name, cond in buckets.items()]))
     return capped_per_key(rows.withColumn("bucket", F.explode(held)), ["bucket"], k, order)
+
+
+# The kinds of cases in which three models are compared.
+DUAL_REJECTS, DUAL_ACCEPTS = "CEPO-Dual correctly rejects relation wrong-evidence", "CEPO-Dual falsely accepts relation wrong-evidence"
+ALL_FAIL, DUAL_ALONE = "All models fail", "Answer-DPO fails but CEPO-Dual succeeds"
+
+
+def failure_cases(scored: DataFrame, model: str, models: tuple[str, str, str]) -> DataFrame:
+    """A row for each relation probe with wrong evidence that all three models (base, answer, dual) have answered.
+
+    ``scored`` are rows of ``score_probes`` with id, question and generation. Returns id, question, claim, candidate_evidence,
+    category, buckets, and of each model mark (reject or accept and the support it names) and generation, cut to 180 characters.
+    """
+    c = F.col
+    rows = scored.where((c("base_task_type") == "relation_spatial") & (c("target_support") == "wrong_evidence") & c(model).isin(*models))
+    told = F.struct(
+        c("wrong_evidence_rejected").alias("rejected"), c("predicted_support").alias("support"), compact(c("generation")).alias("generation"), c("question"), c("target_claim").alias("claim"),
+        c("target_subject").alias("subject"), c("target_object").alias("object"), c("target_relation").alias("relation"),
+    )
+    base, answer, dual = "_base", "_answer", "_dual"
+    wide = rows.groupBy("id").agg(*[F.max_by(F.when(c(model) == m, told), F.when(c(model) == m, 1)).alias(k) for m, k in zip(models, (base, answer, dual))])
+    wide = wide.where(c(base).isNotNull() & c(answer).isNotNull() & c(dual).isNotNull())
+    rejects = lambda k: c(f"{k}.rejected")
+    buckets = F.array_compact(F.array(
+        F.when(rejects(dual), DUAL_REJECTS).otherwise(DUAL_ACCEPTS), F.when(~rejects(base) & ~rejects(answer) & ~rejects(dual), ALL_FAIL), F.when(~rejects(answer) & rejects(dual), DUAL_ALONE),
+    ))
+    mark = lambda k: F.concat_ws("/", F.when(rejects(k), "reject").otherwise("accept"), c(f"{k}.support"))
+    category = failure_category(*[c(f"{base}.{k}") for k in ("claim", "subject", "object", "relation")], c(f"{dual}.support"))
+    said = [x for k in (base, answer, dual) for x in (mark(k).alias(f"{k[1:]}_mark"), c(f"{k}.generation").alias(f"{k[1:]}_generation"))]
+    return wide.select("id", one_line(c(f"{base}.question")).alias("question"), c(f"{base}.claim").alias("claim"), candidate_evidence(c(f"{base}.question")).alias("candidate_evidence"), category.alias("category"), buckets.alias("buckets"), *said)
+
+
+def sampled_cases(cases: DataFrame, k: int, order: list[Column]) -> DataFrame:
+    """``k`` cases of each bucket."""
+    return capped_per_key(cases.withColumn("bucket", F.explode("buckets")), ["bucket"], k, order).drop("buckets")

@@ -257,6 +257,40 @@ def probe_supports(spark, sf_dir):
     return metrics.predicted_supports(_scored_probes(spark, sf_dir))
 
 
+def _answered(spark, sf_dir) -> DataFrame:
+    """Relation probes with wrong evidence, answered by three models; one of them leaves some out."""
+    k, n = F.col("event_id"), len(PROBE_SAID)
+    rows = read(spark, sf_dir, "events").where("event_id % 3 = 0").select(k, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("model")) for i, m in enumerate(("base", "answer", "dual"))])).alias("m"))
+    rows = rows.select(k.alias("id"), "m.model", F.element_at(F.array(*[F.lit(r[0]) for r in PROBE_SAID]), ((k + F.col("m.i") * 5) % n + 1).cast("int")).alias("generation")).where("not (model = 'dual' and id % 10 = 0)")
+    claim = F.when(F.col("id") % 4 == 0, "a cat left_of a dog").otherwise("a dog left_of a cat")
+    question = F.concat(F.lit("Visual question: q\nCandidate claim: "), claim, F.lit("\nCandidate evidence:  subject=dog;  object=cat "))
+    return metrics.score_probes(rows.withColumns({
+        "base_task_type": F.when(F.col("id") % 7 == 0, "attribute_color").otherwise("relation_spatial"), "target_support": F.lit("wrong_evidence"), "target_answer": F.lit("yes"), "target_evidence_label": F.lit(None).cast("string"), "question": question,
+        "target_claim": claim, "target_relation": F.when(F.col("id") % 5 == 0, "above").otherwise("left_of"), "target_subject": F.lit("dog"), "target_object": F.lit("cat"),
+    }))
+
+
+_CASES = f"""said(k, answer, claim, label, support, relation, said, valid, failed) AS (VALUES {_PROBE_ROWS}),
+a AS (SELECT event_id AS id, max(s.support) FILTER (s.k = event_id % {len(PROBE_SAID)}) AS base, max(s.support) FILTER (s.k = (event_id + 5) % {len(PROBE_SAID)}) AS answer, max(s.support) FILTER (s.k = (event_id + 10) % {len(PROBE_SAID)}) AS dual
+  FROM events, said s WHERE event_id % 3 = 0 AND event_id % 7 <> 0 AND event_id % 10 <> 0 GROUP BY event_id),
+r AS (SELECT *, base IN ('wrong_evidence', 'contradicted') AS rb, answer IN ('wrong_evidence', 'contradicted') AS ra, dual IN ('wrong_evidence', 'contradicted') AS rd FROM a),
+k AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'a cat left_of a dog' ELSE 'a dog left_of a cat' END AS claim, CASE WHEN id % 4 = 0 THEN 'subject/object swap' WHEN dual = 'supported' THEN 'copied candidate evidence without verification'
+  WHEN id % 5 = 0 THEN 'candidate relation text under-specified' ELSE 'left/right ambiguity' END AS category,
+  CASE WHEN rb THEN 'reject/' ELSE 'accept/' END || base AS base_mark, CASE WHEN ra THEN 'reject/' ELSE 'accept/' END || answer AS answer_mark, CASE WHEN rd THEN 'reject/' ELSE 'accept/' END || dual AS dual_mark, rb, ra, rd FROM r),
+b AS (SELECT *, CASE WHEN rd THEN '{evalsets.DUAL_REJECTS}' ELSE '{evalsets.DUAL_ACCEPTS}' END AS bucket FROM k UNION ALL SELECT *, '{evalsets.ALL_FAIL}' FROM k WHERE NOT rb AND NOT ra AND NOT rd UNION ALL SELECT *, '{evalsets.DUAL_ALONE}' FROM k WHERE NOT ra AND rd)"""
+
+
+@query(
+    f"""WITH {_CASES} SELECT id, bucket, 'Visual question: q Candidate claim: ' || claim || ' Candidate evidence: subject=dog; object=cat' AS question, claim, 'subject=dog; object=cat' AS candidate_evidence, category, base_mark, answer_mark, dual_mark
+FROM b QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY md5('cases|' || id), id) <= 12"""
+)
+def failure_cases(spark, sf_dir):
+    """Cases in which three models are compared, a few of each kind."""
+    cases = evalsets.failure_cases(_answered(spark, sf_dir), "model", ("base", "answer", "dual"))
+    order = [sampling.stable_key("cases", F.col("id")), F.col("id")]
+    return evalsets.sampled_cases(cases, 12, order).drop("base_generation", "answer_generation", "dual_generation")
+
+
 def _key(seed: str, column: str) -> str:
     return f"md5('{seed}|' || CAST({column} AS VARCHAR))"
 

@@ -159,6 +159,9 @@ def test_small_functions(spark):
     (r,) = spark.range(1).select(text.candidate_evidence(F.lit("Q\nCandidate evidence:  label=dog  x\nz")).alias("e"), text.escape_md(F.lit(" a|b\n c")).alias("m"), text.compact(F.lit("ab cd"), 3).alias("k"), parse.normalize_relation(F.lit("On Top-of")).alias("n")).collect()
     assert (r.e, r.m, r.k, r.n) == ("label=dog x", "a\\|b c", "ab ", "on top of")
     assert (text.percent(0.8651), text.interval(0.5, 0.25, 1)) == ("86.5", "50.0 [25.0, 100.0]")
+    assert [text.percent_or_pending(v) for v in (None, 0.5, 1)] == ["pending", "50.0", "100.0"] and text.percent_or_pending(0.125, sign="%") == "12.5%"
+    assert (text.percent_or_pending(0.0005, nudged=True), text.delta(0.123), text.delta(-0.5), text.delta(0.0)) == ("0.1", "+12.3", "-50.0", "+0.0")
+    assert [text.csv_value(v) for v in (None, 0.5, 3, "x")] == ["", "0.500000", 3, "x"]
 
 
 def test_rules_of_exports(spark):
