@@ -601,5 +601,3 @@ def wrong_evidence(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_groups(spark, sf_dir)
 
-
-from . import audit, files, scenes  # noqa: E402, F401  register their queries here
