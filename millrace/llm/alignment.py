@@ -7,7 +7,8 @@ an A token with a B token is a link; how often an id pair is linked in the whole
 Neither tokenizer joins anything across a single space between two characters that aren't white space, so texts fall into
 fragments there, and a fragment that a block of documents has many times is encoded and coalesced once. A block yields one
 row: its documents as lists of fragments, its fragments as lists of links, and the id pairs it has with their numbers. Pairs
-are summed over the corpus, and each block gets the sums of its own pairs back, so nothing larger than a block is gathered.
+are summed over the corpus; tasks hold the sums while they are few, else each block is joined with those of its own pairs,
+so nothing larger than a block is gathered.
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from .shared import Workspace, small, table
+from .shared import BROADCAST, Workspace, small, table
 from .textnp import chunks, column, trim
 
 #: Bytes of fragments that are encoded at once, and of texts that are looked at together.
 PIECE, PART = 1 << 16, 1 << 20
 #: Bytes of texts and distinct fragments that end a block.
-BLOCK, FRAGMENTS = 16 << 20, 1 << 17
+BLOCK, FRAGMENTS = 16 << 20, 100_000
 #: First bytes of characters that are surely no white space, and of how many bytes they are.
 _SOLID = np.zeros(256, np.uint8)
 _SOLID[0x21:0x7F], _SOLID[0xC3:0xE0], _SOLID[0xE0], _SOLID[0xE4:0xF0], _SOLID[0xF0:0xF5] = 1, 2, 3, 3, 4
@@ -289,7 +290,7 @@ def pair_counts(made: DataFrame, n_b: int) -> DataFrame:
     return ws.write(counts.join(small(top), F.col("id_b") == F.col("top_b")).select("pair", "id_a", "id_b", "n", (F.col("n") == F.col("top")).alias("best")), "ranked")
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False, held: int = BROADCAST) -> DataFrame:
     """How two tokenizers cut every row of ``docs`` (doc_id, text): one row each, in any order.
 
     doc_id, n_a and n_b (tokens), n_groups, n_links, n_best (links whose id pair is its B id's most frequent in the corpus,
@@ -299,27 +300,48 @@ def align(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False)
     Texts that are null or empty, or that a tokenizer doesn't give back byte by byte, have no tokens: zeros, and '' for the
     groups and their digest; they don't count in the corpus. A text of any length is read whole; repeated rows each count
     and each get a row; a null doc_id stays null; other columns are not read, whatever their names; an empty table gives none.
+
+    Every task holds the pairs' numbers if they take at most ``held`` bytes, else each block is joined with those of its pairs.
     """
     ws = Workspace(docs.sparkSession, "align")
     made = ws.write(blocks(docs, path_a, path_b, with_groups), "blocks")
-    ranked = small(pair_counts(made, len(pair_of(path_a, path_b).bytes_b)).select(F.col("pair").alias("key"), "n", "best"))
-    own = made.select("block", F.posexplode("pair").alias("pos", "pair")).join(ranked, F.col("pair") == F.col("key"))
-    values = own.groupBy(F.col("block").alias("of")).agg(F.sort_array(F.collect_list(F.struct("pos", "n", "best"))).alias("value"))
+    ranked = pair_counts(made, len(pair_of(path_a, path_b).bytes_b)).select(F.col("pair").alias("key"), "n", "best")
     row = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *(["groups"] if with_groups else [])]
     needed = [*row, "n_fragments", "fragment", "fragment_links", "link", "pair"]
-    joined = made.join(values, F.col("block") == F.col("of"), "left").select(*needed, "value")
     kind = {f.name: f.dataType.elementType for f in made.schema if f.name in row}
     schema = StructType([StructField(c, kind[c]) for c in row] + StructType.fromDDL("n_best long, count_sum long").fields)
+    shared = None
+    if ranked.count() * 17 <= held:
+        known = ranked.orderBy("key").toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast(tuple(known[c].to_numpy().astype(np.int64) for c in ("key", "n", "best")))
+        joined = made.select(needed)
+    else:
+        own = made.select("block", F.posexplode("pair").alias("pos", "pair")).join(ranked, F.col("pair") == F.col("key"))
+        values = own.groupBy(F.col("block").alias("of")).agg(F.sort_array(F.collect_list(F.struct("pos", "n", "best"))).alias("value"))
+        joined = made.join(values, F.col("block") == F.col("of"), "left").select(*needed, "value")
+
+    def numbers(batch: pa.RecordBatch, i: int, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many links each pair of a block has in the corpus, and whether that is its B id's highest; 0 for pairs without."""
+        n, best = np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
+        if shared is not None:
+            key, every, top = shared.value
+            if len(key):
+                at = np.minimum(np.searchsorted(key, pair), len(key) - 1)
+                there = key[at] == pair
+                n[there], best[there] = every[at[there]], top[at[there]]
+            return n, best
+        value = column(batch, "value").slice(i, 1).flatten()
+        if len(value):
+            pos, every, top = (x.to_numpy(zero_copy_only=False) for x in value.flatten())
+            n[pos], best[pos] = every, top
+        return n, best
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                one = {c: column(batch, c).slice(i, 1).flatten() for c in (*needed, "value")}
+                one = {c: column(batch, c).slice(i, 1).flatten() for c in needed}
                 num = {c: one[c].to_numpy(zero_copy_only=False) for c in needed if c not in row}
-                n, best = np.zeros(len(num["pair"]), np.int64), np.zeros(len(num["pair"]), np.int64)
-                if len(one["value"]):
-                    pos, each, top = (x.to_numpy(zero_copy_only=False) for x in one["value"].flatten())
-                    n[pos], best[pos] = each, top
+                n, best = numbers(batch, i, num["pair"])
                 sums = [_sums(_sums(v[num["link"]], num["fragment_links"])[num["fragment"]], num["n_fragments"]) for v in (best, n)]
                 yield pa.RecordBatch.from_arrays([*(one[c] for c in row), *map(pa.array, sums)], names=schema.names)
             trim()

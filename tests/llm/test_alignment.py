@@ -3,6 +3,7 @@
 import collections
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import alignment
@@ -50,15 +51,17 @@ def rows_of(df):
     return collections.Counter((r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in df.collect())
 
 
-def test_alignment_of_short_documents(spark):
+@pytest.mark.parametrize("held", [1 << 25, 0])
+def test_alignment_of_short_documents(spark, held, monkeypatch):
+    monkeypatch.setattr(alignment, "FRAGMENTS", 500)  # many blocks
     docs = spark.read.parquet(f"{SF}/documents.parquet").where(F.length("text") < 1500)
-    assert rows_of(alignment.align(docs, *alignment.vocabularies())) == brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert rows_of(alignment.align(docs, *alignment.vocabularies(), held=held)) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
 def test_alignment_of_odd_rows(spark):
     docs = spark.createDataFrame(ODD, "doc_id long, text string").withColumn("n_a", F.lit("clash")).withColumn("block", F.lit(1))
     got = alignment.align(docs, *alignment.vocabularies(), with_groups=True)
-    assert rows_of(got) == brute(ODD)
+    assert rows_of(got) == brute(ODD) == rows_of(alignment.align(docs, *alignment.vocabularies(), held=0))
     assert all(hashlib.sha256(r.groups.encode()).hexdigest() == r.groups_sha256 if r.groups else not r.groups_sha256 for r in got.collect())
     assert alignment.align(docs.limit(0), *alignment.vocabularies()).count() == 0
 
