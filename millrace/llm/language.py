@@ -36,7 +36,7 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 #: Rows of the sample in all, buckets, lengths of the runs in bytes; what the machines pay for an error, passes over the sample.
-SAMPLE, BUCKETS, LENGTHS, COST, PASSES = 4000, 1 << 13, (2, 3, 4), 1.0, 30
+SAMPLE, BUCKETS, LENGTHS, COST, PASSES = 3000, 1 << 13, (2, 3, 4), 1.0, 30
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _KEPT = np.full(256, 0x20, np.uint8)
@@ -75,21 +75,23 @@ def runs(data: np.ndarray, offs: np.ndarray, buckets: int = BUCKETS, lengths: tu
     return starts, total, out
 
 
-def machine(x: np.ndarray, y: np.ndarray, cost: float = COST, passes: int = PASSES, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear support vector machine; ``y`` is +1 or -1, and both classes pay the same in all."""
+def machine(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, cost: float = COST, passes: int = PASSES, seed: int = 0) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear support vector machine on some rows of ``x``; ``y`` is +1 or -1 for each of them, and both classes pay the same in all."""
     rng, n = np.random.RandomState(seed), len(y)
-    square = np.einsum("ij,ij->i", x, x) + 1.0
+    rows = np.arange(n) if rows is None else rows
+    square = np.einsum("ij,ij->i", x, x)[rows] + 1.0
     most = np.where(y > 0, cost * n / (2 * max(1, (y > 0).sum())), cost * n / (2 * max(1, (y < 0).sum())))
     alpha, w, b = np.zeros(n), np.zeros(x.shape[1], np.float32), 0.0
     for _ in range(passes):
         moved = 0.0
         for i in rng.permutation(n).tolist():
-            gradient = y[i] * (float(x[i] @ w) + b) - 1.0
+            own = x[rows[i]]
+            gradient = y[i] * (float(own @ w) + b) - 1.0
             new = min(max(alpha[i] - gradient / square[i], 0.0), most[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
                 moved = max(moved, abs(step))
-                w += np.float32(step) * x[i]
+                w += np.float32(step) * own
                 b += step
                 alpha[i] = new
         if moved < 1e-3:
@@ -109,12 +111,12 @@ class Model:
 
     @staticmethod
     def fit(x: np.ndarray, langs: list[str], family_of: dict[str, str] = FAMILY_OF, cost: float = COST, passes: int = PASSES) -> Model:
-        """From shares of runs, a row a text. A bucket's shares are divided by the root of their mean, so that rare ones count."""
+        """From shares of runs, a row a text. A bucket's shares are divided by the root of their mean, in place, so that rare ones count."""
         lang = np.array(langs, object)
         family = np.array([family_of.get(c, c) for c in langs], object)
         mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
         scale = np.where(mean > 0, 1 / np.sqrt(np.maximum(mean, 1e-12)), 0.0).astype(np.float32)
-        x = x * scale
+        x *= scale
         out = Model(sorted(set(family)))
 
         def columns(fitted: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,13 +126,13 @@ class Model:
             return weights, np.array([b for _, b in fitted])
 
         against = out.families if len(out.families) > 1 else []
-        out.top, out.top_bias = columns([machine(x, np.where(family == f, 1.0, -1.0), cost, passes) for f in against])
+        out.top, out.top_bias = columns([machine(x, np.where(family == f, 1.0, -1.0), None, cost, passes) for f in against])
         for f in out.families:
             own = out.languages[f] = sorted(set(lang[family == f]))
             fitted = []
             for a, b in combinations(own, 2):
                 at = np.flatnonzero((lang == a) | (lang == b))
-                fitted.append(machine(x[at], np.where(lang[at] == a, 1.0, -1.0), cost, passes))
+                fitted.append(machine(x, np.where(lang[at] == a, 1.0, -1.0), at, cost, passes))
             out.within[f] = columns(fitted)
         return out
 
@@ -200,11 +202,11 @@ def fit(docs: DataFrame, learn: Column, rows: int = SAMPLE, buckets: int = BUCKE
                 cut = lambda v: pa.array([v[i:j].tobytes() for i, j in zip(ends, ends[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([column(batch, "lang").slice(a, b - a), cut(at), cut(share)], names=["lang", "at", "share"])
 
-    taken = sorted((r.lang, bytes(r.at), bytes(r.share)) for r in few.mapInArrow(shares, "lang string, at binary, share binary").collect())
+    taken = few.mapInArrow(shares, "lang string, at binary, share binary").orderBy("lang", "at", "share").toArrow()
     x = np.zeros((len(taken), buckets), np.float32)
-    for i, (_, at, share) in enumerate(taken):
-        x[i, np.frombuffer(at, "<i4")] = np.frombuffer(share, "<f4")
-    return Model.fit(x, [t[0] for t in taken], family_of)
+    for i, (at, share) in enumerate(zip(taken["at"], taken["share"])):
+        x[i, np.frombuffer(at.as_buffer(), "<i4")] = np.frombuffer(share.as_buffer(), "<f4")
+    return Model.fit(x, taken["lang"].to_pylist(), family_of)
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
