@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import export, raw
+from ..operators import curate, export, raw
 from ..sources import documents, files
 from ..streaming import scoring
 from .registry import _COUNTS, _PARSED, _RATES, _generations, _turns, _TURNS, query, read
@@ -13,20 +13,55 @@ from .scenes import _graphs
 from .store import shared_path, table_store
 
 
-@query("SELECT l_orderkey AS image_id, l_partkey AS category_id, l_quantity::DOUBLE AS x, (l_linenumber * 3)::DOUBLE AS y, (l_quantity - 5)::DOUBLE AS w, (l_linenumber + 1)::DOUBLE AS h, CASE l_linenumber % 5 WHEN 0 THEN 1 ELSE 0 END AS iscrowd FROM lineitem")
-def document_boxes(spark, sf_dir):
-    """A detection document of all lines, written by many tasks and read back in byte ranges."""
+_DOCUMENT = """d AS (SELECT l_orderkey AS image_id, l_linenumber AS annotation_id, l_partkey AS category_id, l_quantity::DOUBLE AS x, (l_linenumber * 3)::DOUBLE AS y, (l_quantity - 5)::DOUBLE AS w, (l_linenumber + 1)::DOUBLE AS h,
+  CASE l_linenumber % 5 WHEN 0 THEN 1 ELSE 0 END AS iscrowd FROM lineitem)"""
+
+
+def _document(spark, sf_dir) -> str:
+    """A detection document of all lines, written by many tasks."""
     c, n = F.col, F.col("l_linenumber")
     boxes = read(spark, sf_dir, "lineitem").select(
-        c("l_orderkey").alias("image_id"), c("l_partkey").alias("category_id"), F.array(c("l_quantity").cast("double"), (n * 3).cast("double"), (c("l_quantity") - 5).cast("double"), (n + 1).cast("double")).alias("bbox"),
+        n.alias("id"), c("l_orderkey").alias("image_id"), c("l_partkey").alias("category_id"), F.array(c("l_quantity").cast("double"), (n * 3).cast("double"), (c("l_quantity") - 5).cast("double"), (n + 1).cast("double")).alias("bbox"),
         F.when(n % 5 == 0, 1).otherwise(0).alias("iscrowd"),
     )
-    images = read(spark, sf_dir, "orders").select(c("o_orderkey").alias("id"), F.concat(c("o_orderkey").cast("string"), F.lit(".jpg")).alias("file_name"))
+    images = read(spark, sf_dir, "orders").select(c("o_orderkey").alias("id"), F.concat(c("o_orderkey").cast("string"), F.lit(".jpg")).alias("file_name"), F.lit(64).alias("width"), F.lit(32).alias("height"))
     names = read(spark, sf_dir, "part").select(c("p_partkey").alias("id"), c("p_name").alias("name"))
     path = shared_path(spark, "boxes") + ".json"
     documents.write_document({"images": images, "annotations": boxes, "categories": names}, path)
-    got = documents.read_arrays(spark, path, {"annotations": "image_id long, category_id long, bbox array<double>, iscrowd int"}, 1 << 20)["annotations"]
-    return got.select("image_id", "category_id", *[c("bbox")[i].alias(k) for i, k in enumerate("xywh")], "iscrowd")
+    return path
+
+
+@query(f"WITH {_DOCUMENT} SELECT * FROM d")
+def document_boxes(spark, sf_dir):
+    """The boxes of a detection document, read back in byte ranges."""
+    return documents.detection_tables(spark, _document(spark, sf_dir), 1 << 20)[1].drop("area")
+
+
+@query(
+    f"""WITH {_DOCUMENT} SELECT image_id, regexp_replace(lower(p_name), '[^a-z0-9 /]+', '', 'g') AS name, max(greatest(w, 0) * h) AS max_area FROM d JOIN part ON category_id = p_partkey JOIN orders ON image_id = o_orderkey
+WHERE iscrowd = 0 AND greatest(w, 0) * h >= 20.48 GROUP BY ALL"""
+)
+def document_objects(spark, sf_dir):
+    """Classes that the images of a detection document show: all three of its arrays joined."""
+    return curate.visible_objects(*documents.detection_tables(spark, _document(spark, sf_dir), 1 << 20))
+
+
+@query("SELECT p_partkey, p_name || chr(10) || '\"x\", ' || p_brand AS text, p_retailprice AS price FROM part")
+def csv_table(spark, sf_dir):
+    """A table with quotes, commas and line feeds in its texts, written as CSV and read back."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit('\n"x", '), "p_brand").alias("text"), F.col("p_retailprice").alias("price"))
+    path = shared_path(spark, "csv")
+    files.write_csv(rows, path)
+    return files.read_csv(spark, path, rows.schema)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer UNION SELECT CAST(o_orderkey AS VARCHAR) FROM orders")
+def id_files(spark, sf_dir):
+    """Ids of a text file and of records, together and each once."""
+    text, lines = shared_path(spark, "ids"), shared_path(spark, "rows") + ".jsonl"
+    files.write_ids(read(spark, sf_dir, "customer"), "c_custkey", text)
+    files.write_jsonl(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"), "o_orderstatus"), lines)
+    return files.read_id_set(spark, [text, lines])
 
 
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS image_id, count(DISTINCT l_linenumber) AS n_objects FROM lineitem GROUP BY l_orderkey")

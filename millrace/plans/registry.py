@@ -446,6 +446,20 @@ def first_reasons(spark, sf_dir):
     return quality.reason_counts(read(spark, sf_dir, "documents"), _rules())
 
 
+@query(
+    r"""WITH w AS (SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9'']+')) AS n FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN text IS NULL OR text = '' THEN 'missing_text' END, CASE WHEN n < 20 THEN 'too_short' END, CASE WHEN n > 2000 THEN 'too_long' END, CASE WHEN source IN ('src1', 'src2') THEN 'bad_source' END) AS reasons FROM w"""
+)
+def every_reason(spark, sf_dir):
+    """All rules that a row breaks."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(quality.all_reasons(_rules()), ",").alias("reasons"))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def repeated_ids(spark, sf_dir):
+    return quality.duplicate_ids(read(spark, sf_dir, "orders"), "o_custkey")
+
+
 @query(
     r"""WITH w AS (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9'']+')) AS n FROM documents)
 SELECT 'missing_text' AS rule, count(*) FILTER (WHERE text IS NULL OR text = '') AS n_failed FROM w UNION ALL SELECT 'too_short', count(*) FILTER (WHERE n < 20) FROM w

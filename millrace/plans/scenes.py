@@ -562,6 +562,19 @@ def verifier_rows(spark, sf_dir):
     return export.verifier_rows(records, "chosen_claims", "supported", "supported_verifier").unionByName(export.verifier_rows(wrong, "rejected_claims", "wrong_evidence", "wrong_verifier"))
 
 
+@query(
+    f"""WITH {_SCENES}, {_TOLD}, e AS (SELECT id || '_wrong' AS id FROM w), n AS (SELECT count(*) AS n, count(*) FILTER (id LIKE '1%') AS k, count(*) FILTER (id LIKE '2%') AS m, count(*) FILTER (id LIKE '3%') AS b FROM e)
+SELECT unnest(['missing_id', 'missing_image', 'missing_prompt', 'missing_chosen', 'missing_rejected', 'missing_slice', 'identical_answers', 'verifier_support']) AS rule, unnest([0::BIGINT, k, 0, 0, m, 0, b, m + k]) AS n_failed FROM n"""
+)
+def dual_report(spark, sf_dir):
+    """Rules of a mixed export on verifier rows that are broken by the first digit of their source."""
+    c = F.col
+    rows = export.verifier_rows(claims.wrong_evidence_claims(_records(spark, sf_dir)), "rejected_claims", "wrong_evidence", "wrong_verifier")
+    at = F.substring("source_record_id", 1, 1)
+    spoiled = {"image": F.when(at == "1", "").otherwise(c("image")), "rejected": F.when(at == "2", "").when(at == "3", c("chosen")).otherwise(c("rejected")), "chosen": F.when(at == "1", '{"support": "maybe"}').otherwise(c("chosen"))}
+    return quality.rule_report(rows.withColumns(spoiled), export.dual_rules())
+
+
 def _detections(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Orders as images, lines as boxes, parts as categories; some images have no file name, some boxes no area."""
     c, n, k = F.col, F.col("l_linenumber"), F.col("o_orderkey")

@@ -236,6 +236,20 @@ def read_arrays(spark: SparkSession, path: str, schemas: dict[str, str], range_b
     return out
 
 
+#: Arrays of a detection document.
+DETECTION = {
+    "images": "id long, file_name string, width double, height double", "annotations": "id long, image_id long, category_id long, bbox array<double>, area double, iscrowd int",
+    "categories": "id long, name string",
+}
+
+
+def detection_tables(spark: SparkSession, path: str, range_bytes: int = RANGE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """images, annotations and categories of a detection document, with the columns that ``curate`` takes."""
+    got = read_arrays(spark, path, DETECTION, range_bytes)
+    boxes = got["annotations"].select(F.col("id").alias("annotation_id"), "image_id", "category_id", *[F.get("bbox", F.lit(i)).alias(k) for i, k in enumerate("xywh")], "area", "iscrowd")
+    return got["images"].withColumnRenamed("id", "image_id"), boxes, got["categories"].withColumnRenamed("id", "category_id")
+
+
 def read_map(spark: SparkSession, path: str, schema: str, range_bytes: int = RANGE) -> DataFrame:
     """(key, value) of a document that is one object of many fields, such as scene graphs by image."""
     size = _size(path)

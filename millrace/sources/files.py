@@ -62,16 +62,6 @@ def read_id_set(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out.where("id <> ''").distinct()
 
 
-def exploded_annotations(doc: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """images, annotations and categories of a detection document."""
-    images = doc.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height")
-    boxes = doc.select(F.explode("annotations").alias("a")).select(
-        F.col("a.image_id"), F.col("a.category_id"), F.col("a.bbox")[0].alias("x"), F.col("a.bbox")[1].alias("y"), F.col("a.bbox")[2].alias("w"),
-        F.col("a.bbox")[3].alias("h"), F.col("a.area"), F.col("a.iscrowd"),
-    )
-    return images, boxes, doc.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), "c.name")
-
-
 def _sorted(value: Column, kind: DataType) -> Column:
     """A value with the fields of all its structs in the order of their names."""
     if isinstance(kind, StructType):
