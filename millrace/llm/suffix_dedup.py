@@ -177,7 +177,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
 
     Texts are UTF-8 bytes, null is empty; matches stay within a document, overlaps count, and strings are judged on the
     input. Every occurrence goes, the first too. Rows with equal texts cover each other whole, if long enough; so do rows
-    that repeat a doc_id. Texts are known by two 64-bit hashes. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256,
+    that repeat a doc_id. Texts are known by two 64-bit hashes. A text of any length (below 2 GB) is worked on whole; an empty
+    table gives no rows; other columns aren't read, whatever their names. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256,
     and the remaining bytes as ``kept`` if asked for (they may cut a character).
     """
     ws = Workspace(docs.sparkSession, "suffix_dedup")
@@ -211,10 +212,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
     texts = ws.write(texts, "texts")
     often = found.groupBy("h").agg((F.sum(F.octet_length("spots")) / 12).alias("times")).where("times > 1")
     # What several tasks saw of one text counts once.
-    shared = found.join(often, "h").groupBy("t1", "t2", "h", "spots").agg(F.max("times").alias("times"))
-    per_text = shared.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "spots", (F.col("times") > crowd).alias("hot"))).alias("anchors"))
+    shared = ws.write(found.join(often, "h").groupBy("t1", "t2", "h", "spots").agg(F.max("times").alias("times")), "shared")
+    # Crowded are anchors with many segments of different texts; tasks have seen as many of them at least.
+    crowds = shared.where(F.col("times") > crowd).groupBy(F.col("h").alias("g")).agg((F.sum(F.octet_length("spots")) / 12).alias("segments"))
+    crowds = small(ws.write(crowds.where(F.col("segments") > crowd).select("g"), "crowds"))
+    shared = shared.join(crowds, F.col("h") == F.col("g"), "left")
+    per_text = shared.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "spots", F.col("g").isNotNull().alias("hot"))).alias("anchors"))
     per_text = ws.write(per_text.join(texts.select("t1", "t2", "one"), ["t1", "t2"]), "per_text")
-    ws.drop("anchors")
+    ws.drop("anchors", "shared")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments; for a crowded anchor, two hashes of each string and its starts (bytes null)."""
