@@ -13,7 +13,7 @@ from .scenes import _graphs
 from .store import shared_path, table_store
 
 
-_DOCUMENT = """d AS (SELECT l_orderkey AS image_id, l_linenumber AS annotation_id, l_partkey AS category_id, l_quantity::DOUBLE AS x, (l_linenumber * 3)::DOUBLE AS y, (l_quantity - 5)::DOUBLE AS w, (l_linenumber + 1)::DOUBLE AS h,
+_DOCUMENT = """d AS (SELECT l_orderkey AS image_id, l_linenumber::BIGINT AS annotation_id, l_partkey AS category_id, l_quantity::DOUBLE AS x, (l_linenumber * 3)::DOUBLE AS y, (l_quantity - 5)::DOUBLE AS w, (l_linenumber + 1)::DOUBLE AS h,
   CASE l_linenumber % 5 WHEN 0 THEN 1 ELSE 0 END AS iscrowd FROM lineitem)"""
 
 
