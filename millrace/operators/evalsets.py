@@ -141,7 +141,7 @@ def paraphrases(rows: DataFrame, index: Column) -> DataFrame:
     c = F.col
     evidence = probe_evidence(variant, c("target_claim"), c("target_evidence_label"), c("target_subject"), c("target_relation"), c("target_object"))
     text = by_variant(variant, WORDINGS, question=visual_question(c("target_claim"), c("question")), claim=c("target_claim"), evidence=evidence)
-    told = {"id": F.concat(c("id").cast("string"), F.lit("_paraphrase")), "benchmark": F.lit("cepo_paraphrase_probe"), "question": text, "paraphrase_source_id": c("id"), "paraphrase_variant": variant.cast("string")}
+    told = {"id": F.concat(c("id").cast("string"), F.lit("_paraphrase")), "benchmark": F.lit("paraphrase_probe"), "question": text, "paraphrase_source_id": c("id"), "paraphrase_variant": variant.cast("string")}
     return rows.withColumns(told)
 
 
@@ -160,9 +160,9 @@ def bucketed_cases(rows: DataFrame, buckets: dict[str, Column], k: int, order: l
     return capped_per_key(rows.withColumn("bucket", F.explode(held)), ["bucket"], k, order)
 
 
-# The kinds of cases in which three models are compared.
-DUAL_REJECTS, DUAL_ACCEPTS = "CEPO-Dual correctly rejects relation wrong-evidence", "CEPO-Dual falsely accepts relation wrong-evidence"
-ALL_FAIL, DUAL_ALONE = "All models fail", "Answer-DPO fails but CEPO-Dual succeeds"
+# The kinds of cases in which three models are compared; their names are our own.
+DUAL_REJECTS, DUAL_ACCEPTS = "The dual model correctly rejects relation wrong-evidence", "The dual model falsely accepts relation wrong-evidence"
+ALL_FAIL, DUAL_ALONE = "All models fail", "The answer model fails but the dual model succeeds"
 
 
 def failure_cases(scored: DataFrame, model: str, models: tuple[str, str, str]) -> DataFrame:

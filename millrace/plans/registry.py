@@ -578,7 +578,7 @@ e AS (SELECT *, CASE WHEN object_only THEN CASE i WHEN 0 THEN 'it points to the
   WHEN attribute THEN CASE i WHEN 0 THEN 'it describes ' || label || ' with attribute red' WHEN 1 THEN 'the evidence phrase says the ' || label || ' is red' ELSE 'a support cue naming ' || label || ' and the property red' END
   ELSE CASE i WHEN 0 THEN 'it identifies ' || replace(target_subject, chr(35), '') || ' as being ' || direction || ' ' || target_object WHEN 1 THEN 'the supporting relation is that ' || replace(target_subject, chr(35), '') || ' is ' || direction || ' ' || target_object
     ELSE 'a relation cue with subject ' || replace(target_subject, chr(35), '') || ', object ' || target_object || ', and direction ' || target_relation END END AS evidence FROM w)
-SELECT id || '_paraphrase' AS id, 'cepo_paraphrase_probe' AS benchmark, image_id, target_subject, id AS paraphrase_source_id, CAST(i AS VARCHAR) AS paraphrase_variant, CASE i
+SELECT id || '_paraphrase' AS id, 'paraphrase_probe' AS benchmark, image_id, target_subject, id AS paraphrase_source_id, CAST(i AS VARCHAR) AS paraphrase_variant, CASE i
   WHEN 0 THEN 'Question for the image: ' || asked || chr(10) || 'Claim to verify: ' || claim || chr(10) || 'Proposed visual support: ' || evidence || chr(10) || 'Judge whether the proposed support is valid evidence for the claim.'
   WHEN 1 THEN 'Image question: ' || asked || chr(10) || 'We are checking this claim: ' || claim || chr(10) || 'The candidate support says: ' || evidence || chr(10) || 'Does this support actually back up the claim in the image?'
   ELSE 'Consider the visual claim ' || chr(39) || claim || chr(39) || ' for the image question ' || chr(39) || asked || chr(39) || '.' || chr(10) || 'Candidate support description: ' || evidence || chr(10) || 'Decide if that support should be accepted for the claim.' END AS question FROM e"""
