@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_name, mentions
+from ..functions.steps import once
+from ..functions.text import clean_name
 
 # The marks of both kinds of sheets, shares of yes that they must reach, what counts as yes and no, what
 # hints must say, and the reasons.
@@ -44,12 +45,18 @@ def audit_text(text: Column) -> Column:
 
 
 def says(text: Column, phrase: Column) -> Column:
-    return mentions(audit_text(text), phrase)
+    """Whether a cleaned text has a cleaned phrase as whole words; an empty phrase is never said."""
+    pad = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    return (phrase != "") & F.contains(pad(text), pad(phrase))
 
 
 def relation_in(text: Column, relation: Column) -> Column:
     """Whether a text names a relation; left and right count within words too."""
-    text, relation = audit_text(text), _clean(relation)
+    return _names_relation(audit_text(text), _clean(relation))
+
+
+def _names_relation(text: Column, relation: Column) -> Column:
+    """``relation_in`` of what is cleaned."""
     return F.when(relation.isin("left", "left of"), F.contains(text, F.lit("left"))).when(relation.isin("right", "right of"), F.contains(text, F.lit("right"))).otherwise((relation != "") & F.contains(text, relation))
 
 
@@ -81,72 +88,79 @@ def split_relation(span: Column) -> Column:
 
 
 def preference_marks(rows: DataFrame) -> DataFrame:
-    """Add the marks of PREFERENCE_MARKS and ``reasons`` to preference records."""
-    c = F.col
-    positive, negative, obj, subject = (_clean(c(k)) for k in ("positive", "negative", "object", "subject"))
+    """Add the marks of PREFERENCE_MARKS and ``reasons`` to preference records. Names and texts are cleaned once a row."""
+    c, columns = F.col, rows.columns
     visible = F.transform(F.coalesce("visible", F.array().cast("array<string>")), lambda v: _clean(v))
     told = lambda words: F.contains(_low(c("hint_chosen")), F.lit(words[0])) & F.contains(_low(c("hint_rejected")), F.lit(words[1]))
-
-    def named(text: str, *names: Column) -> Column:
-        ok = F.lit(True)
-        for n in names:
-            ok = ok & mentions(c(text), n)  # an empty name is never mentioned
-        return ok
-
-    def marks(chosen: Column, rejected: Column, hint: Column, reasons: list[str]) -> Column:
-        ok = [F.coalesce(x, F.lit(False)) for x in (chosen, rejected, hint)]
-        why = F.array_compact(F.array(*[F.when(~x, r) for x, r in zip(ok, reasons)]))
-        return F.struct(*[_yes(x).alias(k) for x, k in zip(ok, PREFERENCE_MARKS)], why.alias("reasons"))
-
-    pair = lambda *shared: (named("chosen", *shared, positive), named("rejected", *shared, negative), named("hint_chosen", *shared, positive) & named("hint_rejected", *shared, negative))
-    chosen, rejected, hint = pair()
-    objects = marks(F.array_contains(visible, positive) & chosen, ~F.array_contains(visible, negative) & rejected, hint & told(OBJECT_HINTS), OBJECT_REASONS)
-    chosen, rejected, hint = pair(obj)
-    attributes = marks(chosen, rejected, hint & told(ATTRIBUTE_HINTS), ATTRIBUTE_REASONS)
-    chosen, rejected, hint = pair(subject, obj)
-    relations = marks(chosen, rejected, hint & told(RELATION_HINTS), RELATION_REASONS)
-    unknown = F.struct(*[F.lit("no").alias(k) for k in PREFERENCE_MARKS], F.array(F.concat(F.lit("unsupported GQA task_type: "), F.coalesce("task_type", F.lit("")))).alias("reasons"))
+    names, texts = ("positive", "negative", "object", "subject"), ("chosen", "rejected", "hint_chosen", "hint_rejected")
+    rows = once(rows, **{f"_{k}": _clean(c(k)) for k in (*names, *texts)}, _visible=visible)
+    named = lambda text, *parts: _every([says(c(f"_{text}"), c(f"_{n}")) for n in parts])
+
+    def marks(words: tuple[str, str], reasons: list[str], shared: tuple[str, ...] = (), objects: bool = False) -> Column:
+        chosen, rejected = named("chosen", *shared, "positive"), named("rejected", *shared, "negative")
+        hint = named("hint_chosen", *shared, "positive") & named("hint_rejected", *shared, "negative") & told(words)
+        if objects:
+            chosen, rejected = F.array_contains("_visible", c("_positive")) & chosen, ~F.array_contains("_visible", c("_negative")) & rejected
+        return F.struct(*[F.coalesce(x, F.lit(False)).alias(k) for x, k in zip((chosen, rejected, hint), PREFERENCE_MARKS)], F.array(*map(F.lit, reasons)).alias("reasons"), F.lit(True).alias("known"))
+
+    unknown = F.struct(*[F.lit(False).alias(k) for k in PREFERENCE_MARKS], F.array(F.concat(F.lit("unsupported GQA task_type: "), F.coalesce("task_type", F.lit("")))).alias("reasons"), F.lit(False).alias("known"))
     of_graph = F.coalesce(c("source") == "gqa", F.lit(False))
-    kind = F.when(~of_graph, objects).when(F.startswith("task_type", F.lit("attribute_")), attributes).when(c("task_type") == "relation_spatial", relations).otherwise(unknown)
-    rows = rows.withColumn("_m", kind)
-    return rows.withColumns({k: c(f"_m.{k}") for k in (*PREFERENCE_MARKS, "reasons")}).drop("_m")
+    kind = F.when(~of_graph, marks(OBJECT_HINTS, OBJECT_REASONS, objects=True)).when(F.startswith("task_type", F.lit("attribute_")), marks(ATTRIBUTE_HINTS, ATTRIBUTE_REASONS, ("object",)))
+    rows = once(rows, _m=kind.when(c("task_type") == "relation_spatial", marks(RELATION_HINTS, RELATION_REASONS, ("subject", "object"))).otherwise(unknown))
+    why = F.array_compact(F.array(*[F.when(~c(f"_m.{k}"), F.get("_m.reasons", F.lit(i))) for i, k in enumerate(PREFERENCE_MARKS)]))
+    return rows.select(*columns, *[_yes(c(f"_m.{k}")).alias(k) for k in PREFERENCE_MARKS], F.when(c("_m.known"), why).otherwise(c("_m.reasons")).alias("reasons"))
+
+
+def _every(conditions: list[Column]) -> Column:
+    out = F.lit(True)
+    for x in conditions:
+        out = out & x
+    return out
+
+
+def _claim_parts(claim: Column) -> Column:
+    """What marks need of a claim, cleaned: its span, labels of evidence, attribute and relation."""
+    labels = F.transform(F.coalesce(claim["evidence"], F.array()), lambda e: _clean(e["label"]))
+    return F.struct(claim["type"].alias("type"), _clean(claim["span"]).alias("span"), labels.alias("labels"), _clean(claim["attribute"]).alias("attribute"), _clean(claim["relation"]).alias("relation"))
 
 
-def answer_fits(answer: Column, claim: Column) -> Column:
-    """Whether an answer says what a claim's span says."""
-    text, span = _clean(answer), _clean(claim["span"])
-    attribute, relation = split_attribute(span), split_relation(span)
-    return (text != "") & (span != "") & (
-        F.when(claim["type"] == "object", says(text, F.replace(span, F.lit(" visible"), F.lit(""))))
+def answer_fits(text: Column, claim: Column, attribute: Column, relation: Column) -> Column:
+    """Whether a cleaned answer says what the span of ``_claim_parts`` says; that is split in ``attribute`` and ``relation``."""
+    return (text != "") & (claim["span"] != "") & (
+        F.when(claim["type"] == "object", says(text, F.replace(claim["span"], F.lit(" visible"), F.lit(""))))
         .when(claim["type"] == "attribute", says(text, attribute["object"]) & says(text, attribute["attribute"]))
-        .when(claim["type"] == "relation", says(text, relation["subject"]) & says(text, relation["object"]) & relation_in(text, relation["relation"])).otherwise(False)
+        .when(claim["type"] == "relation", says(text, relation["subject"]) & says(text, relation["object"]) & _names_relation(text, relation["relation"])).otherwise(False)
     )
 
 
 def evidence_fits(text: Column, claim: Column) -> Column:
-    """Whether a text names all evidence of a claim, and its attribute or relation."""
-    shown = F.coalesce(claim["evidence"], F.array())
-    every = (F.size(shown) > 0) & F.forall(shown, lambda e: says(text, e["label"]))
-    return (audit_text(text) != "") & every & F.when(claim["type"] == "attribute", says(text, claim["attribute"])).when(claim["type"] == "relation", relation_in(text, claim["relation"])).otherwise(True)
+    """Whether a text, cleaned as by ``audit_text``, names all evidence of ``_claim_parts``, and its attribute or relation."""
+    every = (F.size(claim["labels"]) > 0) & F.forall(claim["labels"], lambda e: says(text, e))
+    return (text != "") & every & F.when(claim["type"] == "attribute", says(text, claim["attribute"])).when(claim["type"] == "relation", _names_relation(text, claim["relation"])).otherwise(True)
 
 
 def claim_marks(rows: DataFrame) -> DataFrame:
-    """Add the marks of CLAIM_MARKS and ``reasons``.
+    """Add the marks of CLAIM_MARKS and ``reasons``. Names, texts and spans are cleaned and split once a row.
 
     ``rows`` have negative_type, chosen_claims and rejected_claims of a record, and chosen_answer, rejected_answer,
     chosen_evidence, rejected_evidence and rejected_support as a sheet shows them; without support the claim's own counts.
     """
-    c = F.col
-    chosen, rejected = F.get("chosen_claims", F.lit(0)), F.get("rejected_claims", F.lit(0))
-    support = _clean(F.coalesce(F.nullif("rejected_support", F.lit("")), rejected["support"]))
+    c, columns, sides = F.col, rows.columns, ("chosen", "rejected")
+    first = lambda side: F.get(f"{side}_claims", F.lit(0))
+    texts = {f"_{s}_answer": _clean(c(f"{s}_answer")) for s in sides} | {f"_{s}_evidence": audit_text(c(f"{s}_evidence")) for s in sides}
+    rows = once(rows, **texts, **{f"_{s}": _claim_parts(first(s)) for s in sides}, _support=_clean(F.coalesce(F.nullif("rejected_support", F.lit("")), first("rejected")["support"])))
+    split = {f"_{s}_{k}": F.when(c(f"_{s}.type") == k, f(c(f"_{s}.span"))) for s in sides for k, f in (("attribute", split_attribute), ("relation", split_relation))}
+    rows = once(rows, **split)
     wrong = F.coalesce(c("negative_type") == "evidence_wrong", F.lit(False))
     due = F.when(wrong, "wrong evidence").when(c("negative_type").isin("answer_wrong", "attribute_mismatch", "relation_reversal"), "contradicted")
+    answer = lambda s: answer_fits(c(f"_{s}_answer"), c(f"_{s}"), c(f"_{s}_attribute"), c(f"_{s}_relation"))
+    shown = lambda s: evidence_fits(c(f"_{s}_evidence"), c(f"_{s}"))
     marks = {
-        "chosen_answer_correct": _yes(answer_fits(c("chosen_answer"), chosen)), "rejected_answer_wrong": F.when(wrong, "na").otherwise(_yes(answer_fits(c("rejected_answer"), rejected))),
-        "chosen_evidence_correct": _yes(evidence_fits(c("chosen_evidence"), chosen)), "rejected_error_correct": _yes((support == due) & evidence_fits(c("rejected_evidence"), rejected)),
+        "chosen_answer_correct": _yes(answer("chosen")), "rejected_answer_wrong": F.when(wrong, "na").otherwise(_yes(answer("rejected"))),
+        "chosen_evidence_correct": _yes(shown("chosen")), "rejected_error_correct": _yes((c("_support") == due) & shown("rejected")),
     }
-    rows = rows.withColumns(marks)
-    return rows.withColumn("reasons", F.array_compact(F.array(*[F.when(c(k) == "no", r) for k, r in zip(CLAIM_MARKS, CLAIM_REASONS)])))
+    rows = once(rows.select(*columns, *[v.alias(k) for k, v in marks.items()]), reasons=F.array_compact(F.array(*[F.when(c(k) == "no", r) for k, r in zip(CLAIM_MARKS, CLAIM_REASONS)])))
+    return rows
 
 
 def completed(sheet: DataFrame, marked: DataFrame, columns: list[str], overwrite: bool = False) -> DataFrame:
