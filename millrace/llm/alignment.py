@@ -304,7 +304,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False,
     Every task holds the pairs' numbers if they take at most ``held`` bytes, else each block is joined with those of its pairs.
     """
     ws = Workspace(docs.sparkSession, "align")
-    made = ws.write(blocks(docs, path_a, path_b, with_groups), "blocks")
+    made = ws.write(blocks(docs, path_a, path_b, with_groups), "blocks", rows=1)  # a block is large; a task has as many as its split gives
     ranked = pair_counts(made, len(pair_of(path_a, path_b).bytes_b)).select(F.col("pair").alias("key"), "n", "best")
     row = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *(["groups"] if with_groups else [])]
     needed = [*row, "n_fragments", "fragment", "fragment_links", "link", "pair"]
