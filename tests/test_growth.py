@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace.operators import claims, curate, rules
+from millrace.operators import claims, curate, quality, rules
 
 
 def plan(df):
@@ -51,3 +51,22 @@ def test_summaries_count_records_before_they_explode(spark):
         ("source_counts", "s"): 2, ("source_counts", None): 1, ("same_answer_rows", ""): 1, ("answer_dpo_identical_rows", ""): 2, ("claims_with_missing_box", ""): 3, ("total", ""): 3,
     }
     assert plan(out).count("Aggregate") == 2 and rules.claim_summary(rows.limit(0)).count() == 0
+
+
+def test_wrong_evidence_is_drawn_only_where_it_is_read(spark):
+    fixed = [c for c in claims.FIELDS if c not in ("chosen_claims", "rejected_claims", "evidence_pool")]
+    rows = spark.createDataFrame([], f"{', '.join(f'{c} string' for c in fixed)}, chosen_claims {claims.CLAIMS}, rejected_claims {claims.CLAIMS}, evidence_pool {claims.POOL}")
+    wrong = claims.wrong_evidence_claims(rows)
+    assert plan(wrong).count("md5(") == 1
+    assert "md5(" not in plan(claims.answer_exports(wrong)) and "md5(" not in plan(rules.task_shares(wrong, {"wrong_evidence": (0.1, 0.4)}))
+
+
+def test_reports_shuffle_no_records(spark):
+    rows = [("a", 1, "x.jpg", "long"), ("a", 2, "y.jpg", "long"), ("a", 1, "", "b"), ("", 4, "x.jpg", "long"), (None, None, None, "b"), ("b", None, "x.jpg", "b"), ("b", 7, "y.jpg", "b"), ("b", 9, "y.jpg", "b")]
+    rows = spark.createDataFrame(rows, "id string, place long, image string, text string")
+    files, by = spark.createDataFrame([("x.jpg",)], "path string"), {"long": F.col("text") == "long"}
+    for there in (None, files):
+        want = quality.rule_report(rules.checked(rows, "place", there), rules.with_record_rules(by)).collect()
+        got = rules.checked_report(rows, "place", by, there)
+        assert got.collect() == want and got.schema == quality.rule_report(rules.checked(rows, "place", there), rules.with_record_rules(by)).schema
+    assert not any("text" in line for line in plan(got).splitlines() if "Join" in line)
