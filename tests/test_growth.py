@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace.operators import claims, curate, quality, rules
+from millrace.operators import builders, claims, curate, quality, rules, sampling
 
 
 def plan(df):
@@ -70,3 +70,24 @@ def test_reports_shuffle_no_records(spark):
         got = rules.checked_report(rows, "place", by, there)
         assert got.collect() == want and got.schema == quality.rule_report(rules.checked(rows, "place", there), rules.with_record_rules(by)).schema
     assert not any("text" in line for line in plan(got).splitlines() if "Join" in line)
+
+
+def test_strategy_pairs_read_more_only_where_a_strategy_runs_out(spark):
+    from .test_builders import sequential_turns
+
+    rows = [(1, i, 1000 + i, "a", i) for i in range(200)] + [(2 + i, i, i, "a", 200 + i) for i in range(20)] + [(500 + i, i, i, "b", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "image_id int, positive int, negative int, strategy string, i int")
+    names = []
+
+    def store(df, name):
+        names.append((name, df.count()))
+        return df.localCheckpoint()
+
+    for n in (3, 12, 70):
+        names.clear()
+        got = builders.strategy_pairs(df, n, 2, ["i"], store).collect()
+        assert sorted((r.turn, r.strategy, r.image_id, r.positive, r.negative) for r in got) == sequential_turns(rows, n, 2)
+        assert len({k for k, _ in names if k.startswith("first")}) == (2 if n == 12 else 1)
+    names.clear()
+    builders.strategy_pairs(df, 3, 2, ["i"], store)
+    assert max(n for _, n in names) <= 2 * (8 * 3 + 1)
