@@ -91,3 +91,21 @@ def test_strategy_pairs_read_more_only_where_a_strategy_runs_out(spark):
     names.clear()
     builders.strategy_pairs(df, 3, 2, ["i"], store)
     assert max(n for _, n in names) <= 2 * (8 * 3 + 1)
+
+
+def test_unique_pairs_are_written_once_and_without_their_rank(spark):
+    rows = [(i, i * 7 % 40, 100 + i * 11 % 60, "x") for i in range(300)]
+    written = []
+
+    def store(df, name):
+        written.append((name, df.columns, df.count()))
+        return df.localCheckpoint()
+
+    got = sampling.unique_pairs(spark.createDataFrame(rows, "i int, a int, b int, t string"), "a", "b", ["i"], store)
+    used, want = set(), []
+    for i, a, b, t in rows:
+        if not {a, b} & used:
+            used |= {a, b}
+            want.append((i, a, b, t))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert all(c == ["i", "a", "b", "t"] for _, c, _ in written) and sum(n for _, _, n in written) <= 300 + 300
