@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.steps import once
 from ..functions.text import clean_name, stem
 
 #: An object of a raw graph with every name its fields go by.
@@ -156,33 +157,38 @@ def raw_detections(rows: DataFrame, key: str, value: str, names: Column, store)
     numbers that ``names`` (a literal map) resolves, else "category n". Boxes and categories are paired in order.
     """
     v = F.col(value)
-    ids = [F.coalesce(F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")), F.lit(None)) for k in ID_FIRST]
-    image_id = F.coalesce(*[F.coalesce(F.nullif(stem(i), F.lit("")), i) for i in ids], F.col(key).cast("string"))
-    file_name = F.when(image_id.rlike("^[0-9]+$"), F.format_string("%012d.jpg", int_like_id(image_id))).otherwise(F.concat(safe_name(image_id), F.lit(".jpg")))
-    entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    ids = F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")) for k in ID_FIRST])
+    fields = F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>")))
+    walked = found_images(rows, key, value, store).select(F.col(key).alias("_found"))
+    rows = once(rows.select(key, value), _id=ids, _fields=fields)
+    image_id = F.coalesce(F.nullif(stem(F.col("_id")), F.lit("")), F.col("_id"), F.col(key).cast("string"))
     sound = lambda e: _is_object(e["value"]) & _has(e["value"], *BOX_KEYS) & _has(e["value"], *LABEL_KEYS)
     place = lambda e: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ANNOTATIONS_FIRST)), e["key"]), F.lit(0)), F.lit(99))
-    ranked = F.array_sort(F.transform(F.filter(entries, sound), lambda e: F.struct(place(e).alias("p"), e["key"].alias("k"), F.to_json(e["value"]).alias("v"))))
-    rows = rows.join(found_images(rows, key, value, store).select(F.col(key).alias("_found")), F.col(key) == F.col("_found"), "left")
-    rows = rows.select(key, file_name.alias("file_name"), F.col("_found").isNotNull().alias("has_image"), F.try_parse_json(F.get(ranked, F.lit(0))["v"]).alias("ann"))
-    a = F.col("ann")
-    said = F.try_variant_get(a, "$.categories", "array<variant>")
-    texts = F.forall(F.coalesce(said, F.array().cast("array<variant>")), lambda x: F.schema_of_variant(x) == "STRING") & (F.coalesce(F.size(said), F.lit(0)) > 0)
-    numbers = F.coalesce(F.try_variant_get(_first_true(a, "category_id", "category_ids", "category", "labels", "label"), "$", "array<variant>"), said, F.array().cast("array<variant>"))
-    named = F.transform(F.when(texts, said).otherwise(numbers), lambda x: F.try_variant_get(x, "$", "string"))
-    number = lambda x: x.try_cast("int")
-    resolved = F.when(texts, F.transform(named, lambda x: clean_name(x))).otherwise(
-        F.transform(F.filter(named, lambda x: number(x).isNotNull() | (clean_name(x) != "")), lambda x: F.when(number(x).isNotNull(), F.coalesce(F.try_element_at(names, number(x).cast("string")), F.concat(F.lit("category "), number(x).cast("string")))).otherwise(clean_name(x)))
+    best = F.array_min(F.transform(F.filter(F.map_entries("_fields"), sound), lambda e: F.struct(place(e).alias("p"), e["key"].alias("k"))))
+    rows = once(rows.select(key, "_id", "_fields"), _id=image_id, _best=best["k"])
+    file_name = F.when(F.col("_id").rlike("^[0-9]+$"), F.format_string("%012d.jpg", int_like_id(F.col("_id")))).otherwise(F.concat(safe_name(F.col("_id")), F.lit(".jpg")))
+    rows = once(rows, file_name=file_name, ann=F.try_parse_json(F.to_json(F.try_element_at("_fields", F.col("_best"))))).select(key, "file_name", "ann")
+    a, none = F.col("ann"), F.array().cast("array<variant>")
+    listed = lambda *keys: F.coalesce(F.try_variant_get(_first_true(a, *keys), "$", "array<variant>"), none)
+    rows = once(rows, _said=F.try_variant_get(a, "$.categories", "array<variant>"), _bbox=listed(*BOX_KEYS), _area=listed("area", "areas"), _crowd=listed("iscrowd", "is_crowd"))
+    texts = F.forall(F.coalesce("_said", none), lambda x: F.schema_of_variant(x) == "STRING") & (F.coalesce(F.size("_said"), F.lit(0)) > 0)
+    rows = once(rows, _texts=texts)
+    numbers = F.coalesce(F.try_variant_get(_first_true(a, "category_id", "category_ids", "category", "labels", "label"), "$", "array<variant>"), F.col("_said"), none)
+    # A category is its text, cleaned, and its number, if it is one.
+    told = F.transform(F.transform(F.when(F.col("_texts"), F.col("_said")).otherwise(numbers), lambda x: F.try_variant_get(x, "$", "string")), lambda x: F.struct(clean_name(x).alias("text"), x.try_cast("int").alias("number")))
+    rows = once(rows, _told=told, _none=a.isNull()).drop("_said", "ann")
+    resolved = F.when(F.col("_texts"), F.transform("_told", lambda x: x["text"])).otherwise(
+        F.transform(F.filter("_told", lambda x: x["number"].isNotNull() | (x["text"] != "")), lambda x: F.when(x["number"].isNotNull(), F.coalesce(F.try_element_at(names, x["number"].cast("string")), F.concat(F.lit("category "), x["number"].cast("string")))).otherwise(x["text"]))
     )
-    listed = lambda *keys: F.coalesce(F.try_variant_get(_first_true(a, *keys), "$", "array<variant>"), F.array().cast("array<variant>"))
-    zipped = F.arrays_zip(listed(*BOX_KEYS).alias("bbox"), resolved.alias("name"), listed("area", "areas").alias("area"), listed("iscrowd", "is_crowd").alias("crowd"))
+    zipped = F.arrays_zip(F.col("_bbox").alias("bbox"), resolved.alias("name"), F.col("_area").alias("area"), F.col("_crowd").alias("crowd"))
     at = lambda p, i: F.try_variant_get(p["bbox"], f"$[{i}]", "double")
-    area = lambda p: F.coalesce(F.try_variant_get(p["area"], "$", "double"), at(p, 2) * at(p, 3))
     crowd = lambda p: F.coalesce(F.try_variant_get(p["crowd"], "$", "boolean").cast("int"), F.lit(0))
-    made = F.transform(zipped, lambda p: F.struct(p["name"].alias("name"), *[at(p, i).alias(k) for i, k in enumerate("xywh")], area(p).alias("area"), crowd(p).alias("iscrowd")))
-    good = F.filter(made, lambda b: (F.coalesce(b["name"], F.lit("")) != "") & b["x"].isNotNull() & b["y"].isNotNull() & (b["w"] > 0) & (b["h"] > 0))
-    rows = rows.withColumn("boxes", good)
-    reason = F.when(~F.col("has_image"), "missing_image").when(a.isNull(), "missing_annotations").when(F.size("boxes") == 0, "empty_annotations")
+    rows = once(rows, _made=F.transform(zipped, lambda p: F.struct(p["name"].alias("name"), *[at(p, i).alias(k) for i, k in enumerate("xywh")], F.try_variant_get(p["area"], "$", "double").alias("area"), crowd(p).alias("iscrowd"))))
+    good = F.filter("_made", lambda b: (F.coalesce(b["name"], F.lit("")) != "") & b["x"].isNotNull() & b["y"].isNotNull() & (b["w"] > 0) & (b["h"] > 0))
+    boxes = F.transform(good, lambda b: F.struct(b["name"].alias("name"), *[b[k].alias(k) for k in "xywh"], F.coalesce(b["area"], b["w"] * b["h"]).alias("area"), b["iscrowd"].alias("iscrowd")))
+    rows = once(rows, boxes=boxes).select(key, "file_name", "boxes", "_none")
+    rows = rows.join(walked, F.col(key) == F.col("_found"), "left")  # only what is kept is shuffled
+    reason = F.when(F.col("_found").isNull(), "missing_image").when(F.col("_none"), "missing_annotations").when(F.size("boxes") == 0, "empty_annotations")
     rows = store(rows.select(key, "file_name", "boxes", reason.alias("reason")), "rows")
     kept = rows.where("reason is null").select(key, "file_name", F.explode("boxes").alias("b")).select(key, "file_name", "b.*")
     return kept, rows.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))

@@ -131,7 +131,8 @@ def _raw_rows(spark, sf_dir) -> DataFrame:
     deep = F.concat(F.lit('{"meta":{"z":1,"y":{"img":{"bytes":"b"}}},"id":'), k.cast("string"), F.lit(',"annotations":{"bboxes":['), box, F.lit('],"categories":["Traffic_Light"],"area":[7.5],"iscrowd":[true]}}'))
     other = F.concat(F.lit('{"path":"q","labels":[1],"seen":{"bbox":['), box, F.lit('],"label":[77]}}'))
     bare = F.when(k % 2 == 0, F.lit('{"objects":{"bbox":[[1,1,1,1]],"label":[18]}}')).otherwise('{"a":{"b":{"c":{"path":null}}}}')
-    return read(spark, sf_dir, "customer").select(k, F.parse_json(F.when(k % 4 == 0, flat).when(k % 4 == 1, deep).when(k % 4 == 2, other).otherwise(bare)).alias("v"))
+    tasks = spark.sparkContext.defaultParallelism * 4  # rows of few bytes and much work: a file is one task otherwise
+    return read(spark, sf_dir, "customer").select(k).repartition(tasks, "c_custkey").select(k, F.parse_json(F.when(k % 4 == 0, flat).when(k % 4 == 1, deep).when(k % 4 == 2, other).otherwise(bare)).alias("v"))
 
 
 @query(

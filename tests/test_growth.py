@@ -109,3 +109,22 @@ def test_unique_pairs_are_written_once_and_without_their_rank(spark):
             want.append((i, a, b, t))
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert all(c == ["i", "a", "b", "t"] for _, c, _ in written) and sum(n for _, _, n in written) <= 300 + 300
+
+
+def test_raw_rows_are_worked_on_by_many_tasks_and_joined_by_what_is_kept(spark):
+    from millrace.operators import raw
+    from millrace.plans import files
+
+    from .conftest import SF
+
+    rows = files._raw_rows(spark, SF)
+    assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    plans = {}
+
+    def store(df, name):
+        plans[name] = plan(df)
+        return df.localCheckpoint()
+
+    raw.raw_detections(rows, "c_custkey", "v", F.create_map(F.lit("18"), F.lit("dog")), store)
+    project, join = plans["rows"].splitlines()[:2]
+    assert "Join" in join and "variant" not in project and "regexp" not in project  # all work on rows is done before the join
