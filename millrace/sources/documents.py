@@ -21,12 +21,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions.parse import whole_json
+from ..functions.steps import once
 
 #: Bytes of a range, of what is read on to find an element's end, and of what is copied at once.
 RANGE, STEP = 8 << 20, 1 << 16
 _UP, _DOWN = np.zeros(256, np.int8), np.zeros(256, np.int8)
 _UP[[0x5B, 0x7B]] = 1
 _DOWN[[0x5D, 0x7D]] = 1
+# Bytes that nesting and strings depend on, these and commas, and all but white space.
+_NESTING, _DELIMITING, _TEXT = np.zeros(256, bool), np.zeros(256, bool), np.ones(256, np.uint8)
+_NESTING[[0x22, 0x5B, 0x5D, 0x7B, 0x7D]] = True
+_DELIMITING[[0x22, 0x2C, 0x5B, 0x5D, 0x7B, 0x7D]] = True
+_TEXT[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = 0
 
 
 def _open(path: str):
@@ -74,45 +80,50 @@ def _quotes(data: np.ndarray, escaped: bool) -> np.ndarray:
     return out
 
 
-def _levels(data: np.ndarray, inside: np.ndarray, depth: int) -> np.ndarray:
-    """Nesting behind each byte."""
-    step = np.where(inside, 0, _UP[data] - _DOWN[data])
-    return depth + np.cumsum(step, dtype=np.int64)
+def _marks(raw: bytes, escaped: bool, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where bytes of a table are, the bytes, and which of them open or close a string."""
+    data = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero(wanted[data])
+    byte = data[at]
+    return at, byte, _quotes(data, escaped)[at] if escaped or b"\\" in raw else byte == 0x22
 
 
-def _inside(quotes: np.ndarray, begins: int) -> np.ndarray:
-    """Whether a byte lies within a string, its quotes included."""
-    seen = np.cumsum(quotes) + begins
-    return (seen % 2 == 1) | quotes
+def _outside(raw: bytes, escaped: bool, inside: bool, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where brackets and commas are outside of strings, the bytes, and the nesting behind each."""
+    at, byte, quotes = _marks(raw, escaped, _DELIMITING)
+    out = (byte != 0x22) & ((np.cumsum(quotes) + inside) % 2 == 0)
+    at, byte = at[out], byte[out]
+    return at, byte, depth + np.cumsum(_UP[byte] - _DOWN[byte], dtype=np.int64)
 
 
 SCAN = "start long, quotes int, d0 long, d1 long, least0 long, least1 long, at array<struct<field:string,open:long,in0:boolean,in1:boolean,l0:long,l1:long>>"
 
 
-def _scan(path: str, fields: list[str], end_of_file: int):
-    keys = {f: re.compile(rb'"' + re.escape(json.dumps(f)[1:-1].encode()) + rb'"\s*:\s*\[') for f in fields if f}
+def _scan(path: str, fields: list[str]):
+    words = {f: json.dumps(f).encode() for f in fields if f}
+    keys = {f: (w, re.compile(re.escape(w) + rb"\s*:\s*\[")) for f, w in words.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _open(path) as f:
             for batch in batches:
                 out = []
                 for start, end in zip(batch["start"].to_pylist(), batch["end"].to_pylist()):
-                    raw = _at(f, start, end - start)
-                    data = np.frombuffer(raw, np.uint8)
-                    quotes = _quotes(data, _escaped(f, start))
-                    inside = [_inside(quotes, h) for h in (0, 1)]
-                    level = [_levels(data, x, 0) for x in inside]
+                    tail = _at(f, start, end - start + STEP)  # a key that begins here may end behind
+                    raw = tail[: end - start]
+                    at, byte, quotes = _marks(raw, _escaped(f, start), _NESTING)
+                    closed, step = np.cumsum(quotes), _UP[byte] - _DOWN[byte]
+                    level = [np.cumsum(np.where(closed % 2 == h, step, 0), dtype=np.int64) for h in (0, 1)]
                     seen = []
-                    for field, key in keys.items():
-                        tail, want = raw, len(raw)
-                        while start + want < end_of_file and len(tail) < len(raw) + STEP:  # a key that begins here may end behind
-                            tail += _at(f, start + want, STEP)
-                            want += STEP
-                        for m in key.finditer(tail):
-                            if m.start() < len(raw) and quotes[m.start()]:
-                                k = m.start()
-                                seen.append({"field": field, "open": start + m.end(), "in0": bool((quotes[:k].sum()) % 2), "in1": bool((quotes[:k].sum() + 1) % 2), "l0": int(level[0][k]), "l1": int(level[1][k])})
-                    out.append({"start": start, "quotes": int(quotes.sum() % 2), "d0": int(level[0][-1]), "d1": int(level[1][-1]), "least0": int(level[0].min()), "least1": int(level[1].min()), "at": seen})
+                    for field, (word, key) in keys.items():
+                        k = tail.find(word)
+                        while 0 <= k < len(raw):
+                            i = int(np.searchsorted(at, k))
+                            if quotes[i] and (m := key.match(tail, k)):
+                                before = int(closed[i]) - 1
+                                seen.append({"field": field, "open": start + m.end(), "in0": bool(before % 2), "in1": bool((before + 1) % 2), "l0": int(level[0][i]), "l1": int(level[1][i])})
+                            k = tail.find(word, k + 1)
+                    d = [(int(x[-1]), min(0, int(x.min()))) if len(x) else (0, 0) for x in level]
+                    out.append({"start": start, "quotes": int(quotes.sum() % 2), "d0": d[0][0], "d1": d[1][0], "least0": d[0][1], "least1": d[1][1], "at": seen})
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("start", pa.int64()), ("quotes", pa.int32()), ("d0", pa.int64()), ("d1", pa.int64()), ("least0", pa.int64()), ("least1", pa.int64()), ("at", pa.list_(pa.struct([("field", pa.string()), ("open", pa.int64()), ("in0", pa.bool_()), ("in1", pa.bool_()), ("l0", pa.int64()), ("l1", pa.int64())])))]))
 
     return run
@@ -133,51 +144,61 @@ class Elements(DataSource):
 
 
 class _Part(InputPartition):
-    def __init__(self, start: int, end: int, inside: bool, depth: int, level: int, opened: bool) -> None:
-        self.start, self.end, self.inside, self.depth, self.level, self.opened = start, end, inside, depth, level, opened
+    def __init__(self, ranges: list[list]) -> None:
+        self.ranges = ranges
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, parts: list[list]) -> None:
+    def __init__(self, path: str, parts: list[list[list]]) -> None:
         self.path, self.parts = path, parts
 
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "parts": []}  # a task gets its part, not the list of all
+
     def partitions(self):
-        return [_Part(*p) for p in self.parts]
+        return [_Part(p) for p in self.parts]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+        with _open(self.path) as f:
+            for r in part.ranges:
+                yield from self._elements(f, *r)
+
+    def _elements(self, f, start: int, end: int, within: bool, depth: int, level: int, opened: bool) -> Iterator[pa.RecordBatch]:
         """Elements whose delimiter (the array's bracket, or a comma on its level) lies in [start, end)."""
         schema = pa.schema([("value", pa.string())])
-        with _open(self.path) as f:
-            data, step = _at(f, part.start, part.end - part.start), STEP
-            own = len(data)
-            while True:
-                raw = np.frombuffer(data, np.uint8)
-                inside = _inside(_quotes(raw, not part.opened and _escaped(f, part.start)), int(part.inside))
-                level = _levels(raw, inside, part.depth)
-                comma = np.flatnonzero((raw == 0x2C) & ~inside & (level == part.level))
-                closes = np.flatnonzero((level == part.level - 1) & ~inside & (_DOWN[raw] > 0))
-                stop = int(closes[0]) if len(closes) else None
-                if stop is not None:
-                    comma = comma[comma < stop]
-                firsts = [*([-1] if part.opened else []), *comma[comma < own].tolist()]
-                ends = [*comma.tolist(), *([stop] if stop is not None else [])]
-                if not firsts or (ends and ends[-1] > firsts[-1]):
-                    break
-                more = _at(f, part.start + len(data), step)
-                if not more:
-                    raise ValueError(f"{self.path}: an array isn't closed")
-                data, step = data + more, step * 2
-            ends = np.array(ends, np.int64)
-            values = []
-            for a in firsts:
-                text = data[a + 1 : int(ends[np.searchsorted(ends, a, "right")])].strip()
-                if text:  # an empty array has no element
-                    values.append(text.decode())
-                if len(values) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())], schema=schema)
-                    values = []
-            if values:
-                yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())], schema=schema)
+        data, step, own = _at(f, start, end - start + STEP), STEP * 2, end - start
+        escaped = not opened and _escaped(f, start)
+        while True:
+            at, byte, nested = _outside(data, escaped, within, depth)
+            comma = at[(byte == 0x2C) & (nested == level)]
+            closes = at[(_DOWN[byte] > 0) & (nested == level - 1)]
+            ends = comma
+            if len(closes):
+                comma = comma[comma < closes[0]]
+                ends = np.append(comma, closes[0])
+            firsts = comma[comma < own]
+            if opened:
+                firsts = np.append(-1, firsts)
+            if not len(firsts) or (len(ends) and ends[-1] > firsts[-1]):
+                break
+            more = _at(f, start + len(data), step)
+            if not more:
+                raise ValueError(f"{self.path}: an array isn't closed")
+            data, step = data + more, step * 2
+        if not len(firsts):
+            return
+        # Elements lie one behind the other: with white space for what is between them, the bytes are those of a column.
+        last = int(ends[np.searchsorted(ends, firsts[-1], "right")])
+        text = np.frombuffer(data, np.uint8)[: last + 1].copy()
+        text[ends[ends <= last]] = 0x20
+        starts = np.maximum(firsts, 0)
+        values = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, last).astype(np.int32)), pa.py_buffer(text))
+        values.validate(full=True)
+        filled = np.maximum.reduceat(_TEXT[text], starts) > 0  # an empty array has no element
+        if not filled.all():
+            values = values.filter(pa.array(filled))
+        for k in range(0, len(values), 4096):
+            yield pa.RecordBatch.from_arrays([values.slice(k, 4096)], schema=schema)
 
 
 def _parts(scanned: list, ranges: list[tuple[int, int]], fields: list[str], path: str) -> dict[str, list[list]]:
@@ -206,33 +227,46 @@ def _parts(scanned: list, ranges: list[tuple[int, int]], fields: list[str], path
                 continue
             if a <= start:
                 out[field].append([start, max(b, start), False, level, level, True])
+                with _open(path) as f:  # one range of each field
+                    if (_outside(_at(f, start, b - start), False, False, level)[2] < level).any():
+                        break
             else:
                 out[field].append([a, b, within, nested, level, False])
-            if a > start and least < level:
-                break
+                if least < level:
+                    break
     return out
 
 
+def _scanned(spark: SparkSession, path: str, fields: list[str], range_bytes: int) -> dict[str, list[list]]:
+    """What ``_parts`` says of a document, by one pass over it: sorting in Spark would take a second one for its sample."""
+    size = _size(path)
+    ranges = [(a, min(a + range_bytes, size)) for a in range(0, size, range_bytes)]
+    table = spark.createDataFrame(ranges or [(0, 0)], "start long, end long").repartition(max(1, min(len(ranges), spark.sparkContext.defaultParallelism * 8)), "start")
+    scanned = sorted(table.where("end > start").mapInArrow(_scan(path, fields), SCAN).collect(), key=lambda r: r.start)
+    return _parts(scanned, ranges, fields, path)
+
+
+def _elements(spark: SparkSession, path: str, parts: list[list]) -> DataFrame:
+    """Elements as text; a task reads several ranges in turn where there are many."""
+    tasks = min(len(parts), spark.sparkContext.defaultParallelism * 16)
+    groups = [parts[len(parts) * k // tasks : len(parts) * (k + 1) // tasks] for k in range(tasks)]
+    spark.dataSource.register(Elements)
+    return spark.read.format("json_elements").option("parts", json.dumps(groups)).load(path)
+
+
 def read_arrays(spark: SparkSession, path: str, schemas: dict[str, str], range_bytes: int = RANGE) -> dict[str, DataFrame]:
     """The arrays of a JSON document by the names of their fields, each with its schema; "" is the document if it is an array.
 
     A field that is missing gives an empty table, an element that isn't of its schema null columns. The fields belong to the
     outermost object. Ranges are ``range_bytes`` long, an element may be longer.
     """
-    size = _size(path)
-    ranges = [(a, min(a + range_bytes, size)) for a in range(0, size, range_bytes)]
-    table = spark.createDataFrame(ranges or [(0, 0)], "start long, end long").repartition(max(1, min(len(ranges), spark.sparkContext.defaultParallelism * 8)), "start")
-    scanned = table.where("end > start").mapInArrow(_scan(path, list(schemas), size), SCAN).orderBy("start").collect()
-    parts = _parts(scanned, ranges, list(schemas), path)
-    spark.dataSource.register(Elements)
-    out = {}
+    parts, out = _scanned(spark, path, list(schemas), range_bytes), {}
     for field, schema in schemas.items():
         kind = StructType.fromDDL(schema)
         if not parts[field]:
             out[field] = spark.createDataFrame([], kind)
             continue
-        rows = spark.read.format("json_elements").option("parts", json.dumps(parts[field])).load(path)
-        out[field] = rows.select(F.from_json("value", kind).alias("v")).select("v.*")
+        out[field] = once(_elements(spark, path, parts[field]), v=F.from_json("value", kind)).select("v.*")
     return out
 
 
@@ -252,12 +286,7 @@ def detection_tables(spark: SparkSession, path: str, range_bytes: int = RANGE) -
 
 def read_map(spark: SparkSession, path: str, schema: str, range_bytes: int = RANGE) -> DataFrame:
     """(key, value) of a document that is one object of many fields, such as scene graphs by image."""
-    size = _size(path)
-    ranges = [(a, min(a + range_bytes, size)) for a in range(0, size, range_bytes)]
-    table = spark.createDataFrame(ranges, "start long, end long").repartition(max(1, min(len(ranges), spark.sparkContext.defaultParallelism * 8)), "start")
-    scanned = table.mapInArrow(_scan(path, [], size), SCAN).orderBy("start").collect()
-    spark.dataSource.register(Elements)
-    rows = spark.read.format("json_elements").option("parts", json.dumps(_parts(scanned, ranges, [""], path)[""])).load(path)
+    rows = _elements(spark, path, _scanned(spark, path, [""], range_bytes)[""])
     return rows.select(F.explode(F.from_json(F.concat(F.lit("{"), "value", F.lit("}")), f"map<string,{schema}>")))
 
 

@@ -81,3 +81,23 @@ def test_malformed_lines_are_named_by_file_and_line(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("step", [16, 64, 100, 1000])
+def test_an_array_that_ends_in_its_first_range_reads_no_other(spark, tmp_path, step):
+    doc = {"a": [{"id": 1}, {"id": 2}], "b": [{"id": 100 + i, "t": 'x,]}[{\\"' * (i % 3)} for i in range(60)], "c": [], "d": [{"id": 7}]}
+    (tmp_path / "d.json").write_text(json.dumps(doc))
+    got = documents.read_arrays(spark, str(tmp_path / "d.json"), {k: "id int" for k in doc}, step)
+    assert {k: sorted(r.id for r in df.collect()) for k, df in got.items()} == {k: [x["id"] for x in v] for k, v in doc.items()}
+
+
+def test_tasks_get_their_ranges_only_and_read_several(spark, tmp_path):
+    import pickle
+
+    (tmp_path / "d.json").write_text(json.dumps({"a": [{"id": i} for i in range(4000)]}))
+    df = documents.read_arrays(spark, str(tmp_path / "d.json"), {"a": "id int"}, 16)["a"]
+    assert df.rdd.getNumPartitions() == 16 * spark.sparkContext.defaultParallelism and sorted(r.id for r in df.collect()) == list(range(4000))
+    few, many = (len(pickle.dumps(documents._Reader("x", [[[0, 9, False, 2, 2, False]]] * n).read)) for n in (1, 1000))
+    assert few == many
+    plan = df.where("id > 3 and id is not null").select("id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
