@@ -128,3 +128,13 @@ def test_raw_rows_are_worked_on_by_many_tasks_and_joined_by_what_is_kept(spark):
     raw.raw_detections(rows, "c_custkey", "v", F.create_map(F.lit("18"), F.lit("dog")), store)
     project, join = plans["rows"].splitlines()[:2]
     assert "Join" in join and "variant" not in project and "regexp" not in project  # all work on rows is done before the join
+
+
+def test_names_of_classes_are_cleaned_before_boxes_are_joined(spark):
+    images = spark.createDataFrame([(1, 10.0, 10.0), (2, 10.0, 10.0)], "image_id long, width double, height double")
+    boxes = spark.createDataFrame([(1, 1, 5.0, 5.0, None, 0), (1, 2, 6.0, 5.0, 0.0, None), (2, 1, 1.0, 1.0, 0.5, 0), (2, 3, 9.0, 9.0, None, 0)], "image_id long, category_id long, w double, h double, area double, iscrowd int")
+    names = spark.createDataFrame([(1, "Hot-Dog"), (2, "hot dog")], "category_id long, name string")
+    out = curate.visible_objects(images, boxes, names)
+    assert [tuple(r) for r in out.collect()] == [(1, "hot dog", 30.0)]
+    top = plan(out).split("Join")[0]
+    assert "lower(" not in top and "regexp_replace" not in top
