@@ -128,24 +128,35 @@ def json_text(value: Column, key: str) -> Column:
     )
 
 
-def parse_generation(text: Column, value: Column) -> Column:
-    """A struct of answer, claim, evidence_label, support, relation, said (claim and evidence), json_valid and parse_failed.
+def generation_fields(text: Column, value: Column) -> Column:
+    """A struct of what a text says under each of FIELDS, of its answer and of the support it implies, as it is written.
 
-    ``value`` is ``json_object(text)``, best a column of its own; where it is null the first yes or no and the labelled fields
-    of the text count.
+    ``value`` is ``json_object(text)``; where it is null the first yes or no and the labelled fields of the text count.
     """
     here = value.isNotNull()
-    field = {k: F.coalesce(F.when(here, json_text(value, k)).otherwise(labeled_field(text, k)), F.lit("")) for k in FIELDS}
     first = F.regexp_extract(F.lower(F.coalesce(text, F.lit(""))), r"\b(yes|no|yeah|yep|nope)\b", 1)
-    answer = F.coalesce(F.when(here, json_text(value, "answer")).otherwise(first), F.lit(""))
+    fields = {k: F.when(here, json_text(value, k)).otherwise(labeled_field(text, k)) for k in FIELDS} | {"answer": F.when(here, json_text(value, "answer")).otherwise(first)}
+    return F.struct(*[F.coalesce(v, F.lit("")).alias(k) for k, v in fields.items()], infer_support(text).alias("inferred"))
+
+
+def parsed_fields(text: Column, here: Column, field: Column) -> Column:
+    """What ``parse_generation`` gives, of ``generation_fields``; ``here`` tells whether the text has an object."""
     evidence = F.coalesce(F.nullif(field["evidence_label"], F.lit("")), field["evidence"])
     named = field["support"] != ""
-    inferred = infer_support(text)
     relation = F.coalesce(*[F.nullif(field[k], F.lit("")) for k in ("relation", "claim", "evidence")], text)
     said = F.concat_ws(" ", field["claim"], field["evidence"], field["evidence_label"])
-    useful = (answer != "") | (field["claim"] != "") | (field["evidence_label"] != "") | (field["evidence"] != "") | named | (inferred != "unknown")
+    useful = (field["answer"] != "") | (field["claim"] != "") | (field["evidence_label"] != "") | (field["evidence"] != "") | named | (field["inferred"] != "unknown")
     return F.struct(
-        normalize_answer(answer).alias("answer"), clean_name(field["claim"]).alias("claim"), clean_name(evidence).alias("evidence_label"),
-        normalize_support(F.when(here | named, field["support"]).otherwise(inferred)).alias("support"), normalize_relation(relation).alias("relation"),
+        normalize_answer(field["answer"]).alias("answer"), clean_name(field["claim"]).alias("claim"), clean_name(evidence).alias("evidence_label"),
+        normalize_support(F.when(here | named, field["support"]).otherwise(field["inferred"])).alias("support"), normalize_relation(relation).alias("relation"),
         clean_name(said).alias("said"), here.alias("json_valid"), (~here & ~useful).alias("parse_failed"),
     )
+
+
+def parse_generation(text: Column, value: Column) -> Column:
+    """A struct of answer, claim, evidence_label, support, relation, said (claim and evidence), json_valid and parse_failed.
+
+    ``value`` is ``json_object(text)``, best a column of its own; where it is null the first yes or no and the labelled fields
+    of the text count. Over tables ``generation_fields`` is best a column of its own too.
+    """
+    return parsed_fields(text, value.isNotNull(), generation_fields(text, value))

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.parse import json_object, normalize_answer, normalize_relation, normalize_support, normalize_target, parse_generation, parse_prediction
+from ..functions.parse import generation_fields, json_object, normalize_answer, normalize_relation, normalize_support, normalize_target, parse_prediction, parsed_fields
+from ..functions.steps import once
 from ..functions.text import clean_name, has_evidence_cue, token_count, word_count
 from .sampling import stable_unit
 
@@ -82,11 +83,17 @@ def score_probes(rows: DataFrame, text: str = "generation") -> DataFrame:
     """
     c = F.col
     blank = lambda k: F.coalesce(clean_name(c(k)), F.lit(""))
-    out = rows.withColumn("_json", json_object(c(text))).withColumn("_p", parse_generation(c(text), c("_json"))).drop("_json")
+    targets = {
+        "support": normalize_support(c("target_support")), "answer": normalize_answer(c("target_answer")), "relation": normalize_relation(c("target_relation")),
+        **{k: blank(f"target_{k}") for k in ("evidence_label", "claim", "subject", "object")},
+    }
+    out = once(rows, _json=json_object(c(text)))
+    out = once(out, _here=c("_json").isNotNull(), _f=generation_fields(c(text), c("_json"))).drop("_json")
+    out = once(out, _p=parsed_fields(c(text), c("_here"), c("_f"))).drop("_here", "_f")
+    out = once(out, _t=F.struct(*[v.alias(k) for k, v in targets.items()]))
     is_relation = F.coalesce(c("base_task_type") == "relation_spatial", F.lit(False))
     has = lambda whole, part: F.contains(whole, part)
-    support, label, claim, subject, obj = normalize_support(c("target_support")), blank("target_evidence_label"), blank("target_claim"), blank("target_subject"), blank("target_object")
-    answer, relation = normalize_answer(c("target_answer")), normalize_relation(c("target_relation"))
+    support, label, claim, subject, obj, answer, relation = (c(f"_t.{k}") for k in ("support", "evidence_label", "claim", "subject", "object", "answer", "relation"))
     evidence = F.when(is_relation, (subject != "") & (obj != "") & has(c("_p.said"), subject) & has(c("_p.said"), obj)).otherwise((label != "") & has(c("_p.evidence_label"), label))
     return out.withColumns({
         "prediction": c("_p.answer"), "predicted_support": c("_p.support"), "predicted_evidence_label": c("_p.evidence_label"), "predicted_relation": c("_p.relation"),
@@ -95,33 +102,59 @@ def score_probes(rows: DataFrame, text: str = "generation") -> DataFrame:
         "relation_direction_correct": F.when(is_relation, (relation != "") & (c("_p.relation") == relation)).otherwise(True),
         "wrong_evidence_rejected": (support == "wrong_evidence") & c("_p.support").isin("wrong_evidence", "contradicted", "unsupported"),
         "json_valid": c("_p.json_valid"), "parse_failed": c("_p.parse_failed"),
-    }).drop("_p")
-
+    }).drop("_p", "_t")
 
-def probe_metrics(scored: DataFrame, by: str | None = None) -> DataFrame:
-    """Counts and rates of ``score_probes`` rows, over all of them or by the text of a column, where null and '' are "unknown".
 
-    Over all rows the rejection of wrong evidence divides by the rows that have it as target, within groups by the group.
-    """
+def _probe_counts() -> dict[str, Column]:
+    """Counts of ``score_probes`` rows; n_met is the rejections where wrong evidence is the target."""
     c, n = F.col, F.count_if
-    counts = {
+    return {
         "n": F.count("*"), "n_answer": n("answer_correct"), "n_support": n("support_correct"), "n_evidence": n("evidence_label_correct"), "n_claim": n("claim_match"),
-        "n_wrong": n(c("target_support") == "wrong_evidence"), "n_rejected": n(c("wrong_evidence_rejected") & (F.lit(by is not None) | (c("target_support") == "wrong_evidence"))), "n_relation": n(c("base_task_type") == "relation_spatial"),
+        "n_wrong": n(c("target_support") == "wrong_evidence"), "n_rejected": n(c("wrong_evidence_rejected")), "n_relation": n(c("base_task_type") == "relation_spatial"),
         "n_direction": n((c("base_task_type") == "relation_spatial") & c("relation_direction_correct")), "n_invalid_json": n(~c("json_valid")), "n_parse_failed": n("parse_failed"),
+        "n_met": n(c("wrong_evidence_rejected") & (c("target_support") == "wrong_evidence")),
     }
-    if by:
-        scored = scored.groupBy(F.coalesce(F.nullif(c(by).cast("string"), F.lit("")), F.lit("unknown")).alias(by))
-    out = scored.agg(*[v.alias(k) for k, v in counts.items()])
-    share = lambda k, of: F.round(ratio(c(k), c(of)), 6)
-    return out.withColumns(
+
+
+def _probe_rates(counts: DataFrame, over_all: Column) -> DataFrame:
+    c = F.col
+    share = lambda k, of: F.round(ratio(c(k), of if isinstance(of, Column) else c(of)), 6)
+    return counts.withColumn("n_rejected", F.when(over_all, c("n_met")).otherwise(c("n_rejected"))).drop("n_met").withColumns(
         {
             "answer_accuracy": share("n_answer", "n"), "support_accuracy": share("n_support", "n"), "evidence_label_accuracy": share("n_evidence", "n"),
-            "claim_match_rate": share("n_claim", "n"), "wrong_evidence_rejection_accuracy": share("n_rejected", "n" if by else "n_wrong"),
+            "claim_match_rate": share("n_claim", "n"), "wrong_evidence_rejection_accuracy": share("n_rejected", F.when(over_all, c("n_wrong")).otherwise(c("n"))),
             "relation_direction_accuracy": share("n_direction", "n_relation"), "invalid_json_rate": share("n_invalid_json", "n"), "parse_failure_rate": share("n_parse_failed", "n"),
         }
     )
 
 
+def _probe_group(by: str) -> Column:
+    return F.coalesce(F.nullif(F.col(by).cast("string"), F.lit("")), F.lit("unknown"))
+
+
+def probe_metrics(scored: DataFrame, by: str | None = None) -> DataFrame:
+    """Counts and rates of ``score_probes`` rows, over all of them or by the text of a column, where null and '' are "unknown".
+
+    Over all rows the rejection of wrong evidence divides by the rows that have it as target, within groups by the group.
+    """
+    counts = [v.alias(k) for k, v in _probe_counts().items()]
+    out = scored.groupBy(_probe_group(by).alias(by)).agg(*counts) if by else scored.agg(*counts)
+    return _probe_rates(out, F.lit(by is None))
+
+
+def probe_levels(scored: DataFrame, fields: list[str]) -> DataFrame:
+    """``probe_metrics`` over all rows (level and name "all") and by each of ``fields`` (level: the field, name: its text).
+
+    Rows are scored and counted once, by all fields together; levels are sums of these counts.
+    """
+    counts = _probe_counts()
+    parts = scored.groupBy(*[_probe_group(f).alias(f"_{f}") for f in fields]).agg(*[v.alias(k) for k, v in counts.items()])
+    level = lambda a, b: F.struct(F.lit(a).alias("level"), b.alias("name"))
+    levels = F.explode(F.array(level("all", F.lit("all")), *[level(f, F.col(f"_{f}")) for f in fields]))
+    out = parts.select(levels.alias("_l"), *counts).groupBy("_l.level", "_l.name").agg(*[F.sum(k).alias(k) for k in counts])
+    return _probe_rates(out, F.col("level") == "all")
+
+
 def predicted_supports(scored: DataFrame) -> DataFrame:
     """(predicted_support, n)."""
     return scored.groupBy("predicted_support").agg(F.count("*").alias("n"))

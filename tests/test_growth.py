@@ -138,3 +138,19 @@ def test_names_of_classes_are_cleaned_before_boxes_are_joined(spark):
     assert [tuple(r) for r in out.collect()] == [(1, "hot dog", 30.0)]
     top = plan(out).split("Join")[0]
     assert "lower(" not in top and "regexp_replace" not in top
+
+
+def test_probes_are_scored_once_for_all_levels(spark):
+    from millrace.operators import metrics
+
+    said = ['{"answer": "yes", "support": "supported"}', "No; claim: a dog; support: wrong", "", None, '{"evidence": "dog", "support": "mismatch"}']
+    rows = [(said[i % 5], ["relation_spatial", "x", None, ""][i % 4], "yes", ["supported", "wrong_evidence", "", None][i % 3 if i % 7 else 3], "dog", "a dog", "left", "dog", "cat") for i in range(80)]
+    kind = ", ".join(f"{c} string" for c in ("generation", "base_task_type", "target_answer", "target_support", "target_evidence_label", "target_claim", "target_relation", "target_subject", "target_object"))
+    scored = metrics.score_probes(spark.createDataFrame(rows, kind))
+    out = metrics.probe_levels(scored, ["base_task_type", "target_support"])
+    want = [("all", "all", r.asDict()) for r in metrics.probe_metrics(scored).collect()]
+    want += [(by, r[by], {k: v for k, v in r.asDict().items() if k != by}) for by in ("base_task_type", "target_support") for r in metrics.probe_metrics(scored, by).collect()]
+    got = [(r.level, r.name, {k: v for k, v in r.asDict().items() if k not in ("level", "name")}) for r in out.collect()]
+    key = lambda x: x[:2]
+    assert len(want) == 1 + 3 + 3 and sorted(got, key=key) == sorted(want, key=key)
+    assert plan(out).count("LogicalRDD") == 1 and plan(scored).count("labell") == 0 and plan(scored).count("parse_json") <= 4
