@@ -154,3 +154,20 @@ def test_probes_are_scored_once_for_all_levels(spark):
     key = lambda x: x[:2]
     assert len(want) == 1 + 3 + 3 and sorted(got, key=key) == sorted(want, key=key)
     assert plan(out).count("LogicalRDD") == 1 and plan(scored).count("labell") == 0 and plan(scored).count("parse_json") <= 4
+
+
+def test_negatives_of_object_pairs_are_the_weighted_draw_and_texts_are_made_once(spark):
+    import hashlib
+    import math
+
+    known = [("dog", "a"), ("cat", "a"), ("fork", "a"), ("cow", "b"), ("book", "b"), ("cup", "b")]
+    seen = spark.createDataFrame([(i, n, 10.0 + i) for i in range(80) for n in ("dog", known[1 + i % 5][0])], "image_id long, name string, max_area double")
+    out = curate.object_pairs(seen, spark.createDataFrame(known, "name string, grp string"))
+    unit = lambda *k: (int(hashlib.md5("|".join(map(str, k)).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+    weight = lambda p, n: (3.0 if dict(known)[p] == dict(known)[n] else 1.0) * (0.35 if n in curate.LOW_CONFIDENCE else 1.0)
+    rows = out.collect()
+    assert len(rows) == 160
+    for r in rows:
+        absent = [n for n, _ in known if n not in ("dog", known[1 + r.image_id % 5][0])]
+        assert r.negative == max(absent, key=lambda n: math.log(unit("pairs", r.image_id, r.positive, n)) / weight(r.positive, n))
+    assert "format_string" not in plan(out) and plan(out).count("LN(") <= 1 + 4
