@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import generation_fields, json_object, normalize_answer, normalize_relation, normalize_support, normalize_target, parse_prediction, parsed_fields
-from ..functions.steps import once
+from ..functions.steps import compiled_once
 from ..functions.text import clean_name, has_evidence_cue, token_count, word_count
 from .sampling import stable_unit
 
@@ -87,10 +87,10 @@ def score_probes(rows: DataFrame, text: str = "generation") -> DataFrame:
         "support": normalize_support(c("target_support")), "answer": normalize_answer(c("target_answer")), "relation": normalize_relation(c("target_relation")),
         **{k: blank(f"target_{k}") for k in ("evidence_label", "claim", "subject", "object")},
     }
-    out = once(rows, _json=json_object(c(text)))
-    out = once(out, _here=c("_json").isNotNull(), _f=generation_fields(c(text), c("_json"))).drop("_json")
-    out = once(out, _p=parsed_fields(c(text), c("_here"), c("_f"))).drop("_here", "_f")
-    out = once(out, _t=F.struct(*[v.alias(k) for k, v in targets.items()]))
+    out = compiled_once(rows, _json=json_object(c(text)))
+    out = compiled_once(out, _here=c("_json").isNotNull(), _f=generation_fields(c(text), c("_json"))).drop("_json")
+    out = compiled_once(out, _p=parsed_fields(c(text), c("_here"), c("_f"))).drop("_here", "_f")
+    out = compiled_once(out, _t=F.struct(*[v.alias(k) for k, v in targets.items()]))
     is_relation = F.coalesce(c("base_task_type") == "relation_spatial", F.lit(False))
     has = lambda whole, part: F.contains(whole, part)
     support, label, claim, subject, obj, answer, relation = (c(f"_t.{k}") for k in ("support", "evidence_label", "claim", "subject", "object", "answer", "relation"))
