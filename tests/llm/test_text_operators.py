@@ -129,6 +129,24 @@ def test_suffix_dedup(spark, limits):
     assert sorted(map(tuple, suffix_dedup.suffix_dedup(docs, **limits).collect())) == brute_removed(rows, limits["length"])
 
 
+def test_suffix_dedup_passages_of_over_50_words(spark):
+    """What decides is 400 bytes in common, not the number of words; n_bytes is the whole text's, whatever is removed."""
+    rng = random.Random(6)
+    own = lambda c: c + " ".join(f"{c}{rng.randrange(10**6)}" for _ in range(80)) + c
+    rows, want = [(0, own("y")), (1, own("z"))], {0: 0, 1: 0}
+    for i, (words, size) in enumerate([(51, 399), (51, 400), (60, 401), (75, 399), (52, 700)]):
+        passage = " ".join(f"é{chr(65 + i)}{rng.randrange(10)}" for _ in range(words))
+        passage += "é" * ((size - len(passage.encode())) // 2)
+        passage += "." * (size - len(passage.encode()))
+        for d, (a, b) in ((10 + 2 * i, "ab"), (11 + 2 * i, "cd")):
+            rows.append((d, own(a) + passage + own(b)))
+            want[d] = size if size >= 400 else 0
+    out = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert {r.doc_id: r.n_removed for r in out} == want
+    assert {r.doc_id: r.n_bytes for r in out} == {d: len(t.encode()) for d, t in rows}
+    assert sorted(map(tuple, out)) == brute_removed(rows, 400)
+
+
 def test_suffix_dedup_kept_bytes_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "x" * 50 + "tail"), (2, "short")], DOCS)
     out = suffix_dedup.suffix_dedup(docs, length=20, gram=8, with_kept=True).orderBy("doc_id").collect()
