@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.steps import once
-from ..functions.text import clean_name
+from ..functions.steps import compiled_once, once
+from ..functions.text import clean_name, cleaned_together
 
 # The marks of both kinds of sheets, shares of yes that they must reach, what counts as yes and no, what
 # hints must say, and the reasons.
@@ -44,6 +44,13 @@ def audit_text(text: Column) -> Column:
     return _clean(F.translate(F.coalesce(text, F.lit("")), "=;,", "   "))
 
 
+def _parted(text: Column) -> Column:
+    """What ``audit_text`` cleans."""
+    for sign in "=;,":
+        text = F.replace(text, F.lit(sign), F.lit(" "))
+    return text
+
+
 def says(text: Column, phrase: Column) -> Column:
     """Whether a cleaned text has a cleaned phrase as whole words; an empty phrase is never said."""
     pad = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
@@ -118,14 +125,8 @@ def _every(conditions: list[Column]) -> Column:
     return out
 
 
-def _claim_parts(claim: Column) -> Column:
-    """What marks need of a claim, cleaned: its span, labels of evidence, attribute and relation."""
-    labels = F.transform(F.coalesce(claim["evidence"], F.array()), lambda e: _clean(e["label"]))
-    return F.struct(claim["type"].alias("type"), _clean(claim["span"]).alias("span"), labels.alias("labels"), _clean(claim["attribute"]).alias("attribute"), _clean(claim["relation"]).alias("relation"))
-
-
 def answer_fits(text: Column, claim: Column, attribute: Column, relation: Column) -> Column:
-    """Whether a cleaned answer says what the span of ``_claim_parts`` says; that is split in ``attribute`` and ``relation``."""
+    """Whether a cleaned answer says what a claim's cleaned span says; that is split in ``attribute`` and ``relation``."""
     return (text != "") & (claim["span"] != "") & (
         F.when(claim["type"] == "object", says(text, F.replace(claim["span"], F.lit(" visible"), F.lit(""))))
         .when(claim["type"] == "attribute", says(text, attribute["object"]) & says(text, attribute["attribute"]))
@@ -134,33 +135,38 @@ def answer_fits(text: Column, claim: Column, attribute: Column, relation: Column
 
 
 def evidence_fits(text: Column, claim: Column) -> Column:
-    """Whether a text, cleaned as by ``audit_text``, names all evidence of ``_claim_parts``, and its attribute or relation."""
+    """Whether a text, cleaned as by ``audit_text``, names all labels of a cleaned claim, and its attribute or relation."""
     every = (F.size(claim["labels"]) > 0) & F.forall(claim["labels"], lambda e: says(text, e))
     return (text != "") & every & F.when(claim["type"] == "attribute", says(text, claim["attribute"])).when(claim["type"] == "relation", _names_relation(text, claim["relation"])).otherwise(True)
 
 
 def claim_marks(rows: DataFrame) -> DataFrame:
-    """Add the marks of CLAIM_MARKS and ``reasons``. Names, texts and spans are cleaned and split once a row.
+    """Add the marks of CLAIM_MARKS and ``reasons``. Names, texts and spans are cleaned together and split once a row.
 
     ``rows`` have negative_type, chosen_claims and rejected_claims of a record, and chosen_answer, rejected_answer,
     chosen_evidence, rejected_evidence and rejected_support as a sheet shows them; without support the claim's own counts.
     """
     c, columns, sides = F.col, rows.columns, ("chosen", "rejected")
-    first = lambda side: F.get(f"{side}_claims", F.lit(0))
-    texts = {f"_{s}_answer": _clean(c(f"{s}_answer")) for s in sides} | {f"_{s}_evidence": audit_text(c(f"{s}_evidence")) for s in sides}
-    rows = once(rows, **texts, **{f"_{s}": _claim_parts(first(s)) for s in sides}, _support=_clean(F.coalesce(F.nullif("rejected_support", F.lit("")), first("rejected")["support"])))
-    split = {f"_{s}_{k}": F.when(c(f"_{s}.type") == k, f(c(f"_{s}.span"))) for s in sides for k, f in (("attribute", split_attribute), ("relation", split_relation))}
-    rows = once(rows, **split)
+    first = {s: F.get(f"{s}_claims", F.lit(0)) for s in sides}
+    names = {f"_{s}_answer": c(f"{s}_answer") for s in sides} | {f"_{s}_evidence": _parted(c(f"{s}_evidence")) for s in sides}
+    names |= {f"_{s}_{k}": first[s][k] for s in sides for k in ("span", "attribute", "relation")} | {"_support": F.coalesce(F.nullif("rejected_support", F.lit("")), first["rejected"]["support"])}
+    together, *cleaned = cleaned_together(*names.values(), lists=tuple(first[s]["evidence"]["label"] for s in sides))
+    rows = compiled_once(rows, _cleaned=together)
+    told = dict(zip([*names, *[f"_{s}_labels" for s in sides]], cleaned))
+    kind = {s: F.coalesce(first[s]["type"], F.lit("")) for s in sides}
+    for s in sides:  # one at a time: methods of more than 8000 bytes aren't compiled
+        rows = compiled_once(rows, **{f"_{s}_split_{k}": F.when(kind[s] == k, f(told[f"_{s}_span"])) for k, f in (("attribute", split_attribute), ("relation", split_relation))})
+    claim = {s: {"type": kind[s], **{k: told[f"_{s}_{k}"] for k in ("span", "labels", "attribute", "relation")}} for s in sides}
     wrong = F.coalesce(c("negative_type") == "evidence_wrong", F.lit(False))
     due = F.when(wrong, "wrong evidence").when(c("negative_type").isin("answer_wrong", "attribute_mismatch", "relation_reversal"), "contradicted")
-    answer = lambda s: answer_fits(c(f"_{s}_answer"), c(f"_{s}"), c(f"_{s}_attribute"), c(f"_{s}_relation"))
-    shown = lambda s: evidence_fits(c(f"_{s}_evidence"), c(f"_{s}"))
+    answer = lambda s: answer_fits(told[f"_{s}_answer"], claim[s], c(f"_{s}_split_attribute"), c(f"_{s}_split_relation"))
+    shown = lambda s: evidence_fits(told[f"_{s}_evidence"], claim[s])
     marks = {
         "chosen_answer_correct": _yes(answer("chosen")), "rejected_answer_wrong": F.when(wrong, "na").otherwise(_yes(answer("rejected"))),
-        "chosen_evidence_correct": _yes(shown("chosen")), "rejected_error_correct": _yes((c("_support") == due) & shown("rejected")),
+        "chosen_evidence_correct": _yes(shown("chosen")), "rejected_error_correct": _yes((told["_support"] == due) & shown("rejected")),
     }
-    rows = once(rows.select(*columns, *[v.alias(k) for k, v in marks.items()]), reasons=F.array_compact(F.array(*[F.when(c(k) == "no", r) for k, r in zip(CLAIM_MARKS, CLAIM_REASONS)])))
-    return rows
+    rows = compiled_once(rows, **marks)
+    return rows.select(*columns, *marks, F.array_compact(F.array(*[F.when(c(k) == "no", r) for k, r in zip(CLAIM_MARKS, CLAIM_REASONS)])).alias("reasons"))
 
 
 def completed(sheet: DataFrame, marked: DataFrame, columns: list[str], overwrite: bool = False) -> DataFrame:

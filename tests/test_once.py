@@ -50,3 +50,18 @@ def test_preferences_are_cleaned_once(spark):
     fields = ["id", "source", "task_type", "chosen", "rejected", "hint_chosen", "hint_rejected", "positive", "negative", "object", "subject"]
     rows = spark.createDataFrame([tuple(fields)], ", ".join(f"{x} string" for x in fields)).withColumn("visible", F.array(F.lit("x")))
     assert named(audits.preference_marks(rows), "regexp_replace") <= 20
+
+
+def test_claims_are_cleaned_together(spark):
+    from millrace.functions.text import clean_name, cleaned_together
+
+    odd = ["A_b-C", " a  b ", "", None, "_", "x\ny", "\n", "a.\t b", "ß É", "a - b", "- ", "\r1/2"]
+    rows = spark.createDataFrame([(x, odd[i - 3], [x, odd[i - 1]] if i % 3 else [] if i % 2 else None, [odd[i - 2]]) for i, x in enumerate(odd)], "a string, b string, l array<string>, m array<string>")
+    together, *cleaned = cleaned_together(F.col("a"), F.col("b"), lists=(F.col("l"), F.col("m")))
+    one = lambda x: F.coalesce(clean_name(x), F.lit(""))
+    want = [one(F.col("a")), one(F.col("b")), F.coalesce(F.transform("l", one), F.array().cast("array<string>")), F.transform("m", one)]
+    got = once(rows, _cleaned=together).select(F.array(*[F.struct(x.eqNullSafe(y).alias("same")) for x, y in zip(cleaned, want)]).alias("s"))
+    assert all(x.same for r in got.collect() for x in r.s)
+    fields = ["negative_type", "chosen_answer", "rejected_answer", "chosen_evidence", "rejected_evidence", "rejected_support"]
+    rows = spark.createDataFrame([tuple("abcdef")], ", ".join(f"{x} string" for x in fields)).withColumns({s: F.from_json(F.lit("[]"), claims.CLAIMS) for s in ("chosen_claims", "rejected_claims")})
+    assert named(audits.claim_marks(rows), "regexp_replace") <= 2
