@@ -196,8 +196,11 @@ def audit_summary(rows: DataFrame, thresholds: dict[str, float] = THRESHOLDS) ->
 
 def audit_counts(rows: DataFrame, columns: list[str], by: str) -> DataFrame:
     """(level, name, mark, n_yes, n_no, n_na, n_blank, audited, rate) of all rows and of each value of ``by``."""
-    long = rows.select(F.coalesce(F.nullif(F.col(by), F.lit("")), F.lit("unknown")).alias("name"), *[F.coalesce(F.nullif(_clean(F.col(k)), F.lit("")), F.lit("blank")).alias(k) for k in columns]).unpivot(["name"], columns, "mark", "value")
-    out = long.groupingSets([["name", "mark"], ["mark"]], "name", "mark").agg(F.grouping("name").alias("_all"), *[F.count_if(F.col("value") == v).alias(f"n_{v}") for v in ("yes", "no", "na", "blank")])
+    # Rows are counted by their marks before these are told apart: a mark of each count, not of each row.
+    rows = rows.groupBy(by, *columns).agg(F.count("*").alias("_n"))
+    long = rows.select("_n", F.coalesce(F.nullif(F.col(by), F.lit("")), F.lit("unknown")).alias("name"), *[F.coalesce(F.nullif(_clean(F.col(k)), F.lit("")), F.lit("blank")).alias(k) for k in columns]).unpivot(["_n", "name"], columns, "mark", "value")
+    counts = [F.coalesce(F.sum(F.when(F.col("value") == v, F.col("_n"))), F.lit(0)).alias(f"n_{v}") for v in ("yes", "no", "na", "blank")]
+    out = long.groupingSets([["name", "mark"], ["mark"]], "name", "mark").agg(F.grouping("name").alias("_all"), *counts)
     out = out.withColumn("audited", F.col("n_yes") + F.col("n_no"))
     out = out.withColumns({"level": F.when(F.col("_all") == 1, "all").otherwise(F.lit(by)), "name": F.coalesce("name", F.lit("all")), "rate": F.when(F.col("audited") == 0, 0.0).otherwise(F.round(F.col("n_yes") / F.col("audited"), 6))})
     return out.drop("_all")

@@ -65,3 +65,14 @@ def test_claims_are_cleaned_together(spark):
     fields = ["negative_type", "chosen_answer", "rejected_answer", "chosen_evidence", "rejected_evidence", "rejected_support"]
     rows = spark.createDataFrame([tuple("abcdef")], ", ".join(f"{x} string" for x in fields)).withColumns({s: F.from_json(F.lit("[]"), claims.CLAIMS) for s in ("chosen_claims", "rejected_claims")})
     assert named(audits.claim_marks(rows), "regexp_replace") <= 2
+
+
+def test_marks_are_counted_before_they_are_told_apart(spark):
+    rows = spark.createDataFrame([("t", "yes", " No"), ("t", "YES", "no"), ("", "na", None), (None, "", "no"), ("u", "odd", "yes")], "task string, a string, b string")
+    out = audits.audit_counts(rows, ["a", "b"], "task")
+    got = {(r.level, r.name, r.mark): (r.n_yes, r.n_no, r.n_na, r.n_blank, r.audited, r.rate) for r in out.collect()}
+    assert got == {
+        ("task", "t", "a"): (2, 0, 0, 0, 2, 1.0), ("task", "t", "b"): (0, 2, 0, 0, 2, 0.0), ("task", "unknown", "a"): (0, 0, 1, 1, 0, 0.0), ("task", "unknown", "b"): (0, 1, 0, 1, 1, 0.0),
+        ("task", "u", "a"): (0, 0, 0, 0, 0, 0.0), ("task", "u", "b"): (1, 0, 0, 0, 1, 1.0), ("all", "all", "a"): (2, 0, 1, 1, 2, 1.0), ("all", "all", "b"): (1, 3, 0, 1, 4, 0.25),
+    }
+    assert named(out, "Aggregate") == 2 and audits.audit_counts(rows.limit(0), ["a", "b"], "task").count() == 0
