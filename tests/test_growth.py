@@ -171,3 +171,23 @@ def test_negatives_of_object_pairs_are_the_weighted_draw_and_texts_are_made_once
         absent = [n for n, _ in known if n not in ("dog", known[1 + r.image_id % 5][0])]
         assert r.negative == max(absent, key=lambda n: math.log(unit("pairs", r.image_id, r.positive, n)) / weight(r.positive, n))
     assert "format_string" not in plan(out) and plan(out).count("LN(") <= 1 + 4
+
+
+def test_findings_shuffle_no_records(spark):
+    rows = [("a", 1, "x"), ("a", 2, "long"), ("a", 1, "b"), ("", 4, "long"), (None, None, "long"), ("b", None, "b"), ("b", 7, "long"), ("b", 9, "b"), ("c", 3, "b")]
+    rows, by, says = spark.createDataFrame(rows, "id string, place long, text string").withColumn("image", F.lit("x.jpg")), {"long": F.col("text") == "long"}, {"long": "too long"}
+    plans = []
+
+    def store(df, name):
+        plans.append(plan(df))
+        return df.localCheckpoint()
+
+    for limit in (1, 2, 9):
+        want, counts = rules.findings(rules.checked(rows, "place"), rules.with_record_rules(by), says, "place", store, limit)
+        plans.clear()
+        got, n = rules.findings_of(rows, by, says, "place", store, limit)
+        order = lambda df: sorted(map(repr, df.collect()))
+        assert order(got) == order(want) and n == counts == {"repeated_id": 2, "long": 4, "no_file": 0} and got.columns == want.columns
+        assert [k.count("Join") for k in plans] == [0, 1]
+        joined = plans[1][plans[1].index("Join"):].splitlines()[1:]
+        assert not any("text" in line for line in [*plans[0].splitlines(), *joined] if "Project" in line or "Aggregate" in line)
